@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsgrain.llm import matroska, packing, token_store
+from opsgrain.llm import matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter
 from opsgrain.llm.common import table_path
 from opsgrain.llm.tokens import public
 
@@ -13,6 +13,14 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"), 3, 3)
+
+
+def op2_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), public("word_bpe_49k.json"), 4096, 1)
 
@@ -23,13 +31,30 @@ def op4_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_store.read_digests(spark, path)
 
 
+def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secrets.digests(secrets.scan(table(spark, sf_dir, "documents")))
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix(table(spark, sf_dir, "documents"))
+
+
+def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.HOST_RULES + url_filter.PATTERN_RULES)
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
 
 QUERIES = {
+    "op1_simhash": op1_simhash,
+    "op2_toxicity": op2_toxicity,
     "op3_best_fit_packing": op3_best_fit_packing,
     "op4_token_store": op4_token_store,
+    "op5_secret_scan": op5_secret_scan,
+    "op6_mixing": op6_mixing,
+    "op8_url_filter": op8_url_filter,
     "op10_matroska": op10_matroska,
 }
-SQL: dict[str, str] = {}
+SQL = {"op8_url_filter": url_filter.SQL}
