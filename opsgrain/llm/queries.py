@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsgrain.llm import matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter
+from opsgrain.llm import matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter, vectors
 from opsgrain.llm.common import table_path
 from opsgrain.llm.tokens import public
 
@@ -43,6 +43,10 @@ def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.HOST_RULES + url_filter.PATTERN_RULES)
 
 
+def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return vectors.near_duplicates(table(spark, sf_dir, "embeddings"), 0.98)
+
+
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
 
@@ -55,6 +59,7 @@ QUERIES = {
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
     "op8_url_filter": op8_url_filter,
+    "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_matroska": op10_matroska,
 }
 SQL = {"op8_url_filter": url_filter.SQL}

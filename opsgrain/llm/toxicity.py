@@ -6,7 +6,8 @@ document labels alone, by gradient descent on the likelihood of those labels; it
 make a document toxic.
 
 Training takes a bounded sample of labelled documents (``sample`` of each class at most, those with the
-smallest hash of their id); classes are weighted back to their numbers among all labels. The words are the
+smallest hash of their id); classes are weighted back to their numbers among all labels, and a missed toxic
+document counts as ``missed`` wrongly rejected ones. The words are the
 ``words`` most telling ones of the sample. Scores use nothing but the text.
 """
 
@@ -39,7 +40,7 @@ def held_out(column):
     return F.crc32(column.cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4096, epochs: int = 400, seed_rate: float = 0.05) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4096, epochs: int = 500, rate: float = 0.05, missed: float = 3.0) -> dict:
     """A sentence model: ``bias`` and ``weights`` by word.
 
     ``labels`` has ``doc_id, toxic``; rows of held-out documents and null labels are not used, and of several
@@ -92,7 +93,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4
     inner = bags.values
     sent = np.repeat(np.arange(len(inner)), np.diff(inner.offsets.to_numpy()))
     word = inner.values.to_numpy()
-    share = np.where(y == 1, n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1))
+    share = np.where(y == 1, missed * n1 / max(y.sum(), 1), n0 / max((1 - y).sum(), 1))
     share /= share.sum()
     theta = np.append(np.clip([r["odds"] for r in best], -1, 3) * 0.3, -6.0)
     m1, m2 = np.zeros_like(theta), np.zeros_like(theta)
@@ -105,9 +106,9 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4
         slope = share * np.where(y == 1, -np.exp(none) / np.maximum(whole, 1e-9), 1.0)
         dz = slope[doc] * p
         grad = np.append(np.bincount(word, dz[sent], len(w)), dz.sum() + (slope * bare).sum() * p0)
-        grad[:-1] += 2e-5 * w
+        grad[:-1] += 2e-6 * w
         m1, m2 = 0.9 * m1 + 0.1 * grad, 0.999 * m2 + 0.001 * grad**2
-        theta = theta - seed_rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-10)
+        theta = theta - rate * (m1 / (1 - 0.9**step)) / (np.sqrt(m2 / (1 - 0.999**step)) + 1e-10)
     return {"bias": float(theta[-1]), "weights": {w: float(theta[i]) for w, i in number.items()}}
 
 
