@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -45,6 +46,12 @@ def discard(df: DataFrame) -> None:
         where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def released(spark: SparkSession) -> None:
+    """Lets Spark delete the shuffle files of jobs whose tables are written and whose plans are dropped."""
+    gc.collect()
+    spark.sparkContext._jvm.System.gc()
+
+
 def lower_az(column):
     """Lower-cases A-Z alone."""
     return F.translate(column, UPPER, LOWER)

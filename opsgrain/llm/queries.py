@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from opsgrain.llm import matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter, vectors
+from opsgrain.llm import katz, matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter, vectors
 from opsgrain.llm.common import table_path
 from opsgrain.llm.tokens import public
 
@@ -39,6 +39,10 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return katz.learn_and_score(table(spark, sf_dir, "documents"))
+
+
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return url_filter.judge(table(spark, sf_dir, "pages"), url_filter.HOST_RULES + url_filter.PATTERN_RULES)
 
@@ -58,6 +62,7 @@ QUERIES = {
     "op4_token_store": op4_token_store,
     "op5_secret_scan": op5_secret_scan,
     "op6_mixing": op6_mixing,
+    "op7_katz_backoff": op7_katz_backoff,
     "op8_url_filter": op8_url_filter,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_matroska": op10_matroska,
