@@ -161,18 +161,20 @@ def _shift(n: int) -> int:
     return out
 
 
-def _times(a: int, b: int) -> int:
-    out = 0
-    while a:
-        if a & 0x80000000:
-            out ^= b
-        a = (a << 1) & 0xFFFFFFFF
-        b = b >> 1 ^ 0xEDB88320 if b & 1 else b >> 1
+def _times(a, b):
+    """Products of polynomials modulo the CRC-32 polynomial, in CRC bit order; numbers or arrays."""
+    out = b * 0
+    for bit in range(31, -1, -1):
+        out ^= b * (a >> bit & 1)
+        b = b >> 1 ^ (b & 1) * 0xEDB88320
     return out
 
 
-def joined_crc32(first: int, second: int, second_bytes: int) -> int:
-    """The CRC-32 of two strings one after the other, from their own."""
+def joined_crc32(first, second, second_bytes):
+    """The CRC-32 of two strings one after the other, from their own; numbers, or arrays of unsigned 64-bit."""
+    if isinstance(first, np.ndarray):
+        shift = np.fromiter(map(_shift, second_bytes.tolist()), np.uint64, len(second_bytes))
+        return _times(shift, first) ^ second
     return _times(_shift(second_bytes), first) ^ second
 
 
@@ -188,15 +190,22 @@ def _checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        crcs, oks = [], []
-        for chunks, root in zip(batch.column("chunks").to_pylist(), batch.column("root").to_pylist(), strict=True):
-            crc = 0
-            for c in chunks:
-                crc = joined_crc32(crc, c["crc"], 4 * c["n"])
-            crcs.append(crc)
-            oks.append(all(c["ok"] for c in chunks) and merkle([c["digest"] for c in chunks]) == root)
+        lists = batch.column("chunks")
+        bounds, items = lists.offsets.to_numpy(), lists.values
+        crc, n, ok = (items.field(c).to_numpy(zero_copy_only=False) for c in ("crc", "n", "ok"))
+        digests = items.field("digest").to_pylist()
+        crc, bounds = crc.astype(np.uint64), bounds.astype(np.int64)
+        sums, here, at = np.zeros(len(lists), np.uint64), np.arange(len(lists)), bounds[:-1]
+        while len(here := here[at[here] < bounds[here + 1]]):  # the next chunk of each document that has one
+            k = at[here]
+            sums[here] = joined_crc32(sums[here], crc[k], 4 * n[k].astype(np.int64))
+            at = at + 1
+        oks = [
+            bool(ok[a:b].all()) and merkle(digests[a:b]) == root
+            for a, b, root in zip(bounds, bounds[1:], batch.column("root").to_pylist(), strict=False)
+        ]
         yield pa.RecordBatch.from_arrays(
-            [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(crcs, pa.int64()), pa.array(oks, pa.bool_())],
+            [batch.column("doc_id"), batch.column("start"), batch.column("n_tokens"), pa.array(sums.astype(np.int64)), pa.array(oks, pa.bool_())],
             ["doc_id", "start", "n_tokens", "ids_crc32", "verified"],
         )
 

@@ -67,7 +67,9 @@ class Encoder:
         self._units = _Table(self._unit)
 
     def _piece(self, piece: str) -> bytes:
-        if not piece.isascii() or " " in piece or "\n" in piece:
+        if piece.isascii():
+            piece = piece.replace(" ", self._letters[32]).replace("\n", self._letters[10])
+        else:
             piece = piece.encode().decode("latin-1").translate(self._letters)
         ids = [t.id for t in self._model.tokenize(piece)]
         return struct.pack(f"<{len(ids)}I", *ids)
@@ -75,7 +77,11 @@ class Encoder:
     def _unit(self, unit: str) -> bytes:
         """The ids of what stands between two spaces, with the space or line end before it."""
         if self._lowered:
-            return self._pieces[unit] if unit.isalpha() and "'" not in unit else self._joined(_UNSPACED, unit)
+            return self._pieces[unit] if unit.isalpha() else self._joined(_UNSPACED, unit)
+        if unit.isalpha():
+            return self._pieces[" " + unit]
+        if unit[:-1].isalpha() and unit[-1] in ".,":
+            return self._pieces[" " + unit[:-1]] + self._pieces[unit[-1]]
         unit = "\n" + unit[1:] if unit[:1] == _LINE else unit[1:] if unit[:1] == _FIRST else " " + unit
         return self._joined(_SPACED, unit)
 
@@ -110,11 +116,12 @@ class Encoder:
             other = np.flatnonzero(~np.array(plain))
             codes = np.insert(codes, bounds[other + 1], len(coded.dictionary) + np.arange(len(other), dtype=codes.dtype))
             bounds = bounds + np.concatenate(([0], np.cumsum(~np.array(plain))))
-        sizes = np.fromiter(map(len, values), np.int64, len(values)) // 4
-        flat, starts = np.frombuffer(b"".join(values), "<u4"), np.cumsum(sizes) - sizes
+        sizes = np.fromiter(map(len, values), np.int32, len(values)) // 4
         each = sizes[codes]
-        ends = np.concatenate(([0], np.cumsum(each)))
-        ids = flat[np.repeat(starts[codes] - ends[:-1], each) + np.arange(ends[-1])]
+        ends = np.concatenate(([0], np.cumsum(each, dtype=np.int64)))
+        kind = np.int32 if ends[-1] < 1 << 31 else np.int64
+        flat, starts = np.frombuffer(b"".join(values), "<u4"), (np.cumsum(sizes, dtype=np.int64) - sizes).astype(kind)
+        ids = flat[np.repeat(starts[codes] - ends[:-1].astype(kind), each) + np.arange(ends[-1], dtype=kind)]
         return ids, ends[bounds]
 
 
