@@ -83,7 +83,8 @@ def significant_terms(df: DataFrame, field: str, within: Column, n: int) -> Data
     """Terms more frequent within a filter than in all rows, by (share within - share) * (share within / share)."""
     total = df.agg(F.count_if(within & F.col(field).isNotNull()).alias("_fg"), F.count(field).alias("_bg"))
     by = df.where(F.col(field).isNotNull()).groupBy(field).agg(F.count_if(within).alias("n"), F.count("*").alias("bg"))
-    out = by.join(F.broadcast(total), F.lit(True)).withColumn("fs", F.try_divide("n", "_fg")).withColumn("bs", F.col("bg") / F.col("_bg"))
+    fg, bg = total.select("_fg").scalar(), total.select("_bg").scalar()
+    out = by.withColumn("fs", F.try_divide("n", fg)).withColumn("bs", F.col("bg") / bg)
     out = out.where("fs > bs").withColumn("score", (F.col("fs") - F.col("bs")) * (F.col("fs") / F.col("bs")))
     return out.select(field, "n", "bg", "score").orderBy(F.desc("score"), field).limit(n)
 
