@@ -39,19 +39,22 @@ def fit_sql(rows: str, keys: str, name: str, refit: bool, value: str = "value")
     {name} AS (SELECT *, floor((4 * f0 + 2 * f1 + f2 + f3 + 2 * f4 + 4 * f5) / size) AS score FROM {name}_5)"""
 
 
-EXTRA = [S.watermark_share(F.col("value"), F.col("high_water_mark")).alias("share"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")]
+def extra():
+    return [S.watermark_share(F.col("value"), F.col("high_water_mark")).alias("share"), F.max_by("event_id", F.struct("ts", "event_id")).alias("last_event")]
+
+
 DIST = ["size", "min_val", "max_val", "mean", "stddev", *BINS, "score", "share"]
 DIST_SQL = "size, round(min_val, 6) AS min_val, round(max_val, 6) AS max_val, round(mean, 6) AS mean, round(stddev, 6) AS stddev, " + ", ".join(BINS) + ", round(score, 6) AS score, round(share, 6) AS share"
 
 
 def cluster_minute_stats(spark, sf):
-    out = S.distribution(metrics(spark, sf, True), PEERS, "value", True, EXTRA)
+    out = S.distribution(metrics(spark, sf, True), PEERS, "value", True, extra())
     return rounded(out.select(*PEERS, *DIST, "last_event", F.greatest("score", "share").alias("final_score")))
 
 
 def instance_minute_stats(spark, sf):
     rows = metrics(spark, sf, True)
-    hosts = S.distribution(rows, SERIES, "value", False, EXTRA)
+    hosts = S.distribution(rows, SERIES, "value", False, extra())
     peers = S.distribution(rows, PEERS, "value", True)
     out = S.relative_to_peers(hosts, peers, PEERS)
     return rounded(out.select(*SERIES, *DIST, "peer_score", "relative", F.greatest("relative", "share").alias("final_score")))
@@ -74,7 +77,7 @@ def spread_score(spark, sf):
 
 
 def watermark_share(spark, sf):
-    return rounded(metrics(spark, sf).groupBy(*SERIES).agg(EXTRA[0]))
+    return rounded(metrics(spark, sf).groupBy(*SERIES).agg(extra()[0]))
 
 
 def tag_average(spark, sf):
@@ -83,13 +86,13 @@ def tag_average(spark, sf):
 
 def service_peer_stats(spark, sf):
     names = [m for m in dict.fromkeys(m for m, _, _ in D.NETWORK)]
-    long = flows(spark, sf).withColumn("ts", F.date_trunc("year", "ts")).select("to_cluster", "port", "ts", *(F.col(m).cast("double") for m in names)).unpivot(["to_cluster", "port", "ts"], names, "measure", "value")
+    long = flows(spark, sf).withColumn("ts", F.date_trunc("year", "ts")).select("to_cluster", "port", "ts", *((F.col(m) + F.col("l_partkey") % 97 / 97.0).alias(m) for m in names)).unpivot(["to_cluster", "port", "ts"], names, "measure", "value")
     out = S.distribution(long, ["to_cluster", "port", "ts", "measure"], "value", True)
     return rounded(out.select("to_cluster", "port", "ts", "measure", "size", "mean", "stddev", *BINS, "score"), 4)
 
 
 MEASURES = ", ".join(dict.fromkeys(m for m, _, _ in D.NETWORK))
-LONG_SQL = f"long AS (SELECT to_cluster, port, ts, measure, CAST(v AS DOUBLE) AS value, 0.0 AS high_water_mark, 0 AS event_id FROM (SELECT to_cluster, port, CAST(date_trunc('year', ts) AS TIMESTAMP) AS ts, {MEASURES} FROM flows) UNPIVOT (v FOR measure IN ({MEASURES})))"
+LONG_SQL = f"long AS (SELECT to_cluster, port, ts, measure, CAST(v AS DOUBLE) AS value, 0.0 AS high_water_mark, 0 AS event_id FROM (SELECT to_cluster, port, CAST(date_trunc('year', ts) AS TIMESTAMP) AS ts, {', '.join(f'{m} + l_partkey % 97 / 97.0 AS {m}' for m in MEASURES.split(', '))} FROM flows) UNPIVOT (v FOR measure IN ({MEASURES})))"
 
 
 def service_baseline(spark, sf):
