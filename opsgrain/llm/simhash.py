@@ -245,7 +245,7 @@ def links(fps: DataFrame, distance: int = 3, partitions: int = 0, cell: int = CE
 
     ``fps`` has one column, ``fp``, of distinct longs. Two fingerprints within the distance are linked
     directly or by way of others in the same bucket. ``partitions`` is 0 for a number that follows from the
-    number of fingerprints: four up to 2^24, three up to 2^30, else two (or ``distance + 1`` where less).
+    number of fingerprints: four up to 2^24, three up to 2^30, else two.
     """
     spark = fps.sparkSession
 
@@ -260,7 +260,9 @@ def links(fps: DataFrame, distance: int = 3, partitions: int = 0, cell: int = CE
     matrix = np.zeros(4096)
     for r in fps.mapInArrow(together, "at long, n long").groupBy("at").agg(F.sum("n").alias("n")).collect():
         matrix[r["at"]] = r["n"]
-    count = partitions or min(distance + 1, 4 if n <= 1 << 24 else 3 if n <= 1 << 30 else 2)
+    count = partitions or (4 if n <= 1 << 24 else 3 if n <= 1 << 30 else 2)
+    if not 2 <= count <= 16:
+        raise ValueError("from 2 to 16 partitions")
     parts = Partitions(matrix.reshape(64, 64), n, count)
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

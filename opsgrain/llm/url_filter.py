@@ -114,12 +114,12 @@ WITH parts AS (
 ), judged AS (
   SELECT *, (SELECT arg_max({'rule': rule, 'verdict': rverdict}, length(rule)) FROM rules
              WHERE (host = rhost OR ends_with(host, '.' || rhost)) AND starts_with(path, rpath)) AS best,
-    list_sort(list_filter(['?utm_source=', '&ref=', '/amp/', '://m.*.org/de/', '.html^', '/login^'], x ->
-      CASE x WHEN '://m.*.org/de/' THEN regexp_matches(low, '://m\..*\.org/de/') WHEN '.html^' THEN regexp_matches(low, '\.html([^a-z0-9_.%-]|$)')
-             WHEN '/login^' THEN regexp_matches(low, '/login([^a-z0-9_.%-]|$)') ELSE contains(low, x) END)) AS matched
+    concat_ws(',', CASE WHEN contains(low, '&ref=') THEN '&ref=' END, CASE WHEN regexp_matches(low, '\.html([^a-z0-9_.%-]|$)') THEN '.html^' END,
+      CASE WHEN contains(low, '/amp/') THEN '/amp/' END, CASE WHEN regexp_matches(low, '/login([^a-z0-9_.%-]|$)') THEN '/login^' END,
+      CASE WHEN regexp_matches(low, '://m\..*\.org/de/') THEN '://m.*.org/de/' END, CASE WHEN contains(low, '?utm_source=') THEN '?utm_source=' END) AS matched
   FROM split
 )
 SELECT page_id, host, path, best.rule AS rule,
-       coalesce(best.verdict, CASE WHEN list_contains(matched, '.html^') THEN 'allow' WHEN len(matched) > 0 THEN 'block' ELSE 'allow' END) AS verdict,
-       array_to_string(matched, ',') AS matched FROM judged
+       coalesce(best.verdict, CASE WHEN contains(matched, '.html^') THEN 'allow' WHEN matched <> '' THEN 'block' ELSE 'allow' END) AS verdict,
+       matched FROM judged
 """
