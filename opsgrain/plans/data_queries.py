@@ -34,7 +34,7 @@ def line_protocol_scan(spark, sf):
     line = F.concat(F.lit("app\\ "), "event_type", F.lit(",host=h"), F.col("user_id") % 8, F.lit(",note=a\\,b value="), "value", F.lit(",k="), "k", F.lit('i,ok=true,text="say \\"hi, you\\"" '), F.unix_micros("ts"), F.lit("000"))
     out = L.parse_lines(e.select("event_id", F.when(F.col("event_id") % 50 == 0, "broken line").otherwise(line).alias("line")))
     f = F.col("fields")
-    return rounded(out.select("event_id", "measurement", F.col("tags")["host"].alias("host"), F.col("tags")["note"].alias("note"), f["value"]["d"].alias("value"), f["k"]["l"].alias("k"), f["ok"]["b"].alias("ok"), f["text"]["s"].alias("text"), "ts", "error"))
+    return rounded(out.select("event_id", "measurement", F.col("tags")["host"].alias("host"), F.col("tags")["note"].alias("note"), f["value"]["d"].alias("value"), f["k"]["l"].alias("k"), F.coalesce(f["ok"]["b"], F.lit(False)).alias("ok"), f["text"]["s"].alias("text"), "ts", "error"))
 
 
 def wire_line_scan(spark, sf):
@@ -491,7 +491,7 @@ _tmpl = lambda c: f"regexp_replace(regexp_replace(regexp_replace({c}, '''[^'']*'
 _levels = " UNION ALL ".join(f"SELECT {i} AS level, deployment_id, {'cluster_id' if i > 0 else chr(39) + '*' + chr(39) + ' AS cluster_id'}, {'host_name' if i > 1 else chr(39) + '*' + chr(39) + ' AS host_name'}, slot, {_counts} FROM filled GROUP BY ALL" for i in range(3))
 SQL = {
     "line_protocol_scan": f"""{EV} SELECT event_id, CASE WHEN ok THEN 'app ' || event_type END AS measurement, CASE WHEN ok THEN 'h' || user_id % 8 END AS host, CASE WHEN ok THEN 'a,b' END AS note, CASE WHEN ok THEN round(value, 6) END AS value,
-      CASE WHEN ok THEN CAST(k AS BIGINT) END AS k, CASE WHEN ok THEN true END AS ok, CASE WHEN ok THEN 'say "hi, you"' END AS text, CASE WHEN ok THEN ts END AS ts, CASE WHEN NOT ok THEN 'no line' END AS error FROM (SELECT *, event_id % 50 <> 0 AS ok FROM ev)""",
+      CASE WHEN ok THEN CAST(k AS BIGINT) END AS k, ok, CASE WHEN ok THEN 'say "hi, you"' END AS text, CASE WHEN ok THEN ts END AS ts, CASE WHEN NOT ok THEN 'no line' END AS error FROM (SELECT *, event_id % 50 <> 0 AS ok FROM ev)""",
     "wire_line_scan": f"""{EV} SELECT event_id, 'SYSTEM' AS rectype, 'app' AS plugin, event_type AS classification, '*' AS target, 'h' || user_id % 8 AS host_name, '10.0.0.1' AS host_ip, 'cl' || user_id % 4 AS cluster_id,
       CASE WHEN k % 5 = 0 THEN 0.0 ELSE round(value, 6) END AS value, k % 5 = 0 AS is_non_numeric, CASE WHEN k % 5 = 0 THEN 'up, ' || k END AS text, CAST(date_trunc('minute', ts) AS TIMESTAMP) AS slot, 'z' || k AS zone, 1 AS n_tags FROM ev""",
     "line_protocol_format": f"""{EV} SELECT event_id, 'my\\ app\\,' || event_type || ',host=h' || user_id % 8 || ',zone=a\\ b\\=' || user_id % 4 || ' id=' || event_id || 'i,k=' || k || 'i,s="a\\"b" ' || (epoch_us(ts) // 1000) AS line FROM ev""",
