@@ -566,6 +566,7 @@ SQL = {
     "transition_matrix": f"WITH {MATRIX} SELECT {K1}, a, b, n, round(probability, 6) AS probability FROM probs",
     "rank_contributions": f"WITH {RANKED} SELECT {K1}, severity, round(contribution, 6) AS contribution, rank, round(share, 6) AS share FROM ranked",
     "contribution_residual": f"WITH {RANKED}, f AS (SELECT cluster_id, max(score) * 10 AS score FROM graded GROUP BY 1), e AS (SELECT cluster_id, sum(contribution) AS x FROM ranked GROUP BY 1) SELECT cluster_id, round(score, 6) AS score, round(coalesce(x, 0.0), 6) AS explained, round(score - coalesce(x, 0.0), 6) AS residual, round((score - coalesce(x, 0.0)) / nullif(score, 0), 6) AS residual_share FROM f LEFT JOIN e USING (cluster_id)",
+    "connection_query": f"WITH {FLOWS_SQL} SELECT to_cluster, from_cluster, port, CAST(sum(request_count) AS BIGINT) AS request_count, CAST(sum(error_count) AS BIGINT) AS error_count FROM flows GROUP BY 1, 2, 3",
     "timeline_markers": f"WITH {Q.FILLED}, t AS (SELECT cluster_id, slot AS start, min(severity) AS thermal, 60 AS s FROM filled GROUP BY 1, 2 UNION ALL SELECT cluster_id, CAST(date_trunc('week', slot) AS TIMESTAMP), min(severity), 3600 FROM filled GROUP BY 1, 2) SELECT cluster_id, start, start + CAST(s AS INTEGER) * INTERVAL 1 SECOND AS \"end\", thermal FROM t",
     "entity_snapshot": f"WITH {Q.FILLED} {_levels}",
     "missing_slots": "SELECT slot FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS slot) EXCEPT SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) FROM events WHERE event_type = 'signup'",

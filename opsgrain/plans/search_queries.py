@@ -125,8 +125,6 @@ def ip(user):
     return F.concat_ws(".", F.lit("10"), F.shiftright(user, 8), user % 256, user % 7)
 
 
-IP = "'10.' || (user_id >> 8) || '.' || user_id % 256 || '.' || user_id % 7"
-
 
 def ip_range_buckets(spark, sf):
     from opsgrain.functions.scalars import cidr_range, ip_to_long

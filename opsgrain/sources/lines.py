@@ -18,7 +18,6 @@ SIGNS = ",= "
 _KEY = r"(?:[^,= \\]|\\.)+"
 _VALUE = r'(?:"(?:[^"\\]|\\.)*"|(?:[^,= "\\]|\\.)+)'
 _LINE = rf"^((?:[^, \\]|\\.)+)((?:,{_KEY}={_KEY})*) +({_KEY}={_VALUE}(?:,{_KEY}={_VALUE})*)(?: +(-?[0-9]+))?\s*$"
-FIELD = T.StructType([T.StructField("d", T.DoubleType()), T.StructField("l", T.LongType()), T.StructField("b", T.BooleanType()), T.StructField("s", T.StringType())])
 
 
 def _pairs(text: Column, value: str) -> Column:

@@ -90,3 +90,22 @@ def test_partition_pruning_and_csv(spark, tmp_path):
     assert "PartitionFilters: [isnotnull(day" in got._jdf.queryExecution().toString()
     tables.write_csv(df.select("text"), str(tmp_path / "c"))
     assert spark.read.csv(str(tmp_path / "c"), header=True, quote='"', escape='"').first()[0] == 'a "q", b'
+
+
+def test_json_points_and_ids(spark):
+    df = spark.createDataFrame([("m", {"b": "2"}, 3, 1.5), ("m", {"b": "2"}, 3, 1.5)], "m string, tags map<string,string>, s long, v double").withColumn("ts", F.timestamp_seconds("s"))
+    assert df.select(lines.json_datapoint(F.col("m"), F.col("ts"), F.col("v"), F.col("tags"))).first()[0] == '{"name":"m","timestamp":3000,"value":1.5,"tags":{"b":"2"}}'
+    assert df.select(X.series_id("m", "s")).distinct().count() == 1 and df.select(X.series_key("m", F.lit(None))).first()[0] == "m:"
+
+
+def test_nulls_and_empty_tables(spark):
+    df = spark.createDataFrame([("a", None), (None, 1.0), ("a", 2.0), ("a", 2.0)], "k string, v double")
+    by = {r.k: r for r in stats.distribution(df.where("k is not null"), ["k"], "v").collect()}
+    assert (by["a"].size, by["a"].mean, by["a"].stddev, by["a"].f2) == (2, 2.0, 0.0, 2)
+    assert [r[0] for r in search.terms(df, "k", 5).collect()] == ["a"]
+    assert search.histogram(df, "v", 1.0).count() == 2
+    assert {r.field: r.missing for r in search.field_summary(df, ["k", "v"]).collect()} == {"k": 1, "v": 1}
+    grades = spark.createDataFrame([], "s string, t timestamp, severity int, score double")
+    assert severity.quantized_severity(grades, ["s"], "t", 60, 10).count() == 0
+    assert severity.severity_runs(grades, ["s"], "t", 60).count() == 0
+    assert P.text_query(df, "*").count() == 4 and P.text_query(df, "A").count() == 3

@@ -3,8 +3,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from opsgrain.operators.stats import moments, merge_moments, relative_delta
+from opsgrain.operators.stats import merge_moments, moments, relative_delta, velocity
 from opsgrain.plans.inputs import NUDGE, metrics
+from opsgrain.sources import tables
 from opsgrain.streaming import jobs
 
 SF = "/root/testdata/sf0.001"
@@ -87,3 +88,17 @@ def test_detection(spark, source, tmp_path):
     want = spark.read.parquet(str(tmp_path / "s")).where("max_val > 100").select("slot", "series").distinct()
     got = spark.read.parquet(str(tmp_path / "f")).select("slot", "series").distinct()
     assert sorted(got.collect()) == sorted(want.collect())
+
+
+def test_tailed_files(spark, tmp_path):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "web.log").write_text("one\ntwo\n")
+    got = run(tables.tail_source(spark, str(tmp_path / "in")), tmp_path).collect()
+    assert sorted(r.line for r in got) == ["one", "two"] and all(r.file.endswith("web.log") for r in got)
+
+
+def test_velocities(spark, source, tmp_path):
+    got = run(jobs.velocities(stream(spark, source), "series", "event_id", "ts", "value"), tmp_path)
+    want = velocity(relative_delta(source[0], ["series"], ["ts", "event_id"], "value", "ts"))
+    columns = ["event_id", F.round(F.col("velocity") * 1e6, 4)]
+    assert sorted(got.select(*columns).collect(), key=repr) == sorted(want.select(*columns).collect(), key=repr)
