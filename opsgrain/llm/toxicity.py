@@ -112,6 +112,19 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4
     return {"bias": float(theta[-1]), "weights": {w: float(theta[i]) for w, i in number.items()}}
 
 
+def _scores(texts: list[str | None], bias: float, weights: dict[bytes, float]) -> list[float]:
+    """The noisy-or of each text's sentences."""
+    known, weight, base, out = weights.keys(), weights.__getitem__, -math.log1p(math.exp(min(bias, 40))), []
+    for text in texts:
+        log_none = 0.0
+        for line in (text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split(b"\n"):
+            if words := line.split():
+                hit = known & set(words)
+                log_none += -math.log1p(math.exp(min(bias + sum(map(weight, sorted(hit))), 40))) if hit else base
+        out.append(min(1.0, max(0.0, -math.expm1(log_none))))
+    return out
+
+
 def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     """``doc_id, score, sentences`` for each row of ``doc_id, text``: the noisy-or over the whole text, and, where
     it is at least ``threshold``, the sentences that score at least half of the strongest, as start, end
@@ -121,27 +134,21 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bias, weights = shared.value
         known, weight = weights.keys(), weights.__getitem__
-        base = -math.log1p(math.exp(min(bias, 40)))
         place = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("score", pa.float64())]))
         for batch in batches:
-            scores, spans = [], []
-            for text in batch.column("text").to_pylist():
-                log_none = 0.0
-                for line in (text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split(b"\n"):
-                    if words := line.split():
-                        hit = known & set(words)
-                        log_none += -math.log1p(math.exp(min(bias + sum(map(weight, sorted(hit))), 40))) if hit else base
-                scores.append(min(1.0, max(0.0, -math.expm1(log_none))))
+            texts = batch.column("text").to_pylist()
+            scores, spans = _scores(texts, bias, weights), []
+            for text, whole in zip(texts, scores, strict=True):
                 own = []
-                if scores[-1] >= threshold:
-                    for m in _SENTENCE.finditer(text):
+                if whole >= threshold:
+                    for m in _SENTENCE.finditer(text or ""):
                         for words in sentences(m[0]):
                             z = bias + sum(map(weight, sorted(known & set(words))))
                             own.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + math.exp(-min(max(z, -40), 40)))})
                     top = max((s["score"] for s in own), default=0)
                     own = [s for s in own if s["score"] >= top / 2]
                 spans.append(own)
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores), pa.array(spans, place)], ["doc_id", "score", "sentences"])
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64()), pa.array(spans, place)], ["doc_id", "score", "sentences"])
 
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, score double, sentences array<struct<start:int,end:int,score:double>>")
 
@@ -154,6 +161,13 @@ def judged(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 
 def drop_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """The rows of ``docs``, all columns, that score under ``threshold``."""
-    scored = score(docs, learn(docs, labels)).where(F.col("score") >= threshold).select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(scored, docs.doc_id.eqNullSafe(F.col("_drop")), "left_anti")
+    """The rows of ``docs``, all columns, that score under ``threshold``; each is scored and passed on in one step."""
+    model = learn(docs, labels)
+    shared = docs.sparkSession.sparkContext.broadcast((model["bias"], model["weights"]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            scores = np.array(_scores(batch.column("text").to_pylist(), *shared.value))
+            yield batch.filter(pa.array(scores < threshold, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
