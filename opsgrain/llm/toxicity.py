@@ -8,7 +8,7 @@ make a document toxic.
 Training takes a bounded sample of labelled documents (``sample`` of each class at most, those with the
 smallest hash of their id); classes are weighted back to their numbers among all labels, and a missed toxic
 document counts as ``missed`` wrongly rejected ones. The words are the
-``words`` most telling ones of the sample. Scores use nothing but the text.
+``words`` most telling ones of the sample, and beginnings of words count like words. Scores use nothing but the text.
 """
 
 from __future__ import annotations
@@ -29,10 +29,19 @@ _SIGNS = bytes(10 if chr(c) in ".!?\n" else c if chr(c).isalnum() or c > 127 els
 _SENTENCE = re.compile(r"[^.!?\n]+[.!?]*")
 
 
-def sentences(text: str | None) -> list[list[bytes]]:
-    """The distinct words of each sentence; sentences without words are left out."""
+#: Bytes of the beginnings of words that count as features of their own, for forms that were never seen.
+STEM = 5
+
+
+def features(words: list[bytes]) -> set[bytes]:
+    """The distinct words of a sentence, and the beginnings of the longer ones."""
+    return {*words, *(b"^" + w[:STEM] for w in words if len(w) >= STEM)}
+
+
+def sentences(text: str | None) -> list[set[bytes]]:
+    """The features of each sentence; sentences without words are left out."""
     lines = (text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split(b"\n")
-    return [words for line in lines if (words := list(set(line.split())))]
+    return [features(words) for line in lines if (words := line.split())]
 
 
 def held_out(column):
@@ -40,7 +49,7 @@ def held_out(column):
     return F.crc32(column.cast("string").cast("binary")) % 5 == 0
 
 
-def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4096, epochs: int = 500, rate: float = 0.05, missed: float = 3.0) -> dict:
+def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4096, epochs: int = 700, rate: float = 0.05, missed: float = 3.0) -> dict:
     """A sentence model: ``bias`` and ``weights`` by word.
 
     ``labels`` has ``doc_id, toxic``; rows of held-out documents and null labels are not used, and of several
@@ -119,7 +128,7 @@ def _scores(texts: list[str | None], bias: float, weights: dict[bytes, float]) -
         log_none = 0.0
         for line in (text or "").encode("utf-8", "surrogatepass").lower().translate(_SIGNS).split(b"\n"):
             if words := line.split():
-                hit = known & set(words)
+                hit = known & features(words)
                 log_none += -math.log1p(math.exp(min(bias + sum(map(weight, sorted(hit))), 40))) if hit else base
         out.append(min(1.0, max(0.0, -math.expm1(log_none))))
     return out
@@ -143,7 +152,7 @@ def score(docs: DataFrame, model: dict, threshold: float = 0.5) -> DataFrame:
                 if whole >= threshold:
                     for m in _SENTENCE.finditer(text or ""):
                         for words in sentences(m[0]):
-                            z = bias + sum(map(weight, sorted(known & set(words))))
+                            z = bias + sum(map(weight, sorted(known & words)))
                             own.append({"start": m.start(), "end": m.end(), "score": 1 / (1 + math.exp(-min(max(z, -40), 40)))})
                     top = max((s["score"] for s in own), default=0)
                     own = [s for s in own if s["score"] >= top / 2]
