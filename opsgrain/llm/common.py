@@ -57,6 +57,11 @@ def lower_az(column):
     return F.translate(column, UPPER, LOWER)
 
 
+def row_key():
+    """A key of a row of ``doc_id, text``, never null; a null text counts as empty."""
+    return F.md5(F.concat(F.coalesce(F.col("doc_id").cast("string"), F.lit("none")), F.lit(" "), F.coalesce("text", F.lit(""))))
+
+
 def components(edges: DataFrame, rounds: int = 64) -> DataFrame:
     """Connected components of an undirected graph, by alternating large-star and small-star steps.
 

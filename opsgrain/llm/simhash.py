@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgrain.llm.common import components, written
+from opsgrain.llm.common import components, row_key, written
 
 #: Rows that one bucket holds before it is split into blocks.
 CELL = 2048
@@ -46,15 +46,15 @@ def fingerprint(text: str | None, words: int = 3) -> int:
     return int.from_bytes(np.packbits(bits * 2 > len(hashes), bitorder="little").tobytes(), "little", signed=True)
 
 
-def fingerprints(docs: DataFrame, words: int = 3) -> DataFrame:
-    """``doc_id, fp`` (as a signed long) for each row of ``doc_id, text``."""
+def fingerprints(docs: DataFrame, words: int = 3, kind: str = "long") -> DataFrame:
+    """``doc_id, fp`` (as a signed long) for each row of ``doc_id, text``; ``kind`` is the type of ``doc_id``."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = [fingerprint(x, words) for x in batch.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(fp, pa.int64())], ["doc_id", "fp"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, fp long")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {kind}, fp long")
 
 
 def _bits(fps: np.ndarray) -> np.ndarray:
@@ -305,7 +305,14 @@ def near_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
 def drop_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataFrame:
     """Keeps the row of the smallest ``doc_id`` of each group of near-duplicates; all columns stay.
 
-    Of repeated rows of that id one stays. Rows with a null ``doc_id`` stay only where the whole group has none.
+    Rows are told apart by ``doc_id`` and text: rows of one id and different texts are judged each by its text, and
+    so are rows with a null ``doc_id``, which stay only where the whole group has no other (then one of them). Of
+    repeated rows one stays.
     """
-    first = near_duplicates(docs, words, distance).where("doc_id <=> component_id").select(F.col("doc_id").alias("_keep")).distinct()
-    return docs.join(first, docs.doc_id.eqNullSafe(F.col("_keep")), "left_semi").dropDuplicates(["doc_id"])
+    keyed = docs.withColumn("_row", row_key())
+    rows = written(fingerprints(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), words, "struct<doc_id:long,_row:string>"), "fingerprints")
+    least = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id"), F.col("doc_id._row")))
+    distinct = written(rows.groupBy("fp").agg(least.alias("first")), "distinct")
+    found = components(links(distinct.select("fp"), distance))
+    first = distinct.join(found, distinct.fp == found.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
+    return keyed.join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")

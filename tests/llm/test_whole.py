@@ -6,7 +6,7 @@ import pytest
 from brute import groups, words
 
 import corpus_pipeline
-from opsgrain.llm import shingles
+from opsgrain.llm import shingles, simhash
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -43,3 +43,13 @@ def test_pipeline_drops_near_copies_from_similarity_080(spark, cell):
         assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, frame(spark, rows), "").collect()} == want
         assert shingles.drop_duplicates(frame(spark, [])).count() == 0
         assert {r.doc_id for r in shingles.drop_duplicates(frame(spark, [(1, None), (2, " \n"), (3, ""), (4, "one"), (5, "One")])).collect()} == {1, 4}
+
+
+@pytest.mark.parametrize("drop", [simhash.drop_duplicates, shingles.drop_duplicates])
+def test_rows_without_or_with_a_shared_id_are_told_apart_by_text(spark, drop):
+    rng = random.Random(5)
+    text = lambda: " ".join("".join(rng.choices("abcdefgh", k=6)) for _ in range(80))
+    a, b, c, d, e = (text() for _ in range(5))
+    rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (3, d), (2, d), (0, e)]
+    got = [(r.doc_id, r.text) for r in drop(frame(spark, rows)).collect()]
+    assert sorted(got, key=repr) == sorted([(None, a), (None, b), (1, c), (2, d), (0, e)], key=repr)
