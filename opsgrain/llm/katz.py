@@ -2,8 +2,9 @@
 
 Counts of words and of word pairs are discounted by Good-Turing; what a context's seen pairs leave goes to the
 words not seen after it, in proportion to their own probability, by a backoff weight that makes the sum over
-the vocabulary and the unknown word exactly one. Pairs that were seen once count as not seen (they only tell
-how much to leave), as Katz suggests; words of any count are kept. A word is evaluated recursively: by its
+the vocabulary and the unknown word exactly one. Words of any count are kept, and pairs from the count
+``lowest`` on: with 1 all, with 2 those seen once count as not seen (they only tell how much to leave), which is
+the smaller variant that Katz suggests. A word is evaluated recursively: by its
 pair with the word before it if that was kept, else by the backoff weight of that word times its own
 probability, and that of the unknown word if it was never seen.
 
@@ -64,7 +65,7 @@ def _pair(v: np.ndarray, w: np.ndarray) -> np.ndarray:
 
 def _planes(x: np.ndarray, width: int) -> bytes:
     """An array's bytes, lowest of all first, up to ``width`` of each, which compresses sorted keys and small counts well."""
-    return zstandard.compress(np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), -1)[:, :width].T).tobytes(), 1)
+    return zstandard.compress(np.ascontiguousarray(x.astype(x.dtype.newbyteorder("<")).view(np.uint8).reshape(len(x), x.dtype.itemsize)[:, :width].T).tobytes(), 1)
 
 
 def _unplanes(data: bytes, width: int, kind: str) -> np.ndarray:
@@ -162,7 +163,7 @@ def _count(buckets: int):
     return run
 
 
-def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _gather(lowest: int):
     def finish(kind, held):
         if not held:
             return
@@ -172,28 +173,33 @@ def _gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         else:
             v, w, n = (np.concatenate([x[i] for x in held]) for i in range(3))
             _, at, n = _sums(_pair(v, w), n)
-            kept = n > 1
+            kept = n >= lowest
             once = int(len(n) - kept.sum())
             v, w, n = v[at[kept]], w[at[kept]], n[kept]
-            out = (np.append(np.ones(len(n), np.int8), np.int8(2)), np.append(v.view(np.int64), 0), np.append(w.view(np.int64), 0), np.append(n, 1), np.append(np.ones(len(n), np.int64), once))
+            out = (np.ones(len(n), np.int8), v.view(np.int64), w.view(np.int64), n, np.ones(len(n), np.int64))
+            if lowest > 1:  # those not kept count for the discounts
+                out = tuple(np.append(x, np.array(last, x.dtype)) for x, last in zip(out, (2, 0, 0, 1, once), strict=True))
         yield pa.RecordBatch.from_arrays([pa.array(x) for x in out], ["kind", "v", "w", "c", "n"])
 
-    group, held = None, []
-    for batch in batches:
-        for bucket, kind, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "a", "b", "n")), strict=True):
-            if (bucket, kind) != group:
-                if group:
-                    yield from finish(group[1], held)
-                group, held = (bucket, kind), []
-            counts = _unplanes(n, 4, "<u4").astype(np.int64)
-            if kind == 0:
-                held.append((_unplanes(a, 8, "<u8"), None, counts))
-            else:
-                k = 4 + int.from_bytes(a[:4], "little")
-                each = _unplanes(a[k:], 4, "<u4")
-                held.append((np.repeat(_unplanes(a[4:k], 8, "<u8"), each), _unplanes(b, 6, "<u8"), counts))
-    if group:
-        yield from finish(group[1], held)
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for batch in batches:
+            for bucket, kind, a, b, n in zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "a", "b", "n")), strict=True):
+                if (bucket, kind) != group:
+                    if group:
+                        yield from finish(group[1], held)
+                    group, held = (bucket, kind), []
+                counts = _unplanes(n, 4, "<u4").astype(np.int64)
+                if kind == 0:
+                    held.append((_unplanes(a, 8, "<u8"), None, counts))
+                else:
+                    k = 4 + int.from_bytes(a[:4], "little")
+                    each = _unplanes(a[k:], 4, "<u4")
+                    held.append((np.repeat(_unplanes(a[4:k], 8, "<u8"), each), _unplanes(b, 6, "<u8"), counts))
+        if group:
+            yield from finish(group[1], held)
+
+    return run
 
 
 def _discounts(by_count: dict[int, int], lowest: int) -> list[float]:
@@ -216,20 +222,22 @@ def _discounted(c, ratios: list[float]):
     return ratio * c
 
 
-def train(docs: DataFrame) -> dict:
-    """A model from all rows of ``doc_id, text``: tables ``words`` (h, c, p, backoff) and ``pairs`` (v, w, c, worth),
+def train(docs: DataFrame, lowest: int = 2) -> dict:
+    """A model of the pairs seen at least ``lowest`` times (1 or 2), from all rows of ``doc_id, text``: tables ``words`` (h, c, p, backoff) and ``pairs`` (v, w, c, worth),
     by hashes of words, and N, V, unknown, start (log10 backoff weight of a text's beginning)."""
+    if lowest not in (1, 2):
+        raise ValueError("pairs are kept from a count of 1 or 2 on")
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     sent = docs.select(F.coalesce("text", F.lit("")).alias("text")).mapInArrow(_count(parts), "bucket int, kind byte, a binary, b binary, n binary")
     dealt = sent.repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    counts = written(dealt.mapInArrow(_gather, "kind byte, v long, w long, c long, n long"), "counts")
+    counts = written(dealt.mapInArrow(_gather(lowest), "kind byte, v long, w long, c long, n long"), "counts")
     released(spark)
     end, start = (int(x.view(np.int64)) for x in _marks())
     by_count = counts.groupBy("kind", F.least("c", F.lit(DISCOUNTED + 2)).alias("c")).agg(F.sum("n").alias("n"), F.sum("c").alias("total")).collect()
     total, types = sum(r["total"] for r in by_count if r["kind"] == 0), sum(r["n"] for r in by_count if r["kind"] == 0)
     singly = _discounts({r["c"]: r["n"] for r in by_count if r["kind"] == 0}, 1)
-    doubly = _discounts({r["c"]: r["n"] for r in by_count if r["kind"] > 0}, 2)
+    doubly = _discounts({r["c"]: r["n"] for r in by_count if r["kind"] > 0}, lowest)
     kept = sum(r["total"] if r["c"] > DISCOUNTED else singly[r["c"]] * r["total"] for r in by_count if r["kind"] == 0)
     scale = min(1.0, total / (total + 1) * total / kept) if kept else 1.0  # something is always left
     unknown = 1 - kept * scale / total if total else 1.0
@@ -425,6 +433,6 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return answers.mapInArrow(_finish(facts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def learn_and_score(docs: DataFrame) -> DataFrame:
+def learn_and_score(docs: DataFrame, lowest: int = 2) -> DataFrame:
     """Trains on the training rows (a null ``doc_id`` is one) and scores all."""
-    return score(docs, train(docs.where(F.coalesce(training(F.col("doc_id")), F.lit(True)))))
+    return score(docs, train(docs.where(F.coalesce(training(F.col("doc_id")), F.lit(True))), lowest))

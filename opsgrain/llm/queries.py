@@ -40,7 +40,7 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return katz.learn_and_score(table(spark, sf_dir, "documents"))
+    return katz.learn_and_score(table(spark, sf_dir, "documents"), lowest=1)
 
 
 def op8_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,13 +1,17 @@
 """The whole job where an operator once did less of it."""
 
+import math
 import random
+import zlib
+from collections import Counter, defaultdict
 
 import pytest
 from brute import groups, words
 
 import corpus_pipeline
-from opsgrain.llm import shingles, simhash
+from opsgrain.llm import katz, queries, shingles, simhash
 
+SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
@@ -53,3 +57,42 @@ def test_rows_without_or_with_a_shared_id_are_told_apart_by_text(spark, drop):
     rows = [(None, a), (None, a), (None, b), (None, c), (1, c), (2, d), (2, e), (3, d), (2, d), (0, e)]
     got = [(r.doc_id, r.text) for r in drop(frame(spark, rows)).collect()]
     assert sorted(got, key=repr) == sorted([(None, a), (None, b), (1, c), (2, d), (0, e)], key=repr)
+
+
+def full_katz(texts, ids):
+    """Scores by a Katz model of all pairs."""
+    tokens = [[*words(t), "\n"] for t in texts]
+    learn = [t for t, i in zip(tokens, ids, strict=True) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
+    c, pairs = Counter(), Counter()
+    for t in learn:
+        c.update(t)
+        pairs.update(zip([" ", *t], t, strict=False))
+
+    def discounted(counts):
+        n = Counter(counts)
+        tail = 6 * n[6] / n[1]
+        d = {r: ((r + 1) * n[r + 1] / (r * n[r]) - tail) / (1 - tail) if n[r] and n[r + 1] and tail < 1 else 0 for r in range(1, 6)}
+        return lambda x: x if x > 5 else x * d[x] if 0 < d[x] < 1 else x - 0.5
+
+    one, two = discounted(c.values()), discounted(pairs.values())
+    total = sum(c.values())
+    kept = sum(map(one, c.values()))
+    scale = min(1.0, total / (total + 1) * total / kept)
+    p, unknown = {w: one(x) * scale / total for w, x in c.items()}, 1 - kept * scale / total
+    contexts, seen, back = c | {" ": len(learn)}, defaultdict(dict), {}
+    for (v, w), x in pairs.items():
+        seen[v][w] = two(x) / contexts[v]
+    for v, q in seen.items():
+        rest = max(1 - sum(q.values()), 1 / (contexts[v] + 1))
+        factor = (1 - rest) / sum(q.values())
+        seen[v] = {w: x * factor for w, x in q.items()}
+        back[v] = rest / (1 - sum(p[w] for w in q))
+    return [sum(math.log10(seen[v][w]) if w in seen.get(v, ()) else math.log10(back.get(v, 1.0) * p.get(w, unknown)) for v, w in zip([" ", *t], t, strict=False)) for t in tokens]
+
+
+def test_katz_query_keeps_pairs_seen_once(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    want = dict(zip([i for i, _ in rows], full_katz([t for _, t in rows], [i for i, _ in rows]), strict=True))
+    got = {r.doc_id: r.score for r in queries.op7_katz_backoff(spark, SF).collect()}
+    assert got == pytest.approx(want, abs=1e-6)
+    assert katz.train(frame(spark, [(1, "a b a b c d")]), 1)["pairs"].count() == 6
