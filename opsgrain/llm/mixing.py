@@ -1,9 +1,11 @@
 """Op 6, mixing sources to target weights by Pfair scheduling, in DataFrame functions alone.
 
-Weights are rounded to ``units / period`` with whole units that sum to the period. Block i of a source with
+Weights are rounded to ``units / period`` with whole units that sum to the period, which grows with the number of
+blocks: over one period the rounding moves a source by less than a block, and weights in thousandths are exact
+(unless some source gets its one unit by a share under one). Block i of a source with
 u units is released at slot floor(i * period / u) and due by slot ceil((i + 1) * period / u); of the blocks
 released, the one with the earliest deadline takes the next slot. On one stream this meets all deadlines, so
-after any number of slots a source is less than one block away from its share. All sources are even again at
+after any number of slots a source is less than one block away from its share by units. All sources are even again at
 the end of a period, so the schedule of one period, of bounded size, holds for all: block i of a source goes
 to the slot of block i mod u, i div u periods later. Nothing is sorted or numbered as a whole.
 """
@@ -17,14 +19,17 @@ from opsgrain.llm.common import written
 
 #: Rows of a source that are numbered together, about.
 BUCKET = 20_000
+#: Slots of a period times sources, at most, where the period follows from the number of blocks.
+STEPS = 8_000_000
 
 
-def units(sizes: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, period: int = 1000) -> DataFrame:
-    """``source, n, k, units, period``: each source's units of a period, at least one, by largest remainders.
+def units(sizes: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, period: int | None = None, block: int = 16) -> DataFrame:
+    """``source, n, k, units, period``: each source's units of a period, the weight times the period by largest remainders.
 
     ``sizes`` has ``source, n``. Weights are those given (a source not named, or with a weight that is not
-    positive, gets the least), else n to the power ``power``. The period is at least four times the number of
-    sources.
+    positive, gets one unit), else n to the power ``power``. A source whose share is under one unit gets one;
+    the others share the rest by their weights. Without a ``period`` it is the number of blocks, in whole
+    thousands, of at most :data:`STEPS` divided by the number of sources; it is at least four times that number.
     """
     if weights:
         named = F.create_map(*[x for s, w in weights.items() for x in (F.lit(s), F.lit(float(w)))])
@@ -32,37 +37,49 @@ def units(sizes: DataFrame, weights: dict[str, float] | None = None, power: floa
     else:
         weight = F.pow(F.col("n").cast("double"), F.lit(power))
     everything = Window.partitionBy()  # a row for each source
-    out = sizes.withColumn("weight", weight).withColumn("period", F.greatest(F.lit(period), (4 * F.count("*").over(everything)).cast("int")))
-    spare = F.col("period") - F.count("*").over(everything)  # one unit each is given beforehand
-    exact = F.when(F.sum("weight").over(everything) > 0, F.col("weight") * spare / F.sum("weight").over(everything)).otherwise(0.0)
-    out = out.withColumn("exact", exact).withColumn("whole", F.floor("exact"))
-    rank = F.row_number().over(everything.orderBy((F.col("whole") - F.col("exact")).asc(), F.col("source").asc_nulls_first()))
-    rest = spare - F.sum("whole").over(everything)
-    out = out.withColumn("rank", rank).withColumn("rest", rest)
-    more = F.floor(F.col("rest") / F.count("*").over(everything)) + F.when(F.col("rank") <= F.col("rest") % F.count("*").over(everything), 1).otherwise(0)
-    return out.select("source", "n", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_first())).alias("k"), (1 + F.col("whole") + more).cast("int").alias("units"), "period")
+    many = F.count("*").over(everything)
+    blocks = F.sum(F.expr(f"(n + {block} - 1) div {block}")).over(everything)
+    grown = F.greatest(F.lit(1), F.least(F.ceil(blocks / 1000), F.floor(F.lit(STEPS // 1000) / many))) * 1000
+    length = F.greatest(F.lit(period) if period else grown, 4 * many).cast("int")
+    out = sizes.withColumn("weight", weight).withColumn("period", length)
+    whole = F.sum("weight").over(everything)
+    out = out.withColumn("small", (whole <= 0) | (F.col("weight") * F.col("period") < whole))
+    large = F.sum(F.when(F.col("small"), 0.0).otherwise(F.col("weight"))).over(everything)
+    out = out.withColumn("large", large).withColumn("spare", F.col("period") - F.sum(F.col("small").cast("int")).over(everything))
+    # rounded to 1e-9 of a unit, so that a product like 0.7 * 1000 is whole
+    exact = F.when(F.col("large") <= 0, F.col("period") / many).when(F.col("small"), 1.0).otherwise(F.round(F.col("weight") * F.col("spare") / F.col("large"), 9))
+    out = out.withColumn("exact", exact).withColumn("whole", F.greatest(F.lit(1), F.floor("exact")))
+    rank = F.row_number().over(everything.orderBy(F.col("small") & (F.col("large") > 0), (F.col("whole") - F.col("exact")).asc(), F.col("source").asc_nulls_first()))
+    out = out.withColumn("rank", rank).withColumn("rest", F.col("period") - F.sum("whole").over(everything))
+    # a share of just over one unit may fall under it by the units of the small; the largest give what that takes
+    falling = everything.orderBy(F.col("whole").desc(), F.col("source").asc_nulls_first()).rowsBetween(Window.unboundedPreceding, -1)
+    gives = F.greatest(F.lit(0), F.least(F.col("whole") - 1, -F.col("rest") - F.coalesce(F.sum(F.col("whole") - 1).over(falling), F.lit(0))))
+    more = F.when(F.col("rank") <= F.col("rest"), 1).otherwise(0) - gives
+    return out.select("source", "n", F.row_number().over(everything.orderBy(F.col("source").asc_nulls_first())).alias("k"), (F.col("whole") + more).cast("int").alias("units"), "period")
 
 
 def schedule(shares: DataFrame) -> DataFrame:
     """``k, nth, slot, release, deadline``: the slots of one period, from :func:`units`.
 
-    One row folds over the period's slots; its state is one count for each source.
+    One row folds over the period's slots, a thousand at a time; its state is one count for each source.
     """
-    one = shares.agg(F.max("period").alias("period"), F.transform(F.sort_array(F.collect_list(F.struct("k", "units"))), lambda x: x["units"]).alias("u"))
+    one = shares.agg(F.max("period").cast("long").alias("period"), F.transform(F.sort_array(F.collect_list(F.struct("k", "units"))), lambda x: x["units"]).alias("u"))
     one = one.where("period is not null")
     folded = F.expr("""
-      aggregate(sequence(0, period - 1), named_struct('done', transform(u, x -> 0), 'slots', cast(array() as array<struct<k:int,nth:int,slot:int>>)), (s, t) ->
+      flatten(aggregate(sequence(0, (period - 1) div 1000), named_struct('done', transform(u, x -> 0), 'all', cast(array() as array<array<struct<k:int,nth:int,slot:int>>>)), (whole, part) -> transform(array(
+       aggregate(sequence(part * 1000, least(part * 1000 + 1000, period) - 1), named_struct('done', whole.done, 'slots', cast(array() as array<struct<k:int,nth:int,slot:int>>)), (s, t) ->
         transform(array(array_min(filter(transform(u, (x, i) -> named_struct(
             'deadline', ((s.done[i] + 1) * period + x - 1) div x, 'i', i, 'release', s.done[i] * period div x, 'left', x - s.done[i])),
             y -> y.left > 0 and y.release <= t))), z -> named_struct(
               'done', transform(s.done, (d, i) -> if(i = z.i, d + 1, d)),
-              'slots', array_append(s.slots, named_struct('k', z.i + 1, 'nth', s.done[z.i], 'slot', t))))[0])
+              'slots', array_append(s.slots, named_struct('k', z.i + 1, 'nth', s.done[z.i], 'slot', cast(t as int)))))[0])),
+       r -> named_struct('done', r.done, 'all', array_append(whole.all, r.slots)))[0]).all)
     """)
-    rows = one.select(folded["slots"].alias("slots"), "u", "period").select("u", "period", F.explode("slots").alias("s")).select("s.*", "period", F.expr("u[s.k - 1]").alias("x"))
+    rows = one.select(folded.alias("slots"), "u", "period").select("u", "period", F.explode("slots").alias("s")).select("s.*", "period", F.expr("u[s.k - 1]").alias("x"))
     return rows.select("k", "nth", "slot", F.expr("nth * period div x").alias("release"), F.expr("((nth + 1) * period + x - 1) div x").alias("deadline"))
 
 
-def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block: int = 16, period: int = 1000) -> DataFrame:
+def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block: int = 16, period: int | None = None) -> DataFrame:
     """The place of each row of ``doc_id, source`` in the mixed stream; other columns are not read.
 
     Returns doc_id, source, block, slot, nth (place within the block), release and deadline (slots, of the
@@ -76,7 +93,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     spark = docs.sparkSession
     rows = docs.select("doc_id", "source").withColumn("h", F.xxhash64("doc_id"))
     counts = written(rows.groupBy("source").agg(F.count("*").alias("n")), "sources")
-    shares = written(units(counts, weights, power, period), "shares")
+    shares = written(units(counts, weights, power, period, block), "shares")
     plan = written(schedule(shares), "schedule")
     parts = F.ceil(F.col("n") / BUCKET)
     # the top bits of the hash make buckets of one source that follow each other and hold about as many rows

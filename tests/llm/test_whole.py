@@ -9,7 +9,7 @@ import pytest
 from brute import groups, words
 
 import corpus_pipeline
-from opsgrain.llm import katz, queries, shingles, simhash
+from opsgrain.llm import katz, mixing, queries, shingles, simhash
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -96,3 +96,25 @@ def test_katz_query_keeps_pairs_seen_once(spark):
     got = {r.doc_id: r.score for r in queries.op7_katz_backoff(spark, SF).collect()}
     assert got == pytest.approx(want, abs=1e-6)
     assert katz.train(frame(spark, [(1, "a b a b c d")]), 1)["pairs"].count() == 6
+
+
+@pytest.mark.parametrize("weights", [{"a": 0.7, "b": 0.2, "c": 0.1}, {"a": 1.0, "b": 2.0, "c": 4.0}, {"s0": 0.3} | {f"s{i}": 0.7 / 249 for i in range(1, 250)}])
+def test_mixing_keeps_to_the_weights_passed_in(spark, weights):
+    total, slots = sum(weights.values()), 10_000
+    rows = [(s, math.ceil(w / total * slots) + 2) for s, w in weights.items()]
+    docs = spark.createDataFrame(rows, "source string, n int").selectExpr("source", "explode(sequence(1, n)) as doc_id")
+    got = mixing.mix(docs, weights, block=1).where("on_target").orderBy("slot").select("source").collect()
+    assert len(got) >= slots - len(weights)
+    have, bound = Counter(), 1 if len(weights) == 3 and total < 2 else 2
+    for t, r in enumerate(got, 1):
+        have[r.source] += 1
+        if t % 97 == 0 or t == len(got) or len(weights) == 3:
+            assert all(abs(have[s] - w / total * t) < bound for s, w in weights.items())
+
+
+def test_mixing_units_are_positive_and_sum_to_the_period(spark):
+    for weights in ([1.01] * 100 + [3.0] * 97 + [0.001] * 103, [1.0] * 300, [1e-9] * 3 + [1.0], [0.0] * 5):
+        weights = {f"s{i}": w for i, w in enumerate(weights)}
+        sizes = spark.createDataFrame([(s, 10) for s in weights], "source string, n long")
+        got = mixing.units(sizes, weights, period=1).collect()
+        assert all(r.units >= 1 for r in got) and {sum(r.units for r in got)} == {r.period for r in got}
