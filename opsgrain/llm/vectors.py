@@ -4,8 +4,8 @@ Reference points (pivots) are taken from a bounded sample. Each vector is descri
 order; inverted lists keep, for each label and pivot, the vectors that have it among their nearest. Two
 vectors that share at least ``shared`` pivots are candidates, and are verified by their cosine in double
 precision. A pair is counted in the list of the first pivot, by number, that it shares, so that each pair is
-met once. Equal vectors of one label are one entry with a count. A list of more than ``CELL`` entries is split
-into blocks and each pair of blocks is a list of its own; lists report counts and a spanning forest.
+met once. Equal vectors of one label are one entry with a count. Entries of each list are counted first; a list of
+more than ``CELL`` is split into blocks by that count and each pair of blocks is a list of its own; lists report counts and a spanning forest.
 """
 
 from __future__ import annotations
@@ -22,6 +22,8 @@ from opsgrain.llm.common import components, written
 
 #: Entries in one list before it is split into blocks.
 CELL = 2048
+#: Candidate pairs that are verified at once.
+PAIRS = 16_384
 #: Pivots at most, so vectors in the sample; the number grows with the root of the number of vectors up to it.
 PIVOTS = 2048
 
@@ -51,9 +53,9 @@ def _spread(x: np.ndarray, apart: float) -> np.ndarray:
     return x[kept]
 
 
-def _describe(shared, nearest: int, cell: int):
+def _describe(shared, nearest: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        by_size, expected = shared.value
+        by_size = shared.value
         for batch in batches:
             if not batch.num_rows:
                 continue
@@ -67,20 +69,10 @@ def _describe(shared, nearest: int, cell: int):
                 top = np.argpartition(-near, k - 1, axis=1)[:, :k]
                 order = np.argsort(-np.take_along_axis(near, top, 1), axis=1, kind="stable")
                 top = np.take_along_axis(top, order, 1)  # nearest first
-                label = some.column("label").to_numpy()
-                load = np.array([expected.get((int(a), int(size)), 0) for a in label]) * k / len(pivots)
-                blocks = np.maximum(1, np.ceil(4 * load / cell)).astype(np.int64)
-                entry = some.column("entry").to_numpy()
-                mine = (entry.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(33)).astype(np.int64) % blocks
-                row = np.repeat(np.arange(len(x)), k * blocks)
-                nth = np.arange(len(row)) - np.repeat(np.cumsum(k * blocks) - k * blocks, k * blocks)
-                pivot, other = top[row, nth % k], nth // k
-                a, b = np.minimum(mine[row], other), np.maximum(mine[row], other)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(label[row], pa.int64()), pa.array(np.full(len(row), size), pa.int32()), pa.array(pivot, pa.int32()), pa.array(b * (b + 1) // 2 + a),
-                     pa.array(mine[row]), pa.array(entry[row]), some.column("copies").take(pa.array(row)), pa.array(list(top.astype(np.int32)[row]), pa.list_(pa.int32())), some.column("vector").take(pa.array(row))],
-                    ["label", "size", "pivot", "cell", "block", "entry", "copies", "near", "vector"],
-                )
+                    [some.column("label"), pa.array(np.full(len(x), size), pa.int32()), some.column("entry"), some.column("copies"), pa.array(list(top.astype(np.int32)), pa.list_(pa.int32())), some.column("vector")],
+                    ["label", "size", "entry", "copies", "near", "vector"],
+                )
 
     return run
 
@@ -105,7 +97,10 @@ def _compare(cosine: float, shared_pivots: int):
                 ok &= block[rows, None] != block[None]
             i, j = np.nonzero(np.triu(ok, lo + 1)) if lo == 0 else np.nonzero(ok & (np.arange(n)[None] > np.arange(lo, rows.stop)[:, None]))
             i += lo
-            hit = (x[i] * x[j]).sum(axis=1) >= cosine
+            hit = np.zeros(len(i), bool)
+            for at in range(0, len(i), PAIRS):
+                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                hit[at : at + PAIRS] = (x[p] * x[q]).sum(axis=1) >= cosine
             i, j = i[hit], j[hit]
             np.add.at(links, i, copies[j])
             np.add.at(links, j, copies[i])
@@ -152,19 +147,23 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, nearest: int = 8, sha
     # -0.0 and 0.0 are one value
     good = base.where("ok").select("vec_id", "label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
     entries = written(good.groupBy("label", "vector").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies")).withColumn("size", F.size("vector")), "entries")
-    sizes = {(r["label"], r["size"]): r["n"] for r in entries.groupBy("label", "size").agg(F.count("*").alias("n")).orderBy(F.desc("n")).limit(100_000).collect()}
-    total = sum(sizes.values())
+    total = entries.count()
     wanted = max(32, min(pivots, 4 * math.isqrt(total)))
     lengths = [r["size"] for r in entries.groupBy("size").count().orderBy(F.desc("count")).collect()]
     chosen = {}
     for size in lengths:
         sample = entries.where(F.col("size") == size).orderBy(F.xxhash64("entry"), "entry").limit(wanted).select("vector").toArrow()
         chosen[int(size)] = _spread(_unit(_matrix(sample.column("vector"))), 0.9)
-    shared = spark.sparkContext.broadcast((chosen, sizes))
-    listed = entries.mapInArrow(
-        _describe(shared, nearest, cell),
-        "label long, size int, pivot int, cell long, block long, entry long, copies long, near array<int>, vector array<double>",
-    )
+    shared = spark.sparkContext.broadcast(chosen)
+    kind = "label long, size int, entry long, copies long, near array<int>, vector array<double>"
+    described = written(entries.mapInArrow(_describe(shared, nearest), kind), "described")
+    met = ["label", "size", "pivot"]
+    hot = written(described.select("label", "size", F.explode("near").alias("pivot")).groupBy(*met).count().where(F.col("count") > cell), "hot_lists")
+    # two blocks of two fifths of a cell each stay under it, however they are dealt
+    listed = described.withColumn("pivot", F.explode("near")).join(hot, met, "left").withColumn("blocks", F.coalesce(F.ceil(F.col("count") * 5 / (2 * cell)), F.lit(1)).cast("long"))
+    listed = listed.withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    pair = F.expr("greatest(block, other) * (greatest(block, other) + 1) div 2 + least(block, other)")
+    listed = listed.select(*met, pair.alias("cell"), "block", "entry", "copies", "near", "vector")
     keys = ["label", "size", "pivot", "cell"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     found = written(listed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(cosine, shared_pivots), "a long, b long, links long"), "links")

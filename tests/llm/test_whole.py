@@ -5,11 +5,12 @@ import random
 import zlib
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from brute import groups, words
 
 import corpus_pipeline
-from opsgrain.llm import katz, mixing, queries, shingles, simhash
+from opsgrain.llm import katz, mixing, queries, shingles, simhash, vectors
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -118,3 +119,31 @@ def test_mixing_units_are_positive_and_sum_to_the_period(spark):
         sizes = spark.createDataFrame([(s, 10) for s in weights], "source string, n long")
         got = mixing.units(sizes, weights, period=1).collect()
         assert all(r.units >= 1 for r in got) and {sum(r.units for r in got)} == {r.period for r in got}
+
+
+def test_vectors_split_the_lists_of_a_dense_group_by_their_length(spark, monkeypatch):
+    """A dense group shares its lists: no cell is much over the limit, candidates are verified in slices, all links are found."""
+    rng = np.random.default_rng(3)
+    centre = rng.normal(size=16)
+    rows = [(i, (centre + rng.normal(size=16) * 0.01).tolist(), 1) for i in range(600)] + [(1000 + i, rng.normal(size=16).tolist(), 1) for i in range(600)]
+    seen, limit, compare = spark.sparkContext.accumulator(0), 100, vectors._compare
+
+    def counting(*parameters):
+        run = compare(*parameters)
+
+        def counted(batches):
+            def each():
+                most = Counter()
+                for b in batches:
+                    most.update(zip(*(b.column(c).to_pylist() for c in ("label", "size", "pivot", "cell")), strict=True))
+                    yield b
+                seen.add(sum(n > 1.5 * limit for n in most.values()))
+
+            yield from run(each())
+
+        return counted
+
+    monkeypatch.setattr(vectors, "_compare", counting)
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
+    got = {r.vec_id: r for r in vectors.near_duplicates(df, cell=limit).collect()}
+    assert all(got[i].n_links == 599 and got[i].component_id == 0 for i in range(600)) and not seen.value
