@@ -129,15 +129,25 @@ def with_fields(df: DataFrame, fields: dict[str, str]) -> DataFrame:
 
 
 def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
-    """Nested fields as columns with joined names; arrays of one element are taken out of their array."""
+    """Nested fields as columns with joined names.
+
+    An array of plain values gives two columns: ``name`` has the element of an array that holds just one, and
+    ``name[]`` any other array as it is (a column has one type); the one that does not apply is null, and both are
+    where the array is. Arrays of records and maps stay as they are.
+    """
 
     def leaves(schema: T.StructType, path: list[str]):
         for f in schema:
+            name = separator.join([*path, f.name])
             if isinstance(f.dataType, T.StructType):
                 yield from leaves(f.dataType, [*path, f.name])
+                continue
+            c = F.col(".".join(f"`{p}`" for p in [*path, f.name]))
+            if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.StructType):
+                yield F.when(F.size(c) == 1, c[0]).alias(name)
+                yield F.when(F.size(c) != 1, c).alias(f"{name}[]")
             else:
-                c = F.col(".".join(f"`{p}`" for p in [*path, f.name]))
-                yield (F.when(F.size(c) == 1, c[0]) if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.StructType) else c).alias(separator.join([*path, f.name]))
+                yield c.alias(name)
 
     return df.select(*leaves(df.schema, []))
 

@@ -10,18 +10,43 @@ CENTRAL = (2, 3)
 BINS = 6
 
 
+#: What counts as equal to a bin's bound, as a share of the mean and the deviation: sums differ with the order of additions.
+TOLERANCE = 1e-11
+
+
 def sigma_bin(x: Column, mean: Column, sd: Column) -> Column:
-    """The sigma bin of a value: 0 below mean - 2 sd, up to 5 from mean + 2 sd on; the mean itself with sd 0 is bin 2."""
+    """The sigma bin of a value: 0 below mean - 2 sd, up to 5 from mean + 2 sd on; the mean itself with sd 0 is bin 2.
+
+    A value within :data:`TOLERANCE` of a bound stands on it, so that the bin does not depend on the order of rows.
+    """
+    d, near = x - mean, (F.abs(mean) + sd) * TOLERANCE
     return (
-        F.when(x < mean - 2 * sd, 0).when(x < mean - sd, 1).when((x < mean) | ((x == mean) & (sd == 0)), 2)
-        .when(x < mean + sd, 3).when(x < mean + 2 * sd, 4).otherwise(5)
+        F.when(d < -2 * sd - near, 0).when(d < -sd - near, 1).when((d < -near) | ((d <= near) & (sd <= near)), 2)
+        .when(d < sd - near, 3).when(d < 2 * sd - near, 4).otherwise(5)
     )
 
 
 def spread_score(bins: list[Column], n: Column, integer: bool = True) -> Column:
     """How far a histogram spreads: inner bins count once, the next twice, the outer four times; per sample."""
     total = sum(w * b for w, b in zip((4, 2, 1, 1, 2, 4), bins, strict=True))
-    return F.floor(total / n).cast("double") if integer else total / n
+    share = F.try_divide(total, n)
+    return F.floor(share).cast("double") if integer else share
+
+
+def _moments(df: DataFrame, keys: list[str], x: Column, *more: Column) -> DataFrame:
+    return df.groupBy(*keys).agg(
+        F.avg(x).alias("fit_mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("fit_sd"), F.count(x).alias("size"), *more
+    )
+
+
+def _fitted(df: DataFrame, keys: list[str], x: Column, first: DataFrame) -> DataFrame:
+    """``keys``, the six counts of bins around the first fit, and the fullest bin with its own moments, as ``_b``."""
+    known = df.join(first.select(*keys, "fit_mean", "fit_sd"), keys)
+    binned = known.withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd"))).drop("fit_mean", "fit_sd")
+    bins = _moments(binned.where(x.isNotNull()), [*keys, "_bin"], x)
+    counts = [F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("size"))), F.lit(0)).alias(f"f{i}") for i in range(BINS)]
+    best = F.max_by(F.struct("_bin", "fit_mean", "fit_sd"), F.struct("size", -F.col("_bin"))).alias("_b")
+    return bins.groupBy(*keys).agg(*counts, best)
 
 
 def fit(df: DataFrame, keys: list[str], value: str, refit: bool = False) -> DataFrame:
@@ -31,15 +56,11 @@ def fit(df: DataFrame, keys: list[str], value: str, refit: bool = False) -> Data
     bin's values. Nothing but partial aggregates and joins on the keys; null values do not count.
     """
     x = F.col(value)
-    moments = lambda d, by: d.groupBy(*by).agg(F.avg(x).alias("fit_mean"), F.coalesce(F.stddev_samp(x), F.lit(0.0)).alias("fit_sd"), F.count(x).alias("_n"))
-    first = moments(df, keys)
+    first = _moments(df, keys, x).drop("size")
     if not refit:
-        return first.drop("_n").withColumn("refitted", F.lit(False))
-    binned = df.join(first.drop("_n"), keys).withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd"))).drop("fit_mean", "fit_sd")
-    bins = moments(binned, [*keys, "_bin"])
-    best = bins.groupBy(*keys).agg(F.max_by(F.struct("_bin", "fit_mean", "fit_sd"), F.struct("_n", -F.col("_bin"))).alias("_b"))
-    outer = ~F.col("_b._bin").isin(*CENTRAL)
-    return first.drop("_n").join(best, keys).select(
+        return first.withColumn("refitted", F.lit(False))
+    outer = F.coalesce(~F.col("_b._bin").isin(*CENTRAL), F.lit(False))
+    return first.join(_fitted(df, keys, x, first), keys, "left").select(
         *keys, F.when(outer, F.col("_b.fit_mean")).otherwise(F.col("fit_mean")).alias("fit_mean"),
         F.when(outer, F.col("_b.fit_sd")).otherwise(F.col("fit_sd")).alias("fit_sd"), outer.alias("refitted"),
     )
@@ -48,22 +69,37 @@ def fit(df: DataFrame, keys: list[str], value: str, refit: bool = False) -> Data
 def distribution(df: DataFrame, keys: list[str], value: str, refit: bool = False, extra: list[Column] | None = None, integer: bool = True) -> DataFrame:
     """Size, minimum, maximum, mean, deviation, six-bin histogram and spread score of each group.
 
-    ``extra`` are further aggregates over the same rows.
+    ``extra`` are further aggregates over the same rows. The rows are read twice, for the moments and for the bins
+    around them; a third time only the rows of groups that are fitted again. Each is a partial aggregate, so a
+    group of any size is summed in pieces.
     """
     x = F.col(value)
-    fitted = fit(df, keys, value, refit)
-    bins = [F.count_if(F.col("_bin") == i).alias(f"f{i}") for i in range(BINS)]
-    binned = df.join(fitted, keys).withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd")))
-    out = binned.groupBy(*keys).agg(
-        F.count(x).alias("size"), F.min(x).alias("min_val"), F.max(x).alias("max_val"), F.first("fit_mean").alias("mean"),
-        F.first("fit_sd").alias("stddev"), *bins, *(extra or []),
+    first = _moments(df, keys, x, F.min(x).alias("min_val"), F.max(x).alias("max_val"), *(extra or []))
+    found = _fitted(df, keys, x, first)
+    names = [f"f{i}" for i in range(BINS)]
+    out = first.join(found, keys, "left")
+    if refit:
+        again = found.where(~F.col("_b._bin").isin(*CENTRAL)).select(*keys, "_b.fit_mean", "_b.fit_sd")
+        binned = df.join(again, keys).withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd")))
+        counts = binned.groupBy(*keys).agg(*(F.count_if(F.col("_bin") == i).alias(f"_f{i}") for i in range(BINS)))
+        out = out.join(counts, keys, "left")
+        outer = F.col("_f0").isNotNull()
+        out = out.withColumns(
+            {n: F.coalesce(f"_{n}", n) for n in names}
+            | {m: F.when(outer, F.col(f"_b.{m}")).otherwise(F.col(m)) for m in ("fit_mean", "fit_sd")}
+        ).drop(*(f"_{n}" for n in names))
+    out = out.withColumns({n: F.coalesce(n, F.lit(0)) for n in names}).drop("_b")
+    out = out.withColumnsRenamed({"fit_mean": "mean", "fit_sd": "stddev"})
+    more = [c for c in out.columns if c not in (*keys, "size", "min_val", "max_val", "mean", "stddev", *names)]
+    return out.select(
+        *keys, "size", "min_val", "max_val", "mean", "stddev", *names, *more,
+        spread_score([F.col(n) for n in names], F.col("size"), integer).alias("score"),
     )
-    return out.withColumn("score", spread_score([F.col(f"f{i}") for i in range(BINS)], F.col("size"), integer))
 
 
 def watermark_share(value: Column, mark: Column) -> Column:
     """The share of a group's values that reach their high-water mark, an aggregate."""
-    return F.count_if(value >= mark) / F.count(value)
+    return F.try_divide(F.count_if(value >= mark), F.count(value))
 
 
 def relative_to_peers(hosts: DataFrame, peers: DataFrame, keys: list[str], tolerance: float = 0.0) -> DataFrame:
@@ -107,10 +143,19 @@ def moments(df: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 
 def merge_moments(states: DataFrame, keys: list[str]) -> DataFrame:
-    """Merges states of :func:`moments` exactly; adds population and sample variance and deviation."""
-    n, mean = F.sum("n"), F.sum(F.col("n") * F.col("mean")) / F.sum("n")
-    total = states.groupBy(*keys).agg(n.alias("n"), mean.alias("mean"), F.sum("m2").alias("_m2"), F.sum(F.col("n") * F.col("mean") * F.col("mean")).alias("_s2"))
-    m2 = F.greatest(F.lit(0.0), F.col("_m2") + F.col("_s2") - F.col("n") * F.col("mean") * F.col("mean"))
-    return total.select(
-        *keys, "n", "mean", (m2 / F.col("n")).alias("var_pop"), F.when(F.col("n") > 1, m2 / (F.col("n") - 1)).alias("var_samp"), F.sqrt(m2 / F.col("n")).alias("stddev_pop")
+    """Merges states of :func:`moments`; adds population and sample variance and deviation.
+
+    Each state adds its squares around the merged mean, ``m2 + n * (mean - merged)^2``, so that nothing large is
+    taken from something large. States without values add nothing.
+    """
+    w = Window.partitionBy(*keys)
+    merged = F.sum(F.col("n") * F.col("mean")).over(w) / F.sum("n").over(w)
+    apart = F.col("mean") - F.col("_mean")
+    total = states.withColumn("_mean", merged).groupBy(*keys).agg(
+        F.sum("n").alias("n"), F.first("_mean").alias("mean"), F.sum(F.col("m2") + F.col("n") * apart * apart).alias("_m2")
     )
+    m2 = F.col("_m2")
+    return total.select(
+        *keys, "n", "mean", (m2 / F.nullif("n", F.lit(0))).alias("var_pop"), F.when(F.col("n") > 1, m2 / (F.col("n") - 1)).alias("var_samp"),
+        F.sqrt(m2 / F.nullif("n", F.lit(0))).alias("stddev_pop"),
+    )

@@ -21,7 +21,12 @@ def fit_sql(rows: str, keys: str, name: str, refit: bool, value: str = "value")
     """CTEs ``{name}_fit`` (fit_mean, fit_sd, refitted) and ``{name}`` (the distribution) of rows by keys."""
     k = [x.strip() for x in keys.split(",")]
     using = f"USING ({keys})"
-    bin_ = lambda m, s: f"CASE WHEN {value} < {m} - 2 * {s} THEN 0 WHEN {value} < {m} - {s} THEN 1 WHEN {value} < {m} OR ({value} = {m} AND {s} = 0) THEN 2 WHEN {value} < {m} + {s} THEN 3 WHEN {value} < {m} + 2 * {s} THEN 4 ELSE 5 END"
+    near = lambda m, s: f"((abs({m}) + {s}) * {S.TOLERANCE})"
+    bin_ = lambda m, s: (
+        f"CASE WHEN {value} - {m} < -2 * {s} - {near(m, s)} THEN 0 WHEN {value} - {m} < -{s} - {near(m, s)} THEN 1 "
+        f"WHEN {value} - {m} < -{near(m, s)} OR ({value} - {m} <= {near(m, s)} AND {s} <= {near(m, s)}) THEN 2 "
+        f"WHEN {value} - {m} < {s} - {near(m, s)} THEN 3 WHEN {value} - {m} < 2 * {s} - {near(m, s)} THEN 4 ELSE 5 END"
+    )
     first = f"{name}_1 AS (SELECT {keys}, avg({value}) AS m, coalesce(stddev_samp({value}), 0) AS s FROM {rows} GROUP BY {keys})"
     if refit:
         second = f"""{name}_2 AS (SELECT {keys}, {bin_('m', 's')} AS b, avg({value}) AS bm, coalesce(stddev_samp({value}), 0) AS bs, count(*) AS n

@@ -187,8 +187,10 @@ def date_part_fields(spark, sf):
 
 def flatten_document(spark, sf):
     e = ev(spark, sf)
-    doc = e.select("event_id", F.struct(F.col("event_type").alias("type"), F.struct("k", F.array("user_id").alias("users")).alias("inner")).alias("doc"))
-    return P.flatten(doc, "_")
+    users = F.when(F.col("k") % 4 == 0, F.array("user_id")).when(F.col("k") % 4 == 1, F.array("user_id", "event_id")).when(F.col("k") % 4 == 2, F.array().cast("array<bigint>"))
+    doc = e.select("event_id", F.struct(F.col("event_type").alias("type"), F.struct("k", users.alias("users")).alias("inner")).alias("doc"))
+    many = F.col("doc_inner_users[]")
+    return P.flatten(doc, "_").withColumn("many", F.size(many)).withColumn("total", F.aggregate(many, F.lit(0).cast("long"), lambda a, x: a + x)).drop("doc_inner_users[]")
 
 
 def sorted_page(spark, sf):
@@ -521,7 +523,8 @@ SQL = {
     "text_query": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%blog%' OR lower(url) LIKE '%page=2%'",
     "time_range": "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-17 10:30:00' AND ts < TIMESTAMP '2024-01-21') AS relative, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06 12:00:00') AS absolute, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-02-15') AS month FROM events",
     "date_part_fields": "SELECT event_id, round(value * 2, 6) AS twice, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(weekofyear(ts) AS INTEGER) AS week, CAST(day(ts) AS INTEGER) AS day, CAST(dayofweek(ts) + 1 AS INTEGER) AS day_of_week, CAST(dayofyear(ts) AS INTEGER) AS day_of_year, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, CAST(second(ts) AS INTEGER) AS second FROM events",
-    "flatten_document": f"{EV} SELECT event_id, event_type AS doc_type, k AS doc_inner_k, user_id AS doc_inner_users FROM ev",
+    "flatten_document": f"""{EV} SELECT event_id, event_type AS doc_type, k AS doc_inner_k, CASE WHEN k % 4 = 0 THEN user_id END AS doc_inner_users,
+      CASE k % 4 WHEN 1 THEN 2 WHEN 2 THEN 0 END AS many, CASE k % 4 WHEN 1 THEN user_id + event_id WHEN 2 THEN 0 END AS total FROM ev""",
     "sorted_page": f"{EV} SELECT event_id, CASE WHEN k > 5 THEN k END AS k, round(value, 6) AS value FROM ev ORDER BY CASE WHEN k > 5 THEN k END DESC NULLS LAST, ev.value, event_id LIMIT 20 OFFSET 40",
     "highlight": r"SELECT page_id, regexp_replace(url, '(blog|en)', '<mark>\1</mark>', 'gi') AS text FROM pages",
     "format_columns": f"""{EV}, b AS (SELECT *, CAST(floor(value * 1000) AS BIGINT) AS sz, user_id * 5000 AS s FROM ev) SELECT event_id, CASE WHEN sz < 1024 THEN sz || ' B' WHEN sz < 1048576 THEN printf('%.2f KB', sz / 1024 + 1e-9) ELSE printf('%.2f MB', sz / 1048576 + 1e-9) END AS bytes, k || '%' AS percent,

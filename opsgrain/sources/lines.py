@@ -10,50 +10,86 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from opsgrain.functions.scalars import escape, unescape
+from opsgrain.functions.scalars import escape
 
 #: Microseconds, as a fraction, of a unit of time.
 PRECISION = {"n": 1e-3, "u": 1, "ms": 1_000, "s": 1_000_000, "m": 60_000_000, "h": 3_600_000_000}
 SIGNS = ",= "
-_KEY = r"(?:[^,= \\]|\\.)+"
-_VALUE = r'(?:"(?:[^"\\]|\\.)*"|(?:[^,= "\\]|\\.)+)'
-_LINE = rf"^((?:[^, \\]|\\.)+)((?:,{_KEY}={_KEY})*) +({_KEY}={_VALUE}(?:,{_KEY}={_VALUE})*)(?: +(-?[0-9]+))?\s*$"
+#: Code points that no text holds: they stand for a backslash and one of these signs while a line is taken apart, and
+#: the last between the line's parts.
+_PAIRED, _HELD, _CUT = ',= "\\', "﷐﷑﷒﷓﷔", "﷕"
+# no alternation within a repeat and nothing to go back to, so that a field of any length takes no stack
+_KEY = "[^,= ]++"
+_VALUE = '(?:"[^"]*+"|[^,= "]++)'
+_LINE = rf"^([^, ]++)((?:,{_KEY}={_KEY})*+) ++({_KEY}={_VALUE}(?:,{_KEY}={_VALUE})*+)(?: ++(-?[0-9]++))?+\s*+$"
+
+
+def _hold(text: Column) -> Column:
+    """The text with each backslash and the sign it escapes as one code point."""
+    out = F.replace(text, F.lit("\\\\"), F.lit(_HELD[4]))  # from the left, as pairs are read
+    for sign, held in zip(_PAIRED[:4], _HELD, strict=False):
+        out = F.replace(out, F.lit("\\" + sign), F.lit(held))
+    return F.when(F.contains(text, F.lit("\\")), out).otherwise(text)
+
+
+def _let_go(text: Column, escaped: Column, signs: str) -> Column:
+    """Held pairs as what they mean: the sign alone for ``signs``, else both as they stood."""
+    own = "".join(h for s, h in zip(_PAIRED, _HELD, strict=True) if s in signs)
+    out = F.translate(text, own, "".join(s for s in _PAIRED if s in signs))
+    for sign, held in zip(_PAIRED, _HELD, strict=True):
+        if sign not in signs:
+            out = F.replace(out, F.lit(held), F.lit("\\" + sign))
+    return F.when(escaped, out).otherwise(text)
 
 
 def _pairs(text: Column, value: str) -> Column:
-    found = F.regexp_extract_all(text, F.lit(rf"({_KEY}={value})"), F.lit(1))
-    return F.transform(found, lambda p: F.struct(F.regexp_extract(p, rf"^({_KEY})=", 1).alias("k"), F.regexp_extract(p, rf"^{_KEY}=({value})$", 1).alias("v")))
+    """Keys and values of a part, still held, one match for each pair."""
+    key = lambda p: F.substring_index(p, "=", 1)
+    found = F.regexp_extract_all(text, F.lit(f"{_KEY}={value}"), F.lit(0))
+    return F.transform(found, lambda p: F.struct(key(p).alias("k"), F.substring(p, F.length(key(p)) + 2, F.length(p)).alias("v")))
 
 
-def _field(v: Column) -> Column:
+def _field(v: Column, escaped: Column) -> Column:
     quoted = v.startswith('"')
-    whole = v.rlike("^[-+]?[0-9]+i$")
+    whole = ~quoted & v.endswith("i")
     word = F.when(v.isin("t", "T", "true", "True", "TRUE"), True).when(v.isin("f", "F", "false", "False", "FALSE"), False)
+    number = F.when(~v.endswith("d") & ~v.endswith("D") & ~v.endswith("f") & ~v.endswith("F"), v.try_cast("double"))
     return F.struct(
-        F.when(~quoted & ~whole & word.isNull(), v.try_cast("double")).alias("d"), F.when(whole, F.regexp_replace(v, "i$", "").try_cast("long")).alias("l"),
-        F.when(~quoted, word).alias("b"), F.when(quoted, unescape(F.regexp_extract(v, '(?s)^"(.*)"$', 1), '"\\')).alias("s"),
+        F.when(~quoted & ~whole & word.isNull(), number).alias("d"), F.when(whole, F.substring(v, F.lit(1), F.length(v) - 1).try_cast("long")).alias("l"),
+        F.when(~quoted, word).alias("b"), F.when(quoted, _let_go(F.substring(v, F.lit(2), F.length(v) - 2), escaped, '"\\')).alias("s"),
     )
 
 
+def _last(pairs: Column) -> Column:
+    """A map of pairs; of repeated keys the last counts."""
+    keys = F.transform(pairs, lambda p: p["key"])
+    once = F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, p: F.concat(F.filter(acc, lambda q: q["key"] != p["key"]), F.array(p)))
+    return F.map_from_entries(F.when(F.size(F.array_distinct(keys)) == F.size(keys), pairs).otherwise(once))
+
+
 def parse_lines(df: DataFrame, line: str = "line", precision: str = "n", default_time: Column | None = None) -> DataFrame:
     """Points of line-protocol rows: measurement, tags, fields, ts, error and the columns of ``df``.
 
     Blank lines and comments go. A line that is none, or with a field that is no value, has an error and nulls, and
-    the others are not touched. Of repeated keys the last counts.
+    the others are not touched. Of repeated keys the last counts. A line is matched once, whatever its length. A
+    backslash before another sign than comma, equals, space, quote and backslash is itself.
     """
     text = F.trim(F.col(line))
-    part = lambda i: F.regexp_extract(text, _LINE, i)
-    fields = F.transform(_pairs(part(3), _VALUE), lambda p: F.struct(unescape(p["k"], SIGNS).alias("key"), _field(p["v"]).alias("value")))
-    tags = F.transform(_pairs(part(2), _KEY), lambda p: F.struct(unescape(p["k"], SIGNS).alias("key"), unescape(p["v"], SIGNS).alias("value")))
-    last = lambda pairs: F.aggregate(pairs, F.slice(pairs, 1, 0), lambda acc, p: F.concat(F.filter(acc, lambda q: q["key"] != p["key"]), F.array(p)))
-    time = F.when(part(4) != "", F.timestamp_micros((part(4).cast("decimal(20,0)") * F.lit(PRECISION[precision]).cast("decimal(20,3)")).cast("long")))
-    out = df.where((text != "") & ~text.startswith("#")).withColumn("_ok", text.rlike(_LINE))
+    out = df.where((text != "") & ~text.startswith("#")).withColumn("_text", _hold(text)).withColumn("_esc", F.contains(F.col(line), F.lit("\\")))
+    out = out.withColumn("_part", F.split(F.regexp_replace("_text", _LINE, _CUT.join(f"${i}" for i in range(1, 5))), _CUT)).drop("_text")
+    ok, escaped, part = F.size("_part") == 4, F.col("_esc"), lambda i: F.get("_part", F.lit(i))
+    name = lambda c: _let_go(c, escaped, SIGNS)
+    fields = F.transform(_pairs(part(2), _VALUE), lambda p: F.struct(name(p["k"]).alias("key"), _field(p["v"], escaped).alias("value")))
+    tags = F.transform(_pairs(part(1), _KEY), lambda p: F.struct(name(p["k"]).alias("key"), name(p["v"]).alias("value")))
+    time = F.when(part(3) != "", F.timestamp_micros((part(3).cast("decimal(20,0)") * F.lit(PRECISION[precision]).cast("decimal(20,3)")).cast("long")))
     empty = lambda v: v["d"].isNull() & v["l"].isNull() & v["b"].isNull() & v["s"].isNull()
-    out = out.withColumn("_fields", F.when(F.col("_ok"), fields))
+    out = out.withColumns({"_fields": F.when(ok, fields), "_tags": F.when(ok, tags), "_ok": ok})
     good = F.col("_ok") & ~F.coalesce(F.exists("_fields", lambda p: empty(p["value"])), F.lit(True))
+    out = out.withColumn("_good", good)
+    good = F.col("_good")
     return out.select(
-        *df.columns, F.when(good, unescape(part(1), SIGNS)).alias("measurement"), F.when(good, F.map_from_entries(last(tags))).alias("tags"),
-        F.when(good, F.map_from_entries(last(F.col("_fields")))).alias("fields"), F.when(good, F.coalesce(time, default_time if default_time is not None else F.lit(None).cast("timestamp"))).alias("ts"),
+        *df.columns, F.when(good, name(part(0))).alias("measurement"), F.when(good, _last(F.col("_tags"))).alias("tags"),
+        F.when(good, _last(F.col("_fields"))).alias("fields"), F.when(good, F.coalesce(time, default_time if default_time is not None else F.lit(None).cast("timestamp"))).alias("ts"),
         F.when(~F.col("_ok"), "no line").when(~good, "no value").alias("error"),
     )
 

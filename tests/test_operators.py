@@ -109,3 +109,35 @@ def test_nulls_and_empty_tables(spark):
     assert severity.quantized_severity(grades, ["s"], "t", 60, 10).count() == 0
     assert severity.severity_runs(grades, ["s"], "t", 60).count() == 0
     assert P.text_query(df, "*").count() == 4 and P.text_query(df, "A").count() == 3
+
+
+def test_moments_of_large_values(spark):
+    df = spark.range(1200).select((F.col("id") / 300).cast("int").alias("batch"), (F.lit(1e9) + F.col("id") % 3).alias("v"), F.lit(None).cast("string").alias("k"))
+    row = stats.merge_moments(stats.moments(df, ["k", "batch"], "v"), ["k"]).first()
+    assert (row.n, row.var_pop, row.mean) == (1200, pytest.approx(2 / 3, rel=1e-6), 1e9 + 1)
+    assert stats.merge_moments(stats.moments(df.limit(0), ["k"], "v"), ["k"]).count() == 0
+
+
+def test_bins_do_not_depend_on_the_order(spark):
+    thirds = [1 / 3 + i / 97 for i in range(9)] * 3
+    for values in (thirds, thirds[::-1], sorted(thirds)):
+        df = spark.createDataFrame([("a", v) for v in [*values, sum(values) / len(values)]], "k string, v double").coalesce(1)
+        row = stats.distribution(df, ["k"], "v", True).first()
+        assert [row[f"f{i}"] for i in range(6)] == [0, 6, 6, 10, 6, 0]
+    empty = stats.distribution(spark.createDataFrame([("a", None)], "k string, v double"), ["k"], "v", True).first()
+    assert (empty.size, empty.f0, empty.mean) == (0, 0, None)
+
+
+def test_long_and_odd_lines(spark):
+    big, quoted = "x" * 1_000_000, '\\"\\\\' * 300_000
+    rows = [f'm,t={big} f="{big}" 1', f'm f="{quoted}"', "m a=" + "1i,b=" * 3 + "2", "a\\\\,b=c d=1", "m f=1,f=2i", 'm f="a\\,b"', "m f=1d", "m f=1.5i", "m\\q f=1"]
+    out = lines.parse_lines(spark.createDataFrame([(r, i) for i, r in enumerate(rows)], "line string, tags_ int")).orderBy("tags_").collect()
+    assert [r.error for r in out] == [None] * 6 + ["no value"] * 2 + [None]
+    assert (out[0].tags["t"], out[0].fields["f"].s) == (big, big) and out[1].fields["f"].s == '"\\' * 300_000
+    assert (out[2].fields["a"].l, out[2].fields["b"].d) == (1, 2.0)
+    assert (out[3].measurement, out[3].tags, out[4].fields["f"].l, out[5].fields["f"].s, out[8].measurement) == ("a\\\\", {"b": "c"}, 2, "a\\,b", "m\\q")
+
+
+def test_flatten_keeps_longer_arrays(spark):
+    df = spark.sql("select struct(array(1) as a, array(1, 2) as b, cast(array() as array<int>) as c, cast(null as array<int>) as d) as s")
+    assert P.flatten(df).first().asDict() == {"s.a": 1, "s.a[]": None, "s.b": None, "s.b[]": [1, 2], "s.c": None, "s.c[]": [], "s.d": None, "s.d[]": None}
