@@ -144,7 +144,7 @@ def flatten(df: DataFrame, separator: str = ".") -> DataFrame:
                 continue
             c = F.col(".".join(f"`{p}`" for p in [*path, f.name]))
             if isinstance(f.dataType, T.ArrayType) and not isinstance(f.dataType.elementType, T.StructType):
-                yield F.when(F.size(c) == 1, c[0]).alias(name)
+                yield F.when(F.size(c) == 1, F.get(c, F.lit(0))).alias(name)
                 yield F.when(F.size(c) != 1, c).alias(f"{name}[]")
             else:
                 yield c.alias(name)
