@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import gc
+import re
 import tempfile
 import uuid
 
@@ -17,10 +18,13 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 def shared_dir(spark: SparkSession) -> str:
     """The folder that all executors and the driver share, from ``spark.checkpoint.dir``.
 
-    Where the session names none (tests on one machine), a temporary folder is set.
+    Where the session names none, a temporary folder is set if all runs on one machine (as in tests); on a cluster
+    this raises, since a folder of the driver's is not the executors'.
     """
     base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not base:
+        if not re.match(r"local(\[|$)", spark.sparkContext.master):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = "file://" + tempfile.mkdtemp(prefix="spark-shared-")
         spark.sparkContext.setCheckpointDir(base)
     return base.rstrip("/")
@@ -35,15 +39,20 @@ def written(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
     """Writes a table in the shared folder and reads it again: cuts lineage and survives lost executors."""
     spark, path = df.sparkSession, table_path(df.sparkSession, name)
     df.write.option("compression", compression).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.opsgrain_path = path
+    return out
+
+
+def delete(spark: SparkSession, path: str) -> None:
+    """Deletes a folder that nothing reads any more."""
+    where = spark._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
 def discard(df: DataFrame) -> None:
     """Deletes the files of a table from :func:`written` that nothing reads any more."""
-    spark = df.sparkSession
-    for path in {p.rsplit("/", 1)[0] for p in df.inputFiles()}:
-        where = spark._jvm.org.apache.hadoop.fs.Path(path)
-        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    delete(df.sparkSession, df.opsgrain_path)
 
 
 def released(spark: SparkSession) -> None:

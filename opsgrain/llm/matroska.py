@@ -15,6 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 #: Element ids of the format.
 EBML, SEGMENT, INFO, TRACKS, CLUSTER, CUES = 0x1A45DFA3, 0x18538067, 0x1549A966, 0x1654AE6B, 0x1F43B675, 0x1C53BB6B
@@ -199,54 +200,92 @@ def store(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_bytes long, media binary")
 
 
-def packet_table(media: DataFrame) -> DataFrame:
-    """A row for each packet of each file in ``doc_id, media``: doc_id, nth and :data:`PACKETS`.
+def parsed(media: DataFrame) -> DataFrame:
+    """Reads the files in ``doc_id, n_bytes, media`` back: one row for each, with its packet table as an array.
 
-    Timestamps are nanoseconds. A null file has no packets; a broken one raises.
+    The payload is put together from the packets' byte ranges alone; of it and of the file come sizes, checksums and
+    the samples' mean, deviation and share of steps that cross the mean. A null file has no packets and nulls; a broken
+    one raises.
     """
+    packet = pa.struct([(n, pa.bool_() if n == "keyframe" else pa.int64()) for n in (x.split()[0] for x in PACKETS.split(", "))])
+    cue = pa.struct([("timestamp", pa.int64()), ("cluster", pa.int64())])
+    names = [x.split()[0] for x in FACTS.split(", ")]
+    kinds = [{"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "double": pa.float64()}[x.split()[1]] for x in FACTS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        names = ["track", "timestamp", "keyframe", "start", "size", "cluster"]
-        kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64()]
         for batch in batches:
-            for doc, data in zip(batch.column("doc_id").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                rows = demux(data)[0] if data is not None else []
-                columns = list(zip(*rows, strict=True)) or [[]] * 6
+            for at in range(0, batch.num_rows, 500):
+                some = batch.slice(at, 500)
+                tables, cues, facts = [], [], []
+                for data in some.column("media"):
+                    if not data.is_valid:
+                        tables.append(None), cues.append(None), facts.append((None,) * len(names))
+                        continue
+                    data = data.as_py()
+                    packets, info = demux(data)
+                    payload = b"".join([data[lo : lo + size] for _, _, _, lo, size, _ in packets])
+                    x = np.frombuffer(payload, np.uint8)
+                    mean = float(x.mean()) if len(x) else 0.0
+                    over = x > mean
+                    crossed = float(np.mean(over[1:] != over[:-1])) if len(x) > 1 else 0.0
+                    tables.append(packets)
+                    cues.append([(time * info["scale"], to) for time, to in info["cues"]])
+                    facts.append((
+                        info["blocks"], info["laces"], info.get("codec"), info.get("rate"), info.get("depth"), len(data), hashlib.sha256(data).hexdigest(),
+                        len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), mean, float(x.std()) if len(x) else 0.0, crossed,
+                    ))
+                columns = list(zip(*facts, strict=True)) or [[]] * len(names)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array([doc] * len(rows), pa.int64()), pa.array(range(len(rows)), pa.int64())] + [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)],
-                    ["doc_id", "nth", *names],
+                    [some.column("doc_id"), some.column("n_bytes"), _structs(tables, packet), _structs(cues, cue), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
+                    ["doc_id", "n_bytes", "packets", "cues", *names],
                 )
 
-    return media.select("doc_id", "media").mapInArrow(run, f"doc_id long, nth long, {PACKETS}")
+    fields = ", ".join(x.replace(" ", ": ") for x in PACKETS.split(", "))
+    return media.select("doc_id", "n_bytes", "media").mapInArrow(
+        run, f"doc_id long, n_bytes long, packets array<struct<{fields}>>, cues array<struct<timestamp: long, cluster: long>>, {FACTS}"
+    )
+
 
+#: Facts about a file and its payload.
+FACTS = (
+    "blocks int, laced int, codec string, rate double, depth int, media_bytes long, media_sha256 string, payload_bytes long, payload_sha256 string, "
+    "tail_crc32 long, mean double, deviation double, crossings double"
+)
 
-def features(media: DataFrame) -> DataFrame:
-    """Reads stored files back and describes each: sizes, checksums and features of the samples.
 
-    The payload is put together from the packet table alone. ``feature`` lists packets, blocks, laced blocks,
-    clusters, cues that point to a cluster of that time, duration in ms, and of the samples the mean, the
-    deviation and the share of steps that cross the mean. A file that can't be parsed raises.
+def _structs(lists: list[list[tuple] | None], kind: pa.StructType) -> pa.Array:
+    """Lists of tuples as an array of lists of structs, column by column."""
+    sizes = [len(x) if x else 0 for x in lists]
+    flat = list(zip(*(t for x in lists if x for t in x), strict=True)) or [[]] * kind.num_fields
+    inner = pa.StructArray.from_arrays([pa.array(c, kind.field(i).type) for i, c in enumerate(flat)], fields=list(kind))
+    offsets = np.concatenate(([0], np.cumsum(sizes))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets, mask=np.array([x is None for x in lists] + [False])), inner) if None in lists else pa.ListArray.from_arrays(pa.array(offsets), inner)
+
+
+def packet_table(media: DataFrame) -> DataFrame:
+    """A row for each packet of each file in ``doc_id, media``: doc_id, nth and :data:`PACKETS`.
+
+    Timestamps are nanoseconds. A null file has no packets; a broken one raises.
     """
+    if "n_bytes" not in media.columns:
+        media = media.withColumn("n_bytes", F.lit(None).cast("long"))
+    return parsed(media).select("doc_id", F.posexplode("packets").alias("nth", "_p")).select("doc_id", F.col("nth").cast("long").alias("nth"), "_p.*")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            rows = []
-            for n, data in zip(batch.column("n_bytes").to_pylist(), batch.column("media").to_pylist(), strict=True):
-                packets, info = demux(data)
-                payload = b"".join(data[lo : lo + size] for _, _, _, lo, size, _ in packets)
-                begins = {cluster: time for _, time, _, _, _, cluster in reversed(packets)}
-                cues = sum(begins.get(to) == time * info["scale"] for time, to in info["cues"])
-                x = np.frombuffer(payload, np.uint8).astype(float)
-                over = x > x.mean()
-                feature = f"codec={info['codec']};rate={info['rate']:g};depth={info['depth']};packets={len(packets)};blocks={info['blocks']};laced={info['laces']};clusters={info['clusters']};cues={cues};ms={len(payload) * 1000 // int(info['rate'])};mean={x.mean():.4f};deviation={x.std():.4f};crossings={np.mean(over[1:] != over[:-1]):.4f}"
-                rows.append((n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-16:]), len(data), hashlib.sha256(data).hexdigest(), feature))
-            columns = list(zip(*rows, strict=True)) or [[]] * 7
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), *(pa.array(c, k) for c, k in zip(columns, kinds, strict=True))],
-                ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"],
-            )
 
-    return media.select("doc_id", "n_bytes", "media").mapInArrow(
-        run, "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    )
+def features(media: DataFrame) -> DataFrame:
+    """Describes stored files from what :func:`parsed` reads: sizes, checksums and features of packets and samples.
+
+    ``feature`` lists packets, blocks, laced blocks, clusters, cues that point to a cluster of that time, duration in
+    ms, and of the samples the mean, the deviation and the share of steps that cross the mean. A file that can't be
+    parsed raises.
+    """
+    read = parsed(media)
+    begins = F.transform("packets", lambda p: F.struct(p["cluster"].alias("cluster"), p["timestamp"].alias("timestamp")))
+    times = F.array_distinct(F.transform(F.filter(begins, lambda p, i: (i == 0) | (F.get(begins, i - 1)["cluster"] != p["cluster"])), lambda p: p))
+    read = read.withColumn("clusters", times)
+    true = F.size(F.filter("cues", lambda c: F.exists("clusters", lambda p: (p["cluster"] == c["cluster"]) & (p["timestamp"] == c["timestamp"]))))
+    text = F.format_string(
+        "codec=%s;rate=%.0f;depth=%d;packets=%d;blocks=%d;laced=%d;clusters=%d;cues=%d;ms=%d;mean=%.4f;deviation=%.4f;crossings=%.4f",
+        "codec", "rate", "depth", F.size("packets"), "blocks", "laced", F.size("clusters"), true, F.floor(F.col("payload_bytes") * 1000 / F.col("rate")), "mean", "deviation", "crossings",
+    )
+    return read.select("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", F.when(F.col("packets").isNotNull(), text).alias("feature"))

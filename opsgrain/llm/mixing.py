@@ -7,18 +7,22 @@ u units is released at slot floor(i * period / u) and due by slot ceil((i + 1) *
 released, the one with the earliest deadline takes the next slot. On one stream this meets all deadlines, so
 after any number of slots a source is less than one block away from its share by units. All sources are even again at
 the end of a period, so the schedule of one period, of bounded size, holds for all: block i of a source goes
-to the slot of block i mod u, i div u periods later. Nothing is sorted or numbered as a whole.
+to the slot of block i mod u, i div u periods later. Nothing is sorted or numbered as a whole: rows of one id and
+source are counted first and numbered as one, and a source's ids are dealt by a hash into as many buckets as its share
+of the tasks calls for, which are numbered apart.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from opsgrain.llm.common import written
 
-#: Rows of a source that are numbered together, about.
-BUCKET = 20_000
+#: Buckets of ids for each task, about.
+BUCKETS = 8
+#: Rows of one id that a task lists at once, at most.
+PIECE = 10_000
 #: Slots of a period times sources, at most, where the period follows from the number of blocks.
 STEPS = 8_000_000
 
@@ -79,6 +83,44 @@ def schedule(shares: DataFrame) -> DataFrame:
     return rows.select("k", "nth", "slot", F.expr("nth * period div x").alias("release"), F.expr("((nth + 1) * period + x - 1) div x").alias("deadline"))
 
 
+def _hash(doc_id: Column) -> Column:
+    """The top 60 bits of the id's MD5, which any engine can say again."""
+    return F.conv(F.substring(F.md5(F.coalesce(doc_id.cast("string"), F.lit("none"))), 1, 15), 16, 10).cast("long")
+
+
+def ranked(docs: DataFrame, shares: DataFrame) -> DataFrame:
+    """``doc_id, source, c, before``: each id of a source, its rows, and the source's rows that come before; with ``k``,
+    ``units``, ``period`` of :func:`units`."""
+    tasks = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    shares = shares.withColumn("parts", F.ceil(F.col("n") * (BUCKETS * tasks) / F.sum("n").over(Window.partitionBy()))).withColumnRenamed("source", "own")
+    groups = docs.groupBy("doc_id", "source").agg(F.count("*").alias("c")).withColumn("h", _hash(F.col("doc_id")))
+    # the top bits of the hash make buckets of one source that follow each other and hold about as many ids
+    bucket = F.floor(F.col("h").cast("double") / F.lit(float(1 << 60)) * F.col("parts"))
+    groups = groups.join(shares, F.col("source").eqNullSafe(F.col("own"))).withColumn("bucket", bucket)
+    fill = groups.groupBy("k", "bucket").agg(F.sum("c").alias("in_bucket"))
+    earlier = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)  # a row for each bucket
+    fill = fill.select("k", "bucket", F.coalesce(F.sum("in_bucket").over(earlier), F.lit(0)).alias("bucket_before"))
+    own = Window.partitionBy("k", "bucket").orderBy("h", "doc_id").rowsBetween(Window.unboundedPreceding, -1)
+    out = groups.withColumn("own", F.coalesce(F.sum("c").over(own), F.lit(0))).join(fill, ["k", "bucket"])
+    return out.select("doc_id", "source", "c", (F.col("own") + F.col("bucket_before")).alias("before"), "k", "units", "period")
+
+
+def placed(rows: DataFrame, plan: DataFrame, block: int) -> DataFrame:
+    """Adds ``block, slot, nth, release, deadline`` to rows of ``rank, k, units, period``; takes those away."""
+    rows = rows.withColumn("block", F.expr(f"rank div {block}")).withColumn("cycle", F.expr("block div units"))
+    plan = plan.select(F.col("k").alias("pk"), F.col("nth").alias("pn"), F.col("slot").alias("ps"), F.col("release").alias("pr"), F.col("deadline").alias("pd"))
+    at = rows.join(plan, (F.col("k") == F.col("pk")) & ((F.col("block") % F.col("units")).cast("int") == F.col("pn")))
+    first = F.col("cycle") * F.col("period")
+    out = at.withColumns({"slot": first + F.col("ps"), "release": first + F.col("pr"), "deadline": first + F.col("pd"), "nth": F.expr(f"rank % {block}").cast("int")})
+    return out.drop("rank", "k", "units", "period", "cycle", "pk", "pn", "ps", "pr", "pd")
+
+
+def _planned(docs: DataFrame, weights: dict[str, float] | None, power: float, block: int, period: int | None) -> tuple[DataFrame, DataFrame]:
+    counts = written(docs.groupBy("source").agg(F.count("*").alias("n")), "sources")
+    shares = written(units(counts, weights, power, period, block), "shares")
+    return shares, written(schedule(shares), "schedule")
+
+
 def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block: int = 16, period: int | None = None) -> DataFrame:
     """The place of each row of ``doc_id, source`` in the mixed stream; other columns are not read.
 
@@ -90,31 +132,34 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     rows are numbered one after the other. No row is dropped or repeated. An empty table gives an empty
     result.
     """
-    spark = docs.sparkSession
-    rows = docs.select("doc_id", "source").withColumn("h", F.xxhash64("doc_id"))
-    counts = written(rows.groupBy("source").agg(F.count("*").alias("n")), "sources")
-    shares = written(units(counts, weights, power, period, block), "shares")
-    plan = written(schedule(shares), "schedule")
-    parts = F.ceil(F.col("n") / BUCKET)
-    # the top bits of the hash make buckets of one source that follow each other and hold about as many rows
-    bucket = F.floor((F.shiftrightunsigned("h", 33).cast("double") / F.lit(float(1 << 31))) * parts)
-    same = F.col("source").eqNullSafe(F.col("own"))
-    shares = shares.withColumnRenamed("source", "own")
-    placed = rows.join(shares, same).withColumn("bucket", bucket)
-    fill = placed.groupBy("k", "bucket").agg(F.count("*").alias("c"))
-    earlier = Window.partitionBy("k").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    fill = fill.select("k", "bucket", F.coalesce(F.sum("c").over(earlier), F.lit(0)).alias("before"))
-    own = F.row_number().over(Window.partitionBy("k", "bucket").orderBy("h", "doc_id")) - 1
-    numbered = placed.withColumn("own_rank", own).join(fill, ["k", "bucket"]).withColumn("rank", F.col("own_rank") + F.col("before"))
-    numbered = numbered.withColumn("block", F.expr(f"rank div {block}")).withColumn("cycle", F.expr("block div units")).withColumn("in_cycle", (F.col("block") % F.col("units")).cast("int"))
-    plan = plan.withColumnRenamed("k", "pk").withColumnRenamed("nth", "pn")
-    at = numbered.join(plan, (F.col("k") == F.col("pk")) & (F.col("in_cycle") == F.col("pn")))
+    rows = docs.select("doc_id", "source")
+    shares, plan = _planned(rows, weights, power, block, period)
+    groups = ranked(rows, shares)
+    # a repeated id goes out in pieces, which are dealt to tasks before they are listed row by row
+    pieces = groups.withColumn("piece", F.explode(F.expr(f"sequence(0L, (c - 1) div {PIECE})"))).withColumn("from", F.expr(f"before + piece * {PIECE}"))
+    pieces = pieces.withColumn("to", F.expr(f"least(from + {PIECE}, before + c) - 1")).select("doc_id", "source", "k", "units", "period", "c", "piece", "from", "to")
+    many = pieces.where(F.col("c") > PIECE).repartition("doc_id", "source", "piece")
+    each = pieces.where(F.col("c") <= PIECE).unionByName(many)
+    each = each.select("doc_id", "source", "k", "units", "period", F.explode(F.sequence("from", "to")).alias("rank"))
     # the slot that each source's next block would have had: the first of them ends the mix on target
     after = shares.select("k", "units", "period", F.expr(f"(n + {block} - 1) div {block}").alias("blocks"))
-    after = after.join(plan, (F.col("k") == F.col("pk")) & (F.col("blocks") % F.col("units") == F.col("pn")))
-    end = after.groupBy("period").agg(F.min(F.expr("blocks div units * period + slot")).alias("ends"))
-    slot = F.col("cycle") * F.col("period")
-    return at.join(F.broadcast(end), "period").select(
-        "doc_id", "source", "block", (slot + F.col("slot")).alias("slot"), F.expr(f"rank % {block}").cast("int").alias("nth"),
-        (slot + F.col("release")).alias("release"), (slot + F.col("deadline")).alias("deadline"), (slot + F.col("slot") < F.col("ends")).alias("on_target"),
-    )
+    after = after.join(plan.select(F.col("k").alias("pk"), F.col("nth").alias("pn"), "slot"), (F.col("k") == F.col("pk")) & (F.col("blocks") % F.col("units") == F.col("pn")))
+    end = after.agg(F.min(F.expr("blocks div units * period + slot")).alias("ends"))
+    out = placed(each, plan, block).crossJoin(F.broadcast(end))  # one row
+    return out.select("doc_id", "source", "block", "slot", "nth", "release", "deadline", (F.col("slot") < F.col("ends")).alias("on_target"))
+
+
+def in_order(docs: DataFrame, weights: dict[str, float] | None = None, power: float = 0.7, block: int = 16, period: int | None = None) -> DataFrame:
+    """All rows and columns of ``docs``, which needs ``doc_id, source, text``, sorted by their place in the mixed stream.
+
+    Rows that repeat an id within a source are spread over that id's places by a hash of their text; of those, equal
+    rows may share a place, so that a block may hold some more or fewer.
+    """
+    rows = docs.select("doc_id", "source")
+    shares, plan = _planned(rows, weights, power, block, period)
+    groups = ranked(rows, shares).select(F.col("doc_id").alias("gd"), F.col("source").alias("gs"), "c", "before", "k", "units", "period")
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("gd")) & F.col("row.source").eqNullSafe(F.col("gs"))
+    rank = F.col("before") + F.when(F.col("c") > 1, F.pmod(F.xxhash64("row.text"), F.col("c"))).otherwise(0)
+    known = whole.join(groups, same).select("row", rank.alias("rank"), "k", "units", "period")
+    return placed(known, plan, block).orderBy("slot", "nth").select("row.*")

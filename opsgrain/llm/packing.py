@@ -25,38 +25,48 @@ from opsgrain.llm.common import written
 from opsgrain.llm.tokens import encoder
 
 PIECES = (
-    "doc_id long, piece int, start long, length long, ids_crc32 long, part int, nth long"
+    "doc_id long, piece int, start long, length long, ids_crc32 long, file string, row long, nth long"
 )
 PLACED = "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long"
 
 
-def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int) -> DataFrame:
-    """Token counts and checksums of each document's pieces, with their rank by length within the task.
+#: Documents of one stretch of a table that is packed in its own order, at most.
+SEGMENT = 20_000
+
+
+def pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int, follow: bool = False) -> DataFrame:
+    """Token counts and checksums of each document's pieces, with the task (``file``) and their rank by length in it.
 
     Null and empty texts are one piece that holds the end id alone. Texts are encoded whole; one of more
-    than ``capacity`` ids is cut into pieces of that length, of which the last may be shorter.
+    than ``capacity`` ids is cut into pieces of that length, of which the last may be shorter. With ``follow``, ``file``
+    and ``row`` say where the document stands in the table's files instead.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encode, part, seen = encoder(tokenizer), TaskContext.get().partitionId(), np.zeros(capacity + 1, np.int64)
+        encode, seen, task = encoder(tokenizer), np.zeros(capacity + 1, np.int64), f"{TaskContext.get().partitionId():010d}"
         for batch in batches:
-            for at in range(0, batch.num_rows, 4000):
-                some = batch.slice(at, 4000)
+            for at in range(0, batch.num_rows, 2000):
+                some = batch.slice(at, 2000)
                 ids, bounds = encode.batch(some.column("text").to_pylist())
+                if follow:
+                    places = list(zip(some.column("_file").to_pylist(), some.column("_row").to_pylist(), strict=True))
+                else:
+                    places = [(task, 0)] * some.num_rows
                 rows = []
-                for doc, lo, hi in zip(some.column("doc_id").to_pylist(), bounds, bounds[1:], strict=False):
+                for doc, place, lo, hi in zip(some.column("doc_id").to_pylist(), places, bounds, bounds[1:], strict=False):
                     data = np.append(ids[lo:hi], np.uint32(end_id)).astype("<u4").tobytes()
                     for k, cut in enumerate(range(0, len(data), 4 * capacity)):
                         own = data[cut : cut + 4 * capacity]
                         n = len(own) // 4
-                        rows.append((doc, k, cut // 4, n, zlib.crc32(own), part, int(seen[n])))
+                        rows.append((doc, k, cut // 4, n, zlib.crc32(own), *place, int(seen[n])))
                         seen[n] += 1
-                columns = list(zip(*rows, strict=True)) or [[]] * 7
-                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.int32(), pa.int64())
+                columns = list(zip(*rows, strict=True)) or [[]] * 8
+                kinds = (pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64())
                 names = [x.split()[0] for x in PIECES.split(", ")]
                 yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names)
 
-    return docs.select("doc_id", "text").mapInArrow(run, PIECES)
+    place = [F.col("_metadata.file_name").alias("_file"), F.col("_metadata.row_index").alias("_row")] if follow else []
+    return docs.select("doc_id", "text", *place).mapInArrow(run, PIECES)
 
 
 def configurations(sizes: list[int], counts: list[int], capacity: int) -> list[tuple[list[int], int]]:
@@ -176,6 +186,13 @@ def plan(lengths: dict[int, int], capacity: int, groups: int = 48, small: float
     return dict(zip(("length", "first", "bin", "each", "offset"), table.T, strict=True)) | {"bins": bins}
 
 
+def _located(runs: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Sequence and offset of the documents of these lengths and ranks within them."""
+    run = np.searchsorted((runs["length"] << 44) | runs["first"], (length << 44) | rank, "right") - 1
+    nth, each = rank - runs["first"][run], runs["each"][run]
+    return runs["bin"][run] + nth // each, runs["offset"][run] + nth % each * length
+
+
 def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 48) -> DataFrame:
     """Packs all documents; one row per piece with its place.
 
@@ -185,25 +202,46 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     """
     spark = docs.sparkSession
     cut = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
-    counts = written(cut.groupBy("part", "length").count(), "piece_counts")
+    counts = written(cut.groupBy("file", "length").count(), "piece_counts")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    runs = plan(lengths, capacity, groups)
-    shared = spark.sparkContext.broadcast(runs)
-    before = Window.partitionBy("length").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    base = counts.select("part", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
+    shared = spark.sparkContext.broadcast(plan(lengths, capacity, groups))
+    before = Window.partitionBy("length").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
+    base = counts.select("file", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
 
     def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        runs = shared.value
-        key = (runs["length"] << 44) | runs["first"]
         for batch in batches:
             rank = batch.column("base").to_numpy() + batch.column("nth").to_numpy()
-            length = batch.column("length").to_numpy()
-            run = np.searchsorted(key, (length << 44) | rank, "right") - 1
-            nth, each = rank - runs["first"][run], runs["each"][run]
+            sequence, offset = _located(shared.value, batch.column("length").to_numpy(), rank)
             yield pa.RecordBatch.from_arrays(
-                [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")]
-                + [pa.array(runs["bin"][run] + nth // each), pa.array(runs["offset"][run] + nth % each * length)],
+                [batch.column(c) for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)],
                 [x.split()[0] for x in PLACED.split(", ")],
             )
 
-    return cut.join(base, ["part", "length"]).mapInArrow(place, PLACED)
+    return cut.join(base, ["file", "length"]).mapInArrow(place, PLACED)
+
+
+def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 48) -> DataFrame:
+    """As :func:`pack`, for a table read from Parquet files that were written in an order to keep.
+
+    Stretches of at most :data:`SEGMENT` rows of one file are packed each on its own, by the same plan, and numbered
+    in the order of files and rows: the documents of a sequence come from one stretch, and sequences follow the table.
+    A stretch that is not the last may leave one sequence part empty.
+    """
+    cut = written(pieces(docs, tokenizer, capacity, end_id, follow=True), "pieces")
+    segment = F.format_string("%s %012d", F.col("file"), F.expr(f"row div {SEGMENT}"))
+    cut = cut.withColumn("segment", segment)
+    # a row for each segment
+    numbers = cut.select("segment").distinct().withColumn("number", F.row_number().over(Window.orderBy("segment")).cast("long"))
+
+    def place(table: pa.Table) -> pa.Table:
+        table = table.sort_by([("length", "ascending"), ("row", "ascending"), ("piece", "ascending")])
+        length = table["length"].to_numpy()
+        rank = np.arange(len(length)) - np.searchsorted(length, length)
+        sizes, counts = np.unique(length, return_counts=True)
+        runs = plan(dict(zip(sizes.tolist(), counts.tolist(), strict=True)), capacity, groups)
+        sequence, offset = _located(runs, length, rank)
+        sequence = sequence + (table["number"].to_numpy() << 32)
+        columns = [table[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")] + [pa.array(sequence), pa.array(offset)]
+        return pa.Table.from_arrays(columns, [x.split()[0] for x in PLACED.split(", ")])
+
+    return cut.join(numbers, "segment").groupBy("segment").applyInArrow(place, PLACED)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from opsgrain.llm import katz, matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter, vectors
-from opsgrain.llm.common import table_path
+from opsgrain.llm.common import table_path, written
 from opsgrain.llm.tokens import public
 
 
@@ -52,7 +52,8 @@ def op9_embedding_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return matroska.features(matroska.store(table(spark, sf_dir, "documents")))
+    stored = written(matroska.store(table(spark, sf_dir, "documents")), "media")
+    return matroska.features(stored)
 
 
 QUERIES = {

@@ -27,7 +27,6 @@ REACH = 120
 SCOPE = 512
 _KEY = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
-_HEX = re.compile(r"[0-9a-f]+")
 _LONG_HEX = re.compile(r"(?<![0-9a-f])[0-9a-f]{32,}")
 _NAME = re.compile(r"""\b(?:user(?:_?name)?|login|client_?id|account|access_?key_?id)["']?\x20{0,8}[:=]\x20{0,8}["']?[A-Za-z0-9_.@-]{3,64}""", re.I | re.A)
 _BARE = re.compile(r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{24,}(?![A-Za-z0-9+/_=-])")
@@ -122,21 +121,31 @@ def digests(findings: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame, reach: int = REACH, mark: str = "[secret]") -> DataFrame:
-    """The same rows and columns, with each finding in ``text`` replaced by ``mark``; texts without findings, null
-    ones included, are untouched. ``n_chars`` follows the text where it is there."""
-    found = scan(docs, reach).where(F.size("findings") > 0).dropDuplicates(["doc_id", "copy"]).withColumnRenamed("doc_id", "_doc").withColumnRenamed("copy", "_copy")
-    copy = F.xxhash64(F.coalesce("text", F.lit("")))
-    all_ = docs.join(found, docs.doc_id.eqNullSafe(F.col("_doc")) & (copy == F.col("_copy")), "left")
-    zero = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
-
-    def step(state, p):
-        begin = F.greatest(p["start"], state["at"])
-        more = F.concat(state["out"], F.substring(F.col("text"), state["at"] + 1, begin - state["at"]), F.when(p["start"] >= state["at"], F.lit(mark)).otherwise(""))
-        return F.struct(more.alias("out"), F.greatest(p["end"], state["at"]).alias("at"))
-
-    end = F.aggregate("findings", zero, step)
-    text = F.when(F.col("findings").isNull(), F.col("text")).otherwise(F.concat(end["out"], F.substring(F.col("text"), end["at"] + 1, F.length("text"))))
-    out = all_.withColumn("text", text)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.when(F.col("findings").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
-    return out.select(docs.columns)
+    """The same rows and columns, with each finding in ``text`` replaced by ``mark``, overlapping ones as one; texts
+    without findings, null ones included, are untouched. ``n_chars`` follows the text where it is there."""
+
+    @F.arrow_udf("string")
+    def masked(text: pa.Array, starts: pa.Array, ends: pa.Array) -> pa.Array:
+        out = []
+        for t, a, b in zip(text.to_pylist(), starts.to_pylist(), ends.to_pylist(), strict=True):
+            pieces, at = [], 0
+            for lo, hi in zip(a or (), b or (), strict=True):
+                if lo >= at:
+                    pieces += [t[at:lo], mark]
+                at = max(at, hi)
+            out.append(None if t is None else "".join([*pieces, t[at:]]))
+        return pa.array(out, pa.string())
+
+    found = scan(docs, reach).where(F.size("findings") > 0).dropDuplicates(["doc_id", "copy"])
+    found = found.select("doc_id", "copy", F.col("findings.start").alias("starts"), F.col("findings.end").alias("ends"))
+    whole = docs.select(F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    same = F.col("row.doc_id").eqNullSafe(F.col("doc_id")) & (F.xxhash64(F.coalesce("row.text", F.lit(""))) == F.col("copy"))
+    # a text without findings goes to Python as a null
+    text = masked(F.when(F.col("starts").isNotNull(), F.col("row.text")), "starts", "ends")
+    out = whole.join(found, same, "left").select("row", F.col("starts").isNotNull().alias("hit"), text.alias("new"))
+    columns = {c: F.col(f"row.`{c}`") for c in docs.columns}
+    columns["text"] = F.when(F.col("hit"), F.col("new")).otherwise(F.col("row.text"))
+    if "n_chars" in columns:
+        length = F.length("new").cast(docs.schema["n_chars"].dataType)
+        columns["n_chars"] = F.when(F.col("hit"), length).otherwise(F.col("row.n_chars"))
+    return out.select(*(x.alias(c) for c, x in columns.items()))

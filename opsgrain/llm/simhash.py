@@ -309,10 +309,10 @@ def drop_duplicates(docs: DataFrame, words: int = 3, distance: int = 3) -> DataF
     so are rows with a null ``doc_id``, which stay only where the whole group has no other (then one of them). Of
     repeated rows one stays.
     """
-    keyed = docs.withColumn("_row", row_key())
+    keyed = docs.select("doc_id", "text", row_key().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"))
     rows = written(fingerprints(keyed.select(F.struct("doc_id", "_row").alias("doc_id"), "text"), words, "struct<doc_id:long,_row:string>"), "fingerprints")
     least = F.min(F.struct(F.col("doc_id.doc_id").isNull().alias("none"), F.col("doc_id.doc_id"), F.col("doc_id._row")))
     distinct = written(rows.groupBy("fp").agg(least.alias("first")), "distinct")
     found = components(links(distinct.select("fp"), distance))
     first = distinct.join(found, distinct.fp == found.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
-    return keyed.join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    return keyed.join(first.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).select("_whole.*")

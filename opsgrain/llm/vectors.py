@@ -2,10 +2,11 @@
 
 Reference points (pivots) are taken from a bounded sample. Each vector is described by its nearest pivots, in
 order; inverted lists keep, for each label and pivot, the vectors that have it among their nearest. Two
-vectors that share at least ``shared`` pivots are candidates, and are verified by their cosine in double
-precision. A pair is counted in the list of the first pivot, by number, that it shares, so that each pair is
-met once. Equal vectors of one label are one entry with a count. Entries of each list are counted first; a list of
-more than ``CELL`` is split into blocks by that count and each pair of blocks is a list of its own; lists report counts and a spanning forest.
+vectors that share at least ``shared`` pivots at places of their orders that are no more than ``drift`` apart are
+candidates, and are verified by their cosine in double precision. A pair is counted in the list of the first pivot,
+by number, that it shares, so that each pair is met once. Equal vectors of one label are one entry with a count.
+Entries of each list are counted first; a list of more than ``CELL`` is split into blocks by that count and each pair
+of blocks is a list of its own; lists report counts and a spanning forest. Vectors travel in the type they come in.
 """
 
 from __future__ import annotations
@@ -77,7 +78,15 @@ def _describe(shared, nearest: int):
     return run
 
 
-def _compare(cosine: float, shared_pivots: int):
+def _same_order(a: np.ndarray, b: np.ndarray, drift: int) -> np.ndarray:
+    """How many pivots two orders share at places no more than ``drift`` apart, row by row."""
+    out = np.zeros(len(a), np.int64)
+    for k in range(-drift, drift + 1):
+        out += (a[:, max(k, 0) : a.shape[1] + min(k, 0)] == b[:, max(-k, 0) : b.shape[1] + min(-k, 0)]).sum(axis=1)
+    return out
+
+
+def _compare(cosine: float, shared_pivots: int, drift: int):
     def one(group: list[pa.RecordBatch]) -> pa.RecordBatch:
         table = pa.Table.from_batches(group)
         entry, copies, block = (table.column(c).to_numpy() for c in ("entry", "copies", "block"))
@@ -97,6 +106,11 @@ def _compare(cosine: float, shared_pivots: int):
                 ok &= block[rows, None] != block[None]
             i, j = np.nonzero(np.triu(ok, lo + 1)) if lo == 0 else np.nonzero(ok & (np.arange(n)[None] > np.arange(lo, rows.stop)[:, None]))
             i += lo
+            near_enough = np.zeros(len(i), bool)
+            for at in range(0, len(i), PAIRS):
+                p, q = i[at : at + PAIRS], j[at : at + PAIRS]
+                near_enough[at : at + PAIRS] = _same_order(near[p], near[q], drift) >= min(shared_pivots, near.shape[1])
+            i, j = i[near_enough], j[near_enough]
             hit = np.zeros(len(i), bool)
             for at in range(0, len(i), PAIRS):
                 p, q = i[at : at + PAIRS], j[at : at + PAIRS]
@@ -133,30 +147,43 @@ def _compare(cosine: float, shared_pivots: int):
     return run
 
 
-def near_duplicates(rows: DataFrame, cosine: float = 0.98, nearest: int = 8, shared_pivots: int = 3, pivots: int = PIVOTS, cell: int = CELL) -> DataFrame:
+def near_duplicates(
+    rows: DataFrame, cosine: float = 0.98, nearest: int = 8, shared_pivots: int = 3, pivots: int = PIVOTS, cell: int = CELL, drift: int = 5
+) -> DataFrame:
     """``vec_id, n_links, component_id, kept`` for each row of ``vec_id, embedding, label``.
 
     Only vectors of one label, not null, and of one length are compared. Vectors that are null, empty or zero,
     or hold null or non-finite components, link with nothing, nor does one with a null label: no links, a
     component of their own. Links found are exact; which pairs are found depends on the shared pivots. Repeated
-    rows are vectors of their own: they link with each other, and share the smallest ``vec_id``.
+    rows are vectors of their own: they link with each other, and share the smallest ``vec_id``. A row with a null
+    ``vec_id`` is linked like any, but names no component unless it has no other id (then null, and kept).
     """
     spark = rows.sparkSession
-    vector = F.transform("embedding", lambda x: x.cast("double"))
+    element = rows.schema["embedding"].dataType.elementType.typeName()
+    kind = element if element in ("float", "double") else "double"
+    vector = F.transform("embedding", lambda x: x.cast(kind))
     base = rows.select("vec_id", F.col("label").cast("long").alias("label"), vector.alias("vector")).withColumn("ok", F.col("label").isNotNull() & usable(F.col("vector")))
     # -0.0 and 0.0 are one value
-    good = base.where("ok").select("vec_id", "label", F.transform("vector", lambda x: x + F.lit(0.0)).alias("vector"))
-    entries = written(good.groupBy("label", "vector").agg(F.min("vec_id").alias("entry"), F.count("*").alias("copies")).withColumn("size", F.size("vector")), "entries")
-    total = entries.count()
-    wanted = max(32, min(pivots, 4 * math.isqrt(total)))
-    lengths = [r["size"] for r in entries.groupBy("size").count().orderBy(F.desc("count")).collect()]
-    chosen = {}
-    for size in lengths:
-        sample = entries.where(F.col("size") == size).orderBy(F.xxhash64("entry"), "entry").limit(wanted).select("vector").toArrow()
-        chosen[int(size)] = _spread(_unit(_matrix(sample.column("vector"))), 0.9)
+    good = base.where("ok").select("vec_id", "label", F.transform("vector", lambda x: (x + F.lit(0.0)).cast(kind)).alias("vector"))
+    entries = good.groupBy("label", "vector").agg(F.min("vec_id").alias("first"), F.count("*").alias("copies")).withColumn("size", F.size("vector"))
+    entries = written(entries.withColumn("entry", F.monotonically_increasing_id()), "entries")  # the numbers are kept with the table
+    sizes = {r["size"]: r["count"] for r in entries.groupBy("size").count().collect()}  # a row for each length of vectors
+    wanted = max(32, min(pivots, 4 * math.isqrt(sum(sizes.values()))))
+    share = F.create_map(*[F.lit(x) for size, n in sizes.items() for x in (size, min(1.0, 1.5 * wanted / n))]) if sizes else F.create_map(F.lit(0), F.lit(0.0))
+    place = F.pmod(F.xxhash64("vector"), F.lit(1 << 30))
+    some = entries.where(place < share[F.col("size")] * (1 << 30)).select("size", place.alias("place"), "vector")
+    taken: dict[int, list] = {size: [] for size in sizes}
+    drawn = some.toArrow()  # about 1.5 times wanted of each length
+    for size, at, x in zip(*(drawn[c] for c in ("size", "place", "vector")), strict=True):
+        taken[size.as_py()].append((at.as_py(), x.as_py()))
+    chosen = {size: _spread(_unit(np.array([x for _, x in sorted(of)[:wanted]], np.float64).reshape(-1, size)), 0.9) for size, of in taken.items()}
+    for size in sizes:
+        if not len(chosen[size]):  # few vectors of that length, and none was drawn
+            first = entries.where(F.col("size") == size).select("vector").first()["vector"]
+            chosen[size] = _unit(np.array([first], np.float64))
     shared = spark.sparkContext.broadcast(chosen)
-    kind = "label long, size int, entry long, copies long, near array<int>, vector array<double>"
-    described = written(entries.mapInArrow(_describe(shared, nearest), kind), "described")
+    shape = f"label long, size int, entry long, copies long, near array<int>, vector array<{kind}>"
+    described = written(entries.mapInArrow(_describe(shared, nearest), shape), "described")
     met = ["label", "size", "pivot"]
     hot = written(described.select("label", "size", F.explode("near").alias("pivot")).groupBy(*met).count().where(F.col("count") > cell), "hot_lists")
     # two blocks of two fifths of a cell each stay under it, however they are dealt
@@ -166,12 +193,15 @@ def near_duplicates(rows: DataFrame, cosine: float = 0.98, nearest: int = 8, sha
     listed = listed.select(*met, pair.alias("cell"), "block", "entry", "copies", "near", "vector")
     keys = ["label", "size", "pivot", "cell"]
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    found = written(listed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(cosine, shared_pivots), "a long, b long, links long"), "links")
+    compared = listed.repartition(parts, *keys).sortWithinPartitions(*keys).mapInArrow(_compare(cosine, shared_pivots, drift), "a long, b long, links long")
+    found = written(compared, "links")
     linked = found.groupBy("a").agg(F.sum("links").alias("links"))
     groups = components(found.select("a", "b"))
-    by = entries.select("entry", "copies", "label", "vector").join(linked, F.col("entry") == F.col("a"), "left").drop("a")
-    by = by.join(groups, F.col("entry") == F.col("node"), "left")
-    by = by.select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), F.coalesce("component", "entry").alias("component_id"))
+    by = entries.select("entry", "first", "copies", "label", "vector").join(linked, F.col("entry") == F.col("a"), "left").drop("a")
+    by = by.join(groups, F.col("entry") == F.col("node"), "left").withColumn("component", F.coalesce("component", "entry"))
+    least = by.groupBy("component").agg(F.min("first").alias("component_id"))
+    by = by.join(least, "component").select("label", "vector", (F.coalesce("links", F.lit(0)) + F.col("copies") - 1).alias("n_links"), "component_id")
     out = good.select("vec_id", "label", "vector").join(by, ["label", "vector"]).select("vec_id", "n_links", "component_id")
     alone = base.where(~F.col("ok")).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
-    return out.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(True)))
+    kept = F.when(F.col("component_id").isNull(), True).otherwise(F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
+    return out.unionByName(alone).withColumn("kept", kept)

@@ -68,7 +68,7 @@ def crc(ids):
     return zlib.crc32(struct.pack(f"<{len(ids)}I", *ids))
 
 
-def katz(texts, ids):
+def katz(texts, ids, lowest=2):
     """Rows as of the operator, by the definitions of the model."""
     tokens = [[*words(t), "\n"] for t in texts]
     learn = [t for t, i in zip(tokens, ids, strict=True) if i is None or zlib.crc32(str(i).encode()) % 7 != 2]
@@ -86,7 +86,7 @@ def katz(texts, ids):
             out.append(1.0 if r < low else d if 0 < d < 1 else (r - 0.5) / r)
         return lambda x: x * (out[x] if x <= 5 else 1)
 
-    one, two = ratios(Counter(c.values()), 1), ratios(Counter(pairs.values()), 2)
+    one, two = ratios(Counter(c.values()), 1), ratios(Counter(pairs.values()), lowest)
     kept = sum(map(one, c.values()))
     scale = min(1.0, total / (total + 1) * total / kept) if kept else 1.0
     unknown = 1 - kept * scale / total if total else 1.0
@@ -94,7 +94,7 @@ def katz(texts, ids):
     contexts = c | {" ": len(learn)}
     seen, back = {}, {}
     for (v, w), x in pairs.items():
-        if x > 1:
+        if x >= lowest:
             seen.setdefault(v, {})[w] = two(x) / contexts[v]
     for v, q in seen.items():
         rest = max(1 - sum(q.values()), 1 / (contexts[v] + 1))

@@ -10,13 +10,14 @@ import numpy as np
 import pytest
 from brute import crc, encode, groups, katz, packed, secret_spans, simhash, words
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 import corpus_pipeline
 from opsgrain.llm import common, katz as K, matroska, mixing, packing, queries, secrets, simhash as S, token_store, tokens, toxicity, url_filter, vectors
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
-EXTRA = ["copy", "label", "bucket", "k", "n", "fp", "slot", "score", "start", "u", "v", "w", "entry", "parts", "_id"]
+EXTRA = ["copy", "label", "bucket", "k", "n", "fp", "slot", "score", "start", "u", "v", "w", "entry", "parts", "_id", "_place", "_keep", "_doc", "_row", "_copy", "findings", "rank", "row", "first", "starts", "hit"]
 
 
 @pytest.fixture(scope="module")
@@ -91,16 +92,16 @@ def test_components(spark):
 def test_tokens_equal_the_library(name):
     rng = random.Random(5)
     texts = ["".join(rng.choices("ab'sS t\n\n  \t1½ªA,.Éßÿ-_’́中🙂İſ", k=rng.randint(0, 25))) for _ in range(4000)]
-    texts += ["".join(rng.choices("abcd  \n.,'dllve1É", k=rng.randint(0, 25))) for _ in range(4000)] + ["", None, "<|endoftext|> x", "x" * 5000]
-    encoder = tokens.Encoder(tokens.public(name))
+    texts += ["".join(rng.choices("abcd  \n.,'dllve1É", k=rng.randint(0, 25))) for _ in range(4000)] + ["", None, "end <|endoftext|> x", "<|startoftext|>a<|ENDOFTEXT|>b", "a<|endoftext|>", "x" * 5000]
+    encoder, library = tokens.Encoder(tokens.public(name)), Tokenizer.from_file(tokens.public(name))
     ids, bounds = encoder.batch(texts)
     for i, text in enumerate(texts):
-        assert ids[bounds[i] : bounds[i + 1]].tolist() == encoder.library.encode(text or "", add_special_tokens=False).ids
+        assert ids[bounds[i] : bounds[i + 1]].tolist() == library.encode(text or "", add_special_tokens=False).ids
 
 
 def test_packing(spark, odd):
     path = tokens.public("word_bpe_49k.json")
-    library = tokens.Encoder(path).library
+    library = Tokenizer.from_file(path)
     got = packing.pack(frame(spark, odd), path, 512, 1).collect()
     want = Counter()
     for i, t in odd:
@@ -129,28 +130,39 @@ def test_packing_plan(n):
 
 def test_token_store(spark, odd, tmp_path):
     path, table = tokens.public("byte_bpe_50k.json"), str(tmp_path / "store")
-    library = tokens.Encoder(path).library
-    rows = [r for r in odd if r[0] is not None]
+    library = Tokenizer.from_file(path)
+    rows = [*odd, (None, "no id, again <|endoftext|>")]
     token_store.write_store(frame(spark, rows), table, path, 2)
+    got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32, r.verified) for r in token_store.read_digests(spark, table).collect())
     texts = Counter((i, tuple(encode(library, t, 2))) for i, t in rows)
-    at, want = 0, Counter()
-    for (i, ids), times in sorted(texts.items()):
-        for _ in range(times):
-            want[(i, at, len(ids), crc(ids), True)] += 1
-            at += len(ids)
-    assert Counter(map(tuple, token_store.read_digests(spark, table).collect())) == want
+    assert Counter((i, n, c) for _, i, n, c, _ in got) == Counter((i, len(t), crc(t)) for i, t in texts.elements()) and all(v for *_, v in got)
+    assert [i for _, i, *_ in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i))
+    assert [s for s, *_ in got] == [0, *np.cumsum([n for _, _, n, _, _ in got])[:-1]]
     assert Counter((r.doc_id, tuple(r.ids)) for r in token_store.read_ids(spark, table).collect()) == texts
-    chunks = spark.read.parquet(f"{table}/chunks")
-    assert chunks.count() == chunks.select("digest").distinct().count()
+    chunks = spark.read.parquet(f"{table}/data/table=chunks")
+    assert chunks.count() == chunks.select("key").distinct().count()
+    parts = token_store.checked_parts(spark, table).collect()
+    assert all(r.verified for r in parts) and sum(r.documents for r in parts) == len(rows)
     broken = str(tmp_path / "broken")
-    for name in ("recipes", "manifest"):
-        spark.read.parquet(f"{table}/{name}").write.parquet(f"{broken}/{name}")
-    chunks.withColumn("ids", F.concat(F.expr("substring(ids, 3)"), F.lit(b"\x01\x00"))).write.parquet(f"{broken}/chunks")
+    spark.read.parquet(f"{table}/manifest").write.parquet(f"{broken}/manifest")
+    recipes = spark.read.parquet(f"{table}/recipes")
+    recipes.withColumn("root", F.when(F.col("nth") == 0, F.lit(b"x")).otherwise(F.col("root"))).write.parquet(f"{broken}/recipes")
+    chunks.withColumn("ids", F.concat(F.expr("substring(ids, 3)"), F.lit(b"\x01\x00"))).write.parquet(f"{broken}/data/table=chunks")
     assert not any(r.verified for r in token_store.read_digests(spark, broken).collect())
+    assert not any(r.verified for r in token_store.checked_parts(spark, broken).collect())
     token_store.write_store(frame(spark, []), str(tmp_path / "empty"), path)
     assert token_store.read_digests(spark, str(tmp_path / "empty")).count() == 0
 
 
+@pytest.mark.parametrize("n", range(18))
+def test_merkle_tree(n):
+    """The folded tree against one that is built level by level."""
+    level = [hashlib.sha256(b"\0%d" % i).digest() for i in range(n)] or [hashlib.sha256(b"").digest()]
+    while len(level) > 1:
+        level = [hashlib.sha256(b"\1" + level[i] + level[i + 1]).digest() if i + 1 < len(level) else level[i] for i in range(0, len(level), 2)]
+    assert token_store.merkle([b"%d" % i for i in range(n)]) == level[0]
+
+
 def test_crc_of_joined_strings():
     a, b = b"hello", bytes(range(256)) * 9
     assert token_store.joined_crc32(zlib.crc32(a), zlib.crc32(b), len(b)) == zlib.crc32(a + b)
@@ -227,7 +239,7 @@ def test_katz(spark, odd):
 
 def test_katz_on_documents(spark, documents):
     rows = [(r.doc_id, r.text) for r in documents.select("doc_id", "text").collect()]
-    want = dict(zip([i for i, _ in rows], katz([t for _, t in rows], [i for i, _ in rows]), strict=True))
+    want = dict(zip([i for i, _ in rows], katz([t for _, t in rows], [i for i, _ in rows], 1), strict=True))
     got = queries.op7_katz_backoff(spark, SF).collect()
     assert all((r.base_score, r.score) == pytest.approx(want[r.doc_id][3:], abs=1e-6) for r in got) and len(got) == len(rows)
     held = [r for r in got if r.held_out]
@@ -261,16 +273,17 @@ def test_vectors(spark, cell):
     for g in range(12):
         centre = rng.normal(size=16)
         rows += [(len(rows) + i, (centre + rng.normal(size=16) * 0.04).tolist(), g % 3) for i in range(15)]
-    rows += [(1000, rows[0][1], 0), (1001, rows[0][1], 0), (1001, rows[0][1], 0), (1002, [x * 2 for x in rows[0][1]], 0), (1003, None, 0), (1004, [0.0] * 16, 0), (1005, [float("nan")] * 16, 0), (1006, [None] * 16, 0), (1007, rows[0][1], None), (1008, rows[0][1][:15], 0), (1009, [], 0)]
+    lone = rng.normal(size=16).tolist()
+    rows += [(None, lone, 1), (None, lone, 1), (None, rows[20][1], rows[20][2]), (1000, rows[0][1], 0), (1001, rows[0][1], 0), (1001, rows[0][1], 0), (1002, [x * 2 for x in rows[0][1]], 0), (1003, None, 0), (1004, [0.0] * 16, 0), (1005, [float("nan")] * 16, 0), (1006, [None] * 16, 0), (1007, rows[0][1], None), (1008, rows[0][1][:15], 0), (1009, [], 0)]
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").withColumns({c: F.lit(1) for c in EXTRA if c != "label"})
-    got = sorted(map(tuple, vectors.near_duplicates(df, cell=cell, pivots=32).collect()))
+    got = sorted(map(tuple, vectors.near_duplicates(df, cell=cell, pivots=32).collect()), key=repr)
     fine = [v is not None and len(v) > 0 and None not in v and np.isfinite(v).all() and np.any(v) and l is not None for _, v, l in rows]
     cos = lambda a, b: np.dot(a, b) / np.linalg.norm(a) / np.linalg.norm(b)
     linked = lambda i, j: i != j and fine[i] and fine[j] and rows[i][2] == rows[j][2] and len(rows[i][1]) == len(rows[j][1]) and cos(rows[i][1], rows[j][1]) >= 0.98
     top = groups(len(rows), linked)
     total = sum(linked(i, j) for i in range(len(rows)) for j in range(len(rows)))
-    least = {g: min(rows[i][0] for i in range(len(rows)) if top[i] == g) for g in set(top)}
-    want = sorted((r[0], sum(linked(i, j) for j in range(len(rows))), least[top[i]], r[0] == least[top[i]]) for i, r in enumerate(rows))
+    least = {g: min((rows[i][0] for i in range(len(rows)) if top[i] == g and rows[i][0] is not None), default=None) for g in set(top)}
+    want = sorted(((r[0], sum(linked(i, j) for j in range(len(rows))), least[top[i]], r[0] == least[top[i]]) for i, r in enumerate(rows)), key=repr)
     assert len(got) == len(want) and sum(g[1] for g in got) >= 0.9 * total
     assert all(g[0] == w[0] and g[1] <= w[1] for g, w in zip(got, want, strict=True))
     assert sum(g == w for g, w in zip(got, want, strict=True)) >= 0.9 * len(want)
@@ -341,8 +354,8 @@ def test_pipeline(spark):
     rows = {r.doc_id: r.text for r in docs.collect()}
     toxic = {r.doc_id for r in queries.op2_toxicity(spark, SF).collect() if r.predicted}
     left = [(i, t) for i, t in sorted(rows.items()) if i not in toxic]
-    fps = [simhash(t) for _, t in left]
-    top = groups(len(left), lambda i, j: (fps[i] ^ fps[j]).bit_count() <= 3)
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} for w in (words(t) for _, t in left)]
+    top = groups(len(left), lambda i, j: len(sets[i] & sets[j]) >= 0.8 * len(sets[i] | sets[j]))
     left = [r for k, r in enumerate(left) if top[k] == k]
     stages = {"documents": docs}
     for name, stage in corpus_pipeline.STAGES[:-1]:
@@ -353,7 +366,7 @@ def test_pipeline(spark):
     masked = {r.doc_id: r.text for r in stages["secrets"].collect()}
     assert set(masked) == {i for i, _ in left} and all((masked[i] == t) == (not secret_spans(t)) for i, t in left)
     assert {r.doc_id: r.text for r in stages["mixing"].collect()} == masked
-    library = tokens.Encoder(tokens.public("word_bpe_49k.json")).library
+    library = Tokenizer.from_file(tokens.public("word_bpe_49k.json"))
     got = corpus_pipeline.run(spark, SF).collect()
     want = Counter()
     for i, t in masked.items():
