@@ -61,12 +61,15 @@ def request_template(text: Column) -> Column:
 
 
 def pair_template(a: Column, b: Column) -> Column:
-    """The words, by place, that two texts share, ``_`` for others, runs of ``_`` as one; null where nothing is shared
-    or the texts have different numbers of words."""
-    x, y = F.split(a, " "), F.split(b, " ")
-    words = F.zip_with(x, y, lambda p, q: F.when(p == q, p).otherwise("_"))
-    joined = F.regexp_replace(F.array_join(words, " "), r"_(?: _)+", "_")
-    return F.when((F.size(x) == F.size(y)) & F.exists(words, lambda w: w != "_"), joined)
+    """The words of ``a`` that stand anywhere in ``b``, too, with ``_`` for each run of others.
+
+    Words are cut at white space. Null where the two texts do not keep equally many words, or where none is kept.
+    """
+    x, y = (F.filter(F.split(t, r"[ \t\r\n]"), lambda w: w != "") for t in (a, b))
+    kept = lambda own, other: F.filter(own, lambda w: F.array_contains(other, w) & (w != "_"))
+    words = F.transform(x, lambda w: F.when(F.array_contains(y, w), w).otherwise("_"))
+    joined = F.regexp_replace(F.array_join(words, " "), r"(?<!\S)_(?: _)+(?!\S)", "_")
+    return F.when((F.size(kept(x, y)) == F.size(kept(y, x))) & (F.size(kept(x, y)) > 0), joined)
 
 
 def escape(text: Column, signs: str) -> Column:

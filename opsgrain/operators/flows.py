@@ -25,23 +25,55 @@ def dedup_edges(df: DataFrame, keys: list[str], order: Sequence[Column]) -> Data
 WEIGHTED, ADDED, GREATEST = ("avg_rsp_size", "avg_ttfb", "avg_ttlb"), ("error_count", "request_count", "sent_bytes", "recv_bytes", "duration"), ("max_ttfb", "max_ttlb")
 
 
-def connection_rollup(df: DataFrame, levels: Sequence[Sequence[str]], service: Sequence[str]) -> DataFrame:
+def _level(levels: Sequence[Sequence[str]], columns: Sequence[str]) -> Column:
+    """The number of the grouping set that a row belongs to, from its ``_g_`` columns."""
+    out = F.lit(None).cast("int")
+    for i, one in enumerate(levels):
+        match = F.lit(True)
+        for c in columns:
+            match = match & (F.col(f"_g_{c}") == (0 if c in one else 1))
+        out = F.when(match, i).otherwise(out)
+    return out
+
+
+def connection_rollup(df: DataFrame, levels: Sequence[Sequence[str]], service: Sequence[str], requests: str | None = None, errors: str | None = None, top: int = 3) -> DataFrame:
     """Flows by each level (a set of columns) and service, in one pass; columns of other levels are null.
 
     Averages are weighted by duration; a group whose durations sum to zero has none. ``level`` numbers the levels.
+    ``requests`` and ``errors`` name columns of arrays of ``req, count, ttfb, ttlb``: each group then has the ``top``
+    costliest templates (see :func:`top_requests`) as ``costliest`` and ``top_errors``, and its greatest times are those
+    of its costliest single request, where there is one.
     """
     columns = list(dict.fromkeys(c for level in levels for c in level))
     sets = [[F.col(c) for c in [*level, *service]] for level in levels]
+    marks = [F.grouping(c).alias(f"_g_{c}") for c in columns]
     d = F.col("duration")
-    aggs = [F.try_divide(F.sum(F.col(m) * d), F.sum(d)).alias(m) for m in WEIGHTED] + [F.sum(m).alias(m) for m in ADDED] + [F.max(m).alias(m) for m in GREATEST]
-    grouped = df.groupingSets(sets, *columns, *service).agg(*aggs, *(F.grouping(c).alias(f"_g_{c}") for c in columns))
-    level = F.lit(None).cast("int")
-    for i, one in enumerate(levels):
-        match = F.lit(True)
-        for c in columns:
-            match = match & (F.col(f"_g_{c}") == (0 if c in one else 1))
-        level = F.when(match, i).otherwise(level)
-    return grouped.withColumn("level", level).drop(*(f"_g_{c}" for c in columns))
+    aggs = [F.try_divide(F.sum(F.col(m) * d), F.sum(d)).alias(m) for m in WEIGHTED] + [F.sum(m).alias(m) for m in ADDED]
+    if requests:
+        own = F.array_max(F.transform(requests, lambda r: F.struct(r["ttfb"].alias("ttfb"), r["ttlb"].alias("ttlb"))))
+        aggs += [F.max(own).alias("_worst")]
+    else:
+        aggs += [F.max(m).alias(m) for m in GREATEST]
+    out = df.groupingSets(sets, *columns, *service).agg(*aggs, *marks).withColumn("level", _level(levels, columns)).drop(*(f"_g_{c}" for c in columns))
+    if not requests:
+        return out
+    out = out.withColumns({"max_ttfb": F.col("_worst.ttfb"), "max_ttlb": F.col("_worst.ttlb")}).drop("_worst")
+    keys = ["level", *columns, *service]
+    for source, name in ((requests, "costliest"), (errors, "top_errors")):
+        if source:
+            each = df.select(*columns, *service, F.inline(source)).where("count > 0 and req <> ''").withColumn("template", request_template(F.col("req")))
+            c = F.col("count")
+            sums = each.groupingSets([[*s, F.col("template")] for s in sets], *columns, *service, "template").agg(
+                F.sum(c).alias("count"), (F.sum(F.col("ttfb") * c) / F.sum(c)).alias("ttfb"), (F.sum(F.col("ttlb") * c) / F.sum(c)).alias("ttlb"), *marks
+            )
+            ranked = sums.withColumn("level", _level(levels, columns)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ttfb"), "template")))
+            lists = ranked.where(F.col("rank") <= top).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "template", "count", "ttfb", "ttlb"))).alias(name))
+            lists = lists.withColumnsRenamed({k: f"_{k}" for k in keys})
+            same = F.lit(True)
+            for k in keys:
+                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+            out = out.join(lists, same, "left").drop(*(f"_{k}" for k in keys))
+    return out
 
 
 def flow_series(df: DataFrame, keys: list[str], host: str, measures: Sequence[str]) -> DataFrame:

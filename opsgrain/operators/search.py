@@ -6,37 +6,66 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-
-#: Widths that automatic intervals choose from, in seconds (a month is thirty days).
-NICE = (1, 5, 10, 30, 60, 300, 600, 1800, 3600, 3 * 3600, 12 * 3600, 86400, 7 * 86400, 30 * 86400, 365 * 86400)
+from pyspark.sql import types as T
+
+SECOND, MINUTE, HOUR, DAY = 1000, 60_000, 3_600_000, 86_400_000
+#: Nice widths in ms, each with the bound of targets under which it is the nearest (a month has 30 days).
+NICE = (
+    (500, 100), (5 * SECOND, SECOND), (7.5 * SECOND, 5 * SECOND), (15 * SECOND, 10 * SECOND), (45 * SECOND, 30 * SECOND), (3 * MINUTE, MINUTE),
+    (9 * MINUTE, 5 * MINUTE), (20 * MINUTE, 10 * MINUTE), (45 * MINUTE, 30 * MINUTE), (2 * HOUR, HOUR), (6 * HOUR, 3 * HOUR), (24 * HOUR, 12 * HOUR),
+    (7 * DAY, DAY), (21 * DAY, 7 * DAY), (365 * DAY, 30 * DAY), (float("inf"), 365 * DAY),
+)
 GEOHASH = "0123456789bcdefghjkmnpqrstuvwxyz"
 
 
-def auto_interval(df: DataFrame, ts: str, bars: int = 50, most: int = 100) -> int:
-    """Seconds: the narrowest nice width that needs at most ``bars`` bars; wider ones while over ``most`` are needed.
+def nearest_width(target: float) -> int:
+    """The nice width, in ms, for a target in ms."""
+    return min(bound_width for bound_width in NICE if bound_width[0] > target)[1]
+
 
-    Two scalars come to the driver.
+def widened(width: float, span: float, most: int = 100) -> tuple[int, float]:
+    """The width to use, in ms, and what counts and sums are multiplied by, so that they speak of the asked width.
+
+    A width that needs more than ``most`` bars for the span gives way to the largest nice one below a ``most``-th of it.
     """
+    if span / width <= most:
+        return int(width), 1.0
+    target = span / most
+    wide = max((w for _, w in NICE if w < target), default=max(int(target), 1))
+    return wide, width / wide
+
+
+def time_span(df: DataFrame, ts: str) -> float:
+    """Milliseconds from the first to the last time. Two scalars come to the driver."""
     row = df.agg(F.min(F.unix_micros(ts)).alias("lo"), F.max(F.unix_micros(ts)).alias("hi")).first()
-    span = ((row["hi"] or 0) - (row["lo"] or 0)) / 1e6
-    fit = [w for w in NICE if span / w <= bars] or [NICE[-1]]
-    width = fit[0]
-    while span / width > most:
-        width *= 2
-    return width
+    return ((row["hi"] or 0) - (row["lo"] or 0)) / 1e3
+
+
+def auto_interval(df: DataFrame, ts: str, bars: int = 50, most: int = 100) -> tuple[int, float]:
+    """Width in ms and scale: the nice width nearest to a ``bars``-th of the span, widened if it needs over ``most`` bars."""
+    span = time_span(df, ts)
+    return widened(nearest_width(span / bars), span, most)
 
 
-def date_histogram(df: DataFrame, ts: str, seconds: int | None = None, unit: str | None = None, zone: str = "UTC", fill: tuple[str, str] | None = None) -> DataFrame:
-    """Counts for each interval of ``seconds``, or calendar ``unit`` in a time zone; ``fill`` has the bounds within which
-    empty intervals count zero."""
+def date_histogram(
+    df: DataFrame, ts: str, seconds: float | None = None, unit: str | None = None, zone: str = "UTC", fill: tuple[str, str] | None = None,
+    least: int = 1, sums: Sequence[str] = (), scale: float = 1.0,
+) -> DataFrame:
+    """Counts ``n``, and sums of columns, for each interval of ``seconds``, or calendar ``unit`` in a time zone.
+
+    Buckets of fewer than ``least`` rows are left out. ``fill`` has the bounds within which empty intervals count zero,
+    which asks for a ``least`` of 0. With a ``scale`` other than 1 (see :func:`widened`) counts and sums are multiplied by it.
+    """
     at = F.from_utc_timestamp(ts, zone)
-    key = F.date_trunc(unit, at) if unit else F.timestamp_seconds(F.floor(F.unix_seconds(at) / seconds) * seconds)
-    out = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"))
-    if not fill:
-        return out
-    step = f"interval 1 {unit}" if unit else f"interval {seconds} seconds"
-    spine = df.sparkSession.range(1).select(F.explode(F.expr(f"sequence(timestamp'{fill[0]}', timestamp'{fill[1]}', {step})")).alias("key"))
-    return spine.join(out, "key", "full").select("key", F.coalesce("n", F.lit(0)).alias("n"))
+    ms = None if unit else int(seconds * 1000)
+    key = F.date_trunc(unit, at) if unit else F.timestamp_millis((F.floor(F.unix_millis(at) / ms) * ms).cast("long"))
+    out = df.groupBy(key.alias("key")).agg(F.count("*").alias("n"), *(F.sum(c).alias(c) for c in sums))
+    if fill:
+        step = f"interval 1 {unit}" if unit else f"interval {ms / 1000} seconds"
+        spine = df.sparkSession.range(1).select(F.explode(F.expr(f"sequence(timestamp'{fill[0]}', timestamp'{fill[1]}', {step})")).alias("key"))
+        out = spine.join(out, "key", "full").select("key", *(F.coalesce(c, F.lit(0)).alias(c) for c in ("n", *sums)))
+    out = out.where(F.col("n") >= least) if least > 0 and not fill else out
+    return out if scale == 1.0 else out.select("key", *((F.col(c) * scale).alias(c) for c in ("n", *sums)))
 
 
 def histogram(df: DataFrame, value: str, interval: float, bounds: tuple[float, float] | None = None) -> DataFrame:
@@ -152,12 +181,18 @@ def point_series(df: DataFrame, x: str, ys: Sequence[str], series: str | None =
 
 
 def field_summary(df: DataFrame, fields: Sequence[str], top: int = 5) -> DataFrame:
-    """The ``top`` values of each field with count and percent of the documents that have it, and how many lack it."""
-    long = df.select(*(F.col(f).cast("string").alias(f) for f in fields)).unpivot([], list(fields), "field", "v")
+    """The ``top`` values of each field with count and percent of the documents that have it, and how many lack it.
+
+    Each element of an array counts as a value; a document has the field unless it is null. Null elements do not count.
+    """
+    many = [f for f in fields if isinstance(df.schema[f].dataType, T.ArrayType)]
+    values = [(F.col(f).cast("array<string>") if f in many else F.array(F.col(f).cast("string"))).alias(f) for f in fields]
+    has = df.select(*values).agg(*(F.count_if(F.col(f).isNotNull() if f in many else F.col(f)[0].isNotNull()).alias(f) for f in fields), F.count("*").alias("_all"))
+    per = has.unpivot(["_all"], list(fields), "field", "has").select("field", "has", (F.col("_all") - F.col("has")).alias("missing"))
+    long = df.select(*values).unpivot([], list(fields), "field", "vs").select("field", F.explode("vs").alias("v")).where("v is not null")
     counts = long.groupBy("field", "v").agg(F.count("*").alias("n"))
-    per = counts.groupBy("field").agg(F.sum(F.when(F.col("v").isNull(), F.col("n")).otherwise(0)).alias("missing"), F.sum(F.when(F.col("v").isNotNull(), F.col("n")).otherwise(0)).alias("has"))
-    w = Window.partitionBy("field").orderBy(F.desc("n"), "v")
-    best = counts.where("v is not null").withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
+    w = Window.partitionBy("field").orderBy(F.desc("n"), "v")  # only the first of each task's are sent
+    best = counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= top)
     return best.join(per, "field").select("field", "rank", F.col("v").alias("value"), "n", (100.0 * F.col("n") / F.col("has")).alias("percent"), "missing", "has")
 
 

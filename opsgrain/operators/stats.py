@@ -159,3 +159,23 @@ def merge_moments(states: DataFrame, keys: list[str]) -> DataFrame:
         *keys, "n", "mean", (m2 / F.nullif("n", F.lit(0))).alias("var_pop"), F.when(F.col("n") > 1, m2 / (F.col("n") - 1)).alias("var_samp"),
         F.sqrt(m2 / F.nullif("n", F.lit(0))).alias("stddev_pop"),
     )
+
+
+def cluster_scores(df: DataFrame, score: str, k: int = 3, rounds: int = 1) -> DataFrame:
+    """Adds ``cluster`` (0 to k - 1, by rising centre): k-means on a column, ``rounds`` times.
+
+    The first centres stand at equal steps from the least to the greatest score. A value goes to the nearest centre,
+    the lower of two; a centre without values stays. Only the k centres come to the driver. Null scores have none.
+    """
+    x = F.col(score)
+    ends = df.agg(F.min(x).alias("lo"), F.max(x).alias("hi")).first()
+    lo, hi = ends["lo"] or 0.0, ends["hi"] or 0.0
+    centres = [lo + (hi - lo) * i / max(k - 1, 1) for i in range(k)]
+
+    def nearest(centres: list[float]) -> Column:
+        return F.when(x.isNotNull(), F.array_min(F.array(*(F.struct(F.abs(x - c).alias("d"), F.lit(i).alias("i")) for i, c in enumerate(centres))))["i"])
+
+    for _ in range(rounds):
+        means = {r["i"]: r["m"] for r in df.groupBy(nearest(centres).alias("i")).agg(F.avg(x).alias("m")).where("i is not null").collect()}
+        centres = sorted(means.get(i, c) for i, c in enumerate(centres))
+    return df.withColumn("cluster", nearest(centres))

@@ -291,12 +291,20 @@ def hourly(spark, sf):
     return metrics(spark, sf).withColumn("slot", F.date_trunc("hour", "ts"))
 
 
-HOURS = lambda keys: f"{metrics_sql()}, seen AS (SELECT DISTINCT {keys}, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS slot FROM metrics), expected AS (SELECT * FROM (SELECT DISTINCT {keys} FROM metrics), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS slot)), flags AS (SELECT e.*, s.slot IS NULL AS flag FROM expected e LEFT JOIN seen s USING ({keys}, slot))"
+#: Entities that are expected and of which nothing is ever seen.
+ABSENT = {"customer_id": "c1", "deployment_id": "d0", "cluster_id": "cl0", "host_name": "h99", "classification": "audit"}
+
+
+def hours_sql(keys: str) -> str:
+    """Flags of hours without a row, for entities seen at any time and one that never is."""
+    absent = ", ".join(f"'{ABSENT[k]}' AS {k}" for k in keys.split(", "))
+    return f"{metrics_sql()}, seen AS (SELECT DISTINCT {keys}, CAST(date_trunc('hour', ts) AS TIMESTAMP) AS slot FROM metrics), expected AS (SELECT * FROM (SELECT DISTINCT {keys} FROM metrics UNION SELECT {absent}), (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS slot)), flags AS (SELECT e.*, s.slot IS NULL AS flag FROM expected e LEFT JOIN seen s USING ({keys}, slot))"
 
 
 def presence(spark, sf, keys, kind):
     rows = hourly(spark, sf)
-    flags = D.absent_flags(rows, metrics(spark, sf), keys, "slot", START, END, 3600).select(*keys, "slot", "flag")
+    expected = rows.select(*keys).unionByName(spark.range(1).select(*(F.lit(ABSENT[k]).alias(k) for k in keys))).distinct()
+    flags = D.absent_flags(rows, expected, keys, "slot", START, END, 3600).select(*keys, "slot", "flag")
     return D.detect(flags, keys, "slot", kind, 3600, DAYS * 24)
 
 
@@ -318,14 +326,16 @@ NET_KEYS = ["to_cluster", "port", "measure", "mode", "sub_type"]
 def detect_network(spark, sf):
     f = flows(spark, sf).groupBy("to_cluster", "port", "ts").agg(*(F.avg(m).alias(m) for m in dict.fromkeys(m for m, _, _ in D.NETWORK)))
     flags = D.network_flags(f, ["port"], ["to_cluster", "port"], "ts")
-    return D.detect(flags.withColumn("ts", F.to_date("ts").cast("timestamp")), NET_KEYS, "ts", "network", 1, 120)
+    # months are slots: the nth month is the nth day
+    month = F.timestamp_seconds((F.year("ts") * 12 + F.month("ts")).cast("long") * DAY)
+    return D.detect(flags.withColumn("ts", month), NET_KEYS, "ts", "network", DAY, 120)
 
 
 _modes = ", ".join(f"('{m}', '{k}', '{t}')" for m, k, t in D.NETWORK)
 NETWORK_SQL = f"""{FLOWS_SQL}, g AS (SELECT to_cluster, port, ts, {', '.join(f'avg({m}) AS {m}' for m in MEASURES.split(', '))} FROM flows GROUP BY to_cluster, port, ts),
 long AS (SELECT * FROM g UNPIVOT (value FOR measure IN ({MEASURES}))), band AS (SELECT port, ts, measure, avg(value) AS m, coalesce(stddev_samp(value), 0) AS s FROM long GROUP BY port, ts, measure),
 modes(measure, mode, sub_type) AS (VALUES {_modes}),
-flags AS (SELECT to_cluster, port, ts, measure, mode, sub_type, CASE mode WHEN 'high' THEN value > m + 2 * s WHEN 'low' THEN value < m - 2 * s ELSE value > 0 END AS flag FROM long JOIN band USING (port, ts, measure) JOIN modes USING (measure))"""
+flags AS (SELECT to_cluster, port, make_timestamp(CAST(year(ts) * 12 + month(ts) AS BIGINT) * 86400000000) AS ts, measure, mode, sub_type, CASE mode WHEN 'high' THEN value > m + 2 * s WHEN 'low' THEN value < m - 2 * s ELSE value > 0 END AS flag FROM long JOIN band USING (port, ts, measure) JOIN modes USING (measure))"""
 
 
 def anomaly_message(spark, sf):
@@ -378,10 +388,10 @@ SQL = {
     "detect_error": detect_sql(f"{metrics_sql()}, flags AS (SELECT {HK}, slot, avg(value) > 0 AS flag FROM metrics WHERE classification = 'error' GROUP BY {HK}, slot)", HK, "error"),
     "exhaustion_eta": f"WITH {ETA} SELECT {HK}, slot, round(mean, 6) AS mean, eta, min(eta) OVER (PARTITION BY {HK} ORDER BY slot ROWS 4 PRECEDING) AS min_eta FROM etas",
     "detect_exhaustion": detect_sql(f"{ETA}, flags AS (SELECT {HK}, slot, eta IS NOT NULL AS flag FROM etas)", HK, "exhaustion"),
-    "detect_heartbeat": detect_sql(HOURS(", ".join(HOSTS)), ", ".join(HOSTS), "heartbeat", grain=3600, slots=720),
-    "detect_service": detect_sql(HOURS(", ".join([*HOSTS, "classification"])), ", ".join([*HOSTS, "classification"]), "service", grain=3600, slots=720),
-    "detect_non_participation": detect_sql(HOURS("cluster_id, classification"), "cluster_id, classification", "non_participation", grain=3600, slots=720),
-    "detect_network": detect_sql(NETWORK_SQL, ", ".join(NET_KEYS), "network", "ts", 1, 120),
+    "detect_heartbeat": detect_sql(hours_sql(", ".join(HOSTS)), ", ".join(HOSTS), "heartbeat", grain=3600, slots=720),
+    "detect_service": detect_sql(hours_sql(", ".join([*HOSTS, "classification"])), ", ".join([*HOSTS, "classification"]), "service", grain=3600, slots=720),
+    "detect_non_participation": detect_sql(hours_sql("cluster_id, classification"), "cluster_id, classification", "non_participation", grain=3600, slots=720),
+    "detect_network": detect_sql(NETWORK_SQL, ", ".join(NET_KEYS), "network", "ts", DAY, 120),
     "anomaly_message": f"""WITH {GRADED}, {quantized_sql('graded', HK, 0.25, 0.5, False)} SELECT {HK}, CASE WHEN severity = 100 THEN 'Healthy' ELSE
       CASE severity WHEN 1 THEN 'Critical' WHEN 20 THEN 'Warning' ELSE 'Notice' END || ': ' || classification || ' ' || CASE WHEN total_severity_duration = total_duration THEN 'throughout'
       WHEN single_max_severity_duration = total_severity_duration THEN 'once, for ' || total_severity_duration || ' of ' || total_duration || ' slots'

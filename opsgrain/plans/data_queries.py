@@ -12,8 +12,9 @@ from opsgrain.operators import flows as W
 from opsgrain.operators import joins as J
 from opsgrain.operators import rank as R
 from opsgrain.operators import severity as V
+from opsgrain.operators import stats as S
 from opsgrain.plans import anomaly_queries as Q
-from opsgrain.plans.inputs import DAY, DAYS, FLOWS_SQL, flows, metrics, metrics_sql, nudged, rounded, table
+from opsgrain.plans.inputs import DAY, DAYS, FLOWS_SQL, NUDGE, flows, metrics, metrics_sql, nudged, rounded, table
 from opsgrain.sources import lines as L
 from opsgrain.sources import tables as B
 
@@ -332,6 +333,30 @@ def dedup_edges(spark, sf):
     return out.groupBy("from_host", "port").agg(F.count("*").alias("n"), F.sum("sent_bytes").alias("bytes"))
 
 
+def pair_templates(spark, sf):
+    """Neighbouring pages' addresses, taken apart at slashes."""
+    words = F.regexp_replace("url", "[/?&=]+", " ")
+    p = table(spark, sf, "pages").select("page_id", words.alias("a"))
+    q = p.select((F.col("page_id") - 1).alias("page_id"), F.col("a").alias("b"))
+    return p.join(q, "page_id").select("page_id", X.pair_template(F.col("a"), F.col("b")).alias("template"))
+
+
+def partition_selection(spark, sf):
+    days = ev(spark, sf).groupBy(F.date_format("ts", "yyyy.MM.dd").alias("name")).agg(F.min("ts").alias("low"), F.max("ts").alias("high"))
+    met = B.partitions_in_range(days, "low", "high", "2024-01-07 12:00:00", "2024-01-12 06:00:00", True)
+    named = B.interval_names(spark, "", "yyyy.MM.dd", "day", "2024-01-07 12:00:00", "2024-01-12 06:00:00")
+    return met.join(named.select("name", F.lit(True).alias("named")), "name", "left").select("name", "low", "high", F.coalesce("named", F.lit(False)).alias("named"))
+
+
+def connection_requests(spark, sf):
+    stat = lambda count: F.array(F.struct(F.concat(F.lit("GET /part/"), F.col("l_partkey") % 5, F.lit("/page"), F.col("l_partkey") % 4 == 0).alias("req"), F.col(count).alias("count"), F.col("max_ttfb").alias("ttfb"), F.col("max_ttlb").alias("ttlb")))
+    f = flows(spark, sf).withColumns({"requests": stat("request_count"), "failed": stat("error_count")})
+    out = W.connection_rollup(f, [["to_cluster"], ["from_cluster", "to_cluster"]], ["port"], "requests", "failed")
+    text = lambda c: F.array_join(F.transform(c, lambda r: F.concat_ws(" ", r["rank"], r["template"], r["count"])), ";")
+    times = lambda c: F.aggregate(c, F.lit(0.0), lambda a, r: a + r["ttfb"] + r["ttlb"])
+    return rounded(out.select("level", "from_cluster", "to_cluster", "port", "avg_ttfb", "max_ttfb", "max_ttlb", "request_count", text("costliest").alias("costliest"), text("top_errors").alias("top_errors"), times("costliest").alias("times")), 3)
+
+
 def connection_rollup(spark, sf):
     out = W.connection_rollup(flows(spark, sf), [["to_cluster"], ["from_cluster", "to_cluster"], ["to_cluster", "to_host"]], ["port"])
     return rounded(out, 3)
@@ -376,13 +401,8 @@ def group_count(spark, sf):
 
 
 def kmeans_scores(spark, sf):
-    """Three clusters of the hosts' day means; one iteration from a fixed seed."""
-    from pyspark.ml.clustering import KMeans
-    from pyspark.ml.feature import VectorAssembler
-
-    d = metrics(spark, sf).groupBy("host_name", "slot").agg(F.avg("value").alias("score"))
-    vectors = VectorAssembler(inputCols=["score"], outputCol="features").transform(d)
-    return KMeans(k=3, maxIter=1, seed=1).fit(vectors).transform(vectors).select("host_name", "slot", "score", F.col("prediction").alias("cluster"))
+    d = metrics(spark, sf).groupBy("host_name", "slot").agg(F.round(F.avg("value") + NUDGE, 4).alias("score"))
+    return S.cluster_scores(d, "score", 3, 1)
 
 
 def counter_share(spark, sf):
@@ -416,6 +436,10 @@ RANKED = f"""{MATRIX}, {OVERALL}, coef AS (SELECT {K1}, severity, sum(avg_score
   ranked AS (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY round(contribution, 9) DESC, host_name, classification) AS rank, contribution / sum(contribution) OVER (PARTITION BY cluster_id) AS share FROM con)"""
 
 
+#: Where the common tables that FILLED has as well end in RANKED.
+FLAGGED_END = f"{Q.graded_sql('flagged', Q.HK)}, "
+
+
 def transition_matrix(spark, sf):
     return rounded(R.transition_matrix(runs(spark, sf), HOST1, DAYS).withColumnsRenamed({"from": "a", "to": "b"}))
 
@@ -451,6 +475,58 @@ def entity_snapshot(spark, sf):
     return R.entity_snapshot(Q.filled(spark, sf), LEVELS, "slot")
 
 
+def slot_summary(spark, sf):
+    """Weeks of days for each deployment, cluster and host."""
+    return _summary(R.slot_summaries(Q.filled(spark, sf), LEVELS, Q.HOST, "slot", DAY, 7, services=_services(spark, sf)))
+
+
+def slot_rollup(spark, sf):
+    """The same for the weeks that a table of finished ones lacks."""
+    done = spark.sql("select timestamp'2024-01-04' as slot union all select timestamp'2024-01-18'")
+    return _summary(R.pending_summaries(Q.filled(spark, sf), done, "2023-12-28 00:00:00", "2024-02-01 00:00:00", LEVELS, Q.HOST, "slot", DAY, 7, services=_services(spark, sf)))
+
+
+def _services(spark, sf):
+    return metrics(spark, sf).where("value > 100").select("deployment_id", "cluster_id", "host_name", F.col("slot").alias("at"), F.col("classification").alias("sub_type"))
+
+
+def _summary(out):
+    first = F.get("stats", F.lit(0))
+    return rounded(out.select(
+        "level", "deployment_id", "cluster_id", "host_name", F.col("window").alias("slot"), *(f"n_{g}" for g in (1, 20, 30, 100)), "severity", "total_severity_duration", F.size("heat").alias("heat_runs"),
+        F.aggregate("heat", F.lit(0).cast("long"), lambda a, h: a + h["level"] * h["duration"]).alias("heat"), first["series"]["classification"].alias("first_cause"), first["contribution"].alias("first_contribution"),
+        F.size("stats").alias("causes"), F.coalesce(F.col("services")["error"], F.lit(0)).alias("errors"), F.coalesce(F.col("services")["view"], F.lit(0)).alias("views"),
+    ), 5)
+
+
+_ENT = ["level", "deployment_id", "cluster_id", "host_name", "wide"]
+_EK = ", ".join(_ENT)
+_SK = f"{_EK}, {', '.join('s_' + c for c in Q.HOST)}"
+
+
+def summary_sql(where: str) -> str:
+    series = ", ".join(f"{c} AS s_{c}" for c in Q.HOST)
+    one = lambda i, cols: f"SELECT {i} AS level, " + ", ".join(c if c in cols else f"'*' AS {c}" for c in ("deployment_id", "cluster_id", "host_name")) + f", {series}, slot, severity, score, make_timestamp(CAST(floor(epoch(slot) / {7 * DAY}) * {7 * DAY} AS BIGINT) * 1000000) AS wide FROM filled"
+    each = " UNION ALL ".join(one(i, level) for i, level in enumerate(LEVELS))
+    return f"""WITH {Q.FILLED}, e AS (SELECT * FROM ({each}) WHERE {where}), {Q.quantized_sql('e', _SK, 0.25, 0.5, False, 7, 'slot', 'qs')},
+    mg AS (SELECT {_EK}, slot, min(severity) AS severity, avg(score) FILTER (WHERE severity = w) AS score FROM (SELECT *, min(severity) OVER (PARTITION BY {_EK}, slot) AS w FROM e) GROUP BY {_EK}, slot),
+    {Q.quantized_sql('mg', _EK, 0.25, 0.5, False, 7, 'slot', 'qe')},
+    hh AS (SELECT {_EK}, slot, CAST((CASE severity WHEN 1 THEN 3 WHEN 20 THEN 2 WHEN 30 THEN 1 ELSE 0 END) + round((4 - (CASE severity WHEN 1 THEN 3 WHEN 20 THEN 2 WHEN 30 THEN 1 ELSE 0 END)) * score) AS INTEGER) AS severity, score FROM mg),
+    {Q.runs_sql('hh', _EK, 'slot', 'hr')}, {Q.runs_sql('e', _SK, 'slot', 'er')},
+    cells AS (SELECT {_SK}, severity AS a, severity AS b, sum(duration) AS n FROM er GROUP BY {_SK}, severity UNION ALL SELECT {_SK}, a, severity, count(*) FROM (SELECT *, lag(severity) OVER (PARTITION BY {_SK} ORDER BY start) AS a FROM er) WHERE a <> severity GROUP BY {_SK}, a, severity
+      UNION ALL SELECT {_SK}, 100, 100, 7 - sum(duration) FROM er GROUP BY {_SK} HAVING sum(duration) < 7),
+    pr AS (SELECT *, n / sum(n) OVER (PARTITION BY {_SK}) AS p FROM (SELECT {_SK}, a, b, sum(n) AS n FROM cells GROUP BY {_SK}, a, b)),
+    co AS (SELECT {_SK}, severity, sum(avg_score * duration) / sum(duration) AS c FROM er GROUP BY {_SK}, severity),
+    cn AS (SELECT {_SK}, c * p AS contribution FROM co JOIN pr USING ({_SK}) JOIN (SELECT {_EK}, severity AS state FROM qe) USING ({_EK}) WHERE a = b AND a = severity AND a = state AND c * p > 0),
+    rk AS (SELECT *, row_number() OVER (PARTITION BY {_EK} ORDER BY round(contribution, 9) DESC, {', '.join('s_' + c for c in Q.HOST)}) AS r FROM cn),
+    sv AS (SELECT deployment_id AS d, cluster_id AS c, host_name AS h, make_timestamp(CAST(floor(epoch(slot) / {7 * DAY}) * {7 * DAY} AS BIGINT) * 1000000) AS w, classification FROM metrics WHERE value > 100)
+    SELECT {', '.join('x.' + k for k in _ENT[:-1])}, x.wide AS slot, n_1, n_20, n_30, n_100, severity, total_severity_duration, heat_runs, heat, first_cause, round(first_contribution, 5) AS first_contribution, coalesce(causes, 0) AS causes, errors, views FROM (SELECT {_EK}, severity, total_severity_duration FROM qe) x
+    JOIN (SELECT {_EK}, {', '.join(f'count(*) FILTER (WHERE severity = {g}) AS n_{g}' for g in (1, 20, 30, 100))} FROM qs GROUP BY {_EK}) USING ({_EK})
+    JOIN (SELECT {_EK}, count(*) AS heat_runs, CAST(sum(severity * duration) AS BIGINT) AS heat FROM hr GROUP BY {_EK}) USING ({_EK})
+    LEFT JOIN (SELECT {_EK}, arg_min(s_classification, r) AS first_cause, arg_min(contribution, r) AS first_contribution, least(count(*), 10) AS causes FROM rk GROUP BY {_EK}) USING ({_EK})
+    LEFT JOIN LATERAL (SELECT count(*) FILTER (WHERE classification = 'error') AS errors, count(*) FILTER (WHERE classification = 'view') AS views FROM sv WHERE sv.w = x.wide AND sv.d = x.deployment_id AND (x.cluster_id = '*' OR sv.c = x.cluster_id) AND (x.host_name = '*' OR sv.h = x.host_name)) ON true"""
+
+
 _counts = ", ".join(f"count(*) FILTER (WHERE severity = {g}) AS n_{g}" for g in (1, 20, 30, 100)) + ", min(severity) AS thermal"
 
 
@@ -468,7 +544,8 @@ def entity_details(spark, sf):
 def snapshot_query(spark, sf):
     rows = Q.filled(spark, sf)
     reason = V.quantize_thermals(rows, ["cluster_id"], "severity").drop("slots")
-    return R.snapshot(ranked(spark, sf), V.worst_of_merge(rows, ["cluster_id"], "slot"), reason, ["cluster_id"], "slot")
+    out = R.snapshot(ranked(spark, sf), V.worst_of_merge(rows, ["cluster_id"], "slot"), reason, ["cluster_id"], "slot")
+    return rounded(out.select("cluster_id", "latest", "at", "thermal", F.inline_outer("stats")))
 
 
 def connection_query(spark, sf):
@@ -481,9 +558,9 @@ QUERIES = {f.__name__: f for f in (
     line_protocol_scan, wire_line_scan, line_protocol_format, put_line_format, routed_records, stats_upsert, retention, topology_message, csv_status_metrics, json_flatten_metrics, kv_text_metrics,
     access_log_parse, metric_catalog, delete_range, name_filter, tag_filter, point_sanitize, minute_slot, value_typing, search_predicates, bool_filter, text_query, time_range, date_part_fields,
     flatten_document, sorted_page, highlight, format_columns, strip_secrets, prefix_rename, request_templates, ipv4_functions, parse_size, series_key, asof_dimension, enrich_topology, resolve_edges,
-    absent_entities, service_observations, ip_range_join, snapshot_rate, ratio_counters, io_latency, pivot_flows, service_inventory, dedup_edges, connection_rollup, flow_series, observation_counts,
+    absent_entities, service_observations, ip_range_join, snapshot_rate, ratio_counters, io_latency, pivot_flows, service_inventory, dedup_edges, connection_rollup, connection_requests, pair_templates, partition_selection, flow_series, observation_counts,
     flow_summary, top_requests, state_counts, wait_category_pivot, group_count, kmeans_scores, counter_share, counter_rate, transition_matrix, rank_contributions, contribution_residual,
-    timeline_markers, entity_snapshot, missing_slots, entity_details, snapshot_query, connection_query,
+    timeline_markers, entity_snapshot, slot_summary, slot_rollup, missing_slots, entity_details, snapshot_query, connection_query,
 )}
 
 IPV4 = "(v >> 24) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255)"
@@ -572,6 +649,34 @@ SQL = {
     "connection_query": f"WITH {FLOWS_SQL} SELECT to_cluster, from_cluster, port, CAST(sum(request_count) AS BIGINT) AS request_count, CAST(sum(error_count) AS BIGINT) AS error_count FROM flows GROUP BY 1, 2, 3",
     "timeline_markers": f"WITH {Q.FILLED}, t AS (SELECT cluster_id, slot AS start, min(severity) AS thermal, 60 AS s FROM filled GROUP BY 1, 2 UNION ALL SELECT cluster_id, CAST(date_trunc('week', slot) AS TIMESTAMP), min(severity), 3600 FROM filled GROUP BY 1, 2) SELECT cluster_id, start, start + CAST(s AS INTEGER) * INTERVAL 1 SECOND AS \"end\", thermal FROM t",
     "entity_snapshot": f"WITH {Q.FILLED} {_levels}",
+    "kmeans_scores": f"""WITH {metrics_sql()}, d AS (SELECT host_name, slot, round(avg(value), 4) AS score FROM metrics GROUP BY 1, 2), e AS (SELECT min(score) AS lo, max(score) AS hi FROM d),
+      c AS (SELECT i, lo + (hi - lo) * i / 2 AS c FROM e, (SELECT unnest(range(3)) AS i)), a AS (SELECT d.*, arg_min(i, (abs(score - c), i)) AS i FROM d, c GROUP BY ALL),
+      m AS (SELECT i, avg(score) AS c FROM a GROUP BY 1), n AS (SELECT row_number() OVER (ORDER BY coalesce(m.c, c.c)) - 1 AS i, coalesce(m.c, c.c) AS c FROM c LEFT JOIN m USING (i))
+      SELECT host_name, slot, score, CAST(arg_min(i, (abs(score - c), i)) AS INTEGER) AS cluster FROM d, n GROUP BY host_name, slot, score""",
+    "topology_message": f"""WITH {metrics_sql()}, h AS (SELECT DISTINCT deployment_id, customer_id, cluster_id, host_name FROM metrics), s AS (SELECT DISTINCT deployment_id, cluster_id, classification FROM metrics),
+      hs AS (SELECT deployment_id, string_agg('"' || host_name || '":{{"customer_id":"' || customer_id || '","cluster_id":"' || cluster_id || '"}}', ',' ORDER BY host_name) AS a FROM h GROUP BY 1),
+      ss AS (SELECT deployment_id, string_agg('{{"cluster_id":"' || cluster_id || '","service":"' || classification || '"}}', ',' ORDER BY cluster_id, classification) AS b FROM s GROUP BY 1)
+      SELECT deployment_id, CAST(0 AS BIGINT) AS part, '{{"hosts":{{' || a || '}},"services":[' || b || ']}}' AS message FROM hs JOIN ss USING (deployment_id)""",
+    "snapshot_query": f"""WITH {Q.FILLED}, {RANKED.split(FLAGGED_END, 1)[1]}, w AS (SELECT cluster_id, slot, min(severity) AS s FROM filled GROUP BY 1, 2),
+      l AS (SELECT cluster_id, arg_max(s, slot) AS latest, max(slot) AS "at" FROM w GROUP BY 1), t AS (SELECT cluster_id, min(severity) AS thermal FROM filled GROUP BY 1)
+      SELECT cluster_id, latest, "at", thermal, rank, classification, round(contribution, 6) AS contribution, round(share, 6) AS share FROM l JOIN t USING (cluster_id) LEFT JOIN ranked USING (cluster_id)""",
+    "pair_templates": r"""WITH p AS (SELECT page_id, list_filter(string_split(regexp_replace(url, '[/?&=]+', ' ', 'g'), ' '), lambda w: w <> '') AS x FROM pages), j AS (SELECT p.page_id, p.x, q.x AS y FROM p JOIN p q ON q.page_id = p.page_id + 1),
+      k AS (SELECT *, len(list_filter(x, lambda w: list_contains(y, w) AND w <> '_')) AS a, len(list_filter(y, lambda w: list_contains(x, w) AND w <> '_')) AS b FROM j)
+      SELECT page_id, CASE WHEN a = b AND a > 0 THEN trim(regexp_replace(' ' || array_to_string(list_transform(x, lambda w: CASE WHEN list_contains(y, w) THEN w ELSE '_' END), ' ') || ' ', ' _( _)+ ', ' _ ', 'g')) END AS template FROM k""",
+    "partition_selection": "WITH d AS (SELECT strftime(ts, '%Y.%m.%d') AS name, min(ts) AS low, max(ts) AS high FROM events GROUP BY 1) SELECT name, low, high, name BETWEEN '2024.01.07' AND '2024.01.12' AS named FROM d WHERE low <= TIMESTAMP '2024-01-12 06:00:00' AND high >= TIMESTAMP '2024-01-07 12:00:00'",
+    "connection_requests": f"""WITH {FLOWS_SQL}, l AS (SELECT 0 AS level, NULL AS from_cluster, * EXCLUDE (from_cluster) FROM flows UNION ALL BY NAME SELECT 1 AS level, * FROM flows),
+      g AS (SELECT level, from_cluster, to_cluster, port, round(sum(avg_ttfb * duration) / sum(duration), 3) AS avg_ttfb, max((max_ttfb, max_ttlb)) AS worst, CAST(sum(request_count) AS BIGINT) AS request_count FROM l GROUP BY 1, 2, 3, 4),
+      t AS (SELECT level, from_cluster, to_cluster, port, 'GET /part/_/page' || (l_partkey % 4 = 0) AS template, request_count AS c, error_count AS e, max_ttfb AS a, max_ttlb AS b FROM l),
+      rq AS (SELECT level, from_cluster, to_cluster, port, template, CAST(sum(c) AS BIGINT) AS n, sum(a * c) / sum(c) AS a, sum(b * c) / sum(c) AS b FROM t WHERE c > 0 GROUP BY 1, 2, 3, 4, 5),
+      re AS (SELECT level, from_cluster, to_cluster, port, template, CAST(sum(e) AS BIGINT) AS n, sum(a * e) / sum(e) AS a FROM t WHERE e > 0 GROUP BY 1, 2, 3, 4, 5),
+      q1 AS (SELECT *, row_number() OVER (PARTITION BY level, from_cluster, to_cluster, port ORDER BY a DESC, template) AS r FROM rq), q2 AS (SELECT *, row_number() OVER (PARTITION BY level, from_cluster, to_cluster, port ORDER BY a DESC, template) AS r FROM re),
+      a1 AS (SELECT level, from_cluster, to_cluster, port, string_agg(r || ' ' || template || ' ' || n, ';' ORDER BY r) AS costliest, round(sum(a + b), 3) AS times FROM q1 WHERE r <= 3 GROUP BY 1, 2, 3, 4),
+      a2 AS (SELECT level, from_cluster, to_cluster, port, string_agg(r || ' ' || template || ' ' || n, ';' ORDER BY r) AS top_errors FROM q2 WHERE r <= 3 GROUP BY 1, 2, 3, 4)
+      SELECT g.level, g.from_cluster, g.to_cluster, g.port, avg_ttfb, worst[1] AS max_ttfb, worst[2] AS max_ttlb, request_count, costliest, top_errors, times
+      FROM g LEFT JOIN a1 ON a1.level = g.level AND a1.from_cluster IS NOT DISTINCT FROM g.from_cluster AND a1.to_cluster = g.to_cluster AND a1.port = g.port
+      LEFT JOIN a2 ON a2.level = g.level AND a2.from_cluster IS NOT DISTINCT FROM g.from_cluster AND a2.to_cluster = g.to_cluster AND a2.port = g.port""",
+    "slot_summary": summary_sql("true"),
+    "slot_rollup": summary_sql("wide NOT IN (TIMESTAMP '2024-01-04', TIMESTAMP '2024-01-18')"),
     "missing_slots": "SELECT slot FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS slot) EXCEPT SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) FROM events WHERE event_type = 'signup'",
     "entity_details": f"WITH {Q.FILLED}, r AS (SELECT * FROM filled WHERE slot >= TIMESTAMP '2024-01-10' AND slot < TIMESTAMP '2024-01-20'), c AS (SELECT cluster_id, host_name, min(severity) AS t FROM r GROUP BY 1, 2), s AS (SELECT cluster_id, string_agg(host_name || '=' || t, ',' ORDER BY host_name) AS children FROM c GROUP BY 1), a AS (SELECT cluster_id, {_counts} FROM r GROUP BY 1) SELECT * FROM a JOIN s USING (cluster_id)",
 }

@@ -98,14 +98,19 @@ EV = "ev AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k F
 
 
 def date_histogram(spark, sf):
-    a = A.date_histogram(ev(spark, sf), "ts", 3 * 3600, fill=("2024-01-01 00:00:00", "2024-01-31 21:00:00")).withColumn("by", F.lit("3h"))
+    a = A.date_histogram(ev(spark, sf), "ts", 3 * 3600, fill=("2024-01-01 00:00:00", "2024-01-31 21:00:00"), least=0).withColumn("by", F.lit("3h"))
+    a = a.unionByName(A.date_histogram(ev(spark, sf), "ts", 7200, least=3).withColumn("by", F.lit("3 or more")))
     return a.unionByName(A.date_histogram(ev(spark, sf), "ts", unit="week", zone="Europe/Berlin").withColumn("by", F.lit("week")))
 
 
 def auto_interval(spark, sf):
     e = ev(spark, sf)
-    seconds = A.auto_interval(e, "ts")
-    return A.date_histogram(e, "ts", seconds).withColumn("seconds", F.lit(seconds))
+    ms, scale = A.auto_interval(e, "ts")
+    a = A.date_histogram(e, "ts", ms / 1000, sums=["value"], scale=scale).select("key", F.col("n").cast("double").alias("n"), "value", F.lit(ms).cast("long").alias("ms"))
+    # ten minutes were asked for, which takes far more than a hundred bars
+    ms, scale = A.widened(600_000, A.time_span(e, "ts"))
+    b = A.date_histogram(e, "ts", ms / 1000, sums=["value"], scale=scale).select("key", "n", "value", F.lit(ms).cast("long").alias("ms"))
+    return rounded(a.unionByName(b), 4)
 
 
 def histogram(spark, sf):
@@ -200,8 +205,9 @@ def point_series(spark, sf):
 
 
 def field_top_values(spark, sf):
-    e = ev(spark, sf).select("event_type", F.when(F.col("k") > 10, F.col("k")).alias("k"), "user_id")
-    return rounded(A.field_summary(e, ["event_type", "k", "user_id"]))
+    tags = F.when(F.col("k") % 3 == 0, F.array("event_type", F.lit("all"))).when(F.col("k") % 3 == 1, F.array().cast("array<string>"))
+    e = ev(spark, sf).select("event_type", F.when(F.col("k") > 10, F.col("k")).alias("k"), "user_id", tags.alias("tags"))
+    return rounded(A.field_summary(e, ["event_type", "k", "user_id", "tags"]))
 
 
 def percent_stack(spark, sf):
@@ -242,8 +248,14 @@ SQL = {
     "ts_rate": f"WITH {SUMS} SELECT metric, g0, ts, round(d / ((epoch(ts) - t) / 60), 6) AS value FROM (SELECT *, value - lag(value) OVER w AS d, lag(epoch(ts)) OVER w AS t FROM sums WINDOW w AS (PARTITION BY g0 ORDER BY ts)) WHERE d IS NOT NULL",
     "ts_trim": f"WITH {SUMS} SELECT metric, g0, ts, round(value, 6) AS value FROM (SELECT *, lag(ts) OVER w AS a, lead(ts) OVER w AS b FROM sums WINDOW w AS (PARTITION BY g0 ORDER BY ts)) WHERE a IS NOT NULL AND b IS NOT NULL",
     "date_histogram": f"""WITH c AS (SELECT CAST(time_bucket(INTERVAL 3 HOUR, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP) AS key, count(*) AS n FROM events GROUP BY 1), sp AS (SELECT unnest(generate_series(TIMESTAMP '2024-01-01', TIMESTAMP '2024-01-31 21:00:00', INTERVAL 3 HOUR)) AS key)
-      SELECT key, coalesce(n, 0) AS n, '3h' AS by FROM sp FULL JOIN c USING (key) UNION ALL SELECT CAST(date_trunc('week', ts + INTERVAL 1 HOUR) AS TIMESTAMP), count(*), 'week' FROM events GROUP BY 1""",
-    "auto_interval": "WITH s AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM events), w AS (SELECT min(w) AS w FROM s, (SELECT unnest([1, 5, 10, 30, 60, 300, 600, 1800, 3600, 10800, 43200, 86400, 604800, 2592000, 31536000]) AS w) WHERE span / w <= 50) SELECT make_timestamp(CAST(floor(epoch(ts) / w) * w AS BIGINT) * 1000000) AS key, count(*) AS n, any_value(CAST(w AS INTEGER)) AS seconds FROM events, w GROUP BY 1",
+      SELECT key, coalesce(n, 0) AS n, '3h' AS by FROM sp FULL JOIN c USING (key) UNION ALL SELECT CAST(time_bucket(INTERVAL 2 HOUR, ts, TIMESTAMP '1970-01-01') AS TIMESTAMP), count(*), '3 or more' FROM events GROUP BY 1 HAVING count(*) >= 3
+      UNION ALL SELECT CAST(date_trunc('week', ts + INTERVAL 1 HOUR) AS TIMESTAMP), count(*), 'week' FROM events GROUP BY 1""",
+    "auto_interval": """WITH rules(bound, width) AS (VALUES (0.5, 0.1), (5, 1), (7.5, 5), (15, 10), (45, 30), (180, 60), (540, 300), (1200, 600), (2700, 1800), (7200, 3600), (21600, 10800), (86400, 43200), (604800, 86400), (1814400, 604800), (31536000, 2592000), (1e18, 31536000)),
+      s AS (SELECT (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS span FROM events), near AS (SELECT span, arg_min(width, bound) AS width FROM rules, s WHERE bound > span / 50 GROUP BY span),
+      asked AS (SELECT span, width AS asked FROM near UNION ALL SELECT span, 600 FROM s),
+      used AS (SELECT asked, CASE WHEN span / asked > 100 THEN (SELECT max(width) FROM rules WHERE width < span / 100) ELSE asked END AS width FROM asked)
+      SELECT make_timestamp(CAST(floor(epoch_us(ts) / (width * 1e6)) * (width * 1e6) AS BIGINT)) AS key, round(count(*) * (asked / width), 4) AS n, round(sum(value) * (asked / width), 4) AS value, CAST(width * 1000 AS BIGINT) AS ms
+      FROM events, used GROUP BY 1, asked, width""",
     "histogram": "WITH c AS (SELECT floor(value / 25) * 25 AS key, count(*) AS n FROM events WHERE value IS NOT NULL GROUP BY 1), sp AS (SELECT CAST(unnest(range(29)) * 25 AS DOUBLE) AS key) SELECT key, coalesce(n, 0) AS n FROM sp FULL JOIN c USING (key)",
     "range_buckets": "SELECT 'low' AS range, count(*) FILTER (WHERE value < 20) AS n FROM events UNION ALL SELECT 'mid', count(*) FILTER (WHERE value >= 10 AND value < 100) FROM events UNION ALL SELECT 'high', count(*) FILTER (WHERE value >= 100) FROM events UNION ALL SELECT 'none', count(*) FILTER (WHERE value >= 1e6) FROM events",
     "date_range_buckets": "SELECT 'before' AS range, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-10') AS n FROM events UNION ALL SELECT 'week', count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-08' AND ts < TIMESTAMP '2024-01-15') FROM events UNION ALL SELECT 'after', count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-20') FROM events",
@@ -267,9 +279,11 @@ SQL = {
     "nested_buckets": """WITH e AS (SELECT event_type, user_id % 2 AS parity, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, value FROM events)
       SELECT event_type, parity, day, count(*) AS n, round(sum(value), 4) AS total, CAST(3 - bit_count(CAST(grouping_id(event_type, parity, day) AS INTEGER)) AS INTEGER) AS level FROM e GROUP BY ROLLUP (event_type, parity, day)""",
     "point_series": f"WITH {DAYS_SQL} SELECT day AS x, event_type || ': n' AS series, CAST(n AS DOUBLE) AS y FROM days UNION ALL SELECT day, event_type || ': most', round(most, 6) FROM days",
-    "field_top_values": f"""WITH {EV}, l AS (SELECT 'event_type' AS field, event_type AS v FROM ev UNION ALL SELECT 'k', CASE WHEN k > 10 THEN CAST(k AS VARCHAR) END FROM ev UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM ev),
-      c AS (SELECT field, v, count(*) AS n FROM l GROUP BY 1, 2), p AS (SELECT field, CAST(coalesce(sum(n) FILTER (WHERE v IS NULL), 0) AS BIGINT) AS missing, CAST(sum(n) FILTER (WHERE v IS NOT NULL) AS BIGINT) AS has FROM c GROUP BY 1)
-      SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, v) AS rank, v AS value, n, round(100.0 * n / has, 6) AS percent, missing, has FROM c JOIN p USING (field) WHERE v IS NOT NULL QUALIFY rank <= 5""",
+    "field_top_values": f"""WITH {EV}, l AS (SELECT 'event_type' AS field, event_type AS v FROM ev UNION ALL SELECT 'k', CASE WHEN k > 10 THEN CAST(k AS VARCHAR) END FROM ev UNION ALL SELECT 'user_id', CAST(user_id AS VARCHAR) FROM ev
+        UNION ALL SELECT 'tags', unnest([event_type, 'all']) FROM ev WHERE k % 3 = 0),
+      c AS (SELECT field, v, count(*) AS n FROM l WHERE v IS NOT NULL GROUP BY 1, 2), t AS (SELECT count(*) AS docs FROM ev),
+      p AS (SELECT 'event_type' AS field, count(event_type) AS has FROM ev UNION ALL SELECT 'k', count(*) FILTER (WHERE k > 10) FROM ev UNION ALL SELECT 'user_id', count(user_id) FROM ev UNION ALL SELECT 'tags', count(*) FILTER (WHERE k % 3 < 2) FROM ev)
+      SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, v) AS rank, v AS value, n, round(100.0 * n / has, 6) AS percent, docs - has AS missing, has FROM c JOIN p USING (field), t QUALIFY rank <= 5""",
     "percent_stack": f"WITH {DAYS_SQL} SELECT day, event_type, round(y, 4) AS y, round(100 * y / sum(y) OVER (PARTITION BY day), 4) AS percent, round(sum(y) OVER (PARTITION BY day ORDER BY event_type), 4) AS stacked FROM days",
 }
 SQL = {name: nudged(sql) for name, sql in SQL.items()}

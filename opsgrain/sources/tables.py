@@ -15,8 +15,33 @@ def upsert(old: DataFrame, new: DataFrame, keys: list[str], written_at: str) ->
 
 
 def write_by_day(df: DataFrame, path: str, ts: str, mode: str = "append") -> None:
-    """Writes a table in folders by day, so that time ranges read only theirs."""
-    df.withColumn("day", F.to_date(ts)).repartition("day").sortWithinPartitions(ts).write.mode(mode).partitionBy("day").parquet(path)
+    """Writes a table in folders by day, so that time ranges read only theirs.
+
+    Rows are rebalanced by day: small days share a task, and a day of more than the advisory size of a partition is
+    dealt to several, each of which writes a file of its own.
+    """
+    days = df.withColumn("day", F.to_date(ts)).hint("rebalance", F.col("day"))
+    days.sortWithinPartitions("day", ts).write.mode(mode).partitionBy("day").parquet(path)
+
+
+def partitions_in_range(partitions: DataFrame, low: str, high: str, start: str | None = None, end: str | None = None, descending: bool = False) -> DataFrame:
+    """The partitions whose ``[low, high]`` meets ``[start, end]``, in the order of their times; open ends are None."""
+    meets = F.lit(True)
+    if end is not None:
+        meets = meets & (F.col(low) <= F.lit(end).cast("timestamp"))
+    if start is not None:
+        meets = meets & (F.col(high) >= F.lit(start).cast("timestamp"))
+    order = [F.col(high).desc(), F.col(low).desc()] if descending else [F.col(low).asc(), F.col(high).asc()]
+    return partitions.where(meets).orderBy(*order)
+
+
+def interval_names(spark: SparkSession, prefix: str, pattern: str, unit: str, start: str, end: str) -> DataFrame:
+    """``name, low, high`` of the partitions that are named by their interval, like ``logs-2024.01.05`` with the pattern
+    ``yyyy.MM.dd``: those of each ``unit`` that meets ``[start, end]``."""
+    first = f"date_trunc('{unit}', timestamp'{start}')"
+    low = spark.range(1).select(F.explode(F.expr(f"sequence({first}, timestamp'{end}', interval 1 {unit})")).alias("low"))
+    high = F.col("low") + F.expr(f"interval 1 {unit}") - F.expr("interval 1 microsecond")
+    return low.select(F.concat(F.lit(prefix), F.date_format("low", pattern)).alias("name"), "low", high.alias("high"))
 
 
 def read_days(spark: SparkSession, path: str, ts: str, start: str, end: str) -> DataFrame:
@@ -43,11 +68,17 @@ def delete_where(df: DataFrame, condition: Column) -> DataFrame:
     return df.where(~F.coalesce(condition, F.lit(False)))
 
 
-def topology_message(nodes: DataFrame, services: DataFrame) -> DataFrame:
-    """One JSON document for each deployment: host to ids, and its services."""
-    hosts = nodes.groupBy("deployment_id").agg(F.map_from_entries(F.sort_array(F.collect_set(F.struct("host_name", F.struct("customer_id", "cluster_id"))))).alias("hosts"))
-    listed = services.groupBy("deployment_id").agg(F.sort_array(F.collect_set(F.struct("cluster_id", "service"))).alias("services"))
-    return hosts.join(listed, "deployment_id", "left").select("deployment_id", F.to_json(F.struct("hosts", "services")).alias("message"))
+def topology_message(nodes: DataFrame, services: DataFrame, most: int = 10_000) -> DataFrame:
+    """JSON documents for each deployment: host to ids, and its services; ``part`` counts them from 0.
+
+    A document has at most ``most`` hosts and as many services, so that no list grows with the deployment.
+    """
+    part = lambda order: F.expr(f"(row_number() over (partition by deployment_id order by {order}) - 1) div {most}")
+    hosts = nodes.groupBy("deployment_id", "host_name").agg(F.max(F.struct("customer_id", "cluster_id")).alias("ids")).withColumn("part", part("host_name"))
+    hosts = hosts.groupBy("deployment_id", "part").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("host_name", "ids")))).alias("hosts"))
+    listed = services.select("deployment_id", "cluster_id", "service").distinct().withColumn("part", part("cluster_id, service"))
+    listed = listed.groupBy("deployment_id", "part").agg(F.sort_array(F.collect_list(F.struct("cluster_id", "service"))).alias("services"))
+    return hosts.join(listed, ["deployment_id", "part"], "full").select("deployment_id", "part", F.to_json(F.struct("hosts", "services")).alias("message"))
 
 
 def write_csv(df: DataFrame, path: str) -> None:

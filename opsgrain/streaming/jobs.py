@@ -1,16 +1,24 @@
 """Streaming jobs. Each has a batch twin: slots' statistics, deltas against the record before, running variance,
-duplicate flows, and detection on finished slots."""
+duplicate flows, and the whole job from wire lines to anomalies.
+
+The whole job (:func:`minute_job`) keeps three tables, in folders by hour and batch: raw samples, statistics of finished
+slots, and anomalies. A batch that is run again replaces its own folders alone, and reads only the hours it looks back on.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from opsgrain.operators.stats import distribution
 from opsgrain.operators.stats import velocity as with_velocity
+from opsgrain.sources.lines import parse_wire
 
 
 def slot_stats(rows: DataFrame, keys: list[str], ts: str, value: str, slot: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -31,14 +39,18 @@ def running_variance(rows: DataFrame, keys: list[str], value: str) -> DataFrame:
     return rows.groupBy(*keys).agg(F.count(x).alias("n"), F.avg(x).alias("mean"), F.var_pop(x).alias("var_pop"))
 
 
-def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str) -> DataFrame:
+def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_hours: int = 48) -> DataFrame:
     """``key, order, delta, elapsed_ms`` of each record against the one before of its key, held as state.
 
     Records of one micro-batch are taken in the order of ``ts`` and ``order``. The delta is relative, and 0 unless the
-    value rises from one other than 0; a key's first record has neither.
+    value rises from one other than 0; a key's first record has neither. A key without records for ``forget_hours``, by
+    the times of all records, is forgotten, and its next record is a first one; records older than that are left out.
     """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        if state.hasTimedOut:
+            state.remove()
+            return
         df = pd.concat(list(frames)).sort_values([ts, order], kind="stable")
         before = state.get if state.exists else (None, None)
         prev = df[value].shift(1)
@@ -49,11 +61,12 @@ def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str) -> DataFr
         rises = (prev != 0) & (df[value] > prev)
         delta = ((df[value] - prev) / prev.where(rises, 1.0)).where(rises, 0.0).where(prev.notna())
         state.update((float(df[value].iloc[-1]), int(at.iloc[-1])))
+        state.setTimeoutTimestamp(int(at.max()) // 1000 + forget_hours * 3_600_000)
         yield pd.DataFrame({key: k[0], order: df[order].to_numpy(), "delta": delta.to_numpy(), "elapsed_ms": ((at - prev_at) / 1000).to_numpy()})
 
     kinds = {f.name: f.dataType.simpleString() for f in rows.schema}
-    return rows.groupBy(key).applyInPandasWithState(
-        run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, delta double, elapsed_ms double", "value double, at long", "append", GroupStateTimeout.NoTimeout
+    return rows.withWatermark(ts, f"{forget_hours} hours").groupBy(key).applyInPandasWithState(
+        run, f"`{key}` {kinds[key]}, `{order}` {kinds[order]}, delta double, elapsed_ms double", "value double, at long", "append", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -97,17 +110,92 @@ def fan_out(*sinks: Callable[[DataFrame, int], None]) -> Callable[[DataFrame, in
     return write
 
 
-def detection(stats_path: str, found_path: str, look_back_seconds: int, detect: Callable[[DataFrame], DataFrame]) -> Callable[[DataFrame, int], None]:
-    """A sink for finished slots: adds them to the table of statistics and runs a detector on each batch's range with
-    its look-back; anomalies go to the batch's own folder."""
+def text_sink(path: str, line: Column) -> Callable[[DataFrame, int], None]:
+    """A sink of lines of text, one folder for each batch."""
+
+    def write(df: DataFrame, batch: int) -> None:
+        df.select(line.alias("value")).write.mode("overwrite").text(f"{path}/batch={batch}")
+
+    return write
+
+
+def hour_of(at: Column) -> Column:
+    """The folder of a time."""
+    return F.date_format(F.date_trunc("hour", at), "yyyyMMddHH")
+
+
+def write_hours(df: DataFrame, path: str, at: str, batch: int) -> None:
+    """Writes rows to the folders of their hours and this batch; only those are replaced."""
+    out = df.withColumns({"hour": hour_of(F.col(at)), "batch": F.lit(batch).cast("long")})
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+
+
+def read_hours(spark: SparkSession, path: str, low: datetime, high: datetime) -> DataFrame | None:
+    """Rows in the folders of the hours from ``low`` to ``high``, no others are listed; None without any.
+
+    ``low`` and ``high`` are in the session's time zone.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
+    first = low.replace(minute=0, second=0, microsecond=0)
+    hours = [first + timedelta(hours=i) for i in range(int((high - first).total_seconds() // 3600) + 1)]
+    found = [f"{path}/hour={h:%Y%m%d%H}" for h in hours]
+    found = [p for p in found if fs.exists(fs_path(p))]
+    kinds = {"hour": T.StringType(), "batch": T.LongType()}  # folders' names would be read as numbers
+    return spark.read.option("basePath", path).parquet(*found).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}) if found else None
+
+
+def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """The last batch's row of each key."""
+    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))).where("_r = 1").drop("_r")
+
+
+def minute_job(
+    path: str, keys: list[str], detect: Callable[[DataFrame], DataFrame] | None = None, value: str = "value", ts: str = "ts",
+    slot_seconds: int = 60, late_seconds: int = 120, look_back_seconds: int = 300, extra: list[Column] | None = None,
+) -> Callable[[DataFrame, int], None]:
+    """A sink that turns batches of samples into statistics of finished slots and anomalies, under ``path``.
+
+    ``raw`` keeps the samples. A slot is finished once a sample is ``late_seconds`` past its end; a batch finishes the slots
+    that no batch before it has, and does those again that it brings late samples for, so that the last row of a key is
+    what a batch run over all samples gives (:func:`~opsgrain.operators.stats.distribution` with a refit, as ``stats``).
+    ``detect`` takes the statistics of those slots and of ``look_back_seconds`` before them; of its rows those of the slots
+    done now go to ``found`` (they need ``slot`` and the keys), so that each slot is reported once and mended in place.
+    Samples more than a day older than the newest one of their batch stay in ``raw`` for a batch run.
+    """
+    width = timedelta(seconds=slot_seconds)
 
     def write(df: DataFrame, batch: int) -> None:
         spark = df.sparkSession
-        df.write.mode("overwrite").parquet(f"{stats_path}/batch={batch}")
-        span = df.agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first()
-        if span["lo"] is None:
+        samples = df.withColumn("slot", F.timestamp_seconds(F.floor(F.unix_seconds(ts) / slot_seconds) * slot_seconds))
+        write_hours(samples, f"{path}/raw", "slot", batch)
+        newest = df.agg(F.max(ts).alias("t")).first()["t"]
+        if newest is None:
+            return
+        oldest = newest - timedelta(days=1)
+        raw = read_hours(spark, f"{path}/raw", oldest, newest).where(F.col("batch") <= batch)
+        over = raw.where(F.col("slot") + F.expr(f"interval {slot_seconds + late_seconds} seconds") <= F.lit(newest))
+        own = over.groupBy("slot").agg(F.max("batch").alias("last"))
+        known = read_hours(spark, f"{path}/stats", oldest, newest)
+        before = known.where(F.col("batch") < batch).select("slot").distinct() if known is not None else None
+        todo = own if before is None else own.join(before.withColumn("seen", F.lit(True)), "slot", "left").where(F.col("seen").isNull() | (F.col("last") == batch)).select("slot", "last")
+        stats = distribution(over.join(todo.select("slot"), "slot", "left_semi"), [*keys, "slot"], value, True, extra)
+        write_hours(stats, f"{path}/stats", "slot", batch)
+        now = read_hours(spark, f"{path}/stats", oldest, newest)
+        span = now.where(F.col("batch") == batch).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first() if now is not None else None
+        if detect is None or span is None or span["lo"] is None:
             return
-        rows = spark.read.parquet(stats_path).where((F.unix_seconds("slot") >= F.unix_seconds(F.lit(span["lo"])) - look_back_seconds) & (F.col("slot") <= F.lit(span["hi"])))
-        detect(rows.drop("batch")).write.mode("overwrite").parquet(f"{found_path}/batch={batch}")
+        rows = latest(now.where(F.col("batch") <= batch), [*keys, "slot"]).where(F.col("slot").between(span["lo"] - timedelta(seconds=look_back_seconds), span["hi"] + width))
+        done = now.where(F.col("batch") == batch).select("slot").distinct()
+        write_hours(detect(rows.drop("hour", "batch")).join(done, "slot", "left_semi"), f"{path}/found", "slot", batch)
 
     return write
+
+
+def run_minutes(lines: DataFrame, path: str, job: Callable[[DataFrame, int], None], seconds: int | None = 60, text: Column | None = None):
+    """Starts the whole job on a stream of wire lines (``line``): parsed samples go to ``job`` and, as ``text``, to a text
+    sink beside it; a batch every ``seconds``, or all that is there and an end with None."""
+    samples = parse_wire(lines).where("error is null")
+    sink = fan_out(job, text_sink(f"{path}/text", text)) if text is not None else fan_out(job)
+    writer = samples.writeStream.option("checkpointLocation", f"{path}/checkpoint").foreachBatch(sink)
+    return (writer.trigger(processingTime=f"{seconds} seconds") if seconds else writer.trigger(availableNow=True)).start()

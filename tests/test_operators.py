@@ -69,8 +69,8 @@ def test_sizes_and_addresses(spark):
     df = spark.createDataFrame([("1.2 GB",), ("12",), ("x",), (None,)], "s string")
     assert [r[0] for r in df.select(X.parse_size(F.col("s"))).collect()] == [1_200_000_000, 12, None, None]
     assert X.cidr_range("10.0.16.77/20") == (167776256, 167780351)
-    pair = spark.createDataFrame([("get a b", "get x b"), ("a", "b"), ("a b", "a")], "x string, y string")
-    assert [r[0] for r in pair.select(X.pair_template(F.col("x"), F.col("y"))).collect()] == ["get _ b", None, None]
+    pair = spark.createDataFrame([("get a b", "get x b"), ("a", "b"), ("a b", "a"), ("u v get  w", "get w"), ("b a", "a c b"), ("x x", "x"), ("", ""), (None, "a")], "x string, y string")
+    assert [r[0] for r in pair.select(X.pair_template(F.col("x"), F.col("y"))).collect()] == ["get _ b", None, "a _", "_ get w", "b a", None, None, None]
 
 
 def test_registry(spark):
@@ -141,3 +141,40 @@ def test_long_and_odd_lines(spark):
 def test_flatten_keeps_longer_arrays(spark):
     df = spark.sql("select struct(array(1) as a, array(1, 2) as b, cast(array() as array<int>) as c, cast(null as array<int>) as d) as s")
     assert P.flatten(df).first().asDict() == {"s.a": 1, "s.a[]": None, "s.b": None, "s.b[]": [1, 2], "s.c": None, "s.c[]": [], "s.d": None, "s.d[]": None}
+
+
+def test_intervals():
+    assert [search.nearest_width(t) for t in (12_000, 400, 14_999, 15_000, 8 * 86_400_000, 1e12)] == [10_000, 100, 10_000, 30_000, 7 * 86_400_000, 365 * 86_400_000]
+    assert search.widened(60_000, 3_600_000) == (60_000, 1.0)
+    wide, scale = search.widened(1000, 86_400_000)
+    assert (wide, scale) == (600_000, 1000 / 600_000)
+
+
+def test_arrays_count_by_element(spark):
+    df = spark.createDataFrame([(["a", "b"],), (["a", None],), ([],), (None,)], "t array<string>")
+    assert {(r.value, r.n, r.percent, r.missing, r.has) for r in search.field_summary(df, ["t"]).collect()} == {("a", 2, 200 / 3, 1, 3), ("b", 1, 100 / 3, 1, 3)}
+
+
+def test_days_are_dealt_to_several_tasks(spark, tmp_path):
+    spark.conf.set("spark.sql.adaptive.advisoryPartitionSizeInBytes", "64k")
+    try:
+        df = spark.range(200_000, numPartitions=8).select("id", F.timestamp_seconds(F.when(F.col("id") < 190_000, 5).otherwise(F.col("id"))).alias("ts"))
+        tables.write_by_day(df, str(tmp_path / "t"), "ts")
+    finally:
+        spark.conf.unset("spark.sql.adaptive.advisoryPartitionSizeInBytes")
+    assert len(list((tmp_path / "t" / "day=1970-01-01").glob("*.parquet"))) > 3
+    assert spark.read.parquet(str(tmp_path / "t")).count() == 200_000
+
+
+def test_rollup_in_steps_equals_one(spark, tmp_path):
+    from opsgrain.operators import rank
+    from opsgrain.plans import anomaly_queries as Q
+    from opsgrain.plans.data_queries import LEVELS
+    from opsgrain.plans.inputs import DAY
+
+    rows = Q.filled(spark, "/root/testdata/sf0.001").where("cluster_id < 'cl2'").persist()
+    for path, ends in (("one", ["2024-02-01"]), ("steps", ["2024-01-11", "2024-01-18", "2024-02-01", "2024-02-01"])):
+        for end in ends:
+            rank.roll_up(rows, str(tmp_path / path), "2023-12-28 00:00:00", f"{end} 00:00:00", LEVELS, Q.HOST, "slot", DAY, 7)
+    one, steps = (spark.read.parquet(str(tmp_path / p)) for p in ("one", "steps"))
+    assert one.count() == steps.count() > 0 and one.exceptAll(steps.select(one.columns)).count() == 0

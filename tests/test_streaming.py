@@ -1,10 +1,14 @@
 """Streams against their batch twins."""
 
+import random
+from datetime import datetime
+
 import pytest
 from pyspark.sql import functions as F
 
-from opsgrain.operators.stats import merge_moments, moments, relative_delta, velocity
+from opsgrain.operators.stats import distribution, merge_moments, moments, relative_delta, velocity
 from opsgrain.plans.inputs import NUDGE, metrics
+from opsgrain.sources import lines as L
 from opsgrain.sources import tables
 from opsgrain.streaming import jobs
 
@@ -53,15 +57,23 @@ def test_running_variance(spark, source, tmp_path):
     assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
 
 
-def test_once_and_late_rows(spark, tmp_path):
-    rows = [(1, 0), (1, 30), (2, 10), (3, 1000), (1, 5), (4, 2000)]
-    path = str(tmp_path / "in")
-    schema = "k int, ts timestamp"
-    for r in rows:
-        spark.createDataFrame([r], "k int, s long").select("k", F.timestamp_seconds("s").alias("ts")).coalesce(1).write.mode("append").parquet(path)
-    df = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(path)
-    got = run(jobs.once(df, ["k"], "ts", "2 minutes"), tmp_path)
-    assert sorted(r.k for r in got.collect()) in ([1, 2, 3, 4], [1, 1, 2, 3, 4])
+def minutes(spark, path, rows, schema="k int, s long"):
+    """One file for each batch, with ``ts`` from seconds."""
+    for batch in rows:
+        spark.createDataFrame(batch, schema).withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(f"{schema}, ts timestamp").option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_once_within_the_watermark(spark, tmp_path):
+    df = minutes(spark, str(tmp_path / "in"), [[(1, 0), (2, 10)], [(1, 30), (3, 1000)], [(4, 2000)]])
+    assert sorted(r.k for r in run(jobs.once(df, ["k"], "ts", "2 minutes"), tmp_path).collect()) == [1, 2, 3, 4]
+
+
+def test_late_rows_are_left_out_of_windows(spark, tmp_path):
+    """A row that comes once its minute was given out does not count (Spark lets it in for one more batch); one before does."""
+    df = minutes(spark, str(tmp_path / "in"), [[(1, 0)], [(1, 130)], [(1, 30)], [(1, 1000)], [(1, 1010)], [(1, 20)], [(1, 2000)]])
+    got = run(jobs.slot_stats(df, ["k"], "ts", "s", "1 minute", "2 minutes"), tmp_path)
+    assert [(r.slot.minute, r.size) for r in got.orderBy("slot").collect()] == [(0, 2), (2, 1), (16, 2)]
 
 
 def test_restart_goes_on(spark, source, tmp_path):
@@ -82,12 +94,100 @@ def test_failing_sink(spark):
     assert seen == [3]
 
 
-def test_detection(spark, source, tmp_path):
-    stats = jobs.slot_stats(stream(spark, source), ["series"], "ts", "value", "1 day", "1 hour")
-    run(stats, tmp_path, sink=jobs.detection(str(tmp_path / "s"), str(tmp_path / "f"), 5 * 86400, lambda d: d.where("max_val > 100")))
-    want = spark.read.parquet(str(tmp_path / "s")).where("max_val > 100").select("slot", "series").distinct()
-    got = spark.read.parquet(str(tmp_path / "f")).select("slot", "series").distinct()
-    assert sorted(got.collect()) == sorted(want.collect())
+KEYS = ["host_name", "classification"]
+
+
+def wire(samples):
+    return [(f"plugin=app.{c},host={h}:10.0.0.1,cluster_id=c,deployment_id=d,customer_id=u,ts={s * 1000 + 7},value={v}",) for h, c, s, v in samples]
+
+
+@pytest.fixture(scope="module")
+def samples():
+    """Twenty minutes of two series in five batches; the third brings late samples, of a minute that is done and of one that
+    is not, and the last closes all minutes."""
+    rng = random.Random(5)
+    of = lambda lo, hi: [(h, c, 60 * m + rng.randrange(60), round(rng.choice([rng.gauss(5, 1), rng.gauss(50, 1)]), 3)) for m in range(lo, hi) for h in ("a", "b") for c in ("x", "y") for _ in range(7)]
+    late = [("a", "x", 65, 99.0), ("b", "y", 9 * 60 + 5, 98.0)]
+    return [of(0, 6), of(6, 12), [*of(12, 15), *late], of(15, 20), [("a", "x", 60 * 60, 1.0)]]
+
+
+def high(stats):
+    return stats.where("max_val > 51.5").select(*KEYS, "slot", "max_val")
+
+
+def started(spark, path, batches, again=False):
+    for i, batch in enumerate(batches):
+        spark.createDataFrame(wire(batch), "line string").coalesce(1).write.mode("append").text(f"{path}/in")
+        lines = spark.readStream.text(f"{path}/in").withColumnRenamed("value", "line")
+        put = L.put_line(F.col("classification"), F.col("ts"), F.col("value"), F.create_map(F.lit("host"), "host_name"))
+        job = jobs.minute_job(path, KEYS, high)
+        jobs.run_minutes(lines, path, job, None, put).awaitTermination()  # each start goes on where the last one ended
+        if again and i == 2:
+            job(L.parse_wire(spark.createDataFrame(wire(batch), "line string")), 2)  # a batch that is run again
+    return path
+
+
+def test_whole_job_equals_the_batch_run(spark, samples, tmp_path):
+    path = started(spark, str(tmp_path / "job"), samples, True)
+    everything = L.parse_wire(spark.createDataFrame(wire([s for b in samples[:4] for s in b]), "line string"))
+    want = distribution(everything, [*KEYS, "slot"], "value", True)
+    columns = [*KEYS, "slot", "size", *(F.round(F.col(c) + NUDGE, 5) for c in ("mean", "stddev", "score")), *(f"f{i}" for i in range(6))]
+    got = jobs.latest(spark.read.parquet(f"{path}/stats"), [*KEYS, "slot"])
+    assert sorted(got.select(*columns).collect()) == sorted(want.select(*columns).collect())
+    assert want.where("f0 + f1 + f4 + f5 > 0").count() > 0
+    found = jobs.latest(spark.read.parquet(f"{path}/found"), [*KEYS, "slot"])
+    assert sorted(found.select(*KEYS, "slot", "max_val").collect()) == sorted(high(want).collect())
+    times = spark.read.parquet(f"{path}/found").groupBy(*KEYS, "slot").count().where("count > 1").collect()
+    assert {r.slot.minute for r in times} <= {1}  # only the minute that had a late sample is written twice
+    lines = [r.value for r in spark.read.text(f"{path}/text").collect()]
+    assert len(lines) == sum(map(len, samples)) and all(x.startswith("put ") for x in lines)
+
+
+def test_hours_are_pruned(spark, tmp_path):
+    df = spark.range(10).withColumn("slot", F.timestamp_seconds(F.col("id") * 1800))
+    path = str(tmp_path / "t")
+    jobs.write_hours(df, path, "slot", 0)
+    jobs.write_hours(df.where("id < 4"), path, "slot", 1)
+    jobs.write_hours(df.where("id < 2"), path, "slot", 1)
+    got = jobs.read_hours(spark, path, datetime(1970, 1, 1, 0, 30), datetime(1970, 1, 1, 1, 10))
+    assert sorted((r.id, r.batch) for r in got.collect()) == [(0, 0), (0, 1), (1, 0), (1, 1), (2, 0), (2, 1), (3, 0), (3, 1)]
+    assert jobs.read_hours(spark, path, datetime(1980, 1, 1), datetime(1980, 1, 1)) is None
+
+
+def test_dead_series_are_forgotten(spark, tmp_path):
+    df = minutes(spark, str(tmp_path / "in"), [[(1, 0)], [(1, 10)]])
+    got = run(jobs.deltas(df.withColumn("v", F.col("s") + 1.0), "k", "s", "ts", "v", 1), tmp_path).orderBy("s").collect()
+    assert [(r.s, r.delta) for r in got] == [(0, None), (10, 10.0)]
+
+
+def test_kafka_options(spark):
+    """The connector is the cluster's; the options that would reach it are looked at here."""
+    class Builder(dict):
+        def format(self, name):
+            return self.option("format", name)
+
+        def option(self, key, value):
+            self[key] = value
+            return self
+
+        def options(self, **more):
+            self.update(more)
+            return self
+
+        def load(self):
+            return spark.createDataFrame([(b"a line", None, "x")], "value binary, timestamp timestamp, key string")
+
+    class Session:
+        readStream = Builder()  # noqa: N815
+
+    got = tables.kafka_source(Session(), "host:9092", "log", startingOffsets="earliest")
+    assert Session.readStream == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "subscribe": "log", "startingOffsets": "earliest"}
+    assert got.columns == ["line", "received"] and got.first()["line"] == "a line"
+
+    class Frame:
+        writeStream = Builder()  # noqa: N815
+
+    assert tables.kafka_sink(Frame(), "host:9092", "out", "/c") == {"format": "kafka", "kafka.bootstrap.servers": "host:9092", "topic": "out", "checkpointLocation": "/c"}
 
 
 def test_tailed_files(spark, tmp_path):
