@@ -43,8 +43,9 @@ def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_ho
     """``key, order, delta, elapsed_ms`` of each record against the one before of its key, held as state.
 
     Records of one micro-batch are taken in the order of ``ts`` and ``order``. The delta is relative, and 0 unless the
-    value rises from one other than 0; a key's first record has neither. A key without records for ``forget_hours``, by
-    the times of all records, is forgotten, and its next record is a first one; records older than that are left out.
+    value rises from one other than 0; a key's first record has neither. A record more than
+    ``forget_hours`` after the one before is a first one, and the state of keys that are silent for so long, by the times of
+    all records, is dropped; records that come later than that are left out.
     """
 
     def run(k: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
@@ -58,6 +59,8 @@ def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_ho
         prev_at = at.shift(1).astype("float64")
         if before[0] is not None:
             prev.iloc[0], prev_at.iloc[0] = before
+        prev = prev.where(at - prev_at <= forget_hours * 3_600_000_000)  # whether or not its state is gone already
+        prev_at = prev_at.where(prev.notna())
         rises = (prev != 0) & (df[value] > prev)
         delta = ((df[value] - prev) / prev.where(rises, 1.0)).where(rises, 0.0).where(prev.notna())
         state.update((float(df[value].iloc[-1]), int(at.iloc[-1])))
@@ -70,9 +73,9 @@ def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_ho
     )
 
 
-def velocities(rows: DataFrame, key: str, order: str, ts: str, value: str) -> DataFrame:
+def velocities(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_hours: int = 48) -> DataFrame:
     """:func:`deltas` with their velocity."""
-    return with_velocity(deltas(rows, key, order, ts, value))
+    return with_velocity(deltas(rows, key, order, ts, value, forget_hours))
 
 
 def once(rows: DataFrame, keys: list[str], ts: str, late: str = "2 minutes") -> DataFrame:

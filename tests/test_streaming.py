@@ -44,7 +44,7 @@ def test_slot_stats(spark, source, tmp_path):
 
 
 def test_deltas(spark, source, tmp_path):
-    got = run(jobs.deltas(stream(spark, source), "series", "event_id", "ts", "value"), tmp_path)
+    got = run(jobs.deltas(stream(spark, source), "series", "event_id", "ts", "value", 1000), tmp_path)
     want = relative_delta(source[0], ["series"], ["ts", "event_id"], "value", "ts")
     columns = ["event_id", F.round("delta", 6), F.round("elapsed_ms", 3)]
     assert sorted(got.select(*columns).collect(), key=repr) == sorted(want.select(*columns).collect(), key=repr)
@@ -155,9 +155,9 @@ def test_hours_are_pruned(spark, tmp_path):
 
 
 def test_dead_series_are_forgotten(spark, tmp_path):
-    df = minutes(spark, str(tmp_path / "in"), [[(1, 0)], [(1, 10)]])
-    got = run(jobs.deltas(df.withColumn("v", F.col("s") + 1.0), "k", "s", "ts", "v", 1), tmp_path).orderBy("s").collect()
-    assert [(r.s, r.delta) for r in got] == [(0, None), (10, 10.0)]
+    df = minutes(spark, str(tmp_path / "in"), [[(1, 10_000), (2, 10_000)], [(1, 10_010)], [(2, 30_000)], [(1, 30_010), (2, 30_020)]])
+    got = run(jobs.deltas(df.withColumn("v", F.col("s") * 1.0), "k", "s", "ts", "v", 1), tmp_path).orderBy("s", "k").collect()
+    assert [(r.k, r.s, r.delta and round(r.delta, 6)) for r in got] == [(1, 10_000, None), (2, 10_000, None), (1, 10_010, 0.001), (2, 30_000, 2.0), (1, 30_010, None), (2, 30_020, round(20 / 30_000, 6))]
 
 
 def test_kafka_options(spark):
@@ -198,7 +198,7 @@ def test_tailed_files(spark, tmp_path):
 
 
 def test_velocities(spark, source, tmp_path):
-    got = run(jobs.velocities(stream(spark, source), "series", "event_id", "ts", "value"), tmp_path)
+    got = run(jobs.velocities(stream(spark, source), "series", "event_id", "ts", "value", 1000), tmp_path)
     want = velocity(relative_delta(source[0], ["series"], ["ts", "event_id"], "value", "ts"))
     columns = ["event_id", F.round(F.col("velocity") * 1e6, 4)]
     assert sorted(got.select(*columns).collect(), key=repr) == sorted(want.select(*columns).collect(), key=repr)
