@@ -220,7 +220,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     return cut.join(base, ["file", "length"]).mapInArrow(place, PLACED)
 
 
-def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 48) -> DataFrame:
+def pack_in_order(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 16) -> DataFrame:
     """As :func:`pack`, for a table read from Parquet files that were written in an order to keep.
 
     Stretches of at most :data:`SEGMENT` rows of one file are packed each on its own, by the same plan, and numbered
