@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from opsgrain.llm import katz, matroska, mixing, packing, secrets, simhash, token_store, toxicity, url_filter, vectors
+from opsgrain.llm import divergence, katz, matroska, mixing, packing, runs, secrets, simhash, token_store, topk, toxicity, url_filter, vectors
 from opsgrain.llm.common import table_path, written
 from opsgrain.llm.tokens import public
 
@@ -56,6 +57,18 @@ def op10_matroska(spark: SparkSession, sf_dir: str) -> DataFrame:
     return matroska.features(stored)
 
 
+def op11_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.search(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 100 == 0, 10, 1024)
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.digests(runs.detect(runs.planted(table(spark, sf_dir, "documents"))))
+
+
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"), 3, 200)
+
+
 QUERIES = {
     "op1_simhash": op1_simhash,
     "op2_toxicity": op2_toxicity,
@@ -67,5 +80,8 @@ QUERIES = {
     "op8_url_filter": op8_url_filter,
     "op9_embedding_duplicates": op9_embedding_duplicates,
     "op10_matroska": op10_matroska,
+    "op11_exact_top_k": op11_exact_top_k,
+    "op12_periodic_runs": op12_periodic_runs,
+    "op13_source_divergence": op13_source_divergence,
 }
-SQL = {"op8_url_filter": url_filter.SQL}
+SQL = {"op8_url_filter": url_filter.SQL, "op11_exact_top_k": topk.SQL, "op13_source_divergence": divergence.SQL}

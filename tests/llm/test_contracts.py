@@ -203,4 +203,4 @@ def test_no_folder_of_one_machine_on_a_cluster(spark, monkeypatch):
 
 
 def test_queries_are_listed(spark):
-    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in queries.QUERIES] == [f"op{i}" for i in range(1, 14)]
