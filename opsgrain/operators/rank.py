@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from opsgrain.operators.severity import HEALTHY, quantize_thermals, quantized_severity, severity_counts, severity_grid, severity_runs, worst_of_merge
+from opsgrain.operators.rollup import at_levels, entity_summaries, series_summaries, summary_view, window_of
+from opsgrain.operators.severity import HEALTHY, quantize_thermals, severity_counts
 
 
 def transition_matrix(runs: DataFrame, series: list[str], slots: int) -> DataFrame:
@@ -61,49 +62,36 @@ def entity_snapshot(slots: DataFrame, levels: list[list[str]], ts: str) -> DataF
     return severity_counts(each, keys).join(quantize_thermals(each, keys, "severity").drop("slots"), keys)
 
 
-def _at_levels(df: DataFrame, levels: list[list[str]], *columns) -> DataFrame:
-    """Each row once for each level: ``level``, the entity's columns (``*`` where the level has none) and ``columns``."""
-    names = list(dict.fromkeys(c for level in levels for c in level))
-    sets = F.array(*(F.struct(F.lit(i).alias("level"), *(F.col(c) if c in level else F.lit("*").alias(c) for c in names)) for i, level in enumerate(levels)))
-    return df.select(F.explode(sets).alias("_e"), *columns).select("_e.*", *[c for c in df.select(*columns).columns])
-
-
-def wide_slot(ts: str, seconds: int):
-    """The slot of ``seconds`` that a time falls in."""
-    return F.timestamp_seconds(F.floor(F.unix_seconds(ts) / seconds) * seconds)
-
-
 def slot_summaries(
     graded: DataFrame, levels: list[list[str]], series: list[str], ts: str, grain: int, coarse: int, single: float = 0.25, majority: float = 0.5,
-    replicated: bool = False, services: DataFrame | None = None, connections: DataFrame | None = None, most: int = 10,
+    replicated: bool = False, services: DataFrame | None = None, connections: DataFrame | None = None, most: int | None = None,
 ) -> DataFrame:
     """One row for each entity of each level and ``window`` of ``coarse`` slots of ``grain`` seconds, all in one plan.
 
     ``graded`` has a severity and score for each slot of each series. A row has the number of series in each quantised
     grade (``n_1`` and so on), the entity's own quantised severity from its worst slots, its ``heat`` as runs of equal
-    level, and its ``most`` largest contributors as ``stats``. ``services`` has the entities' columns, ``at`` and sub_type:
-    counts by sub-type. ``connections`` has the columns of the entities called, ``at``, ``caller``, service, request_count
-    and error_count: the ``most`` busiest. Nested lists are bounded by ``coarse`` or ``most``.
+    level, and its contributors as ``stats``, all or the ``most`` largest. ``services`` has the entities' columns, ``at`` and
+    sub_type: counts by sub-type. ``connections`` has the columns of the entities called, ``at``, ``caller``, service,
+    request_count and error_count: all or the ``most`` busiest. Runs are found once for each series and once for each
+    entity, as summaries that merge (see :mod:`opsgrain.operators.rollup`).
     """
     seconds, names = grain * coarse, list(dict.fromkeys(c for level in levels for c in level))
     keys = ["level", *names, "window"]
-    each = _at_levels(graded, levels, F.struct(*series).alias("series"), F.col(ts).alias("at"), "severity", "score", wide_slot(ts, seconds).alias("window"))
-    own = quantized_severity(each, [*keys, "series"], "at", grain, coarse, single, majority, replicated)
-    merged = worst_of_merge(each, keys, "at")
-    state = quantized_severity(merged, keys, "at", grain, coarse, single, majority, replicated)
-    heat = severity_runs(merged.withColumn("severity", severity_grid(F.col("severity"))), keys, "at", grain)
-    heat = heat.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("start", F.col("severity").alias("level"), "duration"))).alias("heat"))
-    causes = contributions(severity_runs(each, [*keys, "series"], "at", grain, "avg"), [*keys, "series"], keys, state, coarse).where(F.col("rank") <= most)
-    causes = causes.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "series", "contribution", "share"))).alias("stats"))
-    out = state.join(severity_counts(own, keys), keys).join(heat, keys).join(causes, keys, "left")
-    out = out.withColumn("stats", F.coalesce("stats", F.array().cast(causes.schema["stats"].dataType)))
+    of_series = series_summaries(graded, series, ts, grain, seconds)
+    out = summary_view(of_series, entity_summaries(graded, levels, ts, grain, seconds), levels, series, coarse, single, majority, replicated, most)
+    return with_calls(out, keys, levels, seconds, services, connections, most)
+
+
+def with_calls(out: DataFrame, keys: list[str], levels: list[list[str]], seconds: int, services: DataFrame | None = None, connections: DataFrame | None = None, most: int | None = None) -> DataFrame:
+    """Adds what the entities' services and connections did in each window to rows of :func:`~opsgrain.operators.rollup.summary_view`."""
     if services is not None:
-        seen = _at_levels(services, levels, wide_slot("at", seconds).alias("window"), "sub_type").groupBy(*keys, "sub_type").agg(F.count("*").alias("n"))
+        seen = at_levels(services, levels, window_of(F.col("at"), seconds).alias("window"), "sub_type").groupBy(*keys, "sub_type").agg(F.count("*").alias("n"))
         out = out.join(seen.groupBy(*keys).agg(F.map_from_entries(F.collect_list(F.struct("sub_type", "n"))).alias("services")), keys, "left")
     if connections is not None:
-        calls = _at_levels(connections, levels, wide_slot("at", seconds).alias("window"), "caller", "service", "request_count", "error_count")
+        calls = at_levels(connections, levels, window_of(F.col("at"), seconds).alias("window"), "caller", "service", "request_count", "error_count")
         calls = calls.groupBy(*keys, "caller", "service").agg(F.sum("request_count").alias("requests"), F.sum("error_count").alias("errors"))
-        calls = calls.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("requests"), "caller", "service"))).where(F.col("_r") <= most)
+        calls = calls.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("requests"), "caller", "service")))
+        calls = calls.where(F.col("_r") <= most) if most is not None else calls
         calls = calls.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(F.col("_r").alias("rank"), "caller", "service", "requests", "errors"))).alias("connections"))
         out = out.join(calls, keys, "left")
     return out
@@ -118,13 +106,14 @@ def missing_slots(done: DataFrame, ts: str, start: str, end: str, seconds: int,
 def pending_summaries(graded: DataFrame, done: DataFrame, start: str, end: str, levels: list[list[str]], series: list[str], ts: str, grain: int, coarse: int, most_days: int = 3660, **more) -> DataFrame:
     """:func:`slot_summaries` of the windows of ``[start, end)`` that ``done`` (``slot``) lacks, all in one job."""
     todo = missing_slots(done, "slot", start, end, grain * coarse, most_days)  # at most a row for each window of the range
-    rows = graded.withColumn("_window", wide_slot(ts, grain * coarse)).join(todo, F.col("_window") == todo["slot"], "left_semi").drop("_window")
+    rows = graded.withColumn("_window", window_of(F.col(ts), grain * coarse)).join(todo, F.col("_window") == todo["slot"], "left_semi").drop("_window")
     return slot_summaries(rows, levels, series, ts, grain, coarse, **more)
 
 
 def roll_up(graded: DataFrame, path: str, start: str, end: str, levels: list[list[str]], series: list[str], ts: str, grain: int, coarse: int, **more) -> None:
     """Adds to the table at ``path``, in folders by day, the summaries of the windows that it lacks: minute, N-minute and hourly
-    rollups and the catching up after a stop are this one step. A job that fails leaves the table as it was."""
+    rollups and the catching up after a stop are this one step. A job that fails leaves the table as it was. Windows that are there
+    stay as they are; :func:`opsgrain.operators.rollup.refresh` mends them and makes coarser grains from finer ones."""
     spark = graded.sparkSession
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     if where.getFileSystem(spark._jsc.hadoopConfiguration()).exists(where):

@@ -8,9 +8,11 @@ from pyspark.sql import types as T
 from opsgrain.functions import predicates as P
 from opsgrain.functions import scalars as X
 from opsgrain.operators import counters as C
+from opsgrain.operators import detect as D
 from opsgrain.operators import flows as W
 from opsgrain.operators import joins as J
 from opsgrain.operators import rank as R
+from opsgrain.operators import rollup as RU
 from opsgrain.operators import severity as V
 from opsgrain.operators import stats as S
 from opsgrain.plans import anomaly_queries as Q
@@ -486,6 +488,29 @@ def slot_rollup(spark, sf):
     return _summary(R.pending_summaries(Q.filled(spark, sf), done, "2023-12-28 00:00:00", "2024-02-01 00:00:00", LEVELS, Q.HOST, "slot", DAY, 7, services=_services(spark, sf)))
 
 
+def graded_hours(spark, sf):
+    """Hours of the 30 days for each series, graded, those without samples healthy."""
+    rows = Q.hourly(spark, sf)
+    flags = rows.groupBy(*Q.SERIES).agg(F.max(F.col("value") >= F.col("high_water_mark")).alias("flag"))
+    graded = D.graded(flags, Q.HOST, "slot").select(*Q.SERIES, "score", "severity")
+    return V.gap_fill(graded, rows, Q.HOST, "slot", Q.START, Q.END, 3600, {"score": 0.0, "severity": 100})
+
+
+def merged_rollup(spark, sf):
+    """Days of hours for each deployment, cluster and host, from summaries of six hours; days are merges of those."""
+    rows = graded_hours(spark, sf)
+    keys = ["level", "deployment_id", "cluster_id", "host_name"]
+    of_series = RU.rolled(RU.series_summaries(rows, Q.HOST, "slot", 3600, 6 * 3600), Q.HOST, DAY)
+    of_entities = RU.rolled(RU.entity_summaries(rows, LEVELS, "slot", 3600, 6 * 3600), keys, DAY)
+    return _summary(R.with_calls(RU.summary_view(of_series, of_entities, LEVELS, Q.HOST, 24), [*keys, "window"], LEVELS, DAY, _services(spark, sf)))
+
+
+def rollup_transitions(spark, sf):
+    """Transition matrices of weeks of days, from summaries of days."""
+    days = RU.series_summaries(Q.filled(spark, sf), HOST1, "slot", DAY, DAY)
+    return rounded(RU.transitions(RU.rolled(days, HOST1, 7 * DAY), HOST1, 7).withColumnsRenamed({"window": "slot", "from": "a", "to": "b"}))
+
+
 def _services(spark, sf):
     return metrics(spark, sf).where("value > 100").select("deployment_id", "cluster_id", "host_name", F.col("slot").alias("at"), F.col("classification").alias("sub_type"))
 
@@ -504,29 +529,40 @@ _EK = ", ".join(_ENT)
 _SK = f"{_EK}, {', '.join('s_' + c for c in Q.HOST)}"
 
 
-def summary_sql(where: str) -> str:
+def summary_sql(where: str, filled: str = Q.FILLED, grain: int = DAY, n: int = 7) -> str:
+    """Windows of ``n`` slots of ``grain`` seconds."""
+    width = n * grain
     series = ", ".join(f"{c} AS s_{c}" for c in Q.HOST)
-    one = lambda i, cols: f"SELECT {i} AS level, " + ", ".join(c if c in cols else f"'*' AS {c}" for c in ("deployment_id", "cluster_id", "host_name")) + f", {series}, slot, severity, score, make_timestamp(CAST(floor(epoch(slot) / {7 * DAY}) * {7 * DAY} AS BIGINT) * 1000000) AS wide FROM filled"
+    one = lambda i, cols: f"SELECT {i} AS level, " + ", ".join(c if c in cols else f"'*' AS {c}" for c in ("deployment_id", "cluster_id", "host_name")) + f", {series}, slot, severity, score, make_timestamp(CAST(floor(epoch(slot) / {width}) * {width} AS BIGINT) * 1000000) AS wide FROM filled"
     each = " UNION ALL ".join(one(i, level) for i, level in enumerate(LEVELS))
-    return f"""WITH {Q.FILLED}, e AS (SELECT * FROM ({each}) WHERE {where}), {Q.quantized_sql('e', _SK, 0.25, 0.5, False, 7, 'slot', 'qs')},
+    return f"""WITH {filled}, e AS (SELECT * FROM ({each}) WHERE {where}), {Q.quantized_sql('e', _SK, 0.25, 0.5, False, n, 'slot', 'qs', grain)},
     mg AS (SELECT {_EK}, slot, min(severity) AS severity, avg(score) FILTER (WHERE severity = w) AS score FROM (SELECT *, min(severity) OVER (PARTITION BY {_EK}, slot) AS w FROM e) GROUP BY {_EK}, slot),
-    {Q.quantized_sql('mg', _EK, 0.25, 0.5, False, 7, 'slot', 'qe')},
+    {Q.quantized_sql('mg', _EK, 0.25, 0.5, False, n, 'slot', 'qe', grain)},
     hh AS (SELECT {_EK}, slot, CAST((CASE severity WHEN 1 THEN 3 WHEN 20 THEN 2 WHEN 30 THEN 1 ELSE 0 END) + round((4 - (CASE severity WHEN 1 THEN 3 WHEN 20 THEN 2 WHEN 30 THEN 1 ELSE 0 END)) * score) AS INTEGER) AS severity, score FROM mg),
-    {Q.runs_sql('hh', _EK, 'slot', 'hr')}, {Q.runs_sql('e', _SK, 'slot', 'er')},
+    {Q.runs_sql('hh', _EK, 'slot', 'hr', grain)}, {Q.runs_sql('e', _SK, 'slot', 'er', grain)},
     cells AS (SELECT {_SK}, severity AS a, severity AS b, sum(duration) AS n FROM er GROUP BY {_SK}, severity UNION ALL SELECT {_SK}, a, severity, count(*) FROM (SELECT *, lag(severity) OVER (PARTITION BY {_SK} ORDER BY start) AS a FROM er) WHERE a <> severity GROUP BY {_SK}, a, severity
-      UNION ALL SELECT {_SK}, 100, 100, 7 - sum(duration) FROM er GROUP BY {_SK} HAVING sum(duration) < 7),
+      UNION ALL SELECT {_SK}, 100, 100, {n} - sum(duration) FROM er GROUP BY {_SK} HAVING sum(duration) < {n}),
     pr AS (SELECT *, n / sum(n) OVER (PARTITION BY {_SK}) AS p FROM (SELECT {_SK}, a, b, sum(n) AS n FROM cells GROUP BY {_SK}, a, b)),
     co AS (SELECT {_SK}, severity, sum(avg_score * duration) / sum(duration) AS c FROM er GROUP BY {_SK}, severity),
     cn AS (SELECT {_SK}, c * p AS contribution FROM co JOIN pr USING ({_SK}) JOIN (SELECT {_EK}, severity AS state FROM qe) USING ({_EK}) WHERE a = b AND a = severity AND a = state AND c * p > 0),
     rk AS (SELECT *, row_number() OVER (PARTITION BY {_EK} ORDER BY round(contribution, 9) DESC, {', '.join('s_' + c for c in Q.HOST)}) AS r FROM cn),
-    sv AS (SELECT deployment_id AS d, cluster_id AS c, host_name AS h, make_timestamp(CAST(floor(epoch(slot) / {7 * DAY}) * {7 * DAY} AS BIGINT) * 1000000) AS w, classification FROM metrics WHERE value > 100)
+    sv AS (SELECT deployment_id AS d, cluster_id AS c, host_name AS h, make_timestamp(CAST(floor(epoch(slot) / {width}) * {width} AS BIGINT) * 1000000) AS w, classification FROM metrics WHERE value > 100)
     SELECT {', '.join('x.' + k for k in _ENT[:-1])}, x.wide AS slot, n_1, n_20, n_30, n_100, severity, total_severity_duration, heat_runs, heat, first_cause, round(first_contribution, 5) AS first_contribution, coalesce(causes, 0) AS causes, errors, views FROM (SELECT {_EK}, severity, total_severity_duration FROM qe) x
     JOIN (SELECT {_EK}, {', '.join(f'count(*) FILTER (WHERE severity = {g}) AS n_{g}' for g in (1, 20, 30, 100))} FROM qs GROUP BY {_EK}) USING ({_EK})
     JOIN (SELECT {_EK}, count(*) AS heat_runs, CAST(sum(severity * duration) AS BIGINT) AS heat FROM hr GROUP BY {_EK}) USING ({_EK})
-    LEFT JOIN (SELECT {_EK}, arg_min(s_classification, r) AS first_cause, arg_min(contribution, r) AS first_contribution, least(count(*), 10) AS causes FROM rk GROUP BY {_EK}) USING ({_EK})
+    LEFT JOIN (SELECT {_EK}, arg_min(s_classification, r) AS first_cause, arg_min(contribution, r) AS first_contribution, count(*) AS causes FROM rk GROUP BY {_EK}) USING ({_EK})
     LEFT JOIN LATERAL (SELECT count(*) FILTER (WHERE classification = 'error') AS errors, count(*) FILTER (WHERE classification = 'view') AS views FROM sv WHERE sv.w = x.wide AND sv.d = x.deployment_id AND (x.cluster_id = '*' OR sv.c = x.cluster_id) AND (x.host_name = '*' OR sv.h = x.host_name)) ON true"""
 
 
+#: Hours in place of days.
+FILLED_HOURS = Q.FILLED.replace("date_trunc('day', ts)", "date_trunc('hour', ts)").replace("TIMESTAMP '2024-01-30', INTERVAL 1 DAY", "TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR")
+WEEKS = f"""WITH {Q.FILLED}, e AS (SELECT *, make_timestamp(CAST(floor(epoch(slot) / {7 * DAY}) * {7 * DAY} AS BIGINT) * 1000000) AS wide FROM filled), {Q.runs_sql('e', f'{K1}, wide')},
+  cells AS (SELECT {K1}, wide, severity AS a, severity AS b, sum(duration) AS n FROM runs GROUP BY ALL
+  UNION ALL SELECT {K1}, wide, a, severity, count(*) FROM (SELECT *, lag(severity) OVER (PARTITION BY {K1}, wide ORDER BY start) AS a FROM runs) WHERE a <> severity GROUP BY ALL
+  UNION ALL SELECT {K1}, wide, 100, 100, 7 - sum(duration) FROM runs GROUP BY ALL HAVING sum(duration) < 7)
+  SELECT {K1}, wide AS slot, a, b, CAST(sum(n) AS BIGINT) AS n, round(sum(n) / sum(sum(n)) OVER (PARTITION BY {K1}, wide), 6) AS probability FROM cells GROUP BY {K1}, wide, a, b"""
+
+
 _counts = ", ".join(f"count(*) FILTER (WHERE severity = {g}) AS n_{g}" for g in (1, 20, 30, 100)) + ", min(severity) AS thermal"
 
 
@@ -560,7 +596,7 @@ QUERIES = {f.__name__: f for f in (
     flatten_document, sorted_page, highlight, format_columns, strip_secrets, prefix_rename, request_templates, ipv4_functions, parse_size, series_key, asof_dimension, enrich_topology, resolve_edges,
     absent_entities, service_observations, ip_range_join, snapshot_rate, ratio_counters, io_latency, pivot_flows, service_inventory, dedup_edges, connection_rollup, connection_requests, pair_templates, partition_selection, flow_series, observation_counts,
     flow_summary, top_requests, state_counts, wait_category_pivot, group_count, kmeans_scores, counter_share, counter_rate, transition_matrix, rank_contributions, contribution_residual,
-    timeline_markers, entity_snapshot, slot_summary, slot_rollup, missing_slots, entity_details, snapshot_query, connection_query,
+    timeline_markers, entity_snapshot, slot_summary, slot_rollup, merged_rollup, rollup_transitions, missing_slots, entity_details, snapshot_query, connection_query,
 )}
 
 IPV4 = "(v >> 24) || '.' || ((v >> 16) & 255) || '.' || ((v >> 8) & 255) || '.' || (v & 255)"
@@ -676,6 +712,8 @@ SQL = {
       FROM g LEFT JOIN a1 ON a1.level = g.level AND a1.from_cluster IS NOT DISTINCT FROM g.from_cluster AND a1.to_cluster = g.to_cluster AND a1.port = g.port
       LEFT JOIN a2 ON a2.level = g.level AND a2.from_cluster IS NOT DISTINCT FROM g.from_cluster AND a2.to_cluster = g.to_cluster AND a2.port = g.port""",
     "slot_summary": summary_sql("true"),
+    "merged_rollup": summary_sql("true", FILLED_HOURS, 3600, 24),
+    "rollup_transitions": WEEKS,
     "slot_rollup": summary_sql("wide NOT IN (TIMESTAMP '2024-01-04', TIMESTAMP '2024-01-18')"),
     "missing_slots": "SELECT slot FROM (SELECT unnest(generate_series(TIMESTAMP '2024-01-17', TIMESTAMP '2024-01-30 23:00:00', INTERVAL 1 HOUR)) AS slot) EXCEPT SELECT CAST(date_trunc('hour', ts) AS TIMESTAMP) FROM events WHERE event_type = 'signup'",
     "entity_details": f"WITH {Q.FILLED}, r AS (SELECT * FROM filled WHERE slot >= TIMESTAMP '2024-01-10' AND slot < TIMESTAMP '2024-01-20'), c AS (SELECT cluster_id, host_name, min(severity) AS t FROM r GROUP BY 1, 2), s AS (SELECT cluster_id, string_agg(host_name || '=' || t, ',' ORDER BY host_name) AS children FROM c GROUP BY 1), a AS (SELECT cluster_id, {_counts} FROM r GROUP BY 1) SELECT * FROM a JOIN s USING (cluster_id)",
