@@ -1,17 +1,18 @@
 """Streaming jobs. Each has a batch twin: slots' statistics, deltas against the record before, running variance,
 duplicate flows, and the whole job from wire lines to anomalies.
 
-The whole job (:func:`minute_job`) keeps three tables, in folders by hour and batch: raw samples, statistics of finished
-slots, and anomalies. A batch that is run again replaces its own folders alone, and reads only the hours it looks back on.
+The whole job (:func:`minute_job`) keeps raw samples in folders by slot and batch, and statistics of finished slots, graded
+slots and runs by hour and batch. A batch that is run again replaces its own folders alone, and reads the raw folders of the
+slots that it finishes or mends, and the state that the batch before it left.
 """
 
 from __future__ import annotations
 
+import time
 from collections.abc import Callable, Iterator
-from datetime import datetime, timedelta
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -19,6 +20,8 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from opsgrain.operators.stats import distribution
 from opsgrain.operators.stats import velocity as with_velocity
 from opsgrain.sources.lines import parse_wire
+from opsgrain.streaming.detectors import STATE, Detector, carry_on, keep_state
+from opsgrain.streaming.hours import latest, read_hours, utc, write_hours
 
 
 def slot_stats(rows: DataFrame, keys: list[str], ts: str, value: str, slot: str = "1 minute", late: str = "2 minutes") -> DataFrame:
@@ -122,79 +125,139 @@ def text_sink(path: str, line: Column) -> Callable[[DataFrame, int], None]:
     return write
 
 
-def hour_of(at: Column) -> Column:
-    """The folder of a time."""
-    return F.date_format(F.date_trunc("hour", at), "yyyyMMddHH")
+def slot_of(at: Column, seconds: int) -> Column:
+    """The slot of ``seconds`` that a time falls in."""
+    return F.timestamp_seconds(F.floor(F.unix_seconds(at) / seconds) * seconds)
 
 
-def write_hours(df: DataFrame, path: str, at: str, batch: int) -> None:
-    """Writes rows to the folders of their hours and this batch; only those are replaced."""
-    out = df.withColumns({"hour": hour_of(F.col(at)), "batch": F.lit(batch).cast("long")})
-    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("hour", "batch").parquet(path)
+def write_slots(df: DataFrame, path: str, batch: int) -> None:
+    """Writes rows to the folders of their ``slot`` and this batch; only those are replaced."""
+    out = df.withColumns({"at": F.unix_seconds("slot"), "batch": F.lit(batch).cast("long")}).hint("rebalance", F.col("at"))  # few files for each slot, large ones dealt
+    out.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("at", "batch").parquet(path)
 
 
-def read_hours(spark: SparkSession, path: str, low: datetime, high: datetime) -> DataFrame | None:
-    """Rows in the folders of the hours from ``low`` to ``high``, no others are listed; None without any.
-
-    ``low`` and ``high`` are in the session's time zone.
-    """
+def read_slots(spark: SparkSession, path: str, slots: list[int], batch: int, schema: T.StructType) -> DataFrame:
+    """Rows in the folders of these slots (seconds since 1970), of batches up to ``batch``; no others are listed."""
     fs_path = spark._jvm.org.apache.hadoop.fs.Path
     fs = fs_path(path).getFileSystem(spark._jsc.hadoopConfiguration())
-    first = low.replace(minute=0, second=0, microsecond=0)
-    hours = [first + timedelta(hours=i) for i in range(int((high - first).total_seconds() // 3600) + 1)]
-    found = [f"{path}/hour={h:%Y%m%d%H}" for h in hours]
-    found = [p for p in found if fs.exists(fs_path(p))]
-    kinds = {"hour": T.StringType(), "batch": T.LongType()}  # folders' names would be read as numbers
-    return spark.read.option("basePath", path).parquet(*found).withColumns({c: F.col(c).cast(k) for c, k in kinds.items()}) if found else None
+    found = [p for p in (f"{path}/at={t}" for t in slots) if fs.exists(fs_path(p))]
+    if not found:
+        return spark.createDataFrame([], schema)
+    rows = spark.read.option("basePath", path).schema(T.StructType([*schema.fields, T.StructField("at", T.LongType()), T.StructField("batch", T.LongType())])).parquet(*found)
+    return rows.where(F.col("batch") <= batch).drop("at", "batch")
 
 
-def latest(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """The last batch's row of each key."""
-    return rows.withColumn("_r", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("batch")))).where("_r = 1").drop("_r")
+class Ledger:
+    """What each batch had done once it was through: all slots of ``[start, end)``, with samples up to ``high``.
+
+    One small file for each batch, written last; a batch goes on from the last one before it, so that one which is run
+    again, or ran only half, starts from the same place.
+    """
+
+    def __init__(self, spark: SparkSession, path: str) -> None:
+        self.spark, self.path = spark, f"{path}/ledger"
+
+    def before(self, batch: int) -> dict | None:
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        fs = fs_path(self.path).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(fs_path(self.path))] if fs.exists(fs_path(self.path)) else []
+        whole = [int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(fs_path(f"{self.path}/{n}/_SUCCESS"))]
+        last = max((b for b in whole if b < batch), default=None)
+        return None if last is None else self.spark.read.json(f"{self.path}/batch={last}").first().asDict() | {"batch": last}
+
+    def write(self, batch: int, start: int, end: int, high: int) -> None:
+        row = self.spark.createDataFrame([(start, end, high)], "start long, end long, high long")
+        row.coalesce(1).write.mode("overwrite").json(f"{self.path}/batch={batch}")
+
+    def forget(self, keep: int, names: list[str]) -> None:
+        """Deletes what batches before ``keep`` left in tables that only the next batch reads."""
+        fs_path = self.spark._jvm.org.apache.hadoop.fs.Path
+        root = self.path.removesuffix("/ledger")
+        fs = fs_path(root).getFileSystem(self.spark._jsc.hadoopConfiguration())
+        for name in ["ledger", *names]:
+            at = fs_path(f"{root}/{name}")
+            for x in fs.listStatus(at) if fs.exists(at) else []:
+                if (n := x.getPath().getName()).startswith("batch=") and int(n.removeprefix("batch=")) < keep:
+                    fs.delete(x.getPath(), True)
 
 
 def minute_job(
-    path: str, keys: list[str], detect: Callable[[DataFrame], DataFrame] | None = None, value: str = "value", ts: str = "ts",
+    path: str, keys: list[str], detect: Callable[[DataFrame], DataFrame] | None = None, value: str | None = "value", ts: str = "ts",
     slot_seconds: int = 60, late_seconds: int = 120, look_back_seconds: int = 300, extra: list[Column] | None = None,
+    detectors: list[Detector] | None = None, mend_seconds: int = 3600, lead_seconds: int = 3600, window_seconds: int = 3600, clock: Callable[[], float] = time.time,
 ) -> Callable[[DataFrame, int], None]:
     """A sink that turns batches of samples into statistics of finished slots and anomalies, under ``path``.
 
-    ``raw`` keeps the samples. A slot is finished once a sample is ``late_seconds`` past its end; a batch finishes the slots
-    that no batch before it has, and does those again that it brings late samples for, so that the last row of a key is
-    what a batch run over all samples gives (:func:`~opsgrain.operators.stats.distribution` with a refit, as ``stats``).
+    ``raw`` keeps the samples in folders by slot and batch. A slot is finished once a sample is ``late_seconds`` past its end;
+    a batch finishes the slots that none before it has, those without samples included, and does those again that it
+    brings late samples for, so that the last row of a key is what a batch run over all samples gives
+    (:func:`~opsgrain.operators.stats.distribution` with a refit, as ``stats``; none with a ``value`` of None). It reads the raw
+    folders of these slots alone, and the ledger of what is done.
+
     ``detect`` takes the statistics of those slots and of ``look_back_seconds`` before them; of its rows those of the slots
-    done now go to ``found`` (they need ``slot`` and the keys), so that each slot is reported once and mended in place.
-    Samples more than a day older than the newest one of their batch stay in ``raw`` for a batch run.
+    done now go to ``found`` (they need ``slot`` and the keys). ``detectors`` carry their state from batch to batch, and tell the
+    severity of windows of ``window_seconds``: see :mod:`opsgrain.streaming.detectors`.
+
+    Samples more than ``mend_seconds`` behind the end of what is done go to ``raw`` and their slots to ``missed``;
+    :func:`mend` does their statistics again. Samples more than ``lead_seconds`` past the clock go to ``ahead`` and count for
+    nothing, so that a wrong clock neither finishes slots nor holds up the rest.
     """
-    width = timedelta(seconds=slot_seconds)
 
     def write(df: DataFrame, batch: int) -> None:
-        spark = df.sparkSession
-        samples = df.withColumn("slot", F.timestamp_seconds(F.floor(F.unix_seconds(ts) / slot_seconds) * slot_seconds))
-        write_hours(samples, f"{path}/raw", "slot", batch)
-        newest = df.agg(F.max(ts).alias("t")).first()["t"]
-        if newest is None:
+        spark, at = df.sparkSession, F.unix_seconds(ts)
+        ledger = Ledger(spark, path)
+        before = ledger.before(batch)
+        latest_time = int(clock()) + lead_seconds
+        df.where(at > latest_time).write.mode("overwrite").parquet(f"{path}/ahead/batch={batch}")
+        samples = df.where(at <= latest_time).withColumn("slot", slot_of(F.col(ts), slot_seconds))
+        write_slots(samples, f"{path}/raw", batch)
+        # one row for each slot of the batch
+        seen = {r["t"]: r["m"] for r in samples.groupBy(F.unix_seconds("slot").alias("t")).agg(F.max(at).alias("m")).collect() if r["t"] is not None}
+        if not seen and before is None:
             return
-        oldest = newest - timedelta(days=1)
-        raw = read_hours(spark, f"{path}/raw", oldest, newest).where(F.col("batch") <= batch)
-        over = raw.where(F.col("slot") + F.expr(f"interval {slot_seconds + late_seconds} seconds") <= F.lit(newest))
-        own = over.groupBy("slot").agg(F.max("batch").alias("last"))
-        known = read_hours(spark, f"{path}/stats", oldest, newest)
-        before = known.where(F.col("batch") < batch).select("slot").distinct() if known is not None else None
-        todo = own if before is None else own.join(before.withColumn("seen", F.lit(True)), "slot", "left").where(F.col("seen").isNull() | (F.col("last") == batch)).select("slot", "last")
-        stats = distribution(over.join(todo.select("slot"), "slot", "left_semi"), [*keys, "slot"], value, True, extra)
-        write_hours(stats, f"{path}/stats", "slot", batch)
-        now = read_hours(spark, f"{path}/stats", oldest, newest)
-        span = now.where(F.col("batch") == batch).agg(F.min("slot").alias("lo"), F.max("slot").alias("hi")).first() if now is not None else None
-        if detect is None or span is None or span["lo"] is None:
-            return
-        rows = latest(now.where(F.col("batch") <= batch), [*keys, "slot"]).where(F.col("slot").between(span["lo"] - timedelta(seconds=look_back_seconds), span["hi"] + width))
-        done = now.where(F.col("batch") == batch).select("slot").distinct()
-        write_hours(detect(rows.drop("hour", "batch")).join(done, "slot", "left_semi"), f"{path}/found", "slot", batch)
+        high = max([*seen.values(), *([before["high"]] if before else [])])
+        done = before["end"] if before else min(seen)
+        end = max(done, (high - late_seconds) // slot_seconds * slot_seconds)
+        start = before["start"] if before else min(seen)
+        again = [t for t in seen if done - mend_seconds <= t < done]
+        todo = sorted({*range(done, end, slot_seconds), *again})
+        if missed := [t for t in seen if t < done - mend_seconds]:
+            spark.createDataFrame([(t,) for t in missed], "at long").write.mode("overwrite").parquet(f"{path}/missed/batch={batch}")
+        if todo:
+            rows = read_slots(spark, f"{path}/raw", todo, batch, samples.schema)
+            if value is not None:
+                write_hours(distribution(rows, [*keys, "slot"], value, True, extra), f"{path}/stats", "slot", batch)
+            if detect is not None:
+                low = utc(todo[0] - look_back_seconds)
+                known = read_hours(spark, f"{path}/stats", low, utc(todo[-1]))
+                if known is not None:
+                    known = latest(known.where(F.col("batch") <= batch), [*keys, "slot"]).where(F.unix_seconds("slot").between(todo[0] - look_back_seconds, todo[-1]))
+                    now = detect(known.drop("hour", "batch")).where(F.unix_seconds("slot").isin(todo))
+                    write_hours(now, f"{path}/found", "slot", batch)
+            for detector in detectors or []:
+                carry_on(detector, rows, todo, f"{path}/{detector.name}", batch, before["batch"] if before else None, end - mend_seconds, slot_seconds, window_seconds)
+        elif detectors:
+            for detector in detectors:
+                keep_state(spark, f"{path}/{detector.name}", batch, before["batch"] if before else None)
+        ledger.write(batch, start, end, high)
+        ledger.forget(before["batch"] if before else 0, [f"{d.name}/{t}" for d in detectors or [] for t in STATE])
 
     return write
 
 
+def mend(spark: SparkSession, path: str, keys: list[str], batch: int, schema: T.StructType, value: str = "value", extra: list[Column] | None = None) -> list[int]:
+    """Does the statistics of the slots again that samples came too late for, as what ``batch`` would have written; returns the slots.
+
+    ``schema`` is that of the samples, with their ``slot``.
+    """
+    fs_path = spark._jvm.org.apache.hadoop.fs.Path
+    if not fs_path(f"{path}/missed").getFileSystem(spark._jsc.hadoopConfiguration()).exists(fs_path(f"{path}/missed")):
+        return []
+    slots = sorted({r["at"] for r in spark.read.parquet(f"{path}/missed").where(F.col("batch") <= batch).collect()})
+    write_hours(distribution(read_slots(spark, f"{path}/raw", slots, batch, schema), [*keys, "slot"], value, True, extra), f"{path}/stats", "slot", batch)
+    return slots
+
+
 def run_minutes(lines: DataFrame, path: str, job: Callable[[DataFrame, int], None], seconds: int | None = 60, text: Column | None = None):
     """Starts the whole job on a stream of wire lines (``line``): parsed samples go to ``job`` and, as ``text``, to a text
     sink beside it; a batch every ``seconds``, or all that is there and an end with None."""
