@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgrain.operators import chunks as K
 from opsgrain.operators import detect as D
 from opsgrain.operators import severity as V
 from opsgrain.operators import stats as S
@@ -184,6 +185,30 @@ def severity_runs_weighted(spark, sf):
     return rounded(V.severity_runs(joined, HOST, "start", DAY, "weighted").select(*HOST, "severity", F.col("start"), "duration", "score"))
 
 
+#: Seconds of the pieces that long series are cut into.
+PIECE = 6 * DAY
+
+
+def chunked_scores(spark, sf):
+    make = lambda rows, keys: V.decayed_score(rows, keys, "slot", "flag")
+    out = K.look_back(flagged(spark, sf), HOST, ["slot"], "slot", PIECE, V.TRAILING - 1, make)
+    return rounded(out.select(*SERIES, "flag", "score"))
+
+
+def chunked_runs(spark, sf):
+    return rounded(K.chunked_runs(graded(spark, sf), HOST, "slot", DAY, PIECE))
+
+
+def chunked_quantized(spark, sf):
+    return K.chunked_quantized(graded(spark, sf), HOST, "slot", DAY, DAYS, PIECE, 0.1, 0.2, True)
+
+
+def chunked_delta(spark, sf):
+    make = lambda rows, keys: S.relative_delta(rows, keys, ["ts", "event_id"], "value", "ts")
+    rows = metrics(spark, sf).select("event_id", "ts", "value", *HOST)
+    return rounded(K.look_back(rows, HOST, ["ts", "event_id"], "ts", PIECE, 1, make).select("event_id", "delta", "elapsed_ms"))
+
+
 def unfold_runs(spark, sf):
     return rounded(V.unfold_runs(V.severity_runs(graded(spark, sf), HOST, "slot", DAY), DAY).select(*HOST, "slot", "severity", "score"))
 
@@ -346,7 +371,7 @@ def anomaly_message(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     cluster_minute_stats, instance_minute_stats, peer_mean, sigma_histogram, spread_score, watermark_share, tag_average, service_peer_stats, service_baseline,
-    running_variance, relative_delta, velocity_stats, decayed_score, severity_grade, severity_runs, severity_runs_weighted, unfold_runs, gap_fill, worst_of_merge,
+    running_variance, relative_delta, velocity_stats, decayed_score, severity_grade, severity_runs, severity_runs_weighted, chunked_scores, chunked_runs, chunked_quantized, chunked_delta, unfold_runs, gap_fill, worst_of_merge,
     quantized_severity, requantize_grain, severity_grid, quantize_thermals, severity_counts, detect_threshold, detect_peer, detect_error, exhaustion_eta,
     detect_exhaustion, detect_heartbeat, detect_service, detect_non_participation, detect_network, anomaly_message,
 )}
@@ -397,4 +422,5 @@ SQL = {
       WHEN single_max_severity_duration = total_severity_duration THEN 'once, for ' || total_severity_duration || ' of ' || total_duration || ' slots'
       ELSE 'for ' || total_severity_duration || ' of ' || total_duration || ' slots, at most ' || single_max_severity_duration || ' in a row' END || ' (redundant)' END AS message FROM q""",
 }
+SQL |= {"chunked_scores": SQL["decayed_score"], "chunked_runs": SQL["severity_runs"], "chunked_quantized": SQL["quantized_severity"], "chunked_delta": SQL["relative_delta"]}
 SQL = {name: nudged(sql) for name, sql in SQL.items()}
