@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsgrain.operators import quantiles as K
 from opsgrain.operators import search as A
 from opsgrain.operators import timeseries as T
 from opsgrain.plans.inputs import END, START, metrics, metrics_sql, nudged, rounded, table
@@ -186,6 +187,20 @@ def metric_percentiles(spark, sf):
     return rounded(ev(spark, sf).groupBy("event_type").agg(q.alias("q"), F.median("value").alias("median")).select("event_type", "median", *(F.col("q")[i].alias(f"p{p}") for i, p in enumerate(PERCENTS))), 5)
 
 
+def selected_percentiles(spark, sf):
+    out = K.percentiles(ev(spark, sf), ["event_type"], "value", [0.5, *(p / 100 for p in PERCENTS)])
+    return rounded(out.select("event_type", F.col("q")[0].alias("median"), *(F.col("q")[i + 1].alias(f"p{p}") for i, p in enumerate(PERCENTS))), 5)
+
+
+def sketched_cardinality(spark, sf):
+    """Users by event type from a sketch of each hour, next to the exact count; within four standard errors and one."""
+    e = ev(spark, sf)
+    hours = K.distinct_sketches(e.withColumn("hour", F.date_trunc("hour", "ts")), ["event_type", "hour"], "user_id")
+    exact = e.groupBy("event_type").agg(F.countDistinct("user_id").alias("users"))
+    both = K.merged_distinct(hours, ["event_type"]).join(exact, "event_type")
+    return both.select("event_type", "users", (F.abs(F.col("estimate") - F.col("users")) <= 1 + 0.05 * F.col("users")).alias("near"))
+
+
 def metric_percentile_ranks(spark, sf):
     return rounded(ev(spark, sf).groupBy("event_type").agg(*A.percentile_ranks(F.col("value"), (1.0, 10.0, 100.0))))
 
@@ -218,7 +233,7 @@ def percent_stack(spark, sf):
 QUERIES = {f.__name__: f for f in (
     ts_sample_basic, ts_sample_percentile, ts_sample_first_last, ts_gaps, ts_least_squares, ts_scale, ts_save_as, ts_group_by, ts_query, ts_diff, ts_rate, ts_trim,
     date_histogram, auto_interval, histogram, range_buckets, date_range_buckets, ip_range_buckets, terms_topn, significant_terms, filters_buckets, geohash_grid,
-    metric_basic, metric_cardinality, metric_percentiles, metric_percentile_ranks, metric_std_bands, nested_buckets, point_series, field_top_values, percent_stack,
+    metric_basic, metric_cardinality, metric_percentiles, selected_percentiles, sketched_cardinality, metric_percentile_ranks, metric_std_bands, nested_buckets, point_series, field_top_values, percent_stack,
 )}
 
 _by = lambda what, metric, agg: f"SELECT metric, host AS g0, s AS ts, {agg} AS {what} FROM points WHERE metric = '{metric}' GROUP BY 1, 2, 3"
@@ -274,6 +289,7 @@ SQL = {
     "metric_basic": "SELECT event_type, count(*) AS n, round(avg(value), 4) AS avg, round(sum(value), 4) AS sum, round(min(value), 4) AS min, round(max(value), 4) AS max FROM events GROUP BY 1",
     "metric_cardinality": f"WITH {EV} SELECT event_type, count(DISTINCT user_id) AS users, count(DISTINCT k) AS ks FROM ev GROUP BY 1",
     "metric_percentiles": "SELECT event_type, round(median(value), 5) AS median, " + ", ".join(f"round(quantile_cont(value, {p / 100}), 5) AS p{p}" for p in PERCENTS) + " FROM events GROUP BY 1",
+    "sketched_cardinality": "SELECT event_type, count(DISTINCT user_id) AS users, true AS near FROM events GROUP BY 1",
     "metric_percentile_ranks": "SELECT event_type, " + ", ".join(f"round(avg(CASE WHEN value <= {x} THEN 1.0 ELSE 0.0 END) * 100, 6) AS rank_{i}" for i, x in enumerate((1.0, 10.0, 100.0))) + " FROM events GROUP BY 1",
     "metric_std_bands": "SELECT event_type, round(avg(value) - 2 * stddev_pop(value), 4) AS lower, round(avg(value), 4) AS mean, round(avg(value) + 2 * stddev_pop(value), 4) AS upper FROM events GROUP BY 1",
     "nested_buckets": """WITH e AS (SELECT event_type, user_id % 2 AS parity, CAST(date_trunc('day', ts) AS TIMESTAMP) AS day, value FROM events)
@@ -286,4 +302,5 @@ SQL = {
       SELECT field, row_number() OVER (PARTITION BY field ORDER BY n DESC, v) AS rank, v AS value, n, round(100.0 * n / has, 6) AS percent, docs - has AS missing, has FROM c JOIN p USING (field), t QUALIFY rank <= 5""",
     "percent_stack": f"WITH {DAYS_SQL} SELECT day, event_type, round(y, 4) AS y, round(100 * y / sum(y) OVER (PARTITION BY day), 4) AS percent, round(sum(y) OVER (PARTITION BY day ORDER BY event_type), 4) AS stacked FROM days",
 }
+SQL["selected_percentiles"] = SQL["metric_percentiles"]
 SQL = {name: nudged(sql) for name, sql in SQL.items()}
