@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgrain.operators import baselines as N
 from opsgrain.operators import chunks as K
 from opsgrain.operators import detect as D
 from opsgrain.operators import severity as V
@@ -108,6 +109,18 @@ def service_baseline(spark, sf):
     return rounded(S.merge_moments(old.unionByName(new), ["to_cluster", "port"]), 3)
 
 
+def merged_baseline(spark, sf):
+    """The distribution of the merged states of three spans of time."""
+    f = flows(spark, sf)
+    spans = [f.where(c) for c in ("ts < '1996-01-01'", "ts >= '1996-01-01' AND ts < '1998-01-01'", "ts >= '1998-01-01'")]
+    states = [N.baseline(df, ["to_cluster", "port"], "avg_ttfb") for df in spans]
+    whole = N.merge_baselines(states[0].unionByName(N.merge_baselines(states[1].unionByName(states[2]), ["to_cluster", "port"])), ["to_cluster", "port"])
+    return rounded(N.distribution_of(whole, ["to_cluster", "port"]), 4)
+
+
+TTFB_SQL = "ttfb AS (SELECT to_cluster, port, CAST(avg_ttfb AS DOUBLE) AS value, 0.0 AS high_water_mark, 0 AS event_id, ts FROM flows)"
+
+
 def running_variance(spark, sf):
     batches = S.moments(metrics(spark, sf), ["host_name", "classification", "slot"], "value")
     return rounded(S.merge_moments(batches, ["host_name", "classification"]), 5)
@@ -370,7 +383,7 @@ def anomaly_message(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    cluster_minute_stats, instance_minute_stats, peer_mean, sigma_histogram, spread_score, watermark_share, tag_average, service_peer_stats, service_baseline,
+    cluster_minute_stats, instance_minute_stats, peer_mean, sigma_histogram, spread_score, watermark_share, tag_average, service_peer_stats, service_baseline, merged_baseline,
     running_variance, relative_delta, velocity_stats, decayed_score, severity_grade, severity_runs, severity_runs_weighted, chunked_scores, chunked_runs, chunked_quantized, chunked_delta, unfold_runs, gap_fill, worst_of_merge,
     quantized_severity, requantize_grain, severity_grid, quantize_thermals, severity_counts, detect_threshold, detect_peer, detect_error, exhaustion_eta,
     detect_exhaustion, detect_heartbeat, detect_service, detect_non_participation, detect_network, anomaly_message,
@@ -389,6 +402,7 @@ SQL = {
       SELECT cluster_id, slot, 'k' AS tag, round(k / n, 6) AS avg_value, CAST(NULL AS VARCHAR) AS last_text FROM n UNION ALL SELECT cluster_id, slot, 'high_water_mark', 100.0, NULL FROM n UNION ALL SELECT cluster_id, slot, 'key_type', NULL, 'error' FROM n WHERE e > 0""",
     "service_peer_stats": f"WITH {FLOWS_SQL}, {LONG_SQL}, {fit_sql('long', 'to_cluster, port, ts, measure', 'p', True)} SELECT to_cluster, port, ts, measure, size, round(mean, 4) AS mean, round(stddev, 4) AS stddev, {', '.join(BINS)}, round(score, 4) AS score FROM p",
     "service_baseline": f"WITH {FLOWS_SQL} {_moments('flows', 'to_cluster, port', 'avg_rsp_size', 3)}",
+    "merged_baseline": f"WITH {FLOWS_SQL}, {TTFB_SQL}, {fit_sql('ttfb', 'to_cluster, port', 'p', True)} SELECT to_cluster, port, size, round(min_val, 4) AS min_val, round(max_val, 4) AS max_val, round(mean, 4) AS mean, round(stddev, 4) AS stddev, {', '.join(BINS)}, round(score, 4) AS score FROM p",
     "running_variance": f"WITH {metrics_sql()} {_moments('metrics', 'host_name, classification', 'value', 5)}",
     "relative_delta": f"WITH {DELTA_SQL} SELECT event_id, round(delta, 6) AS delta, round(elapsed_ms, 6) AS elapsed_ms FROM deltas",
     "velocity_stats": f"WITH {DELTA_SQL}, v AS (SELECT *, delta / CASE WHEN elapsed_ms = 0 THEN 0.001 ELSE elapsed_ms END AS velocity FROM deltas) SELECT host_name, classification, count(velocity) AS size, round(avg(velocity) * 1e6, 5) AS mean, round(stddev_samp(velocity) * 1e6, 5) AS stddev, round(max(velocity) * 1e6, 5) AS max_val FROM v GROUP BY 1, 2",
