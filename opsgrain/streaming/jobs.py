@@ -12,7 +12,7 @@ import time
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
@@ -76,6 +76,43 @@ def deltas(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_ho
     )
 
 
+def delta_sink(path: str, key: str, order: str, ts: str, value: str, forget_hours: int = 48) -> Callable[[DataFrame, int], None]:
+    """A sink that does what :func:`deltas` does without Python: the last record of each key is a table, ``state``, in a
+    folder for each batch, and a batch's records follow it in one sorted pass; ``deltas`` has a folder for each batch.
+
+    A batch starts from the last whole state before it, so that one which is run again replaces its own rows. No key's
+    records are ever gathered: a window's rows go by in order, and spill.
+    """
+
+    def write(df: DataFrame, batch: int) -> None:
+        spark = df.sparkSession
+        where = spark._jvm.org.apache.hadoop.fs.Path
+        fs = where(path).getFileSystem(spark._jsc.hadoopConfiguration())
+        names = [x.getPath().getName() for x in fs.listStatus(where(f"{path}/state"))] if fs.exists(where(f"{path}/state")) else []
+        whole = sorted(int(n.removeprefix("batch=")) for n in names if n.startswith("batch=") and fs.exists(where(f"{path}/state/{n}/_SUCCESS")))
+        before = [b for b in whole if b < batch]
+        rows = df.select(key, order, ts, value, F.lit(True).alias("_new"))
+        if before:
+            rows = rows.unionByName(spark.read.parquet(f"{path}/state/batch={before[-1]}").withColumn("_new", F.lit(False)))
+        w = Window.partitionBy(key).orderBy("_new", ts, order)  # the stored record comes first
+        at, x = F.unix_micros(ts), F.col(value)
+        near = at - F.lag(at).over(w) <= forget_hours * 3_600_000_000
+        prev = F.when(near, F.lag(x).over(w))
+        delta = F.when(prev.isNotNull(), F.when((prev != 0) & (x > prev), (x - prev) / prev).otherwise(0.0))
+        elapsed = F.when(prev.isNotNull(), (at - F.lag(at).over(w)) / 1000)
+        out = rows.withColumns({"delta": delta, "elapsed_ms": elapsed}).where("_new").select(key, order, "delta", "elapsed_ms")
+        out.write.mode("overwrite").parquet(f"{path}/deltas/batch={batch}")
+        last = rows.groupBy(key).agg(F.max_by(F.struct(order, ts, value), F.struct("_new", ts, order)).alias("_l")).select(key, "_l.*")
+        newest = rows.agg(F.max(at)).first()[0]
+        if newest is not None:
+            last = last.where(at > newest - forget_hours * 3_600_000_000)
+        last.write.mode("overwrite").parquet(f"{path}/state/batch={batch}")
+        for b in before[:-1]:
+            fs.delete(where(f"{path}/state/batch={b}"), True)
+
+    return write
+
+
 def velocities(rows: DataFrame, key: str, order: str, ts: str, value: str, forget_hours: int = 48) -> DataFrame:
     """:func:`deltas` with their velocity."""
     return with_velocity(deltas(rows, key, order, ts, value, forget_hours))

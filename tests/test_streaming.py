@@ -202,3 +202,29 @@ def test_velocities(spark, source, tmp_path):
     want = velocity(relative_delta(source[0], ["series"], ["ts", "event_id"], "value", "ts"))
     columns = ["event_id", F.round(F.col("velocity") * 1e6, 4)]
     assert sorted(got.select(*columns).collect(), key=repr) == sorted(want.select(*columns).collect(), key=repr)
+
+
+def test_delta_sink(spark, source, tmp_path):
+    """Equal to the batch form over four batches, two starts, and a batch that is run again."""
+    sink = jobs.delta_sink(str(tmp_path / "d"), "series", "event_id", "ts", "value", 1000)
+    run(stream(spark, source), tmp_path, sink=sink)
+    run(stream(spark, source), tmp_path, sink=sink)
+    sink(source[0].where("event_id >= 750"), 3)
+    want = relative_delta(source[0], ["series"], ["ts", "event_id"], "value", "ts")
+    columns = ["event_id", F.round("delta", 6), F.round("elapsed_ms", 3)]
+    got = spark.read.parquet(str(tmp_path / "d" / "deltas"))
+    assert sorted(got.select(*columns).collect(), key=repr) == sorted(want.select(*columns).collect(), key=repr)
+    kept = {p.name for p in (tmp_path / "d" / "state").iterdir()}
+    assert kept == {"batch=2", "batch=3"}
+
+
+def test_delta_sink_forgets(spark, tmp_path):
+    """The same records as for the stateful form, a hot key in one batch, and an empty batch."""
+    sink = jobs.delta_sink(str(tmp_path / "d"), "k", "s", "ts", "v", 1)
+    batches = [[(1, 10_000), (2, 10_000)], [(1, 10_010)], [(2, 30_000)], [(1, 30_010), (2, 30_020)], [], [(3, 40_000 + i) for i in range(2000)]]
+    for i, rows in enumerate(batches):
+        sink(spark.createDataFrame(rows, "k int, s long").select("k", "s", F.timestamp_seconds("s").alias("ts"), (F.col("s") * 1.0).alias("v")), i)
+    got = spark.read.parquet(str(tmp_path / "d" / "deltas")).orderBy("s", "k").collect()
+    assert [(r.k, r.s, r.delta and round(r.delta, 6)) for r in got[:6]] == [(1, 10_000, None), (2, 10_000, None), (1, 10_010, 0.001), (2, 30_000, None), (1, 30_010, None), (2, 30_020, round(20 / 30_000, 6))]
+    assert len(got) == 2006 and sum(r.elapsed_ms == 1000 for r in got) == 1999
+    assert [r.k for r in spark.read.parquet(str(tmp_path / "d" / "state" / "batch=5")).collect()] == [3]
