@@ -186,19 +186,19 @@ def audit(docs: DataFrame, least_docs: int = 3, best: int = 200, block: int = RO
     groups = seen.where("term is null").select("lang", "source").join(mine, ["lang", "source"], "left").join(size, "lang", "left")
     row = (F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1).cast("long")  # a language has its pairs of sources as output
     groups = groups.select("lang", "source", *[F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("own", "v", "whole")]).withColumn("row", row)
-    groups = written(groups.withColumn("total", F.col("own") + F.col("v")), "groups")
+    sides = F.explode(F.expr("flatten(transform(sequence(0, last), o -> if(o = mine, array(struct(mine AS rb, mine AS sb, 0 AS side), struct(mine AS rb, mine AS sb, 1 AS side)), array(struct(least(o, mine) AS rb, greatest(o, mine) AS sb, if(mine < o, 0, 1) AS side)))))")).alias("s")
+    last = F.floor(F.max("row").over(Window.partitionBy("lang")) / block).cast("int")
+    groups = groups.withColumns({"total": F.col("own") + F.col("v"), "last": last, "stripes": F.ceil(F.col("v") / stripe).cast("int")})
+    groups = written(groups, "groups")
 
     # pairs of sources: cells of a stripe meet those of each block of rows
-    last = groups.groupBy("lang").agg(F.floor(F.max("row") / block).cast("int").alias("last"))
-    stripes = size.select("lang", F.ceil(F.col("v") / stripe).cast("int").alias("stripes"))
-    # a stripe's width is the number of its terms: an aggregate with a row for each stripe
+    of_block = lambda df: df.withColumn("mine", F.floor(F.col("row") / block).cast("int")).withColumn("s", sides)
     put = F.pmod(F.xxhash64("term"), F.col("stripes")).cast("int").alias("stripe")
-    widths = kept.join(stripes, "lang").groupBy("lang", put).agg(F.count("*").alias("columns"))
-    sides = F.explode(F.expr("flatten(transform(sequence(0, last), o -> if(o = mine, array(struct(mine AS rb, mine AS sb, 0 AS side), struct(mine AS rb, mine AS sb, 1 AS side)), array(struct(least(o, mine) AS rb, greatest(o, mine) AS sb, if(mine < o, 0, 1) AS side)))))")).alias("s")
-    of_block = lambda df: df.withColumn("mine", F.floor(F.col("row") / block).cast("int")).join(last, "lang").withColumn("s", sides)
-    placed = cells.join(groups.select("lang", "source", "row", "total"), ["lang", "source"]).join(stripes, "lang").withColumn("stripe", put)
+    placed = cells.join(groups.select("lang", "source", "row", "total", "last", "stripes"), ["lang", "source"]).withColumn("stripe", put)
+    # a stripe's width is the number of its terms, with one source's rows or many
+    widths = placed.select("lang", "stripe", "term").distinct().groupBy("lang", "stripe").agg(F.count("*").alias("columns"))
     placed = of_block(placed).select("lang", "stripe", "s.rb", "s.sb", "s.side", "row", "term", "n", "total")
-    all_rows = of_block(groups.join(stripes, "lang").withColumn("stripe", F.explode(F.expr("sequence(0, stripes - 1)"))))
+    all_rows = of_block(groups.where("stripes > 0").withColumn("stripe", F.explode(F.expr("sequence(0, stripes - 1)"))))
     all_rows = all_rows.select("lang", "stripe", "s.rb", "s.sb", (F.col("s.side") + 2).alias("side"), "row", F.lit(None).cast("string").alias("term"), F.lit(0).cast("long").alias("n"), "total")
     met = placed.unionByName(all_rows).join(widths, ["lang", "stripe"])
     costs = met.groupBy("lang", "stripe", "rb", "sb").applyInArrow(_stripe, "lang string, row long, other long, value long")
