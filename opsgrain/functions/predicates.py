@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Sequence
 from functools import reduce
@@ -95,14 +96,71 @@ def all_filters(filters: Sequence[dict]) -> Column:
     return out
 
 
-def text_query(df: DataFrame, query: str | Column | None) -> DataFrame:
-    """Rows that fit: all for nothing or ``*``, a predicate as a column, else any word of the query in any text field."""
+def _words(df: DataFrame, words: Sequence[str]) -> Column:
+    """Any word in any text field."""
+    fields = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
+    return _any([_sure(F.contains(F.lower(c), F.lit(w))) for c in fields for w in words])
+
+
+def object_query(df: DataFrame, query: dict) -> Column:
+    """A query object as a predicate: an empty one fits all, else it has one kind of query.
+
+    Kinds are ``match_all``; ``term``, ``match_phrase`` and ``prefix``, ``wildcard`` (a glob) with ``{field: value}``; ``match`` (any
+    word); ``terms`` with a list; ``range`` with gt, gte, lt, lte; ``exists`` and ``missing`` with ``{"field": name}``;
+    ``query_string`` with ``{"query": text}``; ``not``; and ``bool`` with must, filter, should and must_not, where without
+    must and filter one of should has to fit. A value may be given as ``{"value": v}`` or ``{"query": v}``. A predicate is
+    false where its field is null or no field of the table.
+    """
+    if not query:
+        return F.lit(True)
+    if len(query) != 1:
+        raise ValueError(f"a query has one kind: {sorted(query)}")
+    (kind, body), listed = next(iter(query.items())), lambda x: x if isinstance(x, list) else [x]
+    if kind == "match_all":
+        return F.lit(True)
+    if kind == "query_string":
+        return _text(df, body["query"])
+    if kind == "not":
+        return ~object_query(df, body)
+    if kind == "bool":
+        of = {k: [object_query(df, q) for q in listed(body.get(k, []))] for k in ("must", "filter", "should", "must_not")}
+        out = reduce(lambda a, b: a & b, [*of["must"], *of["filter"], *(~q for q in of["must_not"])], F.lit(True))
+        needed = int(body.get("minimum_should_match", 0 if of["must"] or of["filter"] else 1))
+        fits = sum((q.cast("int") for q in of["should"]), F.lit(0)) >= needed
+        return out & fits if of["should"] else out
+    if kind in ("exists", "missing"):
+        there = F.col(body["field"]).isNotNull() if body["field"] in df.columns else F.lit(False)
+        return there if kind == "exists" else ~there
+    (name, value), = body.items()
+    tests = {
+        "term": lambda c, v: phrase(c, v), "match_phrase": lambda c, v: _sure(F.contains(F.lower(c.cast("string")), F.lit(str(v).lower()))),
+        "match": lambda c, v: _any([_sure(F.contains(F.lower(c.cast("string")), F.lit(w))) for w in str(v).lower().split()]),
+        "prefix": lambda c, v: _sure(c.cast("string").startswith(v)), "wildcard": lambda c, v: _sure(c.cast("string").rlike(glob_regex(v))),
+        "terms": lambda c, v: any_of(c, v), "range": lambda c, v: in_range(c, **v),
+    }
+    if kind not in tests:
+        raise ValueError(f"unknown kind of query: {kind}")
+    if kind != "range" and isinstance(value, dict):
+        value = value.get("value", value.get("query"))
+    return tests[kind](F.col(name), value) if name in df.columns else F.lit(False)
+
+
+def _text(df: DataFrame, query: str | None) -> Column:
+    query = (query or "").strip()
+    return F.lit(True) if query in ("", "*") else _words(df, query.lower().split())
+
+
+def text_query(df: DataFrame, query: str | dict | Column | None) -> DataFrame:
+    """Rows that fit a user's query: all for nothing or ``*``; a predicate as a column; an object, or its JSON (see
+    :func:`object_query`); else any word of the text in any text field. Text that only looks like JSON is text."""
     if isinstance(query, Column):
         return df.where(_sure(query))
-    if query is None or query.strip() in ("", "*"):
-        return df
-    fields = [f.name for f in df.schema if isinstance(f.dataType, T.StringType)]
-    return df.where(_any([_sure(F.contains(F.lower(c), F.lit(w))) for c in fields for w in query.lower().split()]))
+    if isinstance(query, str) and query.strip().startswith("{"):
+        try:
+            query = json.loads(query)
+        except ValueError:
+            pass
+    return df.where(object_query(df, query) if isinstance(query, dict) else _text(df, query))
 
 
 def time_range(ts: Column, start: str | None = None, end: str | None = None, back: str | None = None, as_of: str | None = None, round_to: str | None = None) -> Column:

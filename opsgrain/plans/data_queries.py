@@ -177,6 +177,12 @@ def text_query(spark, sf):
     return P.text_query(p, "BLOG page=2")
 
 
+def object_query(spark, sf):
+    query = '''{"bool": {"must": [{"terms": {"event_type": ["view", "click", "error"]}}, {"range": {"value": {"gte": 5, "lt": 400}}}],
+      "should": [{"prefix": {"props": "{\\"k\\": 1"}}, {"wildcard": {"event_type": "c?ick"}}], "minimum_should_match": 1, "must_not": {"term": {"user_id": {"value": 7}}}}}'''
+    return P.text_query(ev(spark, sf), query).select("event_id", "event_type", "user_id")
+
+
 def time_range(spark, sf):
     e = ev(spark, sf)
     a = P.time_range(F.col("ts"), back="3 days", as_of="2024-01-20 10:30:00", round_to="day")
@@ -592,7 +598,7 @@ def connection_query(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     line_protocol_scan, wire_line_scan, line_protocol_format, put_line_format, routed_records, stats_upsert, retention, topology_message, csv_status_metrics, json_flatten_metrics, kv_text_metrics,
-    access_log_parse, metric_catalog, delete_range, name_filter, tag_filter, point_sanitize, minute_slot, value_typing, search_predicates, bool_filter, text_query, time_range, date_part_fields,
+    access_log_parse, metric_catalog, delete_range, name_filter, tag_filter, point_sanitize, minute_slot, value_typing, search_predicates, bool_filter, text_query, object_query, time_range, date_part_fields,
     flatten_document, sorted_page, highlight, format_columns, strip_secrets, prefix_rename, request_templates, ipv4_functions, parse_size, series_key, asof_dimension, enrich_topology, resolve_edges,
     absent_entities, service_observations, ip_range_join, snapshot_rate, ratio_counters, io_latency, pivot_flows, service_inventory, dedup_edges, connection_rollup, connection_requests, pair_templates, partition_selection, flow_series, observation_counts,
     flow_summary, top_requests, state_counts, wait_category_pivot, group_count, kmeans_scores, counter_share, counter_rate, transition_matrix, rank_contributions, contribution_residual,
@@ -633,6 +639,7 @@ SQL = {
       SELECT count(*) FILTER (WHERE event_type = 'view') AS phrase, count(*) FILTER (WHERE value > 5) AS range, count(*) AS "all", count(k) AS "exists", count(*) - count(k) AS missing, count(*) FILTER (WHERE k IN (7, 9, 11)) AS terms, count(*) FILTER (WHERE k * 2 > value) AS script,
       count(*) FILTER (WHERE lat <= 50 AND lat >= -20 AND (lon >= 170 OR lon <= -100)) AS box FROM f""",
     "bool_filter": "SELECT event_type, count(*) AS n FROM events WHERE value > 5 AND event_type <> 'view' GROUP BY 1",
+    "object_query": "SELECT event_id, event_type, user_id FROM events WHERE event_type IN ('view', 'click', 'error') AND value >= 5 AND value < 400 AND (starts_with(props, '{\"k\": 1') OR event_type = 'click') AND user_id <> 7",
     "text_query": "SELECT page_id, url FROM pages WHERE lower(url) LIKE '%blog%' OR lower(url) LIKE '%page=2%'",
     "time_range": "SELECT count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-17 10:30:00' AND ts < TIMESTAMP '2024-01-21') AS relative, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-06 12:00:00') AS absolute, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-15' AND ts < TIMESTAMP '2024-02-15') AS month FROM events",
     "date_part_fields": "SELECT event_id, round(value * 2, 6) AS twice, CAST(year(ts) AS INTEGER) AS year, CAST(month(ts) AS INTEGER) AS month, CAST(weekofyear(ts) AS INTEGER) AS week, CAST(day(ts) AS INTEGER) AS day, CAST(dayofweek(ts) + 1 AS INTEGER) AS day_of_week, CAST(dayofyear(ts) AS INTEGER) AS day_of_year, CAST(hour(ts) AS INTEGER) AS hour, CAST(minute(ts) AS INTEGER) AS minute, CAST(second(ts) AS INTEGER) AS second FROM events",

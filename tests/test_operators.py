@@ -178,3 +178,20 @@ def test_rollup_in_steps_equals_one(spark, tmp_path):
             rank.roll_up(rows, str(tmp_path / path), "2023-12-28 00:00:00", f"{end} 00:00:00", LEVELS, Q.HOST, "slot", DAY, 7)
     one, steps = (spark.read.parquet(str(tmp_path / p)) for p in ("one", "steps"))
     assert one.count() == steps.count() > 0 and one.exceptAll(steps.select(one.columns)).count() == 0
+
+
+def test_query_objects(spark):
+    """Kinds of query objects on a small table, as text and as objects; unknown fields fit nothing, unknown kinds raise."""
+    df = spark.createDataFrame([(1, "red fox", 5.0, None), (2, "Red hen", 7.5, "x"), (3, None, None, "xy"), (4, "blue fox", 9.0, "z")], "id int, text string, n double, tag string")
+    fits = lambda q: [r.id for r in P.text_query(df, q).orderBy("id").collect()]
+    assert fits({}) == fits("") == fits(" * ") == fits("{}") == fits('{"match_all": {}}') == [1, 2, 3, 4]
+    assert fits('{"term": {"tag": "x"}}') == fits({"term": {"tag": {"value": "x"}}}) == [2]
+    assert fits({"match": {"text": "hen BLUE"}}) == [2, 4] and fits({"match_phrase": {"text": {"query": "red fox"}}}) == [1]
+    assert fits({"range": {"n": {"gt": 5, "lte": 9}}}) == [2, 4] and fits({"prefix": {"tag": "x"}}) == [2, 3] and fits({"wildcard": {"tag": "?y"}}) == [3]
+    assert fits({"exists": {"field": "n"}}) == [1, 2, 4] and fits({"missing": {"field": "n"}}) == [3] and fits({"missing": {"field": "no"}}) == [1, 2, 3, 4]
+    assert fits({"bool": {"should": [{"term": {"tag": "z"}}, {"term": {"no": 1}}]}}) == [4] and fits({"not": {"term": {"tag": "z"}}}) == [1, 2, 3]
+    assert fits({"bool": {"must": {"match": {"text": "fox"}}, "should": [{"term": {"tag": "z"}}], "must_not": [{"range": {"n": {"lt": 1}}}]}}) == [1, 4]
+    assert fits({"query_string": {"query": "hen"}}) == fits("HEN") == [2] and fits("{red") == []
+    for bad in ({"fuzzy": {"text": "a"}}, {"term": {"a": 1}, "match": {"b": 2}}):
+        with pytest.raises(ValueError):
+            fits(bad)
