@@ -2,16 +2,18 @@
 is looked at by series.
 
 Functions that look a bounded number of rows back (scores, deltas, exhaustion) get those rows from the pieces before.
-Runs are found in each piece, and the first and last runs of the pieces are joined end to start.
+Runs are found in each piece, and the first and last runs of the pieces are joined end to start. Requests are paired in
+each piece, and what a piece has before its first request goes to the last request of the pieces before.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from opsgrain.operators.flows import exchanges, numbered_requests, summed_exchanges
 from opsgrain.operators.rollup import quantized, rolled, series_summaries, window_of
 from opsgrain.operators.severity import severity_runs
 
@@ -69,3 +71,31 @@ def chunked_quantized(df: DataFrame, series: list[str], ts: str, grain: int, slo
     return whole.select(
         *series, q["severity"].alias("severity"), q["total"].alias("total_severity_duration"), q["longest"].alias("single_max_severity_duration"), F.lit(slots).cast("long").alias("total_duration")
     )
+
+
+def paired_pieces(packets: DataFrame, connection: Sequence[str], by: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """Requests with their responses, paired within pieces of ``seconds``. The last request of a piece, and what stands before its
+    first one (number 0), are marked as ``_border``."""
+    piece = [*connection, "_piece"]
+    numbered = numbered_requests(packets.withColumn("_piece", window_of(F.col(ts), seconds)), piece, ts)
+    parts = exchanges(numbered, [*by, "_piece", "_q"], ts)
+    return parts.withColumn("_border", (F.col("_q") == 0) | (F.col("_q") == F.max("_q").over(Window.partitionBy(*piece))))
+
+
+def chunked_flow_summary(packets: DataFrame, connection: Sequence[str], keys: Sequence[str], ts: str, seconds: int) -> DataFrame:
+    """:func:`~opsgrain.operators.flows.flow_summary` with connections cut into pieces of ``seconds``.
+
+    A piece's last request may have responses in later pieces, and its packets before its first request belong to a request of
+    an earlier one. These two of each piece, summed up already, are all that comes together of a connection, where they
+    are numbered and added up once more. Packets before a connection's first request do not count.
+    """
+    by = list(dict.fromkeys([*keys, *connection]))
+    parts = paired_pieces(packets, connection, by, ts, seconds)
+    # a request whose packets differ in their keys has several rows of one number, and counts once
+    first = F.row_number().over(Window.partitionBy(*connection, "_piece", "_q").orderBy(*by)) == 1
+    borders = parts.where("_border").withColumn("_new", F.when((F.col("_q") > 0) & first, 1).otherwise(0))
+    upto = Window.partitionBy(*connection).orderBy("_piece", "_q").rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    joined = borders.withColumn("_at", F.sum("_new").over(upto)).where("_at > 0").groupBy(*by, "_at").agg(
+        F.min("_t").alias("_t"), F.min("_first").alias("_first"), F.max("_last").alias("_last"), F.sum("size").alias("size"), F.sum("sent").alias("sent"), F.max("request").alias("request"), F.max("error").alias("error")
+    )
+    return summed_exchanges(parts.where("NOT _border").drop("_piece", "_q", "_border").unionByName(joined.drop("_at")), keys)

@@ -93,21 +93,25 @@ def observation_counts(df: DataFrame, levels: Sequence[Sequence[str]]) -> DataFr
     return out
 
 
-def flow_summary(packets: DataFrame, connection: Sequence[str], keys: Sequence[str], ts: str) -> DataFrame:
-    """Requests paired with the response packets that follow them on their connection, summed up by ``keys``.
+def numbered_requests(packets: DataFrame, within: Sequence[str], ts: str) -> DataFrame:
+    """Packets with the number ``_q`` of the last request up to them, in the order of ``ts, seq``; 0 before the first one."""
+    w = Window.partitionBy(*within).orderBy(ts, "seq")
+    return packets.withColumn("_q", F.sum(F.when(F.col("kind") == "request", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0)))
 
-    ``packets`` has kind (request or response), request text, size, error. A request's first and last response before
-    the next request give the times to first and last byte (ms); one without a response counts without times.
-    """
-    w = Window.partitionBy(*connection).orderBy(ts, "seq")
-    numbered = packets.withColumn("_q", F.sum(F.when(F.col("kind") == "request", 1).otherwise(0)).over(w.rowsBetween(Window.unboundedPreceding, 0))).where("_q > 0")
+
+def exchanges(numbered: DataFrame, by: Sequence[str], ts: str) -> DataFrame:
+    """One row for each request number: the request, and what its response packets add up to."""
     reply = F.col("kind") == "response"
-    ms = lambda c: F.unix_millis(c)
-    one = numbered.groupBy(*dict.fromkeys([*keys, *connection]), "_q").agg(
+    return numbered.groupBy(*by).agg(
         F.min(F.when(~reply, F.col(ts))).alias("_t"), F.min(F.when(reply, F.col(ts))).alias("_first"), F.max(F.when(reply, F.col(ts))).alias("_last"),
         F.coalesce(F.sum(F.when(reply, F.col("size"))), F.lit(0)).alias("size"), F.sum(F.when(~reply, F.col("size"))).alias("sent"), F.max(F.when(~reply, F.col("request"))).alias("request"),
         F.coalesce(F.max(F.when(reply, F.col("error"))), F.lit(False)).alias("error"),
     )
+
+
+def summed_exchanges(one: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Requests with their responses, summed up by ``keys``."""
+    ms = F.unix_millis
     one = one.withColumn("ttfb", ms("_first") - ms("_t")).withColumn("ttlb", ms("_last") - ms("_t"))
     return one.groupBy(*keys).agg(
         F.count("*").alias("request_count"), F.avg("ttfb").alias("avg_ttfb"), F.max("ttfb").alias("max_ttfb"), F.avg("ttlb").alias("avg_ttlb"), F.max("ttlb").alias("max_ttlb"),
@@ -116,6 +120,17 @@ def flow_summary(packets: DataFrame, connection: Sequence[str], keys: Sequence[s
     ).withColumn("top_error", F.when(F.col("_any"), F.col("_e"))).drop("_e", "_any")
 
 
+def flow_summary(packets: DataFrame, connection: Sequence[str], keys: Sequence[str], ts: str) -> DataFrame:
+    """Requests paired with the response packets that follow them on their connection, summed up by ``keys``.
+
+    ``packets`` has kind (request or response), request text, size, error. A request's first and last response before
+    the next request give the times to first and last byte (ms); one without a response counts without times.
+    A connection is one window; :func:`~opsgrain.operators.chunks.chunked_flow_summary` cuts busy ones by time.
+    """
+    by = [*dict.fromkeys([*keys, *connection]), "_q"]
+    return summed_exchanges(exchanges(numbered_requests(packets, connection, ts).where("_q > 0"), by, ts), keys)
+
+
 def top_requests(df: DataFrame, keys: list[str], request: str, n: int = 3) -> DataFrame:
     """The costliest request templates of each edge: counts, and times weighted by them; then by time to first byte, then text."""
     c = F.col("count")

@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from opsgrain.functions import predicates as P
 from opsgrain.functions import scalars as X
+from opsgrain.operators import chunks
 from opsgrain.operators import counters as C
 from opsgrain.operators import detect as D
 from opsgrain.operators import flows as W
@@ -380,10 +381,19 @@ def observation_counts(spark, sf):
     return out.select("level", "deployment_id", "cluster_id", *(F.coalesce(F.col("counts")[c], F.lit(0)).alias(c) for c in ("error", "view", "click")))
 
 
-def flow_summary(spark, sf):
+def packets(spark, sf):
+    """Requests and responses from events, one connection for each user."""
     e = ev(spark, sf)
-    p = e.select(F.concat(F.lit("c"), F.col("user_id") % 8).alias("client"), F.concat(F.lit("s"), F.col("user_id") % 3).alias("server"), "user_id", F.when(F.col("event_type").isin("view", "click"), "request").otherwise("response").alias("kind"), F.concat(F.lit("GET /"), "k").alias("request"), F.col("k").cast("long").alias("size"), (F.col("event_type") == "error").alias("error"), "ts", F.col("event_id").alias("seq"))
-    return rounded(W.flow_summary(p, ["user_id"], ["client", "server"], "ts"), 3)
+    return e.select(F.concat(F.lit("c"), F.col("user_id") % 8).alias("client"), F.concat(F.lit("s"), F.col("user_id") % 3).alias("server"), "user_id", F.when(F.col("event_type").isin("view", "click"), "request").otherwise("response").alias("kind"), F.concat(F.lit("GET /"), "k").alias("request"), F.col("k").cast("long").alias("size"), (F.col("event_type") == "error").alias("error"), "ts", F.col("event_id").alias("seq"))
+
+
+def flow_summary(spark, sf):
+    return rounded(W.flow_summary(packets(spark, sf), ["user_id"], ["client", "server"], "ts"), 3)
+
+
+def chunked_flow_summary(spark, sf):
+    """One connection for each of three servers, in pieces of six hours."""
+    return rounded(chunks.chunked_flow_summary(packets(spark, sf), ["server"], ["server"], "ts", 6 * 3600), 3)
 
 
 def top_requests(spark, sf):
@@ -601,7 +611,7 @@ QUERIES = {f.__name__: f for f in (
     access_log_parse, metric_catalog, delete_range, name_filter, tag_filter, point_sanitize, minute_slot, value_typing, search_predicates, bool_filter, text_query, object_query, time_range, date_part_fields,
     flatten_document, sorted_page, highlight, format_columns, strip_secrets, prefix_rename, request_templates, ipv4_functions, parse_size, series_key, asof_dimension, enrich_topology, resolve_edges,
     absent_entities, service_observations, ip_range_join, snapshot_rate, ratio_counters, io_latency, pivot_flows, service_inventory, dedup_edges, connection_rollup, connection_requests, pair_templates, partition_selection, flow_series, observation_counts,
-    flow_summary, top_requests, state_counts, wait_category_pivot, group_count, kmeans_scores, counter_share, counter_rate, transition_matrix, rank_contributions, contribution_residual,
+    flow_summary, chunked_flow_summary, top_requests, state_counts, wait_category_pivot, group_count, kmeans_scores, counter_share, counter_rate, transition_matrix, rank_contributions, contribution_residual,
     timeline_markers, entity_snapshot, slot_summary, slot_rollup, merged_rollup, rollup_transitions, missing_slots, entity_details, snapshot_query, connection_query,
 )}
 
@@ -610,6 +620,17 @@ _put = "'put ' || event_type || ' ' || (epoch_us(ts) // 1000) || ' ' || k || ' h
 _rollup = "round(sum(avg_rsp_size * duration) / sum(duration), 3) AS avg_rsp_size, round(sum(avg_ttfb * duration) / sum(duration), 3) AS avg_ttfb, round(sum(avg_ttlb * duration) / sum(duration), 3) AS avg_ttlb, " + ", ".join(f"CAST(sum({m}) AS BIGINT) AS {m}" for m in W.ADDED) + ", max(max_ttfb) AS max_ttfb, max(max_ttlb) AS max_ttlb"
 _tmpl = lambda c: f"regexp_replace(regexp_replace(regexp_replace({c}, '''[^'']*''|\"[^\"]*\"', '_', 'g'), '\\b[0-9a-fA-F]{{8}}(-[0-9a-fA-F]{{4}}){{3}}-[0-9a-fA-F]{{12}}\\b', '_', 'g'), '[0-9]+', '_', 'g')"
 _levels = " UNION ALL ".join(f"SELECT {i} AS level, deployment_id, {'cluster_id' if i > 0 else chr(39) + '*' + chr(39) + ' AS cluster_id'}, {'host_name' if i > 1 else chr(39) + '*' + chr(39) + ' AS host_name'}, slot, {_counts} FROM filled GROUP BY ALL" for i in range(3))
+
+def flow_sql(by, link, keys):
+    """Requests paired on connections ``link`` and summed up by ``keys``; ``by`` has the columns of both."""
+    return f"""{EV}, p AS (SELECT 'c' || user_id % 8 AS client, 's' || user_id % 3 AS server, user_id, event_type IN ('view', 'click') AS req, 'GET /' || k AS request, CAST(k AS BIGINT) AS size, event_type = 'error' AS err, ts, event_id FROM ev),
+      q AS (SELECT *, sum(CAST(req AS INTEGER)) OVER (PARTITION BY {link} ORDER BY ts, event_id) AS q FROM p),
+      o AS (SELECT {by}, q, min(ts) FILTER (WHERE req) AS t, min(ts) FILTER (WHERE NOT req) AS a, max(ts) FILTER (WHERE NOT req) AS b, CAST(coalesce(sum(size) FILTER (WHERE NOT req), 0) AS BIGINT) AS size, CAST(sum(size) FILTER (WHERE req) AS BIGINT) AS sent, max(request) FILTER (WHERE req) AS request, coalesce(bool_or(err) FILTER (WHERE NOT req), false) AS err FROM q WHERE q > 0 GROUP BY {by}, q),
+      z AS (SELECT *, (epoch_us(a) // 1000) - (epoch_us(t) // 1000) AS ttfb, (epoch_us(b) // 1000) - (epoch_us(t) // 1000) AS ttlb FROM o)
+      SELECT {keys}, count(*) AS request_count, round(avg(ttfb), 3) AS avg_ttfb, max(ttfb) AS max_ttfb, round(avg(ttlb), 3) AS avg_ttlb, max(ttlb) AS max_ttlb, round(avg(size), 3) AS avg_rsp_size, CAST(sum(size) AS BIGINT) AS recv_bytes, CAST(sum(sent) AS BIGINT) AS sent_bytes, count(*) FILTER (WHERE err) AS error_count,
+      arg_max(request, (coalesce(ttlb, -1), request)) AS costliest, max(request) FILTER (WHERE err) AS top_error FROM z GROUP BY {keys}"""
+
+
 SQL = {
     "line_protocol_scan": f"""{EV} SELECT event_id, CASE WHEN ok THEN 'app ' || event_type END AS measurement, CASE WHEN ok THEN 'h' || user_id % 8 END AS host, CASE WHEN ok THEN 'a,b' END AS note, CASE WHEN ok THEN round(value, 6) END AS value,
       CASE WHEN ok THEN CAST(k AS BIGINT) END AS k, ok, CASE WHEN ok THEN 'say "hi, you"' END AS text, CASE WHEN ok THEN ts END AS ts, CASE WHEN NOT ok THEN 'no line' END AS error FROM (SELECT *, event_id % 50 <> 0 AS ok FROM ev)""",
@@ -673,12 +694,8 @@ SQL = {
     "connection_rollup": f"WITH {FLOWS_SQL} SELECT 0 AS level, NULL AS from_cluster, to_cluster, NULL AS to_host, port, {_rollup} FROM flows GROUP BY to_cluster, port UNION ALL SELECT 1, from_cluster, to_cluster, NULL, port, {_rollup} FROM flows GROUP BY from_cluster, to_cluster, port UNION ALL SELECT 2, NULL, to_cluster, to_host, port, {_rollup} FROM flows GROUP BY to_cluster, to_host, port",
     "flow_series": f"WITH {FLOWS_SQL}, a AS (SELECT to_cluster, port, to_host, avg(avg_ttfb) AS t, avg(sent_bytes) AS b FROM flows GROUP BY 1, 2, 3 UNION ALL SELECT to_cluster, port, '*', avg(avg_ttfb), avg(sent_bytes) FROM flows GROUP BY 1, 2) SELECT to_cluster, port, to_host, 'avg_ttfb' AS measure, round(t, 3) AS value FROM a UNION ALL SELECT to_cluster, port, to_host, 'sent_bytes', round(b, 3) FROM a",
     "observation_counts": f"{M}, m AS (SELECT * FROM metrics WHERE value > 100), g AS (SELECT 0 AS level, deployment_id, NULL AS cluster_id, classification AS c FROM m UNION ALL SELECT 1, deployment_id, cluster_id, classification FROM m) SELECT level, deployment_id, cluster_id, " + ", ".join(f"count(*) FILTER (WHERE c = '{c}') AS {c}" for c in ("error", "view", "click")) + " FROM g GROUP BY 1, 2, 3",
-    "flow_summary": f"""{EV}, p AS (SELECT 'c' || user_id % 8 AS client, 's' || user_id % 3 AS server, user_id, event_type IN ('view', 'click') AS req, 'GET /' || k AS request, CAST(k AS BIGINT) AS size, event_type = 'error' AS err, ts, event_id FROM ev),
-      q AS (SELECT *, sum(CAST(req AS INTEGER)) OVER (PARTITION BY user_id ORDER BY ts, event_id) AS q FROM p),
-      o AS (SELECT client, server, user_id, q, min(ts) FILTER (WHERE req) AS t, min(ts) FILTER (WHERE NOT req) AS a, max(ts) FILTER (WHERE NOT req) AS b, CAST(coalesce(sum(size) FILTER (WHERE NOT req), 0) AS BIGINT) AS size, CAST(sum(size) FILTER (WHERE req) AS BIGINT) AS sent, max(request) FILTER (WHERE req) AS request, coalesce(bool_or(err) FILTER (WHERE NOT req), false) AS err FROM q WHERE q > 0 GROUP BY 1, 2, 3, 4),
-      z AS (SELECT *, (epoch_us(a) // 1000) - (epoch_us(t) // 1000) AS ttfb, (epoch_us(b) // 1000) - (epoch_us(t) // 1000) AS ttlb FROM o)
-      SELECT client, server, count(*) AS request_count, round(avg(ttfb), 3) AS avg_ttfb, max(ttfb) AS max_ttfb, round(avg(ttlb), 3) AS avg_ttlb, max(ttlb) AS max_ttlb, round(avg(size), 3) AS avg_rsp_size, CAST(sum(size) AS BIGINT) AS recv_bytes, CAST(sum(sent) AS BIGINT) AS sent_bytes, count(*) FILTER (WHERE err) AS error_count,
-      arg_max(request, (coalesce(ttlb, -1), request)) AS costliest, max(request) FILTER (WHERE err) AS top_error FROM z GROUP BY 1, 2""",
+    "flow_summary": flow_sql("client, server, user_id", "user_id", "client, server"),
+    "chunked_flow_summary": flow_sql("server", "server", "server"),
     "top_requests": f"""{EV}, r AS (SELECT user_id % 8 AS edge, 'GET /' || event_type || '/_?q=_' AS template, k + 1 AS c, value AS ttfb, value * 2 AS ttlb FROM ev), m AS (SELECT edge, template, CAST(sum(c) AS BIGINT) AS count, sum(ttfb * c) / sum(c) AS ttfb, sum(ttlb * c) / sum(c) AS ttlb FROM r GROUP BY 1, 2)
       SELECT edge, template, count, round(m.ttfb, 6) AS ttfb, round(ttlb, 6) AS ttlb, row_number() OVER (PARTITION BY edge ORDER BY m.ttfb DESC, template) AS rank FROM m QUALIFY rank <= 3""",
     "state_counts": f"{M} SELECT host_name, count(*) FILTER (WHERE classification = 'error') AS error, count(*) FILTER (WHERE classification = 'view') AS view, count(*) FILTER (WHERE classification = 'closed') AS closed, 2 AS sending, 3 AS reading, 1 AS waiting FROM metrics GROUP BY 1",

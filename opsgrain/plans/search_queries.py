@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from opsgrain.operators import heavy as H
 from opsgrain.operators import quantiles as K
 from opsgrain.operators import search as A
 from opsgrain.operators import timeseries as T
@@ -152,6 +153,12 @@ def terms_topn(spark, sf):
     return rounded(a.unionByName(b))
 
 
+def heavy_terms(spark, sf):
+    """Most frequent parts of all line items, and for each return flag; only terms in buckets over the cutoff are counted."""
+    t = table(spark, sf, "lineitem").select("l_returnflag", F.col("l_partkey").cast("string").alias("part"))
+    return H.top_terms(t, [], "part", 20).select(F.lit("").alias("parent"), "part", "n", "rank").unionByName(H.top_terms(t, ["l_returnflag"], "part", 20).withColumnRenamed("l_returnflag", "parent"))
+
+
 def significant_terms(spark, sf):
     return rounded(A.significant_terms(ev(spark, sf).withColumn("k", F.col("k").cast("string")), "k", F.col("event_type") == "error", 10))
 
@@ -232,7 +239,7 @@ def percent_stack(spark, sf):
 
 QUERIES = {f.__name__: f for f in (
     ts_sample_basic, ts_sample_percentile, ts_sample_first_last, ts_gaps, ts_least_squares, ts_scale, ts_save_as, ts_group_by, ts_query, ts_diff, ts_rate, ts_trim,
-    date_histogram, auto_interval, histogram, range_buckets, date_range_buckets, ip_range_buckets, terms_topn, significant_terms, filters_buckets, geohash_grid,
+    date_histogram, auto_interval, histogram, range_buckets, date_range_buckets, ip_range_buckets, terms_topn, heavy_terms, significant_terms, filters_buckets, geohash_grid,
     metric_basic, metric_cardinality, metric_percentiles, selected_percentiles, sketched_cardinality, metric_percentile_ranks, metric_std_bands, nested_buckets, point_series, field_top_values, percent_stack,
 )}
 
@@ -279,6 +286,8 @@ SQL = {
     "terms_topn": """WITH e AS (SELECT *, CAST(user_id AS VARCHAR) AS user FROM events), a AS (SELECT '' AS parent, user, count(*) AS n, CAST(count(*) AS DOUBLE) AS metric FROM e GROUP BY user ORDER BY metric DESC, user LIMIT 10),
       b AS (SELECT event_type AS parent, user, count(*) AS n, avg(value) AS metric FROM e WHERE regexp_full_match(user, '[0-9]*[02468]') AND NOT regexp_full_match(user, '1.*') GROUP BY 1, 2)
       SELECT parent, user, n, round(metric, 6) AS metric FROM a UNION ALL SELECT parent, user, n, round(metric, 6) FROM b QUALIFY row_number() OVER (PARTITION BY parent ORDER BY metric DESC, user) <= 3""",
+    "heavy_terms": """WITH p AS (SELECT unnest(['', l_returnflag]) AS parent, CAST(l_partkey AS VARCHAR) AS part FROM lineitem), c AS (SELECT parent, part, count(*) AS n FROM p GROUP BY 1, 2)
+      SELECT parent, part, n, row_number() OVER (PARTITION BY parent ORDER BY n DESC, part) AS rank FROM c QUALIFY rank <= 20""",
     "significant_terms": f"""WITH {EV}, b AS (SELECT CAST(k AS VARCHAR) AS k, count(*) FILTER (WHERE event_type = 'error') AS n, count(*) AS bg FROM ev WHERE k IS NOT NULL GROUP BY 1), t AS (SELECT sum(n) AS fg, sum(bg) AS bgt FROM b),
       s AS (SELECT k, n, bg, n / fg AS fs, bg / bgt AS bs FROM b, t) SELECT k, n, bg, round((fs - bs) * (fs / bs), 6) AS score FROM s WHERE fs > bs ORDER BY (fs - bs) * (fs / bs) DESC, k LIMIT 10""",
     "filters_buckets": f"WITH {EV} SELECT 'errors' AS filter, count(*) FILTER (WHERE event_type = 'error') AS n FROM ev UNION ALL SELECT 'big', count(*) FILTER (WHERE value > 100) FROM ev UNION ALL SELECT 'even', count(*) FILTER (WHERE k % 2 = 0) FROM ev",

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from opsgrain.operators import chunks, detect, severity, stats
+from opsgrain.operators import chunks, detect, flows, severity, stats
 
 
 @pytest.fixture(scope="module")
@@ -56,3 +56,35 @@ def test_a_hot_series_is_spread(spark, rows):
     seen = lambda df, keys: df.withColumn("_task", F.count("*").over(chunks.Window.partitionBy(*keys)))
     most = chunks.look_back(rows, ["name"], ["slot"], "slot", 6000, 4, seen).agg(F.max("_task")).first()[0]
     assert most <= 104 < rows.where("name = 'hot'").count() / 20
+
+
+@pytest.fixture(scope="module")
+def packets(spark):
+    """A connection with nearly all packets and silences of many pieces, one that starts with responses, one with requests alone."""
+    rng, out, seq = random.Random(5), [], 0
+    for link, n, share in (("busy", 5000, 0.1), ("late", 200, 0.02), ("asks", 60, 1.0), ("answers", 40, 0.0), (None, 50, 0.3)):
+        at = 1_000.0
+        for i in range(n):
+            at += rng.choice([0, 0, 0.01, 0.4, 3, 900 if rng.random() < 0.05 else 1])
+            seq += 1
+            kind = "response" if link == "late" and i < 9 else "request" if rng.random() < share else rng.choice(["response"] * 9 + [None])
+            out.append((link, f"c{len(link or '') % 2}", rng.choice("ab"), seq, int(at * 1000), kind, f"GET /{rng.randrange(9)}", rng.choice([None, 1, 50, 700]), rng.random() < 0.1))
+    return spark.createDataFrame(out, "link string, client string, side string, seq long, ms long, kind string, request string, size long, error boolean").withColumn("ts", F.timestamp_millis("ms")).persist()
+
+
+@pytest.mark.parametrize("seconds", [1, 60, 86400])
+@pytest.mark.parametrize("keys", [["client"], ["link", "side"]])
+def test_pairing_across_borders(packets, seconds, keys):
+    got = chunks.chunked_flow_summary(packets, ["link"], keys, "ts", seconds)
+    want = flows.flow_summary(packets, ["link"], keys, "ts")
+    assert got.columns == want.columns
+    assert listed(got, *want.columns) == listed(want, *want.columns)
+    assert chunks.chunked_flow_summary(packets.limit(0), ["link"], keys, "ts", seconds).count() == 0
+
+
+def test_a_busy_connection_is_spread(packets):
+    """A window task sees a piece's packets, or two rows at most of each piece."""
+    busy = packets.where("link = 'busy'")
+    pieces, most = busy.groupBy(chunks.window_of(F.col("ts"), 60)).count().agg(F.count("*"), F.max("count")).first()
+    borders = chunks.paired_pieces(busy, ["link"], ["link"], "ts", 60).where("_border").count()
+    assert most < busy.count() / 20 and borders <= 2 * pieces < busy.count() / 5
