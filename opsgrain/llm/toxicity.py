@@ -6,9 +6,10 @@ document labels alone, by gradient descent on the likelihood of those labels; it
 make a document toxic.
 
 Training takes a bounded sample of labelled documents (``sample`` of each class at most, those with the
-smallest hash of their id); classes are weighted back to their numbers among all labels, and a missed toxic
-document counts as ``missed`` wrongly rejected ones. The words are the
-``words`` most telling ones of the sample, and beginnings of words count like words. Scores use nothing but the text.
+smallest hash of their id, one row of each id, so that the driver holds the known words of ``2 * sample`` texts at
+most); classes are weighted back to their numbers among all labels, and a missed toxic document counts as ``missed``
+wrongly rejected ones. The words are the ``words`` most telling ones of the sample, and beginnings of words count
+like words. Scores use nothing but the text.
 """
 
 from __future__ import annotations
@@ -49,6 +50,14 @@ def held_out(column):
     return F.crc32(column.cast("string").cast("binary")) % 5 == 0
 
 
+def sampled(docs: DataFrame, known: DataFrame, sample: int) -> DataFrame:
+    """``text, y`` of ``sample`` documents of each class at most; of several rows of one id the smallest text that is not null."""
+    by_hash = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    chosen = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # at most 2 * sample rows
+    one = docs.select("doc_id", "text").join(chosen, "doc_id").groupBy("doc_id", "y").agg(F.min("text").alias("text"))
+    return one.select("text", "y").repartition(32)  # few rows, but their words are work
+
+
 def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4096, epochs: int = 700, rate: float = 0.05, missed: float = 3.0) -> dict:
     """A sentence model: ``bias`` and ``weights`` by word.
 
@@ -62,9 +71,7 @@ def learn(docs: DataFrame, labels: DataFrame, sample: int = 6000, words: int = 4
     n1, n0 = total.get(1, 0), total.get(0, 0)
     if not n1 or not n0:
         return {"bias": -30.0 if not n1 else 30.0, "weights": {}}
-    by_hash = lambda y: known.where(F.col("y") == y).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    chosen = F.broadcast(by_hash(1).unionByName(by_hash(0)))  # at most 2 * sample rows
-    taken = written(docs.select("doc_id", "text").join(chosen, "doc_id").select("text", "y"), "sample")
+    taken = written(sampled(docs, known, sample), "sample")
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[bytes, list[int]] = {}

@@ -40,6 +40,21 @@ def test_recall_with_production_parameters(spark, size, labels):
     assert sum(got.values()) >= 0.95 * want.sum()
 
 
+def test_toxicity_learns_one_row_of_each_id(spark):
+    """A third of all rows in one id, null texts and null ids: training still gets ``sample`` rows of each class at most."""
+    ids = F.when(F.col("id") % 3 == 0, 3).when(F.col("id") % 50 == 1, None).otherwise(F.col("id") % 7)
+    docs = spark.range(20000).select(ids.alias("doc_id"), F.when(ids < 6, F.concat(F.lit("t"), "id")).alias("text"))
+    known = spark.range(7).select(F.col("id").alias("doc_id"), (F.col("id") % 2).alias("y"))
+    taken = {(r.text, r.y) for r in toxicity.sampled(docs, known, 9).collect()}
+    least = {r.doc_id: r.text for r in docs.where("doc_id IS NOT NULL").groupBy("doc_id").agg(F.min("text").alias("text")).collect()}
+    assert taken == {(t, k % 2) for k, t in least.items()} and len(least) == 7
+    few = toxicity.sampled(docs, known, 2).collect()
+    assert sorted(r.y for r in few) == [0, 0, 1, 1]
+    assert toxicity.sampled(docs.limit(0), known, 2).count() == 0
+    model = toxicity.learn(docs, known.withColumnRenamed("y", "toxic"), sample=2, epochs=5)
+    assert set(model) == {"bias", "weights"}
+
+
 def test_toxicity_scores_are_the_noisy_or(spark):
     """Scores again, from the model's weights, by the definition; and a true ranking of the held-out labels."""
     docs, labels = (spark.read.parquet(f"/root/testdata/sf0.1/{n}.parquet") for n in ("documents", "labels"))
