@@ -194,8 +194,8 @@ def test_media_are_stored_and_described(spark):
     want = Counter()
     for i, n, data in files:
         packets, info = matroska.demux(data)
-        x = np.frombuffer(b"".join(data[a : a + size] for _, _, _, a, size, _ in packets), np.uint8).astype(float)
-        over, clusters = x > x.mean(), {c: t for _, t, _, _, _, c in reversed(packets)}
+        x = np.frombuffer(b"".join(data[a : a + size] for _, _, _, a, size, _, _ in packets), np.uint8).astype(float)
+        over, clusters = x > x.mean(), {c: t for _, t, _, _, _, c, _ in reversed(packets)}
         cues = sum(clusters.get(c) == t * info["scale"] for t, c in info["cues"])
         assert cues == len(clusters) == info["clusters"] and len(x) % 192 == 0 and x.sum() > 0
         want[(i, len(data), f"codec=A_PCM/INT/LIT;rate=8000;depth=8;packets={len(packets)};blocks={info['blocks']};laced={info['laces']};clusters={len(clusters)};cues={cues};ms={len(x) // 8};mean={x.mean():.4f};deviation={x.std():.4f};crossings={np.mean(over[1:] != over[:-1]):.4f}")] += 1

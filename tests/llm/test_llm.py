@@ -329,7 +329,8 @@ def test_media(spark, odd):
     assert Counter((r.doc_id, r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) for r in got) == want
     assert all(r.media_bytes > r.payload_bytes and "cues=" in r.feature for r in got)
     table = matroska.packet_table(matroska.store(frame(spark, [(1, "x" * 100_000)]))).orderBy("nth").collect()
-    assert len(table) == 521 and [r.timestamp for r in table[:9]] == [0] * 8 + [192_000_000] and table[-1].cluster > 0
+    assert len(table) == 521 and [r.timestamp for r in table] == [24_000_000 * i for i in range(521)] and table[-1].cluster > 0
+    assert {r.duration for r in table} == {24_000_000} and all(r.keyframe for r in table)
 
 
 @pytest.mark.parametrize("lacing", [0, 1, 2, 3])
@@ -342,12 +343,55 @@ def test_lacings(lacing):
     unknown = matroska.SEGMENT.to_bytes(4, "big") + b"\x01" + b"\xff" * 7
     data = unknown + body + group
     packets, info = matroska.demux(data)
-    assert [data[a : a + n] for _, _, _, a, n, _ in packets] == [*frames, b"abc"]
-    assert [p[:3] for p in packets] == [(2, 2_000_000, False)] * len(frames) + [(1, 8_000_000, False)]
+    assert [data[a : a + n] for _, _, _, a, n, _, _ in packets] == [*frames, b"abc"]
+    assert [p[:3] for p in packets] == [(2, 2_000_000, False)] * len(frames) + [(1, 8_000_000, True)] and {p[6] for p in packets} == {None}
     with pytest.raises(ValueError):
         matroska.demux(data[:-1])
 
 
+def test_groups_durations_and_keyframes():
+    """A group's duration is shared by its frames and goes before the track's; a reference, before or after, makes no keyframe."""
+    M = matroska
+    track = M.element(M.TRACKS, M.element(M.TRACK, M.element(M.DEFAULT, (20_000_000).to_bytes(4, "big")) + M.element(M.NUMBER, b"\1")) + M.element(M.TRACK, M.element(M.NUMBER, b"\2")))
+    laced = lambda track, at: M.element(M.BLOCK, bytes([128 | track]) + at.to_bytes(2, "big") + b"\x04\x02" + b"aabbcc")
+    lasting, refers = M.element(M.DURATION, b"\x64"), M.element(M.REFERENCE, b"\xff")
+    groups = [laced(1, 0) + lasting, refers + laced(1, 100), laced(1, 160) + refers + lasting, laced(2, 300), laced(2, 400) + lasting]
+    cluster = M.element(M.CLUSTER, M.element(M.TIME, b"\x0a") + b"".join(M.element(M.GROUP, g) for g in groups) + M.block(1, 500, [b"x", b"yy"], 3))
+    packets, info = M.demux(M.element(M.SEGMENT, track + cluster))
+    got = [(p[0], p[1], p[2], p[6]) for p in packets]
+    third = [0, 33_333_333, 66_666_666, 100_000_000]
+    want = [(1, 10_000_000 + third[i], True, third[i + 1] - third[i]) for i in range(3)]
+    want += [(1, 110_000_000 + 20_000_000 * i, False, 20_000_000) for i in range(3)]
+    want += [(1, 170_000_000 + third[i], False, third[i + 1] - third[i]) for i in range(3)]
+    want += [(2, 310_000_000, True, None)] * 3 + [(2, 410_000_000 + third[i], True, third[i + 1] - third[i]) for i in range(3)]
+    want += [(1, 510_000_000 + 20_000_000 * i, True, 20_000_000) for i in range(2)]
+    assert got == want and info["blocks"] == 6 and info["laces"] == 6
+
+
+def test_broken_media(spark):
+    """Files cut off or changed anywhere give an error or packets within the file, and leave the rows beside them as they are."""
+    good = matroska.mux(b"some samples" * 160)
+    rng, rows = random.Random(3), [(0, None, good), (1, None, b""), (2, None, None), (3, None, good[:-1]), (4, None, b"no such file")]
+    for i in range(5, 400):
+        data = bytearray(good[: rng.randrange(len(good))] if i % 2 else good)
+        for _ in range(rng.randrange(4)):
+            if data:
+                data[rng.randrange(min(len(data), 300))] = rng.randrange(256)
+        rows.append((i, None, bytes(data)))
+    got = {r.doc_id: r for r in matroska.parsed(spark.createDataFrame(rows, "doc_id long, n_bytes long, media binary")).collect()}
+    assert len(got) == 400 and got[0].error is None and got[0].payload_bytes == 1920 and got[2].error is None and got[2].packets is None
+    assert got[3].error and got[4].error and got[3].packets is None and got[3].media_bytes == len(good) - 1
+    assert sum(r.error is not None for r in got.values()) > 150
+    for i, _, data in rows:
+        if data is not None and got[i].error is None:
+            assert all(0 <= p.start and p.start + p.size <= len(data) for p in got[i].packets)
+    late = matroska.element(matroska.SEGMENT, matroska.element(matroska.CLUSTER, matroska.element(matroska.TIME, b"\xff" * 8) + matroska.block(1, 0, [b"x"], 0)))
+    with pytest.raises(ValueError):
+        matroska.demux(late)
+    told = {r.doc_id: r for r in matroska.features(spark.createDataFrame(rows[:5], "doc_id long, n_bytes long, media binary")).collect()}
+    assert told[0].feature and told[0].error is None and told[3].feature is None and told[3].error == got[3].error
+
+
 def test_pipeline(spark):
     names = [n for n, _ in corpus_pipeline.STAGES]
     docs = spark.read.parquet(f"{SF}/documents.parquet")
