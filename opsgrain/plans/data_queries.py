@@ -17,7 +17,7 @@ from opsgrain.operators import rollup as RU
 from opsgrain.operators import severity as V
 from opsgrain.operators import stats as S
 from opsgrain.plans import anomaly_queries as Q
-from opsgrain.plans.inputs import DAY, DAYS, FLOWS_SQL, NUDGE, flows, metrics, metrics_sql, nudged, rounded, table
+from opsgrain.plans.inputs import DAY, DAYS, FLOWS_SQL, NUDGE, flows, metrics, metrics_sql, nudged, rounded, scratch, table
 from opsgrain.sources import lines as L
 from opsgrain.sources import tables as B
 
@@ -85,6 +85,16 @@ def topology_message(spark, sf):
     return B.topology_message(m, m.select("deployment_id", "cluster_id", F.col("classification").alias("service")))
 
 
+def csv_export(spark, sf):
+    """A result table with commas, quotes, empty and missing fields, written as CSV and read again: as text, and as fields."""
+    path = scratch(spark, "csv")
+    note = F.when(F.col("event_id") % 7 == 0, F.lit(None)).when(F.col("event_id") % 5 == 0, 'he said "no", twice').when(F.col("event_id") % 3 == 0, "a,b").otherwise(F.col("event_type"))
+    B.write_csv(ev(spark, sf).select("event_id", note.alias("note"), "k"), path)
+    fields = spark.read.option("header", True).option("escape", '"').schema("event_id long, note string, k int").csv(path)
+    text = spark.read.text(path).where("value <> 'event_id,note,k'").select(F.split_part("value", F.lit(","), F.lit(1)).cast("long").alias("event_id"), F.col("value").alias("line"))
+    return fields.join(text, "event_id")
+
+
 def csv_status_metrics(spark, sf):
     e = ev(spark, sf)
     text = F.concat_ws(",", "event_type", F.when(F.col("k") > 20, F.col("k").cast("string")).otherwise(""), F.col("user_id").cast("string"))
@@ -607,7 +617,7 @@ def connection_query(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    line_protocol_scan, wire_line_scan, line_protocol_format, put_line_format, routed_records, stats_upsert, retention, topology_message, csv_status_metrics, json_flatten_metrics, kv_text_metrics,
+    line_protocol_scan, wire_line_scan, line_protocol_format, put_line_format, routed_records, stats_upsert, retention, topology_message, csv_export, csv_status_metrics, json_flatten_metrics, kv_text_metrics,
     access_log_parse, metric_catalog, delete_range, name_filter, tag_filter, point_sanitize, minute_slot, value_typing, search_predicates, bool_filter, text_query, object_query, time_range, date_part_fields,
     flatten_document, sorted_page, highlight, format_columns, strip_secrets, prefix_rename, request_templates, ipv4_functions, parse_size, series_key, asof_dimension, enrich_topology, resolve_edges,
     absent_entities, service_observations, ip_range_join, snapshot_rate, ratio_counters, io_latency, pivot_flows, service_inventory, dedup_edges, connection_rollup, connection_requests, pair_templates, partition_selection, flow_series, observation_counts,
@@ -632,6 +642,8 @@ def flow_sql(by, link, keys):
 
 
 SQL = {
+    "csv_export": f"""{EV}, n AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN NULL WHEN event_id % 5 = 0 THEN 'he said "no", twice' WHEN event_id % 3 = 0 THEN 'a,b' ELSE event_type END AS note, k FROM ev)
+      SELECT *, event_id || ',' || CASE WHEN note LIKE '%,%' THEN '"' || replace(note, '"', '""') || '"' ELSE coalesce(note, '') END || ',' || k AS line FROM n""",
     "line_protocol_scan": f"""{EV} SELECT event_id, CASE WHEN ok THEN 'app ' || event_type END AS measurement, CASE WHEN ok THEN 'h' || user_id % 8 END AS host, CASE WHEN ok THEN 'a,b' END AS note, CASE WHEN ok THEN round(value, 6) END AS value,
       CASE WHEN ok THEN CAST(k AS BIGINT) END AS k, ok, CASE WHEN ok THEN 'say "hi, you"' END AS text, CASE WHEN ok THEN ts END AS ts, CASE WHEN NOT ok THEN 'no line' END AS error FROM (SELECT *, event_id % 50 <> 0 AS ok FROM ev)""",
     "wire_line_scan": f"""{EV} SELECT event_id, 'SYSTEM' AS rectype, 'app' AS plugin, event_type AS classification, '*' AS target, 'h' || user_id % 8 AS host_name, '10.0.0.1' AS host_ip, 'cl' || user_id % 4 AS cluster_id,

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import tempfile
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -40,6 +43,33 @@ def metrics_sql(three_modes: bool = False) -> str:
          CAST(date_trunc('day', ts) AS TIMESTAMP) AS slot, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, 100.0 AS high_water_mark FROM events)"""
 
 
+def minutes(spark: SparkSession, sf_dir: str, three_modes: bool = False) -> DataFrame:
+    """The rows of :func:`metrics` with each day pressed into a minute, so that thirty minutes are as full as thirty days."""
+    start = F.unix_micros(F.lit(START).cast("timestamp"))
+    pressed = metrics(spark, sf_dir, three_modes).withColumn("_since", F.unix_micros("ts") - start)
+    pressed = pressed.withColumn("ts", F.timestamp_micros(start + F.expr("_since div 1440"))).drop("_since")
+    return pressed.withColumn("slot", F.date_trunc("minute", "ts"))
+
+
+def minutes_sql(three_modes: bool = False) -> str:
+    pressed = f"make_timestamp(epoch_us(TIMESTAMP '{START}') + (epoch_us(ts) - epoch_us(TIMESTAMP '{START}')) // 1440)"
+    return f"""{metrics_sql(three_modes).replace('metrics AS', 'days AS', 1)},
+metrics AS (SELECT * REPLACE ({pressed} AS ts, CAST(date_trunc('minute', {pressed}) AS TIMESTAMP) AS slot) FROM days)"""
+
+
+def scratch(spark: SparkSession, name: str) -> str:
+    """A new path for what a query writes on its way, in the folder of ``spark.checkpoint.dir``, which all executors share.
+
+    Without that setting a temporary folder is taken if all runs on one machine; on a cluster this raises.
+    """
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        base = "file://" + tempfile.mkdtemp(prefix="spark-scratch-")
+    return f"{base.rstrip('/')}/queries/{name}-{uuid.uuid4().hex}"
+
+
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Service calls from line items: customer's nation calls supplier's nation on a port."""
     t = lambda n: table(spark, sf_dir, n)

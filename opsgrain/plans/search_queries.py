@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import functions as F
 
 from opsgrain.operators import heavy as H
@@ -79,6 +81,31 @@ def ts_query(spark, sf):
     return rounded(T.query(points(spark, sf), spec))
 
 
+def share_above(df, by, p):
+    """An aggregator of a user's own: the share of a sample's values that are over ``mark``."""
+    at = T.sample_start(F.col("ts"), p["seconds"])
+    return df.groupBy(*by, at.alias("_s")).agg(F.avg((F.col("value") > p["mark"]).cast("double")).alias("value")).withColumnRenamed("_s", "ts")
+
+
+#: A query with a user's aggregator and grouper, as it would be sent.
+CUSTOM = """{"start": "2024-01-03 00:00:00", "end": "2024-01-28 00:00:00", "metrics": [
+ {"name": "app.view", "group_by": [{"name": "shift", "hours": 8}, {"name": "tag", "tag": "cluster"}],
+  "aggregators": [{"name": "share_above", "seconds": 86400, "mark": 60.5}, {"name": "scale", "factor": 100}]}]}"""
+
+
+def ts_custom(spark, sf):
+    """A named aggregator and a named grouper that the library does not have, with their parameters as JSON."""
+    T.register_aggregator("share_above", share_above)
+    T.register_grouper("shift", lambda p: F.floor(F.hour("ts") / p["hours"]))
+    return rounded(T.query(points(spark, sf), json.loads(CUSTOM)))
+
+
+def scripted_fields(spark, sf):
+    """Fields and predicates that a user writes as expressions, with the date parts beside them."""
+    rows = ev(spark, sf).withColumns({"load": F.expr("value * 8 / (k + 1)"), "label": F.expr("concat(upper(substring(event_type, 1, 1)), '-', user_id % 10)")})
+    return rounded(rows.where(F.expr("load > 20 and label like 'V-%' or k % 7 = 3 and hour(ts) between 6 and 11")).select("event_id", "label", "load"))
+
+
 def ts_diff(spark, sf):
     return rounded(_ask(spark, sf, "app.view", HOSTS, {"name": "sum", "seconds": HOUR6}, {"name": "diff"}))
 
@@ -238,7 +265,7 @@ def percent_stack(spark, sf):
 
 
 QUERIES = {f.__name__: f for f in (
-    ts_sample_basic, ts_sample_percentile, ts_sample_first_last, ts_gaps, ts_least_squares, ts_scale, ts_save_as, ts_group_by, ts_query, ts_diff, ts_rate, ts_trim,
+    ts_sample_basic, ts_sample_percentile, ts_sample_first_last, ts_gaps, ts_least_squares, ts_scale, ts_save_as, ts_group_by, ts_query, ts_custom, scripted_fields, ts_diff, ts_rate, ts_trim,
     date_histogram, auto_interval, histogram, range_buckets, date_range_buckets, ip_range_buckets, terms_topn, heavy_terms, significant_terms, filters_buckets, geohash_grid,
     metric_basic, metric_cardinality, metric_percentiles, selected_percentiles, sketched_cardinality, metric_percentile_ranks, metric_std_bands, nested_buckets, point_series, field_top_values, percent_stack,
 )}
@@ -260,6 +287,8 @@ SQL = {
     "ts_scale": f"WITH {SUMS} SELECT metric, g0, ts, round(value * 2.5 / 4.0, 6) AS value FROM sums",
     "ts_save_as": f"WITH {POINTS} SELECT 'app.view.6h' AS metric, host AS g0, s AS ts, round(avg(value), 6) AS value FROM points WHERE metric = 'app.view' GROUP BY 2, 3",
     "ts_group_by": f"WITH {POINTS} SELECT metric, cluster AS g0, CAST(CAST(floor(value / 50) AS BIGINT) AS VARCHAR) AS g1, CAST(CAST(floor((epoch(ts) - epoch(TIMESTAMP '2024-01-01')) / 86400) AS BIGINT) % 7 AS VARCHAR) AS g2, make_timestamp(CAST(floor(epoch(ts) / 2592000) * 2592000 AS BIGINT) * 1000000) AS ts, CAST(count(*) AS DOUBLE) AS value FROM points WHERE metric = 'app.purchase' GROUP BY 1, 2, 3, 4, 5",
+    "ts_custom": f"WITH {POINTS} SELECT metric, CAST(hour(ts) // 8 AS VARCHAR) AS g0, cluster AS g1, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, round(avg(CASE WHEN value > 60.5 THEN 1.0 ELSE 0.0 END) * 100, 6) AS value FROM points WHERE metric = 'app.view' AND ts >= TIMESTAMP '2024-01-03' AND ts < TIMESTAMP '2024-01-28' GROUP BY 1, 2, 3, 4",
+    "scripted_fields": f"WITH {EV}, s AS (SELECT *, value * 8 / (k + 1) AS load, upper(event_type[1]) || '-' || user_id % 10 AS label FROM ev) SELECT event_id, label, round(load, 6) AS load FROM s WHERE (load > 20 AND label LIKE 'V-%') OR (k % 7 = 3 AND hour(ts) BETWEEN 6 AND 11)",
     "ts_query": f"""WITH {POINTS}, p AS (SELECT * FROM points WHERE ts >= TIMESTAMP '2024-01-05' AND ts < TIMESTAMP '2024-01-20'),
       a AS (SELECT metric, host AS g0, s AS ts, max(value) AS value FROM p WHERE metric = 'app.view' AND host IN ('h1', 'h2') GROUP BY 1, 2, 3),
       b AS (SELECT metric, CAST(date_trunc('day', ts) AS TIMESTAMP) AS ts, sum(value) AS value FROM p WHERE metric = 'app.error' AND cluster = 'cl0' GROUP BY 1, 2),

@@ -3,10 +3,10 @@
 import pytest
 from pairs import same
 
-from opsgrain.plans import anomaly_queries, data_queries, search_queries
+from opsgrain.plans import anomaly_queries, data_queries, search_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
-CASES = [(m, n) for m in (anomaly_queries, search_queries, data_queries) for n in m.QUERIES]
+CASES = [(m, n) for m in (anomaly_queries, search_queries, data_queries, stream_queries) for n in m.QUERIES]
 
 
 @pytest.mark.parametrize("module,name", CASES, ids=[n for _, n in CASES])
