@@ -186,6 +186,19 @@ def plan(lengths: dict[int, int], capacity: int, groups: int = 48, small: float
     return dict(zip(("length", "first", "bin", "each", "offset"), table.T, strict=True)) | {"bins": bins}
 
 
+def fewest(lengths: dict[int, int], capacity: int, groups: tuple[int, ...]) -> dict[str, np.ndarray]:
+    """The plan with the fewest sequences of those by these numbers of groups; the first of several, and none are tried
+    once a plan has as few as the sum of all lengths allows."""
+    least = -(-sum(k * v for k, v in lengths.items() if v > 0) // capacity)
+    best: dict | None = None
+    for n in groups:
+        now = plan(lengths, capacity, n)
+        best = now if best is None or now["bins"] < best["bins"] else best
+        if best["bins"] <= least:
+            break
+    return best
+
+
 def _located(runs: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Sequence and offset of the documents of these lengths and ranks within them."""
     run = np.searchsorted((runs["length"] << 44) | runs["first"], (length << 44) | rank, "right") - 1
@@ -193,8 +206,8 @@ def _located(runs: dict[str, np.ndarray], length: np.ndarray, rank: np.ndarray)
     return runs["bin"][run] + nth // each, runs["offset"][run] + nth % each * length
 
 
-def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: int = 48) -> DataFrame:
-    """Packs all documents; one row per piece with its place.
+def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1, groups: tuple[int, ...] = (16, 48)) -> DataFrame:
+    """Packs all documents; one row per piece with its place. The best plan of several numbers of ``groups`` is taken.
 
     ``docs`` needs ``doc_id`` and ``text``; other columns are not read. Repeated rows are documents of their
     own; pieces of one document may go to different sequences. An empty table gives an empty result. What
@@ -204,7 +217,7 @@ def pack(docs: DataFrame, tokenizer: str, capacity: int = 4096, end_id: int = 1,
     cut = written(pieces(docs, tokenizer, capacity, end_id), "pieces")
     counts = written(cut.groupBy("file", "length").count(), "piece_counts")
     lengths = {r["length"]: r["n"] for r in counts.groupBy("length").agg(F.sum("count").alias("n")).collect()}
-    shared = spark.sparkContext.broadcast(plan(lengths, capacity, groups))
+    shared = spark.sparkContext.broadcast(fewest(lengths, capacity, groups))
     before = Window.partitionBy("length").orderBy("file").rowsBetween(Window.unboundedPreceding, -1)
     base = counts.select("file", "length", F.coalesce(F.sum("count").over(before), F.lit(0)).alias("base"))
 

@@ -184,6 +184,20 @@ def test_sequences_follow_the_mix(spark, monkeypatch):
     assert abs(first["small"] / sum(first.values()) - 0.5) < 0.06
 
 
+def test_the_best_of_several_plans_is_taken():
+    """Fewest sequences of all numbers of groups; whole plans; no more are made once none can be better."""
+    rng, better = np.random.default_rng(5), 0
+    for _ in range(4):
+        drawn = np.clip(rng.lognormal(6.3, 1.0, 4000).astype(int), 1, 4096)
+        lengths = dict(zip(*(x.tolist() for x in np.unique(drawn, return_counts=True)), strict=True))
+        each = [packing.plan(lengths, 4096, n)["bins"] for n in (16, 48)]
+        got = packing.fewest(lengths, 4096, (16, 48))
+        assert got["bins"] == min(each) >= -(-int(drawn.sum()) // 4096)
+        better += got["bins"] < each[1]
+    assert better
+    assert packing.fewest({}, 4096, (16, 48))["bins"] == 0 and packing.fewest({2048: 6}, 4096, (16, None))["bins"] == 3
+
+
 def test_media_are_stored_and_described(spark):
     """Features again, from the packet table and the bytes, for a stored column."""
     rows = [(1, "x" * 100_000), (2, None), (3, "é" * 50), (None, "a b"), (1, "x" * 100_000)]
