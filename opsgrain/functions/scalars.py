@@ -19,8 +19,13 @@ def ip_to_long(ip: Column) -> Column:
 
 def long_to_ip(value: Column) -> Column:
     """The address of a number from 0 to 2^32 - 1, else null."""
-    octets = [F.shiftright(value, 24 - 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in range(4)]
-    return F.when((value >= 0) & (value < 1 << 32), F.concat_ws(".", *octets))
+    return F.when((value >= 0) & (value < 1 << 32), dotted(value))
+
+
+def dotted(value: Column) -> Column:
+    """A number with its three lower bytes apart; an address has this form, other numbers have a first part that is no byte."""
+    lower = [F.shiftright(value, 8 * i).bitwiseAND(F.lit(255)).cast("string") for i in (2, 1, 0)]
+    return F.concat(F.shiftright(value, 24).cast("string"), *(x for part in lower for x in (F.lit("."), part)))
 
 
 def cidr_range(cidr: str) -> tuple[int, int]:

@@ -80,8 +80,9 @@ def histogram(df: DataFrame, value: str, interval: float, bounds: tuple[float, f
 
 def range_buckets(df: DataFrame, value: Column, ranges: Sequence[tuple], by: Sequence[str] = ()) -> DataFrame:
     """Counts for each range ``(label, low, high)``, low included, high not; None is open; ranges may overlap."""
-    fits = [F.when((F.lit(True) if lo is None else value >= F.lit(lo)) & (F.lit(True) if hi is None else value < F.lit(hi)) & value.isNotNull(), F.lit(label)) for label, lo, hi in ranges]
-    counts = df.select(*by, F.explode(F.array_compact(F.array(*fits))).alias("range")).groupBy(*by, "range").agg(F.count("*").alias("n"))
+    x = F.col("_x")
+    fits = [F.when((F.lit(True) if lo is None else x >= F.lit(lo)) & (F.lit(True) if hi is None else x < F.lit(hi)) & x.isNotNull(), F.lit(label)) for label, lo, hi in ranges]
+    counts = df.select(*by, value.alias("_x")).select(*by, F.explode(F.array_compact(F.array(*fits))).alias("range")).groupBy(*by, "range").agg(F.count("*").alias("n"))
     if by:
         return counts
     every = df.sparkSession.createDataFrame([(label,) for label, _, _ in ranges], "range string")
