@@ -72,7 +72,7 @@ def stream(rows: DataFrame, path: str, writer: Callable[[DataFrame], DataStreamW
 
 def stream_slot_stats(spark, sf):
     path, rows = scratch(spark, "slots"), minutes(spark, sf).select("ts", "host_name", "classification", "value")
-    stream(rows, path, lambda s: jobs.slot_stats(s, ["host_name", "classification"], "ts", "value").writeStream.foreachBatch(jobs.idempotent(f"{path}/out")))
+    stream(rows, path, lambda s: jobs.slot_stats(s, ["host_name", "classification"], "ts", "value", nearest=True).writeStream.foreachBatch(jobs.idempotent(f"{path}/out")))
     return rounded(spark.read.parquet(f"{path}/out").drop("batch"))
 
 

@@ -3,10 +3,11 @@
 import os
 
 import duckdb
+import pytest
 from pairs import TABLES, same
 
 from opsgrain.functions import scalars as X
-from opsgrain.plans import data_queries, search_queries
+from opsgrain.plans import data_queries, search_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -36,3 +37,10 @@ def test_dotted_numbers(spark):
     assert [tuple(r) for r in df.select(X.dotted(df.v), X.long_to_ip(df.v)).collect()] == [
         ("0.0.0.0",) * 2, ("255.255.255.255",) * 2, ("256.0.0.0", None), ("-1.255.255.255", None), (None, None)
     ]
+
+
+@pytest.mark.parametrize("last", ["23:59:59.2", "23:59:59.3"])
+def test_slots_finished_by_the_nearest_millisecond(spark, tmp_path, last):
+    # pressed into a minute, the newest event is 556 or 486 microseconds before the end of the last slot, which is 1 or 0 milliseconds
+    sql = f"SELECT * REPLACE (CASE WHEN event_id = (SELECT max_by(event_id, ts) FROM {{table}}) THEN TIMESTAMP '2024-01-30 {last}' ELSE ts END AS ts) FROM {{table}}"
+    same(spark, stream_queries.stream_slot_stats, stream_queries.SQL["stream_slot_stats"], tables_with(tmp_path, "events", sql))
