@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import partial
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -48,32 +49,32 @@ def connection_rollup(df: DataFrame, levels: Sequence[Sequence[str]], service: S
     sets = [[F.col(c) for c in [*level, *service]] for level in levels]
     marks = [F.grouping(c).alias(f"_g_{c}") for c in columns]
     d = F.col("duration")
-    aggs = [F.try_divide(F.sum(F.col(m) * d), F.sum(d)).alias(m) for m in WEIGHTED] + [F.sum(m).alias(m) for m in ADDED]
-    if requests:
-        own = F.array_max(F.transform(requests, lambda r: F.struct(r["ttfb"].alias("ttfb"), r["ttlb"].alias("ttlb"))))
-        aggs += [F.max(own).alias("_worst")]
-    else:
-        aggs += [F.max(m).alias(m) for m in GREATEST]
-    out = df.groupingSets(sets, *columns, *service).agg(*aggs, *marks).withColumn("level", _level(levels, columns)).drop(*(f"_g_{c}" for c in columns))
-    if not requests:
-        return out
-    out = out.withColumns({"max_ttfb": F.col("_worst.ttfb"), "max_ttlb": F.col("_worst.ttlb")}).drop("_worst")
+    lists = {name: source for name, source in (("costliest", requests), ("top_errors", errors)) if source and requests}
+    if not lists:
+        aggs = [F.try_divide(F.sum(F.col(m) * d), F.sum(d)).alias(m) for m in WEIGHTED] + [F.sum(m).alias(m) for m in ADDED] + [F.max(m).alias(m) for m in GREATEST]
+        out = df.groupingSets(sets, *columns, *service).agg(*aggs, *marks)
+        return out.withColumn("level", _level(levels, columns)).drop(*(f"_g_{c}" for c in columns))
+    # a flow's own row and one for each of its requests and errors, so that the flows are read once: what they are is part of the key
+    own = F.array_max(F.transform(requests, lambda r: F.struct(r["ttfb"].alias("ttfb"), r["ttlb"].alias("ttlb"))))
+    entry = lambda kind, r: F.struct(F.lit(kind).alias("_kind"), *((F.lit(None) if r is None else r[x]).alias(x) for x in ("req", "count", "ttfb", "ttlb")))
+    each = [F.coalesce(F.transform(source, partial(entry, kind)), F.array()) for kind, source in enumerate(lists.values(), 1)]
+    measures = [*WEIGHTED, *ADDED]
+    rows = df.select(*columns, *service, *measures, own.alias("_worst"), F.inline(F.concat(F.array(entry(0, None)), *each)))
+    rows = rows.where("_kind = 0 or (count > 0 and req <> '')").withColumn("template", F.when(F.col("_kind") > 0, request_template(F.col("req"))))
+    rows = rows.withColumns({m: F.when(F.col("_kind") == 0, F.col(m)) for m in [*measures, "_worst"]})
+    # sums of the finest groups, of which those of the levels are made
+    c, weighed = F.col("count"), {f"_w_{m}": F.col(m) * w for w, of in ((d, WEIGHTED), (F.col("count"), ("ttfb", "ttlb"))) for m in of}
+    fine = rows.groupBy(*columns, *service, "_kind", "template").agg(*(F.sum(x).alias(n) for n, x in weighed.items()), *(F.sum(m).alias(m) for m in (*ADDED, "count")), F.max("_worst").alias("_worst"))
+    mean = lambda m, w: F.try_divide(F.sum(f"_w_{m}"), F.sum(w)).alias(m)
+    sums = fine.groupingSets([[*s, F.col("_kind"), F.col("template")] for s in sets], *columns, *service, "_kind", "template").agg(
+        *(mean(m, d) for m in WEIGHTED), *(F.sum(m).alias(m) for m in ADDED), F.max("_worst").alias("_worst"), F.sum(c).alias("count"), mean("ttfb", c), mean("ttlb", c), *marks
+    )
     keys = ["level", *columns, *service]
-    for source, name in ((requests, "costliest"), (errors, "top_errors")):
-        if source:
-            each = df.select(*columns, *service, F.inline(source)).where("count > 0 and req <> ''").withColumn("template", request_template(F.col("req")))
-            c = F.col("count")
-            sums = each.groupingSets([[*s, F.col("template")] for s in sets], *columns, *service, "template").agg(
-                F.sum(c).alias("count"), (F.sum(F.col("ttfb") * c) / F.sum(c)).alias("ttfb"), (F.sum(F.col("ttlb") * c) / F.sum(c)).alias("ttlb"), *marks
-            )
-            ranked = sums.withColumn("level", _level(levels, columns)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys).orderBy(F.desc("ttfb"), "template")))
-            lists = ranked.where(F.col("rank") <= top).groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("rank", "template", "count", "ttfb", "ttlb"))).alias(name))
-            lists = lists.withColumnsRenamed({k: f"_{k}" for k in keys})
-            same = F.lit(True)
-            for k in keys:
-                same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-            out = out.join(lists, same, "left").drop(*(f"_{k}" for k in keys))
-    return out
+    ranked = sums.withColumn("level", _level(levels, columns)).withColumn("rank", F.row_number().over(Window.partitionBy(*keys, "_kind").orderBy(F.desc("ttfb"), "template")))
+    top_of = lambda kind: F.sort_array(F.collect_list(F.when(F.col("_kind") == kind, F.struct("rank", "template", "count", "ttfb", "ttlb"))))
+    whole = F.first(F.when(F.col("_kind") == 0, F.struct(*measures, F.col("_worst.ttfb").alias("max_ttfb"), F.col("_worst.ttlb").alias("max_ttlb"))), ignorenulls=True)
+    out = ranked.where((F.col("_kind") == 0) | (F.col("rank") <= top)).groupBy(*keys).agg(whole.alias("_whole"), *(top_of(k).alias(name) for k, name in enumerate(lists, 1)))
+    return out.select(*columns, *service, "_whole.*", "level", *(F.when(F.size(name) > 0, F.col(name)).alias(name) for name in lists))
 
 
 def flow_series(df: DataFrame, keys: list[str], host: str, measures: Sequence[str]) -> DataFrame:

@@ -73,7 +73,9 @@ def scratch(spark: SparkSession, name: str) -> str:
 def flows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Service calls from line items: customer's nation calls supplier's nation on a port."""
     t = lambda n: table(spark, sf_dir, n)
-    joined = t("lineitem").join(t("orders"), F.col("l_orderkey") == F.col("o_orderkey")).join(t("customer"), F.col("o_custkey") == F.col("c_custkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
+    # orders meet their customers first, so that line items, the largest table, are dealt once
+    orders = t("orders").join(t("customer"), F.col("o_custkey") == F.col("c_custkey"))
+    joined = t("lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(t("supplier"), F.col("l_suppkey") == F.col("s_suppkey"))
     return joined.select(
         F.concat(F.lit("n"), "c_nationkey").alias("from_cluster"), F.concat(F.lit("n"), "s_nationkey").alias("to_cluster"),
         F.concat(F.lit("u"), F.col("c_custkey") % 40).alias("from_host"), F.concat(F.lit("s"), F.col("s_suppkey") % 40).alias("to_host"),

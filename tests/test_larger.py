@@ -7,6 +7,7 @@ import pytest
 from pairs import TABLES, same
 
 from opsgrain.functions import scalars as X
+from opsgrain.operators import flows
 from opsgrain.plans import data_queries, search_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
@@ -44,3 +45,18 @@ def test_slots_finished_by_the_nearest_millisecond(spark, tmp_path, last):
     # pressed into a minute, the newest event is 556 or 486 microseconds before the end of the last slot, which is 1 or 0 milliseconds
     sql = f"SELECT * REPLACE (CASE WHEN event_id = (SELECT max_by(event_id, ts) FROM {{table}}) THEN TIMESTAMP '2024-01-30 {last}' ELSE ts END AS ts) FROM {{table}}"
     same(spark, stream_queries.stream_slot_stats, stream_queries.SQL["stream_slot_stats"], tables_with(tmp_path, "events", sql))
+
+
+def test_requests_of_connections_read_the_flows_once(spark):
+    plan = data_queries.connection_requests(spark, SF)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("l_orderkey#") and sum("Relation" in line and "l_orderkey#" in line for line in plan.splitlines()) == 1
+
+
+def test_a_flow_without_requests_counts_for_its_connection(spark):
+    kind = "array<struct<req:string,count:long,ttfb:long,ttlb:long>>"
+    schema = f"a string, port int, {', '.join(f'{m} long' for m in (*flows.WEIGHTED, *flows.ADDED, *flows.GREATEST))}, requests {kind}, failed {kind}"
+    numbers = (10, 20, 30, 1, 2, 3, 4, 5, 6, 7)
+    rows = [("x", 1, *numbers, [("GET /1", 3, 5, 9), ("", 1, 90, 90), None], None), ("x", 1, *numbers, None, []), (None, 1, *numbers, None, [("GET /2", 0, 1, 1)])]
+    got = {r.a: r for r in flows.connection_rollup(spark.createDataFrame(rows, schema), [["a"]], ["port"], "requests", "failed").collect()}
+    assert (got["x"].request_count, got["x"].avg_ttfb, got["x"].max_ttfb, [tuple(r) for r in got["x"].costliest], got["x"].top_errors) == (4, 20.0, 90, [(1, "GET /_", 3, 5.0, 9.0)], None)
+    assert (got[None].sent_bytes, got[None].max_ttfb, got[None].costliest, got[None].top_errors) == (3, None, None, None)
