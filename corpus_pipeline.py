@@ -20,8 +20,12 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Keeps the smallest ``doc_id`` of each group of texts with a Jaccard similarity of five-word shingles from 0.8 on."""
-    return shingles.drop_duplicates(docs, 5, 0.8)
+    """Keeps the smallest ``doc_id`` of each group of texts with a Jaccard similarity of five-word shingles from 0.8 on.
+
+    Candidates are texts whose SimHash fingerprints link within 3 bits, as op 1 finds them, and, for copies that are further
+    apart, texts that share a band of minima; all links are verified on the whole sets.
+    """
+    return shingles.drop_duplicates(docs, 5, 0.8, distance=3)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

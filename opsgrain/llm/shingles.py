@@ -1,7 +1,8 @@
 """Near-duplicates by the Jaccard similarity of their sets of word shingles: candidates by bands, verified exactly.
 
-SimHash of 64 bits cannot index similarities from 0.8 on: such pairs differ in about 10 bits, and half of them in
-more. So candidates come from MinHash: ``BANDS`` bands of ``DEPTH`` minima each; a pair of similarity s shares a
+With a ``distance`` the closest copies are found by fingerprint, with op 1's method: candidates are the links of
+:mod:`~opsgrain.llm.simhash`. SimHash of 64 bits cannot index all similarities from 0.8 on: such pairs differ in about 10 bits,
+and half of them in more. So further candidates come from MinHash: ``BANDS`` bands of ``DEPTH`` minima each; a pair of similarity s shares a
 band with probability 1 - (1 - s^DEPTH)^BANDS, which is 0.9996 at 0.8 and more above. Equal sets are one node.
 Buckets with the same members are compared once; one of more than ``CELL`` members is split into blocks and
 each pair of blocks is a cell of its own. In a cell all pairs not yet connected are verified on the whole sets;
@@ -17,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from opsgrain.llm import simhash
 from opsgrain.llm.common import components, row_key, written
 
 BANDS, DEPTH = 20, 5
@@ -67,7 +69,7 @@ def minima(own: np.ndarray) -> np.ndarray:
     return least
 
 
-def _described(words: int):
+def _described(words: int, fingerprints: bool = False):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from xxhash import xxh64_intdigest
 
@@ -82,7 +84,8 @@ def _described(words: int):
                 bands = _mix(bands * np.uint64(0x9E3779B97F4A7C15) + least[:, :, k])
             offsets = pa.array(np.arange(len(sets) + 1, dtype=np.int32) * BANDS)
             bands = pa.ListArray.from_arrays(offsets, pa.array(bands.ravel().view(np.int64)))
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(fp.view(np.int64)), bands], ["doc_id", "_row", "fp", "bands"])
+            sim = [simhash.fingerprint(x) if fingerprints else None for x in batch.column("text").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("_row"), pa.array(fp.view(np.int64)), bands, pa.array(sim, pa.int64())], ["doc_id", "_row", "fp", "bands", "sim"])
 
     return run
 
@@ -157,10 +160,26 @@ def _compare(similarity: float):
     return run
 
 
-def links(rows: DataFrame, distinct: DataFrame, words: int, similarity: float, cell: int = CELL) -> DataFrame:
+def fingerprint_pairs(described: DataFrame, distance: int) -> DataFrame:
+    """Pairs ``a, b`` of different sets (``fp``) whose texts' fingerprints (``sim``) link within ``distance`` bits.
+
+    Sets of one fingerprint are paired with its least set, and the least sets of linked fingerprints with each other,
+    so that there are no more pairs than sets and links.
+    """
+    sets = written(described.select("sim", "fp").distinct(), "fingerprints")
+    least = written(sets.groupBy("sim").agg(F.min("fp").alias("least")), "fingerprint-sets")
+    own = sets.join(least, "sim").select(F.col("least").alias("a"), F.col("fp").alias("b"))
+    found = simhash.links(least.select(F.col("sim").alias("fp")), distance)
+    ends = [least.select(F.col("sim").alias(x), F.col("least").alias(f"_{x}")) for x in ("a", "b")]
+    across = found.join(ends[0], "a").join(ends[1], "b").select(F.least("_a", "_b").alias("a"), F.greatest("_a", "_b").alias("b"))
+    return own.unionByName(across).where("a <> b").distinct()
+
+
+def links(rows: DataFrame, distinct: DataFrame, words: int, similarity: float, cell: int = CELL, pairs: DataFrame | None = None) -> DataFrame:
     """Links ``a, b`` between sets that connect all candidates of at least that similarity.
 
-    ``rows`` has ``_row, text``; ``distinct`` has ``fp, _row, bands``, the row of one text with that set.
+    ``rows`` has ``_row, text``; ``distinct`` has ``fp, _row, bands``, the row of one text with that set. ``pairs`` are
+    candidates from elsewhere; each is a cell of its own, verified like the rest.
     """
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     banded = distinct.select("fp", F.explode("bands").alias("bucket"))
@@ -170,25 +189,30 @@ def links(rows: DataFrame, distinct: DataFrame, words: int, similarity: float, c
     blocks = F.greatest(F.lit(1), F.ceil(F.col("n") * 2 / F.lit(cell))).cast("long")
     met = banded.join(kept, "bucket").withColumn("blocks", F.when(F.col("n") <= cell, F.lit(1).cast("long")).otherwise(blocks))
     met = met.withColumn("mine", F.pmod(h, F.col("blocks"))).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    met = written(met.select("bucket", F.expr("greatest(mine, other) * (greatest(mine, other) + 1) div 2 + least(mine, other)").alias("cell"), "fp"), "cells")
+    met = met.select("bucket", F.expr("greatest(mine, other) * (greatest(mine, other) + 1) div 2 + least(mine, other)").alias("cell"), "fp")
+    if pairs is not None:  # blocks' cells are not negative
+        met = met.unionByName(pairs.select(F.xxhash64("a", "b").alias("bucket"), F.lit(-1).cast("long").alias("cell"), F.explode(F.array("a", "b")).alias("fp")))
+    met = written(met, "cells")
     need = distinct.join(met.select("fp").distinct(), "fp").select("fp", "_row")
     texts = rows.join(need, "_row").select("fp", "text").mapInArrow(_sets(words), "fp long, own binary").dropDuplicates(["fp"])
     dealt = met.join(texts, "fp").repartition(parts, "bucket", "cell").sortWithinPartitions("bucket", "cell")
     return dealt.mapInArrow(_compare(similarity), "a long, b long")
 
 
-def drop_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, cell: int = CELL) -> DataFrame:
+def drop_duplicates(docs: DataFrame, words: int = 5, similarity: float = 0.8, cell: int = CELL, distance: int | None = None) -> DataFrame:
     """Keeps the row of the smallest ``doc_id`` of each group of near-duplicates; all columns stay.
 
     Texts are linked if the Jaccard similarity of their sets of word shingles is at least ``similarity``; a null or
     empty text, or one of white space, is linked to the others of that kind. Rows are told apart by ``doc_id`` and
     text: rows of one id and different texts are judged each by its text, and so are rows with a null ``doc_id``,
-    which stay only where the whole group has no other (then one of them). Of repeated rows one stays.
+    which stay only where the whole group has no other (then one of them). Of repeated rows one stays. With ``distance``,
+    texts whose SimHash fingerprints link within so many bits are candidates, too.
     """
     keyed = docs.select("doc_id", "text", row_key().alias("_row"), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("_whole"))
-    rows = written(keyed.select("doc_id", "_row", "text").mapInArrow(_described(words), "doc_id long, _row string, fp long, bands array<long>"), "described")
+    rows = written(keyed.select("doc_id", "_row", "text").mapInArrow(_described(words, distance is not None), "doc_id long, _row string, fp long, bands array<long>, sim long"), "described")
     least = F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "_row"))
     distinct = written(rows.groupBy("fp").agg(least.alias("first"), F.first("bands").alias("bands")).select("fp", "first", F.col("first._row").alias("_row"), "bands"), "distinct")
-    groups = components(links(keyed.select("_row", "text"), distinct, words, similarity, cell))
+    pairs = None if distance is None else fingerprint_pairs(rows, distance)
+    groups = components(links(keyed.select("_row", "text"), distinct, words, similarity, cell, pairs))
     members = distinct.select("fp", "first").join(groups, distinct.fp == groups.node, "left").groupBy(F.coalesce("component", "fp")).agg(F.min("first").alias("first"))
     return keyed.join(members.select("first._row"), "_row", "left_semi").dropDuplicates(["_row"]).select("_whole.*")

@@ -50,6 +50,23 @@ def test_pipeline_drops_near_copies_from_similarity_080(spark, cell):
         assert {r.doc_id for r in shingles.drop_duplicates(frame(spark, [(1, None), (2, " \n"), (3, ""), (4, "one"), (5, "One")])).collect()} == {1, 4}
 
 
+def test_pipeline_takes_candidates_from_fingerprints(spark, monkeypatch):
+    rng = random.Random(11)
+    base = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    far = ["".join(rng.choices("abcdefgh", k=6)) for _ in range(400)]
+    rows = [(1, " ".join(base)), (2, " ".join([*base, "end"])), (3, " ".join(far)), (4, " ".join(base).upper()), (5, None)]
+    fps = [simhash.fingerprint(t) for _, t in rows]
+    assert 0 <= (fps[0] ^ fps[1]).bit_count() <= 3 < (fps[0] ^ fps[2]).bit_count()
+    asked, links = [], simhash.links
+    monkeypatch.setattr(simhash, "links", lambda *a: asked.append(a[1:]) or links(*a))
+    # sets 10 and 20 are of one fingerprint, 30 of one that is linked to it, 40 of another
+    described = spark.createDataFrame([(fps[0], 10), (fps[0], 20), (fps[0], 10), (fps[1], 30) if fps[1] != fps[0] else (fps[0], 30), (fps[2], 40)], "sim long, fp long")
+    assert {tuple(r) for r in shingles.fingerprint_pairs(described, 3).collect()} == {(10, 20), (10, 30)}
+    docs = frame(spark, rows)
+    assert {r.doc_id for r in corpus_pipeline.drop_near_duplicates(spark, docs, "").collect()} == {1, 3, 5}
+    assert asked == [(3,), (3,)]
+
+
 @pytest.mark.parametrize("drop", [simhash.drop_duplicates, shingles.drop_duplicates])
 def test_rows_without_or_with_a_shared_id_are_told_apart_by_text(spark, drop):
     rng = random.Random(5)
