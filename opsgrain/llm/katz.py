@@ -20,6 +20,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -108,14 +109,14 @@ def _before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return out
 
 
-def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str]) -> Iterator[list[list]]:
+def _blocks(batches: Iterator[pa.RecordBatch], columns: list[str], together: int = BLOCK) -> Iterator[list[list]]:
     held, size = [[] for _ in columns], 0
     for some in (batch.slice(at, 1000) for batch in batches for at in range(0, batch.num_rows, 1000)):
         for row in zip(*(some.column(c).to_pylist() for c in columns), strict=True):
             for own, x in zip(held, row, strict=True):
                 own.append(x)
             size += len(row[0])
-            if size >= BLOCK or len(held[0]) >= 60_000:
+            if size >= together or len(held[0]) >= 60_000:
                 yield held
                 held, size = [[] for _ in columns], 0
     if held[0]:
@@ -433,6 +434,273 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
     return answers.mapInArrow(_finish(facts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
+_LISTS = "bucket int, kind byte, block long, a binary, b binary, c binary, d binary, e binary"
+#: What rows of that form are: a block's texts, its words, its pairs, sums by its words, and counts of counts.
+_HOME, _WORDS, _PAIRS, _SUMS, _TALLY = 0, 1, 2, 3, 10
+#: Characters of text whose words and pairs are asked for together.
+TOGETHER = 8_000_000
+
+
+def _listed(rows: list[tuple]) -> pa.RecordBatch:
+    columns = zip(*(r + (b"",) * (8 - len(r)) for r in rows), strict=True)
+    kinds = (pa.int32(), pa.int8(), pa.int64(), *[pa.binary()] * 5)
+    return pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["bucket", "kind", "block", *"abcde"])
+
+
+def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
+    for batch in batches:
+        yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block", *"abcde")), strict=True)
+
+
+def _steps(x: np.ndarray) -> bytes:
+    """Keys as differences, which wrap around; sorted ones have their upper bytes small."""
+    return _planes(np.diff(x, prepend=np.uint64(0)), 8)
+
+
+def _unsteps(data: bytes) -> np.ndarray:
+    return np.cumsum(_unplanes(data, 8, "<u8"), dtype=np.uint64)
+
+
+def _bits(x: np.ndarray) -> bytes:
+    return zstandard.compress(np.packbits(x).tobytes(), 1)
+
+
+def _unbits(data: bytes, n: int) -> np.ndarray:
+    return np.unpackbits(np.frombuffer(zstandard.decompress(data), np.uint8), count=n).astype(bool)
+
+
+def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
+    """The order of keys by bucket and key, and where each bucket begins in it."""
+    order = np.argsort(keys)
+    to = (keys[order] % np.uint64(buckets)).astype(np.uint16 if buckets < 65536 else np.int64)
+    by = np.argsort(to, kind="stable")
+    return order[by], np.searchsorted(to[by], np.arange(buckets + 1))
+
+
+def _pairs_of(words: np.ndarray, bounds: np.ndarray, start: int, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Each token's pair by number, and the words of each pair."""
+    before = np.roll(words, 1)
+    before[bounds[:-1]] = start
+    pair, codes = pd.factorize(before.astype(np.int64) * types + words)
+    return pair, codes // types, codes % types
+
+
+def _ranks(n: np.ndarray) -> np.ndarray:
+    """Places of a block's words, the most frequent first: numbers of frequent words are small, and compress."""
+    return np.argsort(-n, kind="stable")
+
+
+def _lists(buckets: int):
+    """Each block's words and pairs by bucket with their counts in training texts, and what is needed to score its texts once
+    the counts of all blocks are known: its tokens as numbers of its words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        nth = TaskContext.get().partitionId() << 32
+        for texts, ids, held in _blocks(batches, ["text", "doc_id", "held_out"], TOGETHER):
+            tokens, bounds = _tokens(texts)
+            train = np.repeat(~np.array(held, bool), np.diff(bounds))
+            found, types = pd.factorize(tokens)
+            types = np.append(types, _marks()[1])
+            order, cuts = _dealt(types, buckets)
+            place = np.empty(len(types), np.int64)
+            place[order] = np.arange(len(types))
+            hashes, words = types[order], place[found]
+            n, rows = np.bincount(words[train], minlength=len(types)).astype(np.uint32), []
+            for b in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[b], cuts[b + 1])
+                rows.append((int(b), _WORDS, nth, _steps(hashes[own]), _planes(n[own], 4)))
+            pair, v, w = _pairs_of(words, bounds, place[-1], len(types))
+            keys, n = _pair(hashes[v], hashes[w] >> np.uint64(16)), np.bincount(pair[train], minlength=len(v)).astype(np.uint32)
+            order, cuts = _dealt(keys, buckets)
+            keys, n = keys[order], n[order]
+            for b in np.flatnonzero(np.diff(cuts)):
+                own = slice(cuts[b], cuts[b + 1])
+                rows.append((int(b), _PAIRS, nth, _steps(keys[own]), _planes(n[own], 4)))
+            known = np.array([x is not None for x in ids], float)
+            facts = np.concatenate((np.array([x or 0 for x in ids], "<i8").view("<f8"), known, np.array(held, float), np.diff(bounds).astype(float)))
+            n = np.bincount(words, minlength=len(types))
+            rank = np.empty(len(types), np.uint32)
+            rank[_ranks(n)] = np.arange(len(types), dtype=np.uint32)
+            rows.append((((nth >> 32) + (nth & 0xFFFFFFFF)) % buckets, _HOME, nth, facts.tobytes(), _planes(rank[words], 4), _planes(n.astype(np.uint32), 4)))
+            nth += 1
+            yield _listed(rows)
+
+    return run
+
+
+def _grouped(finish):
+    """Rows in the order of bucket and kind, by lists of one bucket and kind; a block's own row passes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held = None, []
+        for row in _rows(batches):
+            if row[1] == _HOME:
+                yield _listed([row])
+                continue
+            if row[:2] != group:
+                if group:
+                    yield finish(group, held)
+                group, held = row[:2], []
+            held.append(row[2:])
+        if group:
+            yield finish(group, held)
+
+    return run
+
+
+def _met(keys: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """Lists of keys put together: their order, the first place of each distinct key in it, how many it has, and where each list ends."""
+    ends = np.cumsum([len(k) for k in keys])
+    keys = np.concatenate(keys)
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    at = np.concatenate(([0], np.flatnonzero(keys[1:] != keys[:-1]) + 1))
+    return order, at, np.diff(np.append(at, len(keys))), ends
+
+
+def _counts_of_all(group: tuple, held: list[tuple]) -> pa.RecordBatch:
+    """To each block the counts of its words or pairs in all blocks, in its order, which of them it is the first to have, and its words."""
+    order, at, each, ends = _met([_unsteps(x[1]) for x in held])
+    totals = np.add.reduceat(np.concatenate([_unplanes(x[2], 4, "<u4") for x in held]).astype(np.int64)[order], at)
+    c, first = np.empty(len(order), np.int64), np.zeros(len(order), bool)
+    c[order], first[order[at]] = np.repeat(totals, each), True
+    rows, low = [], 0
+    for x, end in zip(held, ends, strict=True):
+        rows.append((*group, x[0], _planes(c[low:end], 8), _bits(first[low:end]), x[1] if group[1] == _WORDS else b""))
+        low = end
+    r = np.minimum(totals, DISCOUNTED + 2)
+    tally = np.stack([np.bincount(r, minlength=DISCOUNTED + 3), [totals[r == i].sum() for i in range(DISCOUNTED + 3)]])
+    return _listed([*rows, (group[0], _TALLY + group[1], -1, tally.astype("<i8").tobytes())])
+
+
+def _sums_of_all(group: tuple, held: list[tuple]) -> pa.RecordBatch:
+    """To each block the sums by its words over all blocks, in its order."""
+    order, at, each, ends = _met([_unsteps(x[1]) for x in held])
+    sums = []
+    for i in (2, 3):
+        out = np.empty(len(order))
+        out[order] = np.repeat(np.add.reduceat(np.concatenate([_unplanes(x[i], 8, "<f8") for x in held])[order], at), each)
+        sums.append(out)
+    return _listed([(*group, x[0], *(_planes(s[end - n : end], 8) for s in sums)) for x, end, n in zip(held, ends, np.diff(ends, prepend=0), strict=True)])
+
+
+def _by_block(finish):
+    """Rows in the order of block, kind and bucket, by block: its own row, and lists by kind."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        home, lists = None, {}
+        for row in _rows(batches):
+            if row[1] == _HOME:
+                if home:
+                    yield finish(home, lists)
+                home, lists = row, {}
+            else:
+                lists.setdefault(row[1], []).append(row)
+        if home:
+            yield finish(home, lists)
+
+    return run
+
+
+def _discounted_counts(c: np.ndarray, ratios: list[float]) -> np.ndarray:
+    return np.where(c <= DISCOUNTED, np.array(ratios)[np.minimum(c, DISCOUNTED)], 1.0) * c
+
+
+def _score_by_counts(facts: dict, buckets: int):
+    """All of a block's scores that counts tell, and sums by context over those pairs that no block before it has."""
+
+    def finish(home, lists):
+        _, _, block, texts, tokens, counts = home[:6]
+        meta = np.frombuffer(texts, "<f8").reshape(4, -1)
+        bounds = np.concatenate(([0], np.cumsum(meta[3].astype(np.int64))))
+        hashes = np.concatenate([_unsteps(x[5]) for x in lists[_WORDS]])
+        n = _unplanes(counts, 4, "<u4").astype(np.int64)
+        words = _ranks(n)[_unplanes(tokens, 4, "<u4")]
+        start, end = (int(np.flatnonzero(hashes == x)[0]) for x in _marks()[::-1])
+        pair, v, w = _pairs_of(words, bounds, start, len(hashes))
+        order, _ = _dealt(_pair(hashes[v], hashes[w] >> np.uint64(16)), buckets)
+        c, first = np.empty(len(order), np.int64), np.empty(len(order), bool)
+        c[order] = np.concatenate([_unplanes(x[3], 8, "<i8") for x in lists[_PAIRS]])
+        first[order] = np.concatenate([_unbits(x[4], len(_unplanes(x[3], 8, "<i8"))) for x in lists[_PAIRS]])
+        own = np.concatenate([_unplanes(x[3], 8, "<i8") for x in lists[_WORDS]])
+        p = _discounted_counts(own, facts["singly"]) * (facts["scale"] / max(facts["N"], 1))
+        hit = c >= facts["lowest"]
+        less = _discounted_counts(c, facts["doubly"])
+        with np.errstate(divide="ignore"):
+            alone, together = np.log10(np.where(own > 0, p, facts["unknown"])), np.log10(less)
+        hits = hit[pair]
+        per_doc = lambda x: np.add.reduceat(x, bounds[:-1])
+        sums = np.stack([
+            per_doc(np.log10((own + 1) / (facts["N"] + facts["V"] + 1))[words]), per_doc((own > 0).astype(float)[words]), per_doc(np.where(hits, together[pair], alone[words]))
+        ])
+        mine = hit & first
+        q, s = (np.bincount(v[mine], x[mine], len(hashes)) for x in (less, p[w]))
+        cuts = np.searchsorted((hashes % np.uint64(buckets)).astype(np.int64), np.arange(buckets + 1))
+        rows = []
+        for b in np.flatnonzero(np.diff(cuts)):
+            part = slice(cuts[b], cuts[b + 1])
+            rows.append((int(b), _SUMS, block, _steps(hashes[part]), _planes(q[part], 8), _planes(s[part], 8)))
+        own[start] = own[end]  # texts begin as often as they end
+        return _listed([*rows, (-1, _HOME, block, np.concatenate((meta, sums)).tobytes(), tokens, counts, _planes(own, 8), _bits(hits))])
+
+    return _by_block(finish)
+
+
+def _score_by_contexts(facts: dict):
+    """Adds what the contexts of a block's tokens are worth, by the sums over all their pairs."""
+
+    def finish(home, lists):
+        meta = np.frombuffer(home[3], "<f8").reshape(7, -1)
+        bounds = np.concatenate(([0], np.cumsum(meta[3].astype(np.int64))))
+        n, c = _unplanes(home[5], 4, "<u4").astype(np.int64), np.maximum(_unplanes(home[6], 8, "<i8"), 1)
+        before = np.roll(_ranks(n)[_unplanes(home[4], 4, "<u4")], 1)
+        before[bounds[:-1]] = np.flatnonzero(n == 0)[0]  # the mark of a text's beginning is the one that no text has
+        q, p = (np.concatenate([_unplanes(x[i], 8, "<f8") for x in lists[_SUMS]]) for i in (3, 4))
+        some = q > 0
+        q, p = np.where(some, q / c, 0.5), np.where(some, p, 0.0)
+        rest = np.maximum(1 - q, 1 / (c + 1))
+        kept, backoff = np.log10((1 - rest) / q / c), np.where(some, np.log10(rest / (1 - p)), 0.0)
+        score = meta[6] + np.add.reduceat(np.where(_unbits(home[7], len(before)), kept[before], backoff[before]), bounds[:-1])
+        ids = pa.array(np.ascontiguousarray(meta[0]).view("<i8"), mask=meta[1] == 0)
+        known, tokens = np.rint(meta[5]).astype(np.int64), meta[3].astype(np.int64)
+        return pa.RecordBatch.from_arrays(
+            [ids, pa.array(meta[2] == 1), pa.array(tokens), pa.array(known), pa.array(np.full(len(tokens), facts["N"])), pa.array(meta[4].copy()), pa.array(score)],
+            ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"],
+        )
+
+    return _by_block(finish)
+
+
 def learn_and_score(docs: DataFrame, lowest: int = 2) -> DataFrame:
-    """Trains on the training rows (a null ``doc_id`` is one) and scores all."""
-    return score(docs, train(docs.where(F.coalesce(training(F.col("doc_id")), F.lit(True))), lowest))
+    """Trains on the training rows (a null ``doc_id`` is one) and scores all: what :func:`score` gives with :func:`train`'s model.
+
+    The texts are read once and the model is never a table of its own. A block of texts sends its words and pairs as keys
+    with its counts, and gets back their counts in all blocks, in its own order. With them it sums, over the pairs that no block before
+    it has, what each context keeps and what its words have alone, sends the sums by word, and gets those of all blocks.
+    """
+    if lowest not in (1, 2):
+        raise ValueError("pairs are kept from a count of 1 or 2 on")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", (~F.coalesce(training(F.col("doc_id")), F.lit(True))).alias("held_out"))
+    sent = rows.mapInArrow(_lists(parts), _LISTS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    counted = written(sent.mapInArrow(_grouped(_counts_of_all), _LISTS), "counts", "none")
+    tallies = {k: np.zeros((2, DISCOUNTED + 3), np.int64) for k in (_WORDS, _PAIRS)}
+    for r in counted.where(F.col("kind") > _TALLY).select("kind", "a").toLocalIterator():  # two rows of counts of counts from each bucket
+        tallies[r["kind"] - _TALLY] += np.frombuffer(r["a"], "<i8").reshape(2, -1)
+    (n, each), (doubles, _) = tallies[_WORDS], tallies[_PAIRS]
+    total, types = int(each.sum()), int(n[1:].sum())
+    singly, doubly = (_discounts({r: int(x[r]) for r in range(1, len(x)) if x[r]}, k) for x, k in ((n, 1), (doubles, lowest)))
+    kept = sum(float(each[r]) * (singly[r] if r <= DISCOUNTED else 1.0) for r in range(1, len(each)))
+    scale = min(1.0, total / (total + 1) * total / kept) if kept else 1.0  # something is always left
+    facts = {"N": total, "V": types, "unknown": 1 - kept * scale / total if total else 1.0, "scale": scale, "singly": singly, "doubly": doubly, "lowest": lowest}
+    released(spark)
+    by_block = lambda df: df.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
+    scored = written(by_block(counted.where(F.col("kind") < _TALLY)).mapInArrow(_score_by_counts(facts, parts), _LISTS), "scored", "none")
+    discard(counted)
+    spark.range(1).count()  # Spark lets go of a job's plan when another has run
+    released(spark)
+    summed = scored.where(F.col("kind") == _SUMS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_grouped(_sums_of_all), _LISTS)
+    return by_block(scored.where(F.col("kind") == _HOME).unionByName(summed)).mapInArrow(
+        _score_by_contexts(facts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    )

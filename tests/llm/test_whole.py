@@ -1,16 +1,18 @@
 """The whole job where an operator once did less of it."""
 
 import math
+import os
 import random
 import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 from brute import groups, words
 
 import corpus_pipeline
-from opsgrain.llm import katz, mixing, queries, shingles, simhash, vectors
+from opsgrain.llm import common, katz, mixing, queries, shingles, simhash, vectors
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
@@ -164,3 +166,19 @@ def test_vectors_split_the_lists_of_a_dense_group_by_their_length(spark, monkeyp
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int").repartition(3)
     got = {r.vec_id: r for r in vectors.near_duplicates(df, cell=limit).collect()}
     assert all(got[i].n_links == 599 and got[i].component_id == 0 for i in range(600)) and not seen.value
+
+
+@pytest.mark.parametrize("lowest", [1, 2])
+def test_katz_in_one_reading_gives_the_scores_of_the_model(spark, lowest):
+    rng = random.Random(7)
+    rows = [(i, " ".join(f"w{rng.randrange(3000)}" for _ in range(200))) for i in range(1500)] + [(None, "w1 W2"), (3, None), (3, "W1 w1 w1"), (16, "\t")]
+    docs = frame(spark, rows).repartition(5)
+    root = common.shared_dir(spark).removeprefix("file://") + "/tables"
+    before = set(os.listdir(root)) if os.path.isdir(root) else set()
+    fast = katz.learn_and_score(docs, lowest)
+    left = sum(os.path.getsize(os.path.join(d, f)) for t in set(os.listdir(root)) - before for d, _, fs in os.walk(f"{root}/{t}") for f in fs)
+    assert left < 5 * 200 * len(rows)  # bytes a token; the tables of a model of all pairs take 9.5
+    plain = katz.score(docs, katz.train(docs.where(F.coalesce(katz.training(F.col("doc_id")), F.lit(True))), lowest))
+    got, want = (sorted((tuple(r) for r in df.collect()), key=repr) for df in (fast, plain))
+    assert len(got) == len(rows) and [r[:5] for r in got] == [r[:5] for r in want]
+    assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-7)
