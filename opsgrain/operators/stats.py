@@ -39,9 +39,13 @@ def _moments(df: DataFrame, keys: list[str], x: Column, *more: Column) -> DataFr
     )
 
 
-def _fitted(df: DataFrame, keys: list[str], x: Column, first: DataFrame) -> DataFrame:
+def _fits(fits: DataFrame, few: bool) -> DataFrame:
+    return F.broadcast(fits) if few else fits
+
+
+def _fitted(df: DataFrame, keys: list[str], x: Column, first: DataFrame, few: bool = False) -> DataFrame:
     """``keys``, the six counts of bins around the first fit, and the fullest bin with its own moments, as ``_b``."""
-    known = df.join(first.select(*keys, "fit_mean", "fit_sd"), keys)
+    known = df.join(_fits(first.select(*keys, "fit_mean", "fit_sd"), few), keys)
     binned = known.withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd"))).drop("fit_mean", "fit_sd")
     bins = _moments(binned.where(x.isNotNull()), [*keys, "_bin"], x)
     counts = [F.coalesce(F.sum(F.when(F.col("_bin") == i, F.col("size"))), F.lit(0)).alias(f"f{i}") for i in range(BINS)]
@@ -66,21 +70,22 @@ def fit(df: DataFrame, keys: list[str], value: str, refit: bool = False) -> Data
     )
 
 
-def distribution(df: DataFrame, keys: list[str], value: str, refit: bool = False, extra: list[Column] | None = None, integer: bool = True) -> DataFrame:
+def distribution(df: DataFrame, keys: list[str], value: str, refit: bool = False, extra: list[Column] | None = None, integer: bool = True, few: bool = False) -> DataFrame:
     """Size, minimum, maximum, mean, deviation, six-bin histogram and spread score of each group.
 
     ``extra`` are further aggregates over the same rows. The rows are read twice, for the moments and for the bins
     around them; a third time only the rows of groups that are fitted again. Each is a partial aggregate, so a
-    group of any size is summed in pieces.
+    group of any size is summed in pieces. Rows meet their group's fit in a join; with ``few`` the fits go to every task and
+    no row is dealt, for groups whose number does not grow with the rows.
     """
     x = F.col(value)
     first = _moments(df, keys, x, F.min(x).alias("min_val"), F.max(x).alias("max_val"), *(extra or []))
-    found = _fitted(df, keys, x, first)
+    found = _fitted(df, keys, x, first, few)
     names = [f"f{i}" for i in range(BINS)]
     out = first.join(found, keys, "left")
     if refit:
         again = found.where(~F.col("_b._bin").isin(*CENTRAL)).select(*keys, "_b.fit_mean", "_b.fit_sd")
-        binned = df.join(again, keys).withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd")))
+        binned = df.join(_fits(again, few), keys).withColumn("_bin", sigma_bin(x, F.col("fit_mean"), F.col("fit_sd")))
         counts = binned.groupBy(*keys).agg(*(F.count_if(F.col("_bin") == i).alias(f"_f{i}") for i in range(BINS)))
         out = out.join(counts, keys, "left")
         outer = F.col("_f0").isNotNull()

@@ -94,7 +94,7 @@ def tag_average(spark, sf):
 def service_peer_stats(spark, sf):
     names = [m for m in dict.fromkeys(m for m, _, _ in D.NETWORK)]
     long = flows(spark, sf).withColumn("ts", F.date_trunc("year", "ts")).select("to_cluster", "port", "ts", *((F.col(m) + F.col("l_partkey") % 97 / 97.0).alias(m) for m in names)).unpivot(["to_cluster", "port", "ts"], names, "measure", "value")
-    out = S.distribution(long, ["to_cluster", "port", "ts", "measure"], "value", True)
+    out = S.distribution(long, ["to_cluster", "port", "ts", "measure"], "value", True, few=True)  # nations, ports, years and measures
     return rounded(out.select("to_cluster", "port", "ts", "measure", "size", "mean", "stddev", *BINS, "score"), 4)
 
 

@@ -8,7 +8,7 @@ from pairs import TABLES, same
 
 from opsgrain.functions import scalars as X
 from opsgrain.operators import flows
-from opsgrain.plans import data_queries, search_queries, stream_queries
+from opsgrain.plans import anomaly_queries, data_queries, search_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
 
@@ -60,3 +60,13 @@ def test_a_flow_without_requests_counts_for_its_connection(spark):
     got = {r.a: r for r in flows.connection_rollup(spark.createDataFrame(rows, schema), [["a"]], ["port"], "requests", "failed").collect()}
     assert (got["x"].request_count, got["x"].avg_ttfb, got["x"].max_ttfb, [tuple(r) for r in got["x"].costliest], got["x"].top_errors) == (4, 20.0, 90, [(1, "GET /_", 3, 5.0, 9.0)], None)
     assert (got[None].sent_bytes, got[None].max_ttfb, got[None].costliest, got[None].top_errors) == (3, None, None, None)
+
+
+def test_flows_do_not_travel_to_the_fits_of_few_groups(spark):
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = anomaly_queries.service_peer_stats(spark, SF)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plan.count("BroadcastHashJoin [to_cluster") >= 2
