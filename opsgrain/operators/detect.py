@@ -86,7 +86,11 @@ def network_flags(flows: DataFrame, peers: list[str], series: list[str], ts: str
 
     Each flow is compared with mean and two sample deviations of its measure over ``peers`` in the slot; mode
     ``both`` flags either side, ``any`` every positive value. One unpivot, one aggregate and one join.
+    Flows without a peer group or a time meet no band; they are left out before, so that both sides of the join
+    read the same flows, which are then shuffled and summed once.
     """
+    for key in (*peers, ts):
+        flows = flows.where(F.col(key).isNotNull())
     measures = list(dict.fromkeys(m for m, _, _ in table))
     keys = list(dict.fromkeys([*series, *peers, ts]))
     long = flows.select(*keys, *(F.col(m).cast("double") for m in measures)).unpivot(keys, measures, "measure", "value")

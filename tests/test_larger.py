@@ -7,7 +7,7 @@ import pytest
 from pairs import TABLES, same
 
 from opsgrain.functions import scalars as X
-from opsgrain.operators import flows
+from opsgrain.operators import detect, flows
 from opsgrain.plans import anomaly_queries, data_queries, search_queries, stream_queries
 
 SF = "/root/testdata/sf0.001"
@@ -70,3 +70,16 @@ def test_flows_do_not_travel_to_the_fits_of_few_groups(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert plan.count("BroadcastHashJoin [to_cluster") >= 2
+
+
+def test_network_measures_sum_the_flows_once(spark):
+    df = anomaly_queries.detect_network(spark, SF)
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+    assert plan.count("FileScan parquet [l_orderkey") == 1
+
+
+def test_network_flags_leave_out_flows_without_a_peer_group_or_time(spark):
+    rows = [("a", 1, "t", 1.0), ("b", 1, "t", 1.0), ("c", 1, "t", 9.0), ("a", None, "t", 5.0), ("a", 1, None, 5.0), (None, 1, "t", None)]
+    got = detect.network_flags(spark.createDataFrame(rows, "s string, p int, t string, m double"), ["p"], ["s", "p"], "t", [("m", "any", "x")])
+    assert sorted(((r.s, r.flag) for r in got.collect()), key=repr) == [("a", True), ("b", True), ("c", True), (None, None)]
