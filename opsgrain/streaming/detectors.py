@@ -51,11 +51,11 @@ def threshold(series: list[str], value: str = "value", mark: str = "high_water_m
     return Detector("threshold", series, rows)
 
 
-def peer(series: list[str], peers: list[str], value: str = "value") -> Detector:
-    """A series whose values spread otherwise than those of all its peers."""
+def peer(series: list[str], peers: list[str], value: str = "value", few: bool = False) -> Detector:
+    """A series whose values spread otherwise than those of all its peers; ``few``: series are few, however many the samples."""
 
     def rows(samples: DataFrame, _: DataFrame) -> DataFrame:
-        own, all_ = distribution(samples, [*series, "slot"], value), distribution(samples, [*peers, "slot"], value, True)
+        own, all_ = distribution(samples, [*series, "slot"], value, few=few), distribution(samples, [*peers, "slot"], value, True, few=few)
         return relative_to_peers(own, all_, [*peers, "slot"]).select(*series, "slot", D.peer_flag(F.col("relative")).alias("flag"))
 
     return Detector("peer", series, rows)

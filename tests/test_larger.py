@@ -9,6 +9,7 @@ from pairs import TABLES, same
 from opsgrain.functions import scalars as X
 from opsgrain.operators import detect, flows
 from opsgrain.plans import anomaly_queries, data_queries, search_queries, stream_queries
+from opsgrain.streaming import detectors
 
 SF = "/root/testdata/sf0.001"
 
@@ -83,3 +84,16 @@ def test_network_flags_leave_out_flows_without_a_peer_group_or_time(spark):
     rows = [("a", 1, "t", 1.0), ("b", 1, "t", 1.0), ("c", 1, "t", 9.0), ("a", None, "t", 5.0), ("a", 1, None, 5.0), (None, 1, "t", None)]
     got = detect.network_flags(spark.createDataFrame(rows, "s string, p int, t string, m double"), ["p"], ["s", "p"], "t", [("m", "any", "x")])
     assert sorted(((r.s, r.flag) for r in got.collect()), key=repr) == [("a", True), ("b", True), ("c", True), (None, None)]
+
+
+def test_samples_do_not_travel_to_the_fits_of_few_series(spark):
+    samples = spark.createDataFrame([("c", "a", 1, 1.0), ("c", "a", 1, 2.0), ("c", "b", 1, 40.0)], "c string, h string, slot int, value double")
+    before = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        found = {few: detectors.peer(["c", "h"], ["c"], few=few).rows(samples, samples) for few in (True, False)}
+        plans = {few: df._jdf.queryExecution().executedPlan().toString() for few, df in found.items()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
+    assert plans[True].count("BroadcastHashJoin") >= 2 and not plans[False].count("BroadcastHashJoin")
+    assert sorted(map(tuple, found[True].collect())) == sorted(map(tuple, found[False].collect()))
