@@ -20,7 +20,6 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 import zstandard
@@ -28,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from opsgrain.llm.common import discard, released, written
+from opsgrain.llm.common import batches_of, discard, released, written
 
 #: Counts up to which Good-Turing discounts apply.
 DISCOUNTED = 5
@@ -87,20 +86,27 @@ class _Hashes(dict):
 _known = _Hashes()
 
 
-def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words of all texts, each text closed by the end's, and where each text begins (and the last ends)."""
-    column = pc.ascii_lower(pa.array(texts, pa.large_string()))
+def _coded(texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Hashes of the distinct words of all texts and of the end; the texts' words by number, each text closed by the end; where each text begins
+    (and the last ends)."""
     # an empty list of words splits to one empty string; those are taken out
-    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(column))
+    parts = pc.ascii_split_whitespace(pc.ascii_trim_whitespace(pc.ascii_lower(texts)))
     coded = parts.values.dictionary_encode()
-    table = np.fromiter(map(_known.__getitem__, (x.encode("utf-8", "surrogatepass") for x in coded.dictionary.to_pylist())), np.uint64, len(coded.dictionary))
-    words = table[coded.indices.to_numpy()] if len(coded.dictionary) else np.zeros(0, np.uint64)
-    bounds = parts.offsets.to_numpy().astype(np.int64)
-    empty = np.uint64(_hash(b""))
-    if (words == empty).any():
-        real = np.concatenate(([0], np.cumsum(words != empty)))
-        words, bounds = words[words != empty], real[bounds]
-    return np.insert(words, bounds[1:], _marks()[0]), bounds + np.arange(len(bounds))
+    named = [*coded.dictionary.cast(pa.binary()).to_pylist(), _END]
+    words, bounds = coded.indices.to_numpy(), parts.offsets.to_numpy().astype(np.int64)
+    if b"" in named:
+        none = named.index(b"")
+        del named[none]
+        real = words != none
+        words, bounds = (words - (words > none))[real], np.concatenate(([0], np.cumsum(real)))[bounds]
+    types = np.fromiter(map(_known.__getitem__, named), np.uint64, len(named))
+    return types, np.insert(words, bounds[1:], len(named) - 1), bounds + np.arange(len(bounds))
+
+
+def _tokens(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of all texts, each text closed by the end's, and where each text begins (and the last ends)."""
+    types, words, bounds = _coded(pa.array(texts, pa.large_string()))
+    return types[words], bounds
 
 
 def _before(words: np.ndarray, bounds: np.ndarray) -> np.ndarray:
@@ -437,8 +443,8 @@ def score(docs: DataFrame, model: dict) -> DataFrame:
 _LISTS = "bucket int, kind byte, block long, a binary, b binary, c binary, d binary, e binary"
 #: What rows of that form are: a block's texts, its words, its pairs, sums by its words, and counts of counts.
 _HOME, _WORDS, _PAIRS, _SUMS, _TALLY = 0, 1, 2, 3, 10
-#: Characters of text whose words and pairs are asked for together.
-TOGETHER = 8_000_000
+#: Bytes of text whose words and pairs are asked for together, of text that is cut into words at once, and of a batch of rows that a task is sent.
+TOGETHER, PIECE, BATCH = 8_000_000, 2_000_000, 4_000_000
 
 
 def _listed(rows: list[tuple]) -> pa.RecordBatch:
@@ -448,8 +454,8 @@ def _listed(rows: list[tuple]) -> pa.RecordBatch:
 
 
 def _rows(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple]:
-    for batch in batches:
-        yield from zip(*(batch.column(c).to_pylist() for c in ("bucket", "kind", "block", *"abcde")), strict=True)
+    for some in (batch.slice(at, 100) for batch in batches for at in range(0, batch.num_rows, 100)):
+        yield from zip(*(some.column(c).to_pylist() for c in ("bucket", "kind", "block", *"abcde")), strict=True)
 
 
 def _steps(x: np.ndarray) -> bytes:
@@ -477,12 +483,14 @@ def _dealt(keys: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return order[by], np.searchsorted(to[by], np.arange(buckets + 1))
 
 
-def _pairs_of(words: np.ndarray, bounds: np.ndarray, start: int, types: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Each token's pair by number, and the words of each pair."""
+def _pairs_of(words: np.ndarray, bounds: np.ndarray, start: int, types: int) -> np.ndarray:
+    """Each token's pair, by the places of its two words."""
     before = np.roll(words, 1)
     before[bounds[:-1]] = start
-    pair, codes = pd.factorize(before.astype(np.int64) * types + words)
-    return pair, codes // types, codes % types
+    out = before.astype(np.int64)
+    out *= types
+    out += words
+    return out
 
 
 def _ranks(n: np.ndarray) -> np.ndarray:
@@ -490,40 +498,71 @@ def _ranks(n: np.ndarray) -> np.ndarray:
     return np.argsort(-n, kind="stable")
 
 
+def _pieces(batches: Iterator[pa.RecordBatch]) -> Iterator[list[tuple]]:
+    """Blocks of texts in pieces, which are words by number as soon as they are read: what :func:`_coded` has of a piece, ids and held-out marks."""
+    block, size, docs = [], 0, 0
+    for batch in batches:
+        ends = np.cumsum(pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False).astype(np.int64))
+        low = 0
+        while low < batch.num_rows:
+            before = ends[low - 1] if low else 0
+            high = max(low + 1, min(int(np.searchsorted(ends, before + PIECE, "right")), low + 10_000))
+            texts, ids, held = (batch.column(c).slice(low, high - low) for c in ("text", "doc_id", "held_out"))
+            block.append((*_coded(texts), ids.to_pylist(), held.to_numpy(zero_copy_only=False)))
+            size, docs, low = size + ends[high - 1] - before, docs + high - low, high
+            if size >= TOGETHER or docs >= 60_000:
+                yield block
+                block, size, docs = [], 0, 0
+    if block:
+        yield block
+
+
 def _lists(buckets: int):
     """Each block's words and pairs by bucket with their counts in training texts, and what is needed to score its texts once
     the counts of all blocks are known: its tokens as numbers of its words."""
 
+    def listed(block, nth):
+        """The rows of a block; what was needed for them is let go before they are sent."""
+        types = np.unique(np.concatenate([p[0] for p in block] + [_marks()[1:]]))
+        order, cuts = _dealt(types, buckets)
+        place = np.empty(len(types), np.int32)
+        place[order] = np.arange(len(types), dtype=np.int32)
+        hashes, words = types[order], np.concatenate([place[np.searchsorted(types, p[0])][p[1]] for p in block])
+        start = int(place[np.searchsorted(types, _marks()[1])])
+        lengths = np.concatenate([np.diff(p[2]) for p in block])
+        ids, held = [i for p in block for i in p[3]], np.concatenate([p[4] for p in block])
+        block.clear()
+        bounds, train = np.concatenate(([0], np.cumsum(lengths))), np.repeat(~held, lengths)
+        n, rows = np.bincount(words[train], minlength=len(types)).astype(np.uint32), []
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[b], cuts[b + 1])
+            rows.append((int(b), _WORDS, nth, _steps(hashes[own]), _planes(n[own], 4)))
+        n = np.bincount(words, minlength=len(types))
+        rank = np.empty(len(types), np.uint32)
+        rank[_ranks(n)] = np.arange(len(types), dtype=np.uint32)
+        known = np.array([x is not None for x in ids], float)
+        facts = np.concatenate((np.array([x or 0 for x in ids], "<i8").view("<f8"), known, held.astype(float), lengths.astype(float)))
+        home = (((nth >> 32) + (nth & 0xFFFFFFFF)) % buckets, _HOME, nth, facts.tobytes(), _planes(rank[words], 4), _planes(n.astype(np.uint32), 4))
+        codes = _pairs_of(words, bounds, start, len(types))
+        del words
+        codes <<= 1
+        codes |= train
+        codes.sort()
+        at = np.concatenate(([0], np.flatnonzero((codes[1:] ^ codes[:-1]) > 1) + 1))
+        n = np.add.reduceat(codes & 1, at).astype(np.uint32)
+        codes = codes[at] >> 1
+        keys = _pair(hashes[codes // len(types)], hashes[codes % len(types)] >> np.uint64(16))
+        order, cuts = _dealt(keys, buckets)
+        keys, n = keys[order], n[order]
+        for b in np.flatnonzero(np.diff(cuts)):
+            own = slice(cuts[b], cuts[b + 1])
+            rows.append((int(b), _PAIRS, nth, _steps(keys[own]), _planes(n[own], 4)))
+        return _listed([*rows, home])
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        nth = TaskContext.get().partitionId() << 32
-        for texts, ids, held in _blocks(batches, ["text", "doc_id", "held_out"], TOGETHER):
-            tokens, bounds = _tokens(texts)
-            train = np.repeat(~np.array(held, bool), np.diff(bounds))
-            found, types = pd.factorize(tokens)
-            types = np.append(types, _marks()[1])
-            order, cuts = _dealt(types, buckets)
-            place = np.empty(len(types), np.int64)
-            place[order] = np.arange(len(types))
-            hashes, words = types[order], place[found]
-            n, rows = np.bincount(words[train], minlength=len(types)).astype(np.uint32), []
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[b], cuts[b + 1])
-                rows.append((int(b), _WORDS, nth, _steps(hashes[own]), _planes(n[own], 4)))
-            pair, v, w = _pairs_of(words, bounds, place[-1], len(types))
-            keys, n = _pair(hashes[v], hashes[w] >> np.uint64(16)), np.bincount(pair[train], minlength=len(v)).astype(np.uint32)
-            order, cuts = _dealt(keys, buckets)
-            keys, n = keys[order], n[order]
-            for b in np.flatnonzero(np.diff(cuts)):
-                own = slice(cuts[b], cuts[b + 1])
-                rows.append((int(b), _PAIRS, nth, _steps(keys[own]), _planes(n[own], 4)))
-            known = np.array([x is not None for x in ids], float)
-            facts = np.concatenate((np.array([x or 0 for x in ids], "<i8").view("<f8"), known, np.array(held, float), np.diff(bounds).astype(float)))
-            n = np.bincount(words, minlength=len(types))
-            rank = np.empty(len(types), np.uint32)
-            rank[_ranks(n)] = np.arange(len(types), dtype=np.uint32)
-            rows.append((((nth >> 32) + (nth & 0xFFFFFFFF)) % buckets, _HOME, nth, facts.tobytes(), _planes(rank[words], 4), _planes(n.astype(np.uint32), 4)))
-            nth += 1
-            yield _listed(rows)
+        for nth, block in enumerate(_pieces(batches), TaskContext.get().partitionId() << 32):
+            yield listed(block, nth)
+        _known.clear()  # the worker goes on to tasks that need none
 
     return run
 
@@ -615,13 +654,19 @@ def _score_by_counts(facts: dict, buckets: int):
         bounds = np.concatenate(([0], np.cumsum(meta[3].astype(np.int64))))
         hashes = np.concatenate([_unsteps(x[5]) for x in lists[_WORDS]])
         n = _unplanes(counts, 4, "<u4").astype(np.int64)
-        words = _ranks(n)[_unplanes(tokens, 4, "<u4")]
+        words = _ranks(n).astype(np.int32)[_unplanes(tokens, 4, "<u4")]
         start, end = (int(np.flatnonzero(hashes == x)[0]) for x in _marks()[::-1])
-        pair, v, w = _pairs_of(words, bounds, start, len(hashes))
+        codes, pair = np.unique(_pairs_of(words, bounds, start, len(hashes)), return_inverse=True)
+        pair = pair.astype(np.int32)
+        v, w = (x.astype(np.int32) for x in np.divmod(codes, len(hashes)))
+        del codes
         order, _ = _dealt(_pair(hashes[v], hashes[w] >> np.uint64(16)), buckets)
-        c, first = np.empty(len(order), np.int64), np.empty(len(order), bool)
-        c[order] = np.concatenate([_unplanes(x[3], 8, "<i8") for x in lists[_PAIRS]])
-        first[order] = np.concatenate([_unbits(x[4], len(_unplanes(x[3], 8, "<i8"))) for x in lists[_PAIRS]])
+        c, first, low = np.empty(len(order), np.int64), np.empty(len(order), bool), 0
+        for x in lists.pop(_PAIRS):
+            some = _unplanes(x[3], 8, "<i8")
+            at = order[low : low + len(some)]
+            c[at], first[at], low = some, _unbits(x[4], len(some)), low + len(some)
+        del order
         own = np.concatenate([_unplanes(x[3], 8, "<i8") for x in lists[_WORDS]])
         p = _discounted_counts(own, facts["singly"]) * (facts["scale"] / max(facts["N"], 1))
         hit = c >= facts["lowest"]
@@ -684,7 +729,8 @@ def learn_and_score(docs: DataFrame, lowest: int = 2) -> DataFrame:
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", (~F.coalesce(training(F.col("doc_id")), F.lit(True))).alias("held_out"))
     sent = rows.mapInArrow(_lists(parts), _LISTS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
-    counted = written(sent.mapInArrow(_grouped(_counts_of_all), _LISTS), "counts", "none")
+    with batches_of(spark, BATCH):
+        counted = written(sent.mapInArrow(_grouped(_counts_of_all), _LISTS), "counts", "none")
     tallies = {k: np.zeros((2, DISCOUNTED + 3), np.int64) for k in (_WORDS, _PAIRS)}
     for r in counted.where(F.col("kind") > _TALLY).select("kind", "a").toLocalIterator():  # two rows of counts of counts from each bucket
         tallies[r["kind"] - _TALLY] += np.frombuffer(r["a"], "<i8").reshape(2, -1)
@@ -696,11 +742,16 @@ def learn_and_score(docs: DataFrame, lowest: int = 2) -> DataFrame:
     facts = {"N": total, "V": types, "unknown": 1 - kept * scale / total if total else 1.0, "scale": scale, "singly": singly, "doubly": doubly, "lowest": lowest}
     released(spark)
     by_block = lambda df: df.repartition(parts, "block").sortWithinPartitions("block", "kind", "bucket")
-    scored = written(by_block(counted.where(F.col("kind") < _TALLY)).mapInArrow(_score_by_counts(facts, parts), _LISTS), "scored", "none")
+    with batches_of(spark, BATCH):
+        scored = written(by_block(counted.where(F.col("kind") < _TALLY)).mapInArrow(_score_by_counts(facts, parts), _LISTS), "scored", "none")
     discard(counted)
     spark.range(1).count()  # Spark lets go of a job's plan when another has run
     released(spark)
     summed = scored.where(F.col("kind") == _SUMS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_grouped(_sums_of_all), _LISTS)
-    return by_block(scored.where(F.col("kind") == _HOME).unionByName(summed)).mapInArrow(
+    scores = by_block(scored.where(F.col("kind") == _HOME).unionByName(summed)).mapInArrow(
         _score_by_contexts(facts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
+    with batches_of(spark, BATCH):
+        out = written(scores, "scores")
+    discard(scored)
+    return out

@@ -1,12 +1,16 @@
 """The whole job where an operator once did less of it."""
 
+import itertools
 import math
 import os
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
+from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 from brute import groups, words
@@ -182,3 +186,61 @@ def test_katz_in_one_reading_gives_the_scores_of_the_model(spark, lowest):
     got, want = (sorted((tuple(r) for r in df.collect()), key=repr) for df in (fast, plain))
     assert len(got) == len(rows) and [r[:5] for r in got] == [r[:5] for r in want]
     assert [x for r in got for x in r[5:]] == pytest.approx([x for r in want for x in r[5:]], abs=1e-7)
+
+
+def test_katz_blocks_take_little_memory(spark, monkeypatch):
+    """Blocks of texts leave nothing behind but what is sent, and hold no words as strings: the peak is under 16 bytes for each byte of a block."""
+    monkeypatch.setattr(katz.TaskContext, "get", lambda: SimpleNamespace(partitionId=lambda: 0))
+    monkeypatch.setattr(katz, "TOGETHER", 2_000_000)
+    monkeypatch.setattr(katz, "PIECE", 200_000, raising=False)
+    rng = random.Random(3)
+    vocabulary = ["".join(rng.choices("abcdefgh", k=rng.randint(3, 9))) for _ in range(20_000)]
+
+    def batches():
+        for low in range(0, 2000, 500):
+            texts = [" ".join(rng.choices(vocabulary, k=500)) for _ in range(500)]
+            yield pa.RecordBatch.from_arrays([pa.array(texts), pa.array(range(low, low + 500)), pa.array([i % 7 == 2 for i in range(500)])], ["text", "doc_id", "held_out"])
+
+    run = katz._lists(13)
+    assert sum(b.num_rows for b in run(batches())) > 13
+    tracemalloc.start()
+    try:
+        blocks = sum(1 for _ in run(batches()))
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    assert blocks == 4 and peak < 16 * 2_000_000
+
+
+def test_katz_cuts_slices_of_batches_into_words():
+    texts = pa.array(["x", " A b\tc  ", "", " \n", "a a É ", "zz top", "\x1c y"])
+    for low in range(len(texts)):
+        for high in range(low + 1, len(texts) + 1):
+            types, tokens, bounds = katz._coded(texts.slice(low, high - low))
+            want = [[*words(t), "\n"] for t in texts.slice(low, high - low).to_pylist()]
+            assert types[tokens].tolist() == [katz._hash(w.encode()) for t in want for w in t]
+            assert bounds.tolist() == [0, *itertools.accumulate(map(len, want))]
+            assert set(tokens) == set(range(len(types))) and len(set(types)) == len(types)  # a word that no text has would be taken for the texts' beginning
+
+
+def test_katz_sends_small_batches_and_leaves_the_setting(spark, monkeypatch):
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before, most = spark.conf.get(key), spark.sparkContext.accumulator(0)
+    lists = katz._lists
+
+    def counting(buckets):
+        def run(batches):
+            def each():
+                for b in batches:
+                    most.add(b.num_rows > 50)
+                    yield b
+
+            yield from lists(buckets)(each())
+
+        return run
+
+    monkeypatch.setattr(katz, "_lists", counting)
+    monkeypatch.setattr(katz, "BATCH", 20_000, raising=False)
+    rows = [(i, f"w{i} " * 200) for i in range(900)]
+    assert katz.learn_and_score(frame(spark, rows), 1).count() == 900
+    assert most.value == 0 and spark.conf.get(key) == before
