@@ -728,7 +728,7 @@ def learn_and_score(docs: DataFrame, lowest: int = 2) -> DataFrame:
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     rows = docs.select(F.coalesce("text", F.lit("")).alias("text"), "doc_id", (~F.coalesce(training(F.col("doc_id")), F.lit(True))).alias("held_out"))
-    sent = rows.mapInArrow(_lists(parts), _LISTS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind")
+    sent = rows.mapInArrow(_lists(parts), _LISTS).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind")
     with batches_of(spark, BATCH):
         counted = written(sent.mapInArrow(_grouped(_counts_of_all), _LISTS), "counts", "none")
     tallies = {k: np.zeros((2, DISCOUNTED + 3), np.int64) for k in (_WORDS, _PAIRS)}
@@ -747,7 +747,7 @@ def learn_and_score(docs: DataFrame, lowest: int = 2) -> DataFrame:
     discard(counted)
     spark.range(1).count()  # Spark lets go of a job's plan when another has run
     released(spark)
-    summed = scored.where(F.col("kind") == _SUMS).repartition(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_grouped(_sums_of_all), _LISTS)
+    summed = scored.where(F.col("kind") == _SUMS).repartitionById(parts, "bucket").sortWithinPartitions("bucket", "kind").mapInArrow(_grouped(_sums_of_all), _LISTS)
     scores = by_block(scored.where(F.col("kind") == _HOME).unionByName(summed)).mapInArrow(
         _score_by_contexts(facts), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
